@@ -12,6 +12,7 @@ cut at the boundaries of the wanted tag. Each tag follows one of three end rules
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions.sqltext import (
-    Body, each, first, fold, keep, let, lookup, quoted, raw, strings,
+    Body, each, first, fold, fresh, keep, let, quoted, raw, strings,
 )
 from gleaner.functions.text import decode_entities_sql
 
@@ -109,6 +110,45 @@ def parse_steps(xpath: str) -> list[Step]:
     return steps
 
 
+_END = r"(?=[\s/>])"
+
+
+def _boundary(tag: str, extra: list[str]) -> str:
+    names = "|".join([tag, *[e for e in extra if e != tag]])
+    return f"(?i)(?=</?(?:{names}){_END})"
+
+
+def _tag_rule(tag: str) -> dict:
+    """How elements of a tag start and end."""
+    siblings, containers = SCOPED_TAGS.get(tag, ([], [tag]))
+    return {
+        "boundary": _boundary(tag, FLAT_TAGS.get(tag, [*siblings, *containers])),
+        "start": f"(?i)^<{tag}{_END}",
+        "flat": tag in FLAT_TAGS,
+        "void": tag in VOID_TAGS,
+        "siblings": siblings,
+        "containers": containers,
+    }
+
+
+_RULE_TYPE = (
+    "struct<boundary:string,start:string,flat:boolean,void:boolean,"
+    "siblings:array<string>,containers:array<string>>"
+)
+_KNOWN_RULES = json.dumps({tag: _tag_rule(tag) for tag in [*FLAT_TAGS, *SCOPED_TAGS]})
+
+
+def _rule_sql(tag: str) -> str:
+    """The rule of a tag held in a column, so that selectors carry theirs as data."""
+    generic = f"""named_struct(
+        'boundary', concat('(?i)(?=</?', {tag}, {raw(_END)}, ')'),
+        'start', concat('(?i)^<', {tag}, {raw(_END)}),
+        'flat', false, 'void', false,
+        'siblings', {strings([])}, 'containers', array({tag}))"""
+    known = f"from_json({quoted(_KNOWN_RULES)}, 'map<string,{_RULE_TYPE}>')"
+    return f"coalesce(try_element_at({known}, {tag}), {generic})"
+
+
 def step_sql(xpath: str) -> str:
     """Steps of selectors held in a column; NULL where the selector is not supported."""
     anchored = raw("^" + STEP_PATTERN)
@@ -133,7 +173,8 @@ def step_sql(xpath: str) -> str:
                 'test', CASE WHEN {p} = '' THEN NULL
                     WHEN {groups(p, 4)} IS NOT NULL THEN 'contains'
                     WHEN contains({p}, '=') THEN 'equals' ELSE 'has' END,
-                'value', if(contains({p}, '='), coalesce({value}, ''), {value}))"""
+                'value', if(contains({p}, '='), coalesce({value}, ''), {value}),
+                'rule', {let(f"lower({part(piece, 2)})", _rule_sql)})"""
 
         return let(part(piece, 3), with_predicate)
 
@@ -152,7 +193,7 @@ def step_sql(xpath: str) -> str:
 
 
 def step_column(xpath: str) -> Column:
-    """:func:`step_sql` as a column of ``array<struct<axis,tag,attr,test,value>>``."""
+    """:func:`step_sql` as a column of ``array<struct<axis,tag,attr,test,value,rule>>``."""
     return F.expr(step_sql(xpath))
 
 
@@ -163,23 +204,24 @@ def prepare_sql(html: str) -> str:
     bodies keep their text, but ``<`` and ``&`` in them become entities, so what looks
     like a tag there is never one.
     """
-    bare = (
-        f"regexp_replace({html}, "
-        f"{raw(r'(?is)<!--.*?(?:-->|$)|(<(script|style)(?=[\s/>])[^>]*>.*?</\2\s*>)')}, '$1<!>')"
-    )
-    pieces = (
-        f"split({bare}, "
-        f"{raw(r'(?i)(?=<(?:script|style)(?=[\s/>]))|(?<=</script>|</style>)')})"
-    )
+    # One pattern for both: whichever starts first hides the other. A script or style is
+    # marked by a separator with its name, and loses its "<" to it.
+    hidden = r"(?is)<(?:!--.*?(?:-->|$)|((script|style)(?=[\s/>])[^>]*>.*?(?:</\2\s*>|$)))"
+    bare = f"regexp_replace({html}, {raw(hidden)}, '<!$2>$1')"
+    pieces = f"split({bare}, {raw(r'(?i)<!(?:script|style)>')}, -1)"
+
+    def masked(piece: str, index: str) -> str:
+        end = raw(r"(?is)^(.*?)(</(?:script|style)\s*>.*|)$")
 
-    def masked(piece: str) -> str:
-        quiet = f"replace({piece}, '&', '&amp;')"
-        inner = raw(r"(?i)(?<!^)<(?!/(?:script|style)\s*>)")
-        return f"""if(rlike({piece}, {raw(r'(?i)^<(?:script|style)(?=[\s/>])')}),
-            regexp_replace({quiet}, {inner}, '&lt;'), {piece})"""
+        def quiet(body: str) -> str:
+            return f"replace(replace({body}, '&', '&amp;'), '<', '&lt;')"
 
-    return f"""if(rlike({html}, {raw('(?i)<!--|<script|<style')}),
-        array_join({each(pieces, masked)}, ''), {html})"""
+        body, rest = (f"regexp_extract({piece}, {end}, {n})" for n in (1, 2))
+        return f"if({index} = 0, {piece}, concat('<', {quiet(body)}, {rest}))"
+
+    piece, index = fresh(), fresh()
+    joined = f"array_join(transform({pieces}, ({piece}, {index}) -> {masked(piece, index)}), '')"
+    return f"if(rlike({html}, {raw('(?i)<(?:!--|script|style)')}), {joined}, {html})"
 
 
 def prepare(html: str) -> Column:
@@ -220,18 +262,6 @@ def attribute(tag: str, name: str) -> Column:
     return F.expr(attribute_sql(tag, name))
 
 
-def _boundary(tag: str, extra: list[str]) -> str:
-    names = "|".join([tag, *[e for e in extra if e != tag]])
-    return rf"(?i)(?=</?(?:{names})(?=[\s/>]))"
-
-
-def _names(tag: str) -> list[str]:
-    if tag in SCOPED_TAGS:
-        siblings, containers = SCOPED_TAGS[tag]
-        return [*siblings, *containers]
-    return FLAT_TAGS.get(tag, [])
-
-
 def _self_closed(tag: str) -> str:
     return f"rlike({tag}, {raw(r"""(?:["'\s]|^<[A-Za-z][A-Za-z0-9\-]*)/>$""")})"
 
@@ -300,46 +330,21 @@ def _is_child(before: str) -> str:
     return let(before, lambda b: f"regexp_count({b}, {opens}) = regexp_count({b}, {closes})")
 
 
-@dataclass(frozen=True)
-class _Rule:
-    """How elements of a tag start and end, as expressions."""
-
-    tag: str
-    boundary: str
-    start: str
-    flat: str
-    void: str
-    siblings: str
-    containers: str
-
-
-def _rule(step: Step | str) -> _Rule:
-    if isinstance(step, Step):
-        tag = step.tag
-        siblings, containers = SCOPED_TAGS.get(tag, ([], [tag]))
-        return _Rule(
-            tag=quoted(tag),
-            boundary=raw(_boundary(tag, _names(tag))),
-            start=raw(rf"(?i)^<{tag}(?=[\s/>])"),
-            flat=str(tag in FLAT_TAGS).lower(),
-            void=str(tag in VOID_TAGS).lower(),
-            siblings=strings(siblings),
-            containers=strings(containers),
-        )
-    tag = f"{step}.tag"
-    known = {t: raw(_boundary(t, _names(t))) for t in [*FLAT_TAGS, *SCOPED_TAGS]}
-    end = raw(r"(?=[\s/>])")
-    return _Rule(
-        tag=tag,
-        boundary=f"coalesce({lookup(known, tag)}, concat('(?i)(?=</?', {tag}, {end}, ')'))",
-        start=f"concat('(?i)^<', {tag}, {end})",
-        flat=f"array_contains({strings(FLAT_TAGS)}, {tag})",
-        void=f"array_contains({strings(VOID_TAGS)}, {tag})",
-        siblings=f"coalesce({lookup({t: strings(v[0]) for t, v in SCOPED_TAGS.items()}, tag)}, "
-        f"{strings([])})",
-        containers=f"coalesce({lookup({t: strings(v[1]) for t, v in SCOPED_TAGS.items()}, tag)}, "
-        f"array({tag}))",
-    )
+def _rule(step: Step | str) -> dict[str, str]:
+    """The rule of a step's tag, as expressions."""
+    if isinstance(step, str):
+        names = ("boundary", "start", "flat", "void", "siblings", "containers")
+        return {"tag": f"{step}.tag", **{name: f"{step}.rule.{name}" for name in names}}
+    rule = _tag_rule(step.tag)
+    return {
+        "tag": quoted(step.tag),
+        "boundary": raw(rule["boundary"]),
+        "start": raw(rule["start"]),
+        "flat": str(rule["flat"]).lower(),
+        "void": str(rule["void"]).lower(),
+        "siblings": strings(rule["siblings"]),
+        "containers": strings(rule["containers"]),
+    }
 
 
 def _matches(context: str, step: Step | str, absolute: bool) -> str:
@@ -352,7 +357,7 @@ def _matches(context: str, step: Step | str, absolute: bool) -> str:
         def wanted(i: str) -> str:
             piece = f"element_at({pieces}, {i})"
             before = f"array_join(slice({pieces}, 1, {i} - 1), '')"
-            tests = [f"rlike({piece}, {rule.start})", _passes(open_tag_sql(piece), step)]
+            tests = [f"rlike({piece}, {rule["start"]})", _passes(open_tag_sql(piece), step)]
             if not fixed:
                 tests.append(f"({step}.axis = '//' OR {_is_child(before)})")
             elif step.axis == "/":
@@ -371,13 +376,13 @@ def _matches(context: str, step: Step | str, absolute: bool) -> str:
                 inner = one
                 if not flat:
                     span = _element_span(
-                        pieces, i, rule.tag, rule.containers, rule.siblings
+                        pieces, i, rule["tag"], rule["containers"], rule["siblings"]
                     )
                     many = (
                         f"substring(array_join(slice({pieces}, {i}, {span}), ''), "
                         f"length({tag}) + 1)"
                     )
-                    inner = many if fixed else f"if({rule.flat}, {one}, {many})"
+                    inner = many if fixed else f"if({rule["flat"]}, {one}, {many})"
                 at = i
                 if absolute:
                     at = (
@@ -385,13 +390,13 @@ def _matches(context: str, step: Step | str, absolute: bool) -> str:
                         f"length(array_join(slice({pieces}, 1, {i} - 1), ''))"
                     )
                 return f"""named_struct('at', CAST({at} AS INT), 'open', {tag},
-                    'inner', if({rule.void} OR {_self_closed(tag)}, '', {inner}))"""
+                    'inner', if({rule["void"]} OR {_self_closed(tag)}, '', {inner}))"""
 
             return let(open_tag_sql(piece), with_tag)
 
         return each(keep(f"sequence(1, size({pieces}))", wanted), element)
 
-    return let(f"split({context}.inner, {rule.boundary})", in_pieces)
+    return let(f"split({context}.inner, {rule["boundary"]})", in_pieces)
 
 
 ELEMENT_TYPE = "array<struct<at:int,open:string,inner:string>>"

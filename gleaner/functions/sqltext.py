@@ -31,37 +31,31 @@ def strings(values: Iterable[str]) -> str:
     return f"CAST(array({', '.join(map(quoted, values))}) AS ARRAY<STRING>)"
 
 
-def lookup(table: dict[str, str], key: str) -> str:
-    """Value (an expression) of a fixed table, NULL for an unknown key."""
-    pairs = ", ".join(f"{quoted(k)}, {v}" for k, v in table.items())
-    return f"try_element_at(map({pairs}), {key})"
-
-
 def fresh() -> str:
     return f"x_{next(_numbers)}"
 
 
-def _lambda(body: Body) -> str:
+def fresh_lambda(body: Body) -> str:
     name = fresh()
     return f"{name} -> {body(name)}"
 
 
 def let(value: str, body: Body) -> str:
     """``body`` of a value that is evaluated once, however often the body names it."""
-    return f"transform(array({value}), {_lambda(body)})[0]"
+    return f"transform(array({value}), {fresh_lambda(body)})[0]"
 
 
 def each(array: str, body: Body) -> str:
-    return f"transform({array}, {_lambda(body)})"
+    return f"transform({array}, {fresh_lambda(body)})"
 
 
 def keep(array: str, body: Body) -> str:
-    return f"filter({array}, {_lambda(body)})"
+    return f"filter({array}, {fresh_lambda(body)})"
 
 
 def fold(array: str, zero: str, step: Callable[[str, str], str], finish: Body | None = None) -> str:
     state, item = fresh(), fresh()
-    last = f", {_lambda(finish)}" if finish else ""
+    last = f", {fresh_lambda(finish)}" if finish else ""
     return f"aggregate({array}, {zero}, ({state}, {item}) -> {step(state, item)}{last})"
 
 
