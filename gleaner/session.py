@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_dirs: list[str] = []
 
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,9 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="gleaner-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+    if not _local_dirs:
+        _local_dirs.append(tempfile.mkdtemp(prefix="gleaner-"))
+    return _local_dirs[0]
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

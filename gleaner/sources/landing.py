@@ -63,11 +63,11 @@ def read_sidecars(
     there by a later batch. Files are never deleted.
     """
     reader = spark.readStream if stream else spark.read
-    reader = reader.option("pathGlobFilter", "*.ini").option("wholetext", "true")
+    reader = reader.format("text").option("pathGlobFilter", "*.ini").option("wholetext", "true")
     if stream and archive_to:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_to)
     first = F.substring_index("value", "\n", 1)
-    return decode_records(reader.text(path).select(first.alias("value")), TASK_SCHEMA)
+    return decode_records(reader.load(path).select(first.alias("value")), TASK_SCHEMA)
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
