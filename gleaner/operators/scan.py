@@ -1,8 +1,8 @@
 """Scans by id range: filters, pages of a scan, range plans, range joins and splits.
 
-Ids are whole numbers. Wherever neighbours matter, rows are grouped into buckets of a
-fixed id width, so no task ever holds more than ``width`` distinct ids, however
-many belong to one partition.
+Ids are whole numbers. Wherever neighbours matter, rows are first range-partitioned
+into ordered buckets of about the same size, whatever the ids look like and however
+many belong to one partition; single rows then link a bucket with the next.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.keys import fragment_width
-from gleaner.session import fits
+from gleaner.session import cut_lineage, fits
 
-BUCKET_WIDTH = 1 << 20
+ROWS_PER_BUCKET = 1_000_000
 # Range tables up to this many rows (a few dozen bytes each) are broadcast.
 BROADCAST_RANGES = 200_000
 
@@ -33,22 +33,29 @@ def scan_range(
     return materials.filter((F.col(status_col) == status) & (ident >= start) & (ident < end))
 
 
-def number_pages(rows: DataFrame, page_size: int, id_col: str, width: int = BUCKET_WIDTH) -> DataFrame:
+def _ordered_buckets(rows: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """Rows with a ``_bucket`` number that follows ``order``, about ``size`` rows in each.
+
+    The result is written: bucket bounds come from a sample and must not change between
+    the plans that read them.
+    """
+    count = max(1, -(-rows.count() // size))
+    ranged = rows.repartitionByRange(count, *order)
+    return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id()), "buckets")
+
+
+def number_pages(
+    rows: DataFrame, page_size: int, id_col: str, bucket_rows: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Page number (from 0) of every row in a scan ordered by its unique id.
 
-    Row numbers within fixed-width id buckets plus the number of rows in earlier
-    buckets: no global sort, and no task sees the whole scan.
+    The rank inside an ordered bucket plus the number of rows in earlier buckets: the
+    only thing that passes through one task is a count per bucket.
     """
-    bucketed = rows.withColumn("_bucket", F.floor(F.col(id_col) / width))
-    counts = bucketed.groupBy("_bucket").count()
-    before = counts.select(
-        "_bucket",
-        F.coalesce(
-            F.sum("count").over(
-                Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
+    bucketed = _ordered_buckets(rows, [id_col], bucket_rows)
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = bucketed.groupBy("_bucket").count().select(
+        "_bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")
     )
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col))
     ranked = bucketed.withColumn("_rank", within).join(before, "_bucket")
@@ -127,6 +134,8 @@ def range_join(
     disjoint ranges give at most a few candidates per row, and nothing is compared
     with every range.
     """
+    # Read three times below, so computed once.
+    ranges = cut_lineage(ranges, "ranges")
     filed = (
         ranges.withColumns({"_low": low, "_high": high})
         .filter("_low < _high")
@@ -168,7 +177,9 @@ def lookup_ranges(points: DataFrame, ranges: DataFrame, point_col: str, keys: Se
     )
 
 
-def split_ranges(ranges: DataFrame, cuts: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def split_ranges(
+    ranges: DataFrame, cuts: DataFrame, bucket_rows: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Ranges ``[s,e)`` of (pid, start_seq, end_seq) cut at the points (pid, x) strictly inside."""
     inside = range_join(
         cuts.select("pid", "x").distinct(),
@@ -179,10 +190,9 @@ def split_ranges(ranges: DataFrame, cuts: DataFrame, width: int = BUCKET_WIDTH)
         ["pid"],
     )
     whole = ranges.select("pid", F.col("start_seq").alias("x"), "start_seq", "end_seq")
-    bounds = (
-        inside.select("pid", "x", "start_seq", "end_seq")
-        .unionByName(whole)
-        .withColumn("_bucket", F.floor(F.col("x") / width))
+    bounds = inside.select("pid", "x", "start_seq", "end_seq").unionByName(whole)
+    bounds = _ordered_buckets(
+        cut_lineage(bounds, "bounds"), ["pid", "start_seq", "end_seq", "x"], bucket_rows
     )
     owner = ["pid", "start_seq", "end_seq"]
     firsts = bounds.groupBy(*owner, "_bucket").agg(F.min("x").alias("_first"))

@@ -9,6 +9,7 @@ from gleaner.functions import markup
 from gleaner.functions.keys import seqno
 from gleaner.operators import extract
 from gleaner.operators.extract import Selector, prepare_pages
+from gleaner.session import cut_lineage, spread
 
 # Definitions of the materials derived from pages: page p has type p % 5 + 1.
 DEFINITIONS = {
@@ -31,7 +32,7 @@ def start_instant() -> Column:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under one site, each with three links to other pages and most with a next link."""
     rows = pages(spark, sf_dir)
-    total = rows.count()
+    total = table(spark, sf_dir, "pages").count()
     ident = F.col("page_id")
     links = [
         F.concat(
@@ -88,7 +89,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between pages, from the number of links on each page."""
-    total = pages(spark, sf_dir).count()
+    total = table(spark, sf_dir, "pages").count()
     tags = markup.link_tags("markup")
     found = prepared(spark, sf_dir).select("page_id", F.posexplode(tags).alias("no", "tag"))
     dst = (F.col("page_id") * 13 + F.col("no") * 7 + 1) % total
@@ -105,10 +106,13 @@ def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lists = extract.mass_items(
         extract.match_selectors(ready, [Selector("//div[@class='to']/a", extract=1)])
     )
-    parents = lists.select(
-        seqno(F.col("page_id"), start_instant()).alias("seqno"),
-        "url", "no", "value", "hashcode", "href",
-    )
+    parents = cut_lineage(
+        lists.select(
+            seqno(F.col("page_id"), start_instant()).alias("seqno"),
+            "url", "no", "value", "hashcode", "href",
+        ),
+        "parents",
+    )
     captured = ready.filter(F.col("page_id") % 5 != 0)
     contents = extract.wrapped_items(
         extract.match_selectors(captured, [Selector("//h1", wrap=1)])
@@ -117,7 +121,7 @@ def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         parents.select("seqno", "href").distinct().join(contents, "href")
         .withColumnRenamed("href", "url")
     )
-    return parents, children
+    return parents, cut_lineage(children, "children")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,7 +446,7 @@ def scan_range_status(spark, sf_dir):
 @query
 def scan_page(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return scan.number_pages(orders, 100, "o_orderkey", width=4096)
+    return scan.number_pages(orders, 100, "o_orderkey", bucket_rows=50_000)
 
 
 @query
@@ -481,7 +481,7 @@ def range_split(spark, sf_dir):
         F.min("o_orderkey").alias("start_seq"), (F.max("o_orderkey") + 1).alias("end_seq")
     )
     cuts = orders.select(F.col("o_orderpriority").alias("pid"), F.col("o_orderkey").alias("x"))
-    return scan.split_ranges(ranges, cuts, width=4096)
+    return scan.split_ranges(ranges, cuts, bucket_rows=50_000)
 
 
 def _catalog(spark, sf_dir):
@@ -612,7 +612,7 @@ def completeness_gate(spark, sf_dir):
 
 @query
 def assemble_document(spark, sf_dir):
-    parents, children = (cut_lineage(df, "runs") for df in inputs.runs(spark, sf_dir))
+    parents, children = inputs.runs(spark, sf_dir)
     documents = assemble.documents(assemble.document_rows(parents, children))
     listed = documents.select("seqno", F.explode("tablelist").alias("i")).select(
         "seqno", F.lit("list").alias("kind"), "i.url", F.col("i.no").cast("long").alias("no"),

@@ -67,8 +67,8 @@ def test_split_keeps_the_covered_length(spark):
         [("a", 0), ("a", 10), ("a", 10), ("a", 64), ("a", 99), ("a", 100), ("a", 200), ("b", 7), ("c", 1)],
         "pid string, x long",
     )
-    for width in (8, 1 << 20):
-        got = sorted((r.pid, r.start_seq, r.end_seq) for r in scan.split_ranges(ranges, cuts, width).collect())
+    for rows in (2, 1000):
+        got = sorted((r.pid, r.start_seq, r.end_seq) for r in scan.split_ranges(ranges, cuts, rows).collect())
         assert got == [("a", 0, 10), ("a", 10, 64), ("a", 64, 99), ("a", 99, 100), ("a", 100, 130),
                        ("b", 5, 7), ("b", 7, 9)]
 
@@ -76,7 +76,7 @@ def test_split_keeps_the_covered_length(spark):
 def test_pages_of_a_scan(spark):
     ids = sorted(random.Random(1).sample(range(10_000), 537))
     rows = spark.createDataFrame([(i,) for i in ids], "id long")
-    got = {r.id: r.page_no for r in scan.number_pages(rows, 50, "id", width=64).collect()}
+    got = {r.id: r.page_no for r in scan.number_pages(rows, 50, "id", bucket_rows=64).collect()}
     assert got == {i: k // 50 for k, i in enumerate(ids)}
     page = scan.page_after(rows, 50, "id", after=ids[99]).collect()
     assert [r.id for r in page] == ids[100:150]
