@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gleaner.functions import markup
 from gleaner.functions.sqltext import each, first, keep
+from gleaner.functions.text import is_blank
 from gleaner.functions.urls import abs_url
 from gleaner.operators.extract import prepare_pages
 from gleaner.session import cut_lineage, fits, run_dir
@@ -143,8 +144,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 
 
 def unseen(tasks: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
-    """Tasks not processed before, each key once."""
-    return tasks.dropDuplicates([key]).join(seen.select(key), key, "left_anti")
+    """Tasks with a key that was not processed before, each key once."""
+    filled = tasks.filter(~is_blank(F.col(key)))
+    return filled.dropDuplicates([key]).join(seen.select(key), key, "left_anti")
 
 
 def child_tasks(tasks: DataFrame, items: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def test_breadth_first_search_against_brute_force(spark):
 
 
 def test_unseen_and_child_tasks(spark):
-    tasks = spark.createDataFrame([("u1",), ("u1",), ("u2",)], "url string")
+    tasks = spark.createDataFrame([("u1",), ("u1",), ("u2",), (" ",), (None,)], "url string")
     seen = spark.createDataFrame([("u2",)], "url string")
     assert [r.url for r in frontier.unseen(tasks, seen).collect()] == ["u1"]
     parents = spark.createDataFrame(
