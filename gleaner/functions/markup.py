@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.sqltext import (
     Body, each, first, fold, fresh, keep, let, quoted, raw, strings,
 )
-from gleaner.functions.text import decode_entities_sql
+from gleaner.functions.text import decode_entities_sql, quotes_closed_sql
 
 # Fixed values (HTML standard): elements without content.
 VOID_TAGS = (
@@ -230,10 +230,13 @@ def prepare(html: str) -> Column:
 
 def open_tag_sql(piece: str) -> str:
     """The open tag a piece of markup starts with, quoted ``>`` respected."""
-    return (
-        f"coalesce(nullif(regexp_extract({piece}, {raw(_OPEN_TAG)}, 0), ''), "
-        f"regexp_extract({piece}, {raw(_LOOSE_TAG)}, 0))"
-    )
+
+    def tag(head: str) -> str:
+        return f"""if(contains({piece}, '>') AND {quotes_closed_sql(head)}, concat({head}, '>'),
+            coalesce(nullif(regexp_extract({piece}, {raw(_OPEN_TAG)}, 0), ''),
+                regexp_extract({piece}, {raw(_LOOSE_TAG)}, 0)))"""
+
+    return let(f"substring_index({piece}, '>', 1)", tag)
 
 
 def _attribute_pattern(name: str) -> str:
@@ -357,7 +360,8 @@ def _matches(context: str, step: Step | str, absolute: bool) -> str:
         def wanted(i: str) -> str:
             piece = f"element_at({pieces}, {i})"
             before = f"array_join(slice({pieces}, 1, {i} - 1), '')"
-            tests = [f"rlike({piece}, {rule["start"]})", _passes(open_tag_sql(piece), step)]
+            name = f"left({piece}, length({rule["tag"]}) + 2)"
+            tests = [f"rlike({name}, {rule["start"]})", _passes(open_tag_sql(piece), step)]
             if not fixed:
                 tests.append(f"({step}.axis = '//' OR {_is_child(before)})")
             elif step.axis == "/":

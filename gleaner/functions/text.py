@@ -110,6 +110,20 @@ def _trim_sql(text: str) -> str:
     return f"trim(BOTH {quoted(_BLANK_CHARACTERS)} FROM {text})"
 
 
+def quotes_closed_sql(head: str) -> str:
+    """Whether text up to a ``>`` leaves no quote open, so that the ``>`` ends the tag.
+
+    Certain for at most one kind of quote, in even number; otherwise the answer is false
+    and the tag has to be matched in full.
+    """
+
+    def count(quote: str) -> str:
+        return f"(length({head}) - length(replace({head}, {quote}, '')))"
+
+    double, single = count("chr(34)"), count("chr(39)")
+    return f"({double} % 2 = 0 AND {single} % 2 = 0 AND ({double} = 0 OR {single} = 0))"
+
+
 def _bare_text_sql(markup: str) -> str:
     """Text nodes stripped and joined, entities untouched.
 
@@ -118,18 +132,11 @@ def _bare_text_sql(markup: str) -> str:
     such markup goes through the full tag pattern.
     """
     by_pattern = _trim_sql(f"regexp_replace({markup}, {raw(_TAG_AND_BLANKS)}, '')")
-    pattern = raw("^" + TAG)
-
-    def count(text: str, quote: str) -> str:
-        return f"(length({text}) - length(replace({text}, {quote}, '')))"
 
     def after_tag(piece: str) -> str:
         def end(head: str) -> str:
-            double, single = count(head, "chr(34)"), count(head, "chr(39)")
-            # With one kind of quote, an even count means the ">" lies outside of them.
-            outside = f"({double} % 2 = 0 AND {single} % 2 = 0 AND ({double} = 0 OR {single} = 0))"
-            return f"""if({outside}, length({head}) + 2,
-                length(regexp_extract(concat('<', {piece}), {pattern}, 0)))"""
+            return f"""if({quotes_closed_sql(head)}, length({head}) + 2,
+                length(regexp_extract(concat('<', {piece}), {raw("^" + TAG)}, 0)))"""
 
         return _trim_sql(f"substring({piece}, {let(f"substring_index({piece}, '>', 1)", end)})")
 
