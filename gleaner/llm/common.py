@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gc
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, as a Java and Python pattern.
@@ -80,3 +82,27 @@ def starts_of(counts: np.ndarray) -> np.ndarray:
 
 def safe_name(text: str) -> str:
     return re.sub(r"\W+", "-", text)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts hold about ``limit`` bytes; a longer text stands alone.
+
+    Work on a slice is vectorised, so its memory follows the limit and not the batch.
+    """
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    begin, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > begin and total + size > limit:
+            yield batch.slice(begin, k - begin)
+            begin, total = k, 0
+        total += size
+    if len(sizes) > begin:
+        yield batch.slice(begin)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 of each word, computed once for each distinct word."""
+    coded = words.dictionary_encode()
+    known = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    return hashes[np.asarray(coded.indices)]

@@ -3,19 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import quality
+from gleaner.llm import packing, prefix, quality, simhash, substring
 from gleaner.llm.common import table
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, how many repeat earlier documents, and what stays."""
+    out = substring.repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document, over 3-word shingles and 2 bits."""
+    classes = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return classes.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, mean log ratio and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, and how much of it fits into 4,096 tokens."""
+    return prefix.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_substring": op5_substring,
+    "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_substring": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS words
+  FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(list_slice(words, p, p + 12), ' ') AS body
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS p FROM w WHERE len(words) >= 13)
+), firsts AS (
+  SELECT body, min(doc_id) AS first_id FROM win GROUP BY body
+), hits AS (
+  SELECT DISTINCT win.doc_id, unnest(generate_series(p, p + 12)) AS pos
+  FROM win JOIN firsts USING (body) WHERE first_id < win.doc_id
+), gone AS (
+  SELECT doc_id, list(pos) AS cut FROM hits GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       CAST(coalesce(len(cut), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN cut IS NULL THEN words ELSE
+         list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(cut, i)),
+                        lambda i: words[i]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+""",
+}
