@@ -135,8 +135,8 @@ def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     """One row ``weights array<double>``: the log ratio of target to raw share by bucket.
 
     Raw counts cover every document. The target corpus is a bounded sample of labelled
-    rows: quality 1 and not toxic, the TARGET_DOCS of smallest hash. Shares are smoothed by
-    adding one to each bucket. Without a trusted label all weights are zero.
+    rows: quality 1 and not toxic, the TARGET_DOCS of smallest hash. A weight is
+    ``log((hit + 1) / (raw * hit_all / raw_all + 1))``. Without a trusted label all weights are zero.
     """
     trusted = (
         labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
@@ -165,9 +165,10 @@ def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
         F.coalesce(F.sum("hit"), F.lit(0)).alias("hit_all"),
     )
     slots = docs.sparkSession.range(buckets).withColumn("bucket", F.col("id").cast("int"))
-    share = lambda n, total: (F.coalesce(F.col(n), F.lit(0)) + 1) / (F.col(total) + buckets)
+    # the raw count in a corpus of the target's size, so that neither size tilts the ratio
+    fair = F.coalesce(F.col("raw"), F.lit(0)) * F.col("hit_all") / F.col("raw_all")
     weight = F.when(F.col("hit_all") == 0, F.lit(0.0)).otherwise(
-        F.log(share("hit", "hit_all") / share("raw", "raw_all"))
+        F.log((F.coalesce(F.col("hit"), F.lit(0)) + 1) / (fair + 1))
     )
     # one row of totals, and one row a bucket
     rows = slots.join(counts, "bucket", "left").crossJoin(F.broadcast(totals))
