@@ -8,6 +8,9 @@ cut at the boundaries of the wanted tag. Each tag follows one of three end rules
 * scoped: it ends at the next sibling, unless that lies inside a nested container, or
   where a container around it closes (list items, table cells, links, inline tags);
 * balanced: it ends at its matching close tag (every other tag).
+
+Offsets and depths are running sums over the pieces, and all ends are found by one sort, so
+the work follows the length of a page and of what is selected from it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions.sqltext import (
-    Body, each, first, fold, fresh, keep, let, quoted, raw, strings,
+    Body, each, first, fold, fresh, keep, let, quoted, raw, running_sums, strings,
 )
 from gleaner.functions.text import decode_entities_sql, quotes_closed_sql
 
@@ -269,40 +272,56 @@ def _self_closed(tag: str) -> str:
     return f"rlike({tag}, {raw(r"""(?:["'\s]|^<[A-Za-z][A-Za-z0-9\-]*)/>$""")})"
 
 
-def _element_span(pieces: str, at: str, tag: str, containers: str, siblings: str) -> str:
-    """Number of pieces an element spans, counted from the piece holding its open tag.
+ELEMENT_TYPE = "array<struct<at:int,open:string,inner:string>>"
+
+
+def _name_of(piece: str) -> str:
+    return f"lower(regexp_extract({piece}, {raw(r'^</?([A-Za-z][A-Za-z0-9\-]*)')}, 1))"
 
-    Most elements end at the very next boundary; only the others are followed piece
-    by piece.
-    """
 
-    def advance(state: str, piece: str) -> str:
-        def with_name(name: str) -> str:
-            closing = f"startswith({piece}, '</')"
-            container = f"array_contains({containers}, {name})"
-            step = f"""CASE WHEN NOT {container} THEN 0 WHEN {closing} THEN -1
-                WHEN {_self_closed(open_tag_sql(piece))} THEN 0 ELSE 1 END"""
-            ends = f"""({state}.depth = 0 AND
-                (({container} AND {closing}) OR array_contains({siblings}, {name})))"""
-            return f"""named_struct('depth', {state}.depth + {step},
-                'span', {state}.span + if({ends}, 0, 1), 'open', NOT {ends})"""
-
-        name = f"lower(regexp_extract({piece}, {raw(r'^</?([A-Za-z][A-Za-z0-9\-]*)')}, 1))"
-        return f"if({state}.open, {let(name, with_name)}, {state})"
-
-    followed = fold(
-        f"slice({pieces}, {at} + 1, size({pieces}))",
-        "named_struct('depth', 0, 'span', 1, 'open', true)",
-        advance,
-        lambda state: f"{state}.span",
+def _depth_step(piece: str, rule: dict[str, str]) -> str:
+    """What a piece adds to the depth in containers: 1 opens one, -1 closes one."""
+    return let(
+        _name_of(piece),
+        lambda name: f"""CASE WHEN NOT array_contains({rule["containers"]}, {name}) THEN 0
+            WHEN startswith({piece}, '</') THEN -1
+            WHEN {_self_closed(open_tag_sql(piece))} THEN 0 ELSE 1 END""",
     )
-    following = f"lower(coalesce(try_element_at({pieces}, {at} + 1), ''))"
-    closes = let(
-        following,
-        lambda f: f"""startswith({f}, concat('</', {tag}))
-            AND rlike(substring({f}, length({tag}) + 3, 1), {raw(r'[\s/>]')})""",
+
+
+def _ends(piece: str, rule: dict[str, str]) -> str:
+    """Whether a piece ends an element that is open on its level."""
+    return let(
+        _name_of(piece),
+        lambda name: f"""(array_contains({rule["siblings"]}, {name}) OR
+            (array_contains({rule["containers"]}, {name}) AND startswith({piece}, '</')))""",
     )
-    return f"if({closes}, 1, {followed})"
+
+
+def _with_stops(starts: str, events: str) -> str:
+    """For each start ``(level, pos)`` the first event after it on its level, by position.
+
+    Sorted together, the k-th entry, if it is the q-th start, has k - q events before it,
+    so the next event is number k - q. Gives ``(pos, stop)``; stop is NULL where none is left.
+    """
+    mark = lambda rows, kind: each(
+        rows, lambda x: f"named_struct('level', {x}.level, 'pos', {x}.pos, 'kind', {kind})"
+    )
+
+    def ranked(rows: str) -> str:
+        x, k, y, q = fresh(), fresh(), fresh(), fresh()
+        numbered = f"transform({rows}, ({x}, {k}) -> named_struct('level', {x}.level, 'pos', {x}.pos, 'kind', {x}.kind, 'k', {k}))"
+
+        def found(ends: str) -> str:
+            end = f"get({ends}, {y}.k - {q})"
+            stop = f"if({end}.level = {y}.level, {end}.pos, NULL)"
+            asked = keep(numbered, lambda r: f"{r}.kind = 1")
+            return f"array_sort(transform({asked}, ({y}, {q}) -> named_struct('pos', {y}.pos, 'stop', {stop})))"
+
+        return let(keep(rows, lambda r: f"{r}.kind = 0"), found)
+
+    # at one position an event comes first: it ends what was open before
+    return let(f"array_sort(concat({mark(events, 0)}, {mark(starts, 1)}))", ranked)
 
 
 def _passes(tag: str, step: Step | str) -> str:
@@ -325,12 +344,17 @@ def _passes(tag: str, step: Step | str) -> str:
     )
 
 
-def _is_child(before: str) -> str:
-    """Whether nothing is left open in the markup before an element."""
+def _left_open(piece: str) -> str:
+    """How many more tags a piece opens than it closes."""
     void = "|".join(VOID_TAGS)
     opens = raw(rf"(?i)<(?!(?:{void})[\s/>])[a-z]")
     closes = raw(rf"(?i)</(?!(?:{void})[\s/>])[a-z]")
-    return let(before, lambda b: f"regexp_count({b}, {opens}) = regexp_count({b}, {closes})")
+    return f"regexp_count({piece}, {opens}) - regexp_count({piece}, {closes})"
+
+
+def _before(sums: str, name: str, i: str) -> str:
+    """A running sum before piece ``i``."""
+    return f"coalesce(get({sums}, {i} - 2).{name}, 0)"
 
 
 def _rule(step: Step | str) -> dict[str, str]:
@@ -350,6 +374,15 @@ def _rule(step: Step | str) -> dict[str, str]:
     }
 
 
+def _step_literal(step: Step) -> str:
+    """A step known now in the form that selectors held in a column have."""
+    rule = _rule(step)
+    texts = (("attr", step.attr), ("test", step.test), ("value", step.value))
+    rest = ", ".join(f"'{name}', {quoted(value)}" for name, value in texts)
+    parts = ", ".join(f"'{name}', {rule[name]}" for name in rule if name != "tag")
+    return f"named_struct('axis', {quoted(step.axis)}, 'tag', {rule['tag']}, {rest}, 'rule', named_struct({parts}))"
+
+
 def _matches(context: str, step: Step | str, absolute: bool) -> str:
     """Elements of one context that a step selects, in document order."""
     rule = _rule(step)
@@ -357,59 +390,82 @@ def _matches(context: str, step: Step | str, absolute: bool) -> str:
     flat = fixed and step.tag in FLAT_TAGS
 
     def in_pieces(pieces: str) -> str:
-        def wanted(i: str) -> str:
-            piece = f"element_at({pieces}, {i})"
-            before = f"array_join(slice({pieces}, 1, {i} - 1), '')"
-            name = f"left({piece}, length({rule["tag"]}) + 2)"
-            tests = [f"rlike({name}, {rule["start"]})", _passes(open_tag_sql(piece), step)]
-            if not fixed:
-                tests.append(f"({step}.axis = '//' OR {_is_child(before)})")
-            elif step.axis == "/":
-                tests.append(_is_child(before))
-            # Nested conditions: the dearer tests run only where the cheaper ones pass.
-            test = tests[-1]
-            for cheaper in reversed(tests[:-1]):
-                test = f"if({cheaper}, {test}, false)"
-            return test
-
-        def element(i: str) -> str:
-            piece = f"element_at({pieces}, {i})"
-
-            def with_tag(tag: str) -> str:
-                one = f"substring({piece}, length({tag}) + 1)"
-                inner = one
-                if not flat:
-                    span = _element_span(
-                        pieces, i, rule["tag"], rule["containers"], rule["siblings"]
-                    )
-                    many = (
-                        f"substring(array_join(slice({pieces}, {i}, {span}), ''), "
-                        f"length({tag}) + 1)"
-                    )
-                    inner = many if fixed else f"if({rule["flat"]}, {one}, {many})"
-                at = i
-                if absolute:
-                    at = (
-                        f"{context}.at + length({context}.open) + "
-                        f"length(array_join(slice({pieces}, 1, {i} - 1), ''))"
-                    )
-                return f"""named_struct('at', CAST({at} AS INT), 'open', {tag},
-                    'inner', if({rule["void"]} OR {_self_closed(tag)}, '', {inner}))"""
-
-            return let(open_tag_sql(piece), with_tag)
-
-        return each(keep(f"sequence(1, size({pieces}))", wanted), element)
-
-    return let(f"split({context}.inner, {rule["boundary"]})", in_pieces)
+        """Offsets, open tags and depths of all pieces are summed once, then looked up."""
+
+        child_test = not fixed or step.axis == "/"
+        sums_of = {}
+        if absolute:
+            sums_of["chars"] = lambda p: f"length({p})"
+        if child_test:
+            sums_of["open"] = _left_open if fixed else lambda p: f"if({step}.axis = '/', {_left_open(p)}, 0)"
+        if not flat:
+            sums_of["depth"] = lambda p: _depth_step(p, rule)
+        if not sums_of:
+            sums_of["none"] = lambda p: "0"
+
+        def with_sums(sums: str) -> str:
+            def wanted(i: str) -> str:
+                piece = f"element_at({pieces}, {i})"
+                name = f"left({piece}, length({rule["tag"]}) + 2)"
+                tests = [f"rlike({name}, {rule["start"]})", _passes(open_tag_sql(piece), step)]
+                if child_test:
+                    child = f"{_before(sums, 'open', i)} = 0"
+                    tests.append(child if fixed else f"({step}.axis = '//' OR {child})")
+                # Nested conditions: the dearer tests run only where the cheaper ones pass.
+                test = tests[-1]
+                for cheaper in reversed(tests[:-1]):
+                    test = f"if({cheaper}, {test}, false)"
+                return test
+
+            def element(i: str, stop: str | None) -> str:
+                piece = f"element_at({pieces}, {i})"
+
+                def with_tag(tag: str) -> str:
+                    one = f"substring({piece}, length({tag}) + 1)"
+                    inner = one
+                    if stop is not None:
+                        span = f"coalesce({stop}, size({pieces}) + 1) - {i}"
+                        many = f"substring(array_join(slice({pieces}, {i}, {span}), ''), length({tag}) + 1)"
+                        inner = f"if({span} = 1, {one}, {many})"
+                    at = i
+                    if absolute:
+                        at = f"{context}.at + length({context}.open) + {_before(sums, 'chars', i)}"
+                    return f"""named_struct('at', CAST({at} AS INT), 'open', {tag},
+                        'inner', if({rule["void"]} OR {_self_closed(tag)}, '', {inner}))"""
+
+                return let(open_tag_sql(piece), with_tag)
+
+            numbers = f"sequence(1, size({pieces}))"
+            found = keep(numbers, wanted)
+            if flat:
+                return each(found, lambda i: element(i, None))
+            starts = each(
+                found, lambda i: f"named_struct('level', element_at({sums}, {i}).depth, 'pos', {i})"
+            )
+            ends = keep(numbers, lambda j: _ends(f"element_at({pieces}, {j})", rule))
+            events = each(
+                ends, lambda j: f"named_struct('level', {_before(sums, 'depth', j)}, 'pos', {j})"
+            )
+            stop = (lambda e: f"{e}.stop") if fixed else (
+                # a flat element ends at the next boundary, whatever that is
+                lambda e: f"if({rule['flat']}, {e}.pos + 1, {e}.stop)"
+            )
+            return each(_with_stops(starts, events), lambda e: element(f"{e}.pos", stop(e)))
 
+        sums = running_sums(pieces, list(sums_of), lambda p: [f(p) for f in sums_of.values()])
+        return let(sums, with_sums)
 
-ELEMENT_TYPE = "array<struct<at:int,open:string,inner:string>>"
+    return let(f"split({context}.inner, {rule["boundary"]})", in_pieces)
 
 
 def _next_elements(contexts: str, step: Step | str) -> str:
     matched = each(contexts, lambda context: _matches(context, step, absolute=True))
     # Nested contexts meet the same element twice; a node set holds it once, in page order.
-    return f"array_sort(array_distinct(flatten({matched})))"
+    x, k = fresh(), fresh()
+    return let(
+        f"array_sort(flatten({matched}))",
+        lambda s: f"filter({s}, ({x}, {k}) -> {k} = 0 OR {x}.at <> get({s}, {k} - 1).at)",
+    )
 
 
 def select_elements_sql(markup: str, steps: list[Step] | str) -> str:
@@ -419,18 +475,15 @@ def select_elements_sql(markup: str, steps: list[Step] | str) -> str:
     the elements; ``open`` is the open tag and ``inner`` the markup inside.
     """
     root = f"named_struct('at', 0, 'open', '', 'inner', {markup})"
-    if isinstance(steps, str):
-        return fold(
-            steps,
-            f"CAST(array({root}) AS {ELEMENT_TYPE})",
-            lambda contexts, step: f"CAST({_next_elements(contexts, step)} AS {ELEMENT_TYPE})",
-        )
-    if len(steps) == 1:
+    if not isinstance(steps, str) and len(steps) == 1:
         return let(root, lambda context: _matches(context, steps[0], absolute=False))
-    found = f"array({root})"
-    for step in steps:
-        found = _next_elements(found, step)
-    return found
+    # Several steps are folded over as data: chained, their lambdas would nest too deep.
+    data = steps if isinstance(steps, str) else f"array({', '.join(map(_step_literal, steps))})"
+    return fold(
+        data,
+        f"CAST(array({root}) AS {ELEMENT_TYPE})",
+        lambda contexts, step: f"CAST({_next_elements(contexts, step)} AS {ELEMENT_TYPE})",
+    )
 
 
 def select_elements(markup: str, steps: list[Step] | str) -> Column:

@@ -1,5 +1,6 @@
 import html as stdlib_html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,24 @@ def test_decode_native_and_other(spark):
     )
     got = {r.id: r.html for r in decoded(df).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+
+
+@pytest.mark.parametrize(
+    ("xpath", "page"),
+    [
+        ("//div", lambda n: "<div>x" * (n // 4) + "</div>" * (n // 4)),
+        ("//li/a", lambda n: "<ul>" + '<li><a href="/x">t</a>' * n + "</ul>"),
+        ("/body/div/a", lambda n: "<body>" + '<div><a href="/x">t</a></div>' * n + "</body>"),
+    ],
+)
+def test_time_follows_the_page(spark, xpath, page):
+    def seconds(n):
+        rows = spark.createDataFrame([(page(n),)] * 4, "html string").coalesce(1)
+        found = rows.select(F.size(markup.select_elements("html", markup.parse_steps(xpath))).alias("n"))
+        start = time.perf_counter()
+        found.agg(F.sum("n")).collect()
+        return time.perf_counter() - start
+
+    seconds(500)
+    small, large = (min(seconds(n) for _ in range(2)) for n in (2000, 8000))
+    assert large < 9 * small
