@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +106,38 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     known = coded.dictionary.cast(pa.large_binary()).to_pylist()
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
     return hashes[np.asarray(coded.indices)]
+
+
+class Recent:
+    """Values made on demand, the recently used ones kept: two generations of ``limit`` each.
+
+    A full generation replaces the older one, so what is asked for often stays.
+    """
+
+    def __init__(self, make: Callable, limit: int):
+        self.make, self.limit = make, limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def all(self, keys: list) -> list:
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        get, fetch = self.new.get, self._fetch
+        return [get(k) or fetch(k) for k in keys]
+
+    def _fetch(self, key):  # noqa: ANN001, ANN202
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.new[key] = value
+        return value
+
+
+_shared: dict = {}
+
+
+def shared(kind: type, path: str):  # noqa: ANN201
+    """One object of a kind for a file, kept by the Python worker from task to task."""
+    if (kind, path) not in _shared:
+        _shared[kind, path] = kind(path)
+    return _shared[kind, path]

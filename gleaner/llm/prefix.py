@@ -16,12 +16,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import slices
+from gleaner.llm.common import Recent, shared, slices
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
-#: Word tables and checked pairs that a worker keeps; beyond them the stores start anew.
+#: Word tables that a worker keeps, in each of two generations, and checked pairs.
 KEPT_WORDS = 300_000
 KEPT_PAIRS = 1_000_000
 
@@ -107,16 +107,10 @@ def words_of(text: str) -> list[str]:
 class PrefixCounter:
     def __init__(self, path: str):
         self.pieces = PieceTable(path)
-        self.known: dict[str, list[int]] = {}
+        self.known = Recent(self.pieces.table, KEPT_WORDS)
 
     def tables(self, text: str) -> list[list[int]]:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        words, known = words_of(text), self.known
-        for word in words:
-            if word not in known:
-                known[word] = self.pieces.table(word)
-        return [known[w] for w in words]
+        return self.known.all(words_of(text))
 
     def every_prefix(self, text: str) -> list[int]:
         """Counts of all prefixes, by number of characters from 0 to the whole text."""
@@ -145,7 +139,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     path = path or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = shared(PrefixCounter, path)
         for batch in batches:
             for rows in slices(batch, "text"):
                 sizes, totals, fits = [], [], []
