@@ -86,14 +86,14 @@ def decode_entities_sql(text: str) -> str:
     def numeric(value: str) -> str:
         decimal = _replace_entities_sql(
             value,
-            r"&#(?!0*38;)([0-9]{1,7});",
+            r"&#(?!0*38;)0*([0-9]{1,7});",
             lambda digits: let(f"CAST({digits} AS BIGINT)", _character_sql),
         )
         return let(
             decimal,
             lambda v: _replace_entities_sql(
                 v,
-                r"&#[xX](?!0*26;)([0-9a-fA-F]{1,6});",
+                r"&#[xX](?!0*26;)0*([0-9a-fA-F]{1,6});",
                 lambda digits: let(f"CAST(conv({digits}, 16, 10) AS BIGINT)", _character_sql),
             ),
         )

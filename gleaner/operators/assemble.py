@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A document with more children than this is written in several parts.
-PART_SIZE = 1_000
+# List positions per chunk of a document.
+CHUNK_SIZE = 1_000
 
 
 def call_results(items: DataFrame) -> DataFrame:
@@ -69,33 +69,54 @@ def last_per_url(children: DataFrame) -> DataFrame:
 
 
 def document_rows(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """Rows of complete documents: list items (``kind`` 0) and child contents (``kind`` 1)."""
-    ready = completeness(parents, children).filter("complete").select("seqno", "expected")
+    """Rows of complete documents: list items (``kind`` 0) and child contents (``kind`` 1).
+
+    ``place`` is an item's number; a content has the place of the first item that links to it.
+    """
+    ready = completeness(parents, children).filter("complete").select("seqno")
     listed = parents.select(
-        "seqno", F.lit(0).alias("kind"), "url", "no", "value", "hashcode", "href"
+        "seqno", F.lit(0).alias("kind"), "url", "no", "value", "hashcode", "href", F.col("no").alias("place")
     )
-    contents = last_per_url(children).select(
-        "seqno", F.lit(1).alias("kind"), "url", "no", "value", "hashcode",
-        F.lit(None).cast("string").alias("href"),
+    linked = (
+        parents.filter("href is not null")
+        .groupBy("seqno", F.col("href").alias("url"))
+        .agg(F.min("no").alias("place"))
     )
+    contents = (
+        last_per_url(children)
+        .join(linked, ["seqno", "url"], "left")
+        .select(
+            "seqno", F.lit(1).alias("kind"), "url", "no", "value", "hashcode",
+            F.lit(None).cast("string").alias("href"), F.coalesce("place", F.lit(1)).alias("place"),
+        )
+    )
     return listed.unionByName(contents).join(ready, "seqno")
 
 
-def documents(rows: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Document rows to documents: a list of items and a map url -> content.
+def documents(rows: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+    """Document rows to documents: a list of items and a map url -> content, in chunks.
 
-    A run with more than ``part_size`` children becomes several parts, each with its share
-    of both, so that no single row or task has to hold one giant run.
+    Every document has this form: chunk ``chunk_no`` (from 0) of ``chunks`` holds the items
+    at its ``chunk_size`` list positions, in order, and the contents first linked from them.
+    A row is bounded by the chunk size, whatever the run.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("expected") / part_size))
-    part = F.pmod(F.xxhash64(F.coalesce("href", "url"), "no"), parts).cast("int")
     item = F.struct("no", "url", "value", "hashcode", "href")
     entry = F.struct(F.col("url").alias("key"), F.struct("value", "no", "hashcode").alias("value"))
-    return (
-        rows.withColumn("part", part)
-        .groupBy("seqno", "part")
+    chunks = (
+        rows.withColumn("chunk_no", F.floor((F.col("place") - 1) / chunk_size).cast("int"))
+        .groupBy("seqno", "chunk_no")
         .agg(
             F.sort_array(F.collect_list(F.when(F.col("kind") == 0, item))).alias("tablelist"),
             F.map_from_entries(F.collect_list(F.when(F.col("kind") == 1, entry))).alias("contents"),
         )
     )
+    sizes = rows.groupBy("seqno").agg(
+        (F.floor((F.max("place") - 1) / chunk_size).cast("int") + 1).alias("chunks")
+    )
+    return chunks.join(sizes, "seqno")
+
+
+def document_calls(documents: DataFrame) -> DataFrame:
+    """Documents as result values: one row per chunk with its JSON, items before contents."""
+    body = F.to_json(F.struct("chunk_no", "chunks", "tablelist", "contents"))
+    return documents.select("seqno", "chunk_no", body.alias("data"))

@@ -43,37 +43,41 @@ def project_tasks(materials: DataFrame) -> DataFrame:
     )
 
 
-def flatten(materials: DataFrame, max_depth: int = 5) -> DataFrame:
+def _depth(materials: DataFrame) -> int:
+    """Levels of the deepest definition, from the data."""
+    children = F.regexp_count("definition", F.lit(r'"child"\s*:'))
+    return (materials.agg(F.max(children)).first()[0] or 0) + 1
+
+
+def levels(materials: DataFrame) -> DataFrame:
+    """One row per level of each definition: ``material_id, phase, body`` (its JSON text)."""
+    bodies = [F.col("definition")]
+    bodies += [F.get_json_object("definition", "$" + ".child" * n) for n in range(1, _depth(materials))]
+    present = F.filter(F.array(*bodies), lambda body: body.isNotNull())
+    return materials.select("material_id", F.posexplode(present).alias("pos", "body")).select(
+        "material_id", (F.col("pos") + 1).alias("phase"), "body"
+    )
+
+
+def flatten(materials: DataFrame) -> DataFrame:
     """Nested definitions to one row per (material, phase, selector).
 
-    Children become phases 2, 3, ...; the selectors of one phase are numbered from 1.
-    A definition nested deeper than ``max_depth`` is an error, never cut short.
-    Selectors outside the supported forms stay, with NULL ``steps``.
+    Children become phases 2, 3, ... to any depth; the selectors of one phase are numbered
+    from 1, and a child without a type has that of its definition. Selectors outside the
+    supported forms stay, with NULL ``steps``; :func:`rejects` lists them, and definitions
+    that are no JSON, with the reason.
     """
-    phases, child = [], F.col("definition")
-    for phase in range(1, max_depth + 1):
-        level = parse(child)
-        phases.append(
-            F.when(
-                child.isNotNull(),
-                F.struct(F.lit(phase).alias("phase"), level.alias("level")),
-            )
-        )
-        child = F.get_json_object("definition", "$" + ".child" * phase)
-    too_deep = F.when(
-        child.isNotNull(),
-        F.raise_error(F.format_string("definition nested deeper than %d", F.lit(max_depth))),
+    root_type = F.get_json_object("definition", "$.type").cast("int")
+    opened = (
+        levels(materials)
+        .withColumn("level", parse(F.col("body")))
+        .join(materials.select("material_id", root_type.alias("root_type")), "material_id")
     )
-    levels = F.filter(F.array(*phases), lambda p: p.isNotNull())
-    opened = materials.select(
-        "material_id",
-        F.explode(F.when(too_deep.isNull(), levels)).alias("p"),
-    ).select("material_id", "p.phase", "p.level")
     rows = opened.select(
         "material_id",
         "phase",
         F.col("level.addr").alias("addr"),
-        F.col("level.type").alias("type"),
+        F.coalesce("level.type", "root_type").alias("type"),
         F.coalesce("level.level", "phase").alias("level"),
         F.coalesce("level.parent", F.lit("")).alias("parent"),
         F.coalesce("level.wrap", F.lit(0)).alias("wrap"),
@@ -128,6 +132,25 @@ def is_supported() -> Column:
     )
 
 
+def rejects(materials: DataFrame) -> DataFrame:
+    """What a run cannot use: ``material_id, phase, reason, text``. The other rows go on.
+
+    A definition that is no JSON object is rejected as a whole, a selector by itself.
+    """
+    whole = F.get_json_object("definition", "$")
+    broken = materials.filter(whole.isNull() | ~whole.startswith("{")).select(
+        "material_id", F.lit(0).alias("phase"), F.lit("not a definition").alias("reason"),
+        F.col("definition").alias("text"),
+    )
+    bad = F.when(F.col("steps").isNull(), F.coalesce("xpath", F.lit(""))).otherwise(
+        F.coalesce(F.when(F.col("link_steps").isNull(), F.col("link_xpath")), F.array_join("sub_xpaths", " "))
+    )
+    unsupported = flatten(materials).filter(~is_supported()).select(
+        "material_id", "phase", F.lit("unsupported selector").alias("reason"), bad.alias("text")
+    )
+    return broken.unionByName(unsupported)
+
+
 def require_supported(selectors: DataFrame) -> DataFrame:
     """The same rows; reading an unsupported selector fails the job and names it."""
     message = F.concat(F.lit("unsupported selector: "), F.coalesce("xpath", F.lit("none")))

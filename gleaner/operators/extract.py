@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from gleaner.functions import markup, text, urls
 from gleaner.functions.keys import seconds_after
 from gleaner.functions.sqltext import each, keep, let, raw
-from gleaner.session import fits
-
-# Selector tables up to this many rows (well under 1 kB each) are broadcast.
-BROADCAST_SELECTORS = 100_000
 
 
 @dataclass(frozen=True)
@@ -54,17 +50,22 @@ def _subvalues(inner: str, sub_steps: Sequence[list] | str) -> Column:
 def match_selectors(prepared: DataFrame, selectors: Sequence[Selector] | DataFrame) -> DataFrame:
     """One row per (page, selector) with the matched ``elements``; markup is gone.
 
-    Selectors given as a list are applied in one pass over the page. A selector table
-    is joined on ``material_id``: broadcast when its counted size allows, otherwise as a
-    shuffle join whose skewed partitions are split at run time.
+    Selectors given as a list are applied in one pass over the page. Those of a table are
+    gathered into one row per ``material_id`` and join the pages once, so that a page's
+    markup is not repeated for each of its selectors; Spark picks the join by size.
     """
     kept = [c for c in prepared.columns if c != "markup"]
     if isinstance(selectors, DataFrame):
-        small = fits(selectors, BROADCAST_SELECTORS)
-        table = F.broadcast(selectors) if small else selectors
-        joined = prepared.join(table, "material_id")
-        found = markup.select_elements("markup", "coalesce(link_steps, steps)")
-        return joined.withColumn("elements", found).drop("markup")
+        columns = [c for c in selectors.columns if c != "material_id"]
+        gathered = selectors.groupBy("material_id").agg(F.collect_list(F.struct(*columns)).alias("selectors"))
+        joined = prepared.join(gathered, "material_id")
+        found = each(
+            "selectors",
+            lambda s: f"named_struct({', '.join(f"'{c}', {s}.{c}" for c in columns)}, 'elements', "
+            + markup.select_elements_sql("markup", f"coalesce({s}.link_steps, {s}.steps)")
+            + ")",
+        )
+        return joined.select(*kept, F.inline(F.expr(found)))
     entries = [
         F.struct(
             F.lit(number).alias("selector_no"),
@@ -325,16 +326,16 @@ def collect_definitions(matched: DataFrame, base: str = "url") -> DataFrame:
             "domain": urls.registered_domain(F.col("imgsrc")),
         }
     )
+    phase = ["phase"] if "phase" in rows.columns else []
     return rows.select(
-        "material_id", "url", "type", "selector_no", "no", "value", "hashcode", "href",
+        "material_id", "url", "type", *phase, "selector_no", "no", "value", "hashcode", "href",
         "imgsrc", "link", "imgname", "domain",
     )
 
 
 def collect_series(prepared: DataFrame, series: DataFrame, start: Column) -> DataFrame:
     """Points of table-driven series (type 4), each on the axis its definition asks for."""
-    small = fits(series, BROADCAST_SELECTORS)
-    joined = prepared.join(F.broadcast(series) if small else series, "material_id")
+    joined = prepared.join(series, "material_id")
     clock = F.when(F.col("time_axis"), start)
     points = series_items(joined, "y_steps", "x_steps", clock, known=False)
     return points.drop("y_steps", "x_steps", "time_axis")

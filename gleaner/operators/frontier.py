@@ -18,11 +18,7 @@ from gleaner.functions.sqltext import each, first, keep
 from gleaner.functions.text import is_blank
 from gleaner.functions.urls import abs_url
 from gleaner.operators.extract import prepare_pages
-from gleaner.session import cut_lineage, fits, run_dir
-
-# A frontier of at most this many rows is sent to the pages; beyond it the extracted
-# items, not the pages, are shuffled.
-BROADCAST_FRONTIER = 200_000
+from gleaner.session import cut_lineage, run_dir
 
 Executor = Callable[[DataFrame], DataFrame]
 
@@ -35,14 +31,12 @@ def with_round(schema: StructType, name: str) -> StructType:
 def visit(pages: DataFrame, frontier: DataFrame, executor: Executor) -> DataFrame:
     """Items of the pages on the frontier, with the frontier's columns.
 
-    ``frontier`` holds each url once. ``executor`` maps prepared pages to items that
-    keep ``url``. Page bodies are never shuffled: a small frontier is broadcast to
-    them; for a large one all pages are extracted where they lie and the items join.
+    ``frontier`` holds each url once. ``executor`` maps prepared pages to items that keep
+    ``url``; it is given the frontier's pages and no others, whatever the size of either.
+    Spark picks the join by the sizes it knows: the frontier is a written table.
     """
-    if fits(frontier, BROADCAST_FRONTIER):
-        hit = pages.join(F.broadcast(frontier.select("url")), "url", "left_semi")
-        return executor(prepare_pages(hit)).join(F.broadcast(frontier), "url")
-    return executor(prepare_pages(pages)).join(frontier, "url")
+    hit = pages.join(frontier.select("url"), "url", "left_semi")
+    return executor(prepare_pages(hit)).join(frontier, "url")
 
 
 def missing_pages(pages: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -153,9 +147,12 @@ def child_tasks(tasks: DataFrame, items: DataFrame) -> DataFrame:
     """Tasks for the links of a task's page: the run's keys, the link, the child definition."""
     links = items.filter("href is not null").select("seqno", "href").distinct()
     child = F.get_json_object("definition", "$.child")
+    written = ["write_time"] if "write_time" in tasks.columns else []
     return (
         tasks.filter(child.isNotNull())
-        .select("pid", "material_id", "uuid", "type", "charset", "seqno", child.alias("definition"))
+        .select(
+            "pid", "material_id", "uuid", "type", "charset", "seqno", *written, child.alias("definition")
+        )
         .join(links, "seqno")
         .withColumnRenamed("href", "url")
     )

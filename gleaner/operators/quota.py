@@ -64,18 +64,17 @@ def admit(
     """A verdict for every request.
 
     A bucket rejection uses no daily slot; a daily rejection has already used its
-    bucket slot. Only rows that pass the bucket cap are ranked per day, at most
-    ``bucket_cap`` per bucket, so a day's group is bounded whatever the traffic. The
+    bucket slot. Both stages keep the first n of a group before its rows meet: who passes
+    the bucket cap and is not among the day's first is refused for the day, unranked. The
     verdicts return to the full rows by request id, a key without skew.
     """
-    passed = bucket_admission(requests, bucket_cap, width)
-    day = Window.partitionBy("domain", F.to_date("ts")).orderBy("ts", "request_id")
-    verdicts = passed.withColumn("day_rn", F.row_number().over(day)).select(
-        "request_id",
-        F.when(F.col("day_rn") <= day_cap, F.lit(ADMITTED))
-        .otherwise(F.lit(DAY_FULL))
-        .alias("verdict"),
+    passed = bucket_admission(requests, bucket_cap, width).withColumn("day", F.to_date("ts"))
+    slim = passed.select("request_id", "ts", "domain", "day")
+    admitted = first_n(slim, ["domain", "day"], ["ts", "request_id"], day_cap)
+    verdicts = passed.select("request_id").join(
+        admitted.select("request_id", F.lit(ADMITTED).alias("admitted")), "request_id", "left"
     )
+    verdicts = verdicts.select("request_id", F.coalesce("admitted", F.lit(DAY_FULL)).alias("verdict"))
     return requests.join(verdicts, "request_id", "left").withColumn(
         "verdict", F.coalesce("verdict", F.lit(BUCKET_FULL))
     )

@@ -9,7 +9,7 @@ from gleaner.functions import markup
 from gleaner.functions.keys import seqno
 from gleaner.operators import extract
 from gleaner.operators.extract import Selector, prepare_pages
-from gleaner.session import cut_lineage, spread
+from gleaner.session import cut_lineage
 
 # Definitions of the materials derived from pages: page p has type p % 5 + 1.
 DEFINITIONS = {
@@ -32,7 +32,7 @@ def start_instant() -> Column:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id")
+    return table(spark, sf_dir, "pages")
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,30 @@ def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _nested(levels: int) -> str:
+    body = '{"selectors":[{"xpath":"//b"}]}'
+    for _ in range(levels - 2):
+        body = f'{{"selectors":[{{"xpath":"//p"}}],"child":{body}}}'
+    return f'{{"addr":"@URL","type":1,"selectors":[{{"xpath":"//h1"}}],"child":{body}}}'
+
+
+# Definitions as they come: deep ones, one cut off, one with a selector out of range, none.
+MIXED = {
+    0: _nested(6),
+    1: '{"addr":"@URL","type":3,"selectors":[{"xp',
+    2: """{"addr":"@URL","type":3,"selectors":[{"xpath":"//p[1]"},{"xpath":"//h1"}]}""",
+}
+
+
+def mixed_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Materials with good, bad and missing definitions by page_id % 4."""
+    definition = F.lit(None).cast("string")
+    for number, body in MIXED.items():
+        filled = F.replace(F.lit(body), F.lit("@URL"), F.col("url"))
+        definition = F.when(F.col("page_id") % 4 == number, filled).otherwise(definition)
+    return pages(spark, sf_dir).select(F.col("page_id").alias("material_id"), definition.alias("definition"))
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under one site, each with three links to other pages and most with a next link."""
     rows = pages(spark, sf_dir)

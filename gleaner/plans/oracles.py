@@ -6,16 +6,13 @@ is shared with the operators but the derived inputs and their parameters.
 
 from __future__ import annotations
 
+from gleaner.functions.urls import DOMAIN_ENDINGS
 from gleaner.plans.inputs import DEFINITIONS, SITE, START
 from gleaner.plans.queries import DAY_CAP, HOUR_CAP, REFERENCE_FORMS
 
 ORACLES: dict[str, str] = {}
 
-DOMAIN = (
-    r"[A-Za-z0-9\-]+\.com|[A-Za-z0-9\-]+\.edu.cn|[A-Za-z0-9\-]+\.cn|[A-Za-z0-9\-]+\.org|"
-    r"[A-Za-z0-9\-]+\.net|[A-Za-z0-9\-]+\.tv|[A-Za-z0-9\-]+\.vip|[A-Za-z0-9\-]+\.cc|"
-    r"[A-Za-z0-9\-]+\.gov|[A-Za-z0-9\-]+\.edu|[A-Za-z0-9\-]+\.biz"
-)
+DOMAIN = r"[A-Za-z0-9\-]+\.(?:" + "|".join(DOMAIN_ENDINGS) + ")"
 BLANKS = (
     r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
     r"\x{205f}\x{3000}]+"
@@ -221,12 +218,12 @@ SELECT pid, material_id, uuid, CAST(definition->>'$.type' AS BIGINT) AS type, ur
     {domain('url')} AS domain FROM t""",
 )
 FLAT = f"""{MATERIALS}, lev AS (
-    SELECT material_id, 1 AS phase, definition AS d FROM mat UNION ALL
-    SELECT material_id, 2, definition->'$.child' FROM mat
+    SELECT material_id, 1 AS phase, definition AS d, definition AS root FROM mat UNION ALL
+    SELECT material_id, 2, definition->'$.child', definition FROM mat
     WHERE (definition->'$.child') IS NOT NULL), sel AS (
-    SELECT material_id, phase, d, unnest(range(json_array_length(d->'$.selectors')::BIGINT)) AS k FROM lev
+    SELECT material_id, phase, d, root, unnest(range(json_array_length(d->'$.selectors')::BIGINT)) AS k FROM lev
     WHERE (d->'$.selectors') IS NOT NULL), flat AS (
-    SELECT material_id, CAST(d->>'$.type' AS BIGINT) AS type, phase,
+    SELECT material_id, CAST(coalesce(d->>'$.type', root->>'$.type') AS BIGINT) AS type, phase,
         coalesce(CAST(d->>'$.level' AS BIGINT), phase) AS level,
         coalesce(CAST(d->>'$.wrap' AS BIGINT), 0) AS wrap,
         coalesce(CAST(d->>'$.limit' AS BIGINT), -1) AS item_limit, k + 1 AS selector_no,
@@ -234,11 +231,12 @@ FLAT = f"""{MATERIALS}, lev AS (
         s->>'$.linkselector.xpath' AS link_xpath
     FROM (SELECT *, json_extract(d->'$.selectors', k) AS s FROM sel))"""
 oracle("definition_flatten", f"WITH {FLAT} SELECT *, 1 AS supported FROM flat")
+ALL_LINKS = f"""list_append({LINKS}, '<a href="/p/' || page_id || '"></a>')"""
 BY_XPATH = f"""e AS (
     {elements(1, ITEMS)} UNION ALL {elements(2, HEADINGS)} UNION ALL {elements(3, PARAGRAPHS)}
-    UNION ALL {elements(4, ADS)}), x AS (
+    UNION ALL {elements(4, ADS)} UNION ALL {elements(5, ALL_LINKS)}), x AS (
     SELECT *, CASE selector_no WHEN 1 THEN '//li/a' WHEN 2 THEN '//h1' WHEN 3 THEN '//p'
-        ELSE '//div[@class=''ad'']' END AS xpath, {link(1)} AS href FROM e)"""
+        WHEN 4 THEN '//div[@class=''ad'']' ELSE './img' END AS xpath, {link(1, 5)} AS href FROM e)"""
 oracle(
     "page_selector_join",
     f"""WITH {PREP}, {FLAT}, {BY_XPATH}
@@ -246,21 +244,50 @@ SELECT material_id, phase, flat.selector_no, xpath, no, md5({text_of('el')}) AS
 FROM flat JOIN x USING (xpath) WHERE x.page_id = material_id
     AND (item_limit < 0 OR no <= item_limit)""",
 )
-oracle(
-    "dispatch_by_type",
-    f"""WITH {PREP}, {FLAT}, {BY_XPATH}, {BANNERS}, y AS ({elements(1, PARAGRAPHS)}), t AS (
-    SELECT material_id, type, flat.selector_no, no, {text_of('el')} AS value,
+DISPATCHED = f"""{PREP}, {FLAT}, {BY_XPATH}, {BANNERS}, y AS ({elements(1, PARAGRAPHS)}), t AS (
+    SELECT material_id, type, phase, flat.selector_no, no, {text_of('el')} AS value,
         href, NULL AS imgsrc, NULL AS link, NULL AS imgname, NULL AS domain, NULL AS x_ts
-    FROM flat JOIN x USING (xpath) WHERE x.page_id = material_id AND phase = 1
-        AND type IN (1, 3) AND (type = 1 OR no <= item_limit))
-SELECT material_id, type, selector_no, no, value, md5(value) AS hashcode, href, imgsrc, link,
+    FROM flat JOIN x USING (xpath) WHERE x.page_id = material_id AND wrap = 0
+        AND type IN (1, 3) AND (type = 1 OR no <= item_limit)
+    UNION ALL
+    SELECT material_id, type, phase, selector_no, 1,
+        {text_of(f"array_to_string({PARAGRAPHS}, '<!>')")}, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM flat JOIN prep ON page_id = material_id WHERE type = 1 AND wrap = 1), dispatched AS (
+SELECT material_id, type, phase, selector_no, no, value, md5(value) AS hashcode, href, imgsrc, link,
     imgname, domain, x_ts FROM t
 UNION ALL
-SELECT page_id, 2, 1, links, NULL, NULL, NULL, imgsrc, link, imgname, domain, NULL FROM b
+SELECT page_id, 2, 1, 1, links, NULL, NULL, NULL, imgsrc, link, imgname, domain, NULL FROM b
 WHERE page_id % 5 + 1 = 2
 UNION ALL
-SELECT page_id, 4, NULL, no - 1, {nodes('el')}, NULL, NULL, NULL, NULL, NULL, NULL,
-    {clock('no - 1')} FROM y WHERE page_id % 5 + 1 = 4""",
+SELECT page_id, 4, 1, NULL, no - 1, {nodes('el')}, NULL, NULL, NULL, NULL, NULL, NULL,
+    {clock('no - 1')} FROM y WHERE page_id % 5 + 1 = 4)"""
+oracle("dispatch_by_type", f"WITH {DISPATCHED} SELECT * FROM dispatched")
+oracle(
+    "harvest_run",
+    f"""WITH {DISPATCHED}, h AS (
+    SELECT material_id, count(*) AS items, md5(string_agg(coalesce(value, imgsrc), '|'
+        ORDER BY phase, coalesce(selector_no, 0), no)) AS hash FROM dispatched GROUP BY 1),
+    bound AS (SELECT max(page_id) AS last FROM pages)
+SELECT material_id, material_id || strftime(TIMESTAMP '{START}' + to_seconds(material_id), '%Y%m%d%H%M%S') AS seqno,
+    'y20s1' AS period, 'p1' AS pid, url, items, hash FROM h JOIN pages ON page_id = material_id, bound
+WHERE material_id % 3 <> 0 AND material_id >= last // 4 AND material_id < last - last // 4""",
+)
+oracle(
+    "definition_levels",
+    """SELECT page_id AS material_id, phase, 1 AS selector_no, 1 AS type,
+    CASE phase WHEN 1 THEN '//h1' WHEN 6 THEN '//b' ELSE '//p' END AS xpath, 1 AS supported
+FROM pages, (SELECT unnest(range(1, 7)) AS phase) WHERE page_id % 4 = 0
+UNION ALL
+SELECT page_id, 1, n, 3, CASE n WHEN 1 THEN '//p[1]' ELSE '//h1' END, n - 1
+FROM pages, (SELECT unnest([1, 2]) AS n) WHERE page_id % 4 = 2""",
+)
+oracle(
+    "definition_rejects",
+    """SELECT page_id AS material_id, CASE WHEN page_id % 4 = 2 THEN 1 ELSE 0 END AS phase,
+    CASE WHEN page_id % 4 = 2 THEN 'unsupported selector' ELSE 'not a definition' END AS reason,
+    CASE page_id % 4 WHEN 1 THEN '{"addr":"' || url || '","type":3,"selectors":[{"xp'
+        WHEN 2 THEN '//p[1]' END AS text
+FROM pages WHERE page_id % 4 <> 0""",
 )
 
 # ---- URLs and text ---------------------------------------------------------------------
@@ -373,7 +400,9 @@ FROM l WHERE len(bs) > 0""",
 
 oracle(
     "scan_range_status",
-    "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
+    """WITH b AS (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders)
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders, b WHERE o_orderstatus = 'F'
+    AND o_orderkey >= low + (high - low) // 4 AND o_orderkey < high - (high - low) // 4""",
 )
 oracle(
     "scan_page",
@@ -522,9 +551,7 @@ oracle(
     "quota_usage_stream",
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket,
     event_type AS domain, count(*) AS requests FROM events
-GROUP BY date_trunc('hour', ts), event_type
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <=
-    (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+GROUP BY date_trunc('hour', ts), event_type""",
 )
 oracle(
     "dedup_stream",

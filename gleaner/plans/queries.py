@@ -19,7 +19,7 @@ from gleaner.session import cut_lineage, run_dir
 from gleaner.sources import landing, records, results
 from gleaner.streaming import gate as gate_stream_ops
 from gleaner.streaming import quota as quota_stream_ops
-from gleaner.streaming.state import read_output, run_with_state
+from gleaner.streaming.state import read_output, read_state, run_with_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,37 +192,86 @@ def _materials_with_pages(spark, sf_dir):
 
 
 def _selectors(spark, sf_dir):
-    flat = definitions.require_supported(definitions.flatten(inputs.materials(spark, sf_dir)))
-    return flat.filter("phase = 1").drop("addr")
+    flat = definitions.flatten(inputs.materials(spark, sf_dir))
+    return flat.filter(definitions.is_supported()).drop("addr")
+
+
+@query
+def definition_levels(spark, sf_dir):
+    flat = definitions.flatten(inputs.mixed_materials(spark, sf_dir))
+    return longs(flat, "phase", "selector_no", "type").withColumn(
+        "supported", definitions.is_supported().cast("long")
+    ).select("material_id", "phase", "selector_no", "type", "xpath", "supported")
+
+
+@query
+def definition_rejects(spark, sf_dir):
+    return longs(definitions.rejects(inputs.mixed_materials(spark, sf_dir)), "phase")
 
 
 @query
 def page_selector_join(spark, sf_dir):
-    flat = definitions.require_supported(definitions.flatten(inputs.materials(spark, sf_dir)))
-    selectors = flat.filter("link_steps is null").drop("addr")
     items = extract.subscribe_items(
-        match_selectors(_materials_with_pages(spark, sf_dir), selectors)
+        match_selectors(_materials_with_pages(spark, sf_dir), _selectors(spark, sf_dir))
     )
     return longs(items, "no", "phase", "selector_no").select(
         "material_id", "phase", "selector_no", "xpath", "no", "hashcode", "href"
     )
 
 
-@query
-def dispatch_by_type(spark, sf_dir):
-    pages = _materials_with_pages(spark, sf_dir)
-    items = extract.collect_definitions(match_selectors(pages, _selectors(spark, sf_dir)))
-    series = extract.collect_series(
-        pages, definitions.series(inputs.materials(spark, sf_dir)), inputs.start_instant()
-    ).select(
+def _series(pages, materials):
+    points = extract.collect_series(pages, definitions.series(materials), inputs.start_instant())
+    return points.select(
         "material_id",
         F.lit(4).alias("type"),
+        F.lit(1).alias("phase"),
         F.col("pos").alias("no"),
         inputs.joined(F.col("y")).alias("value"),
         at_text("x_ts"),
     )
+
+
+@query
+def dispatch_by_type(spark, sf_dir):
+    pages = _materials_with_pages(spark, sf_dir)
+    items = extract.collect_definitions(match_selectors(pages, _selectors(spark, sf_dir)))
+    series = _series(pages, inputs.materials(spark, sf_dir))
     rows = items.drop("url").unionByName(series, allowMissingColumns=True)
-    return longs(rows, "type", "selector_no", "no")
+    return longs(rows, "type", "phase", "selector_no", "no")
+
+
+@query
+def harvest_run(spark, sf_dir):
+    """Range scan, tasks, landed pages, all collectors by definition, envelope and sink."""
+    materials = inputs.materials(spark, sf_dir).withColumn(
+        "status", F.when(F.col("material_id") % 3 == 0, 1).otherwise(2)
+    )
+    last = materials.agg(F.max("material_id")).first()[0]
+    active = scan.scan_range(materials, last // 4, last - last // 4)
+    tasks = definitions.project_tasks(active)
+    fetched = inputs.banner_pages(spark, sf_dir).select(
+        "url",
+        F.encode("html", "UTF-8").alias("body"),
+        (inputs.start_instant() + F.make_dt_interval(secs=F.col("page_id"))).alias("fetched_at"),
+    )
+    path = run_dir(spark, "harvest")
+    landing.write_landing(landing.landed(tasks.join(fetched, "url")), f"{path}/landing")
+    landed = landing.decoded(landing.read_landing(spark, f"{path}/landing"))
+    ready = prepare_pages(landed.select("material_id", "url", "html"))
+    selectors = definitions.flatten(active).filter(definitions.is_supported()).drop("addr")
+    items = extract.collect_definitions(match_selectors(ready, selectors)).drop("url")
+    rows = items.unionByName(_series(ready, active), allowMissingColumns=True)
+    order = F.struct("phase", F.coalesce("selector_no", F.lit(0)).alias("selector_no"), "no", "value", "href", "imgsrc")
+    found = rows.groupBy("material_id").agg(F.sort_array(F.collect_list(order)).alias("value"))
+    run = landed.select("material_id", "seqno", "charset", "url", "pid").join(found, "material_id")
+    results.write_results(results.result_rows(run, inputs.start_instant()), f"{path}/results")
+    schema = "charset string, url string, value array<struct<value:string,href:string,imgsrc:string>>"
+    back = spark.read.parquet(f"{path}/results").withColumn("c", F.from_json("contents", schema))
+    return back.select(
+        "material_id", "seqno", "period", "pid", F.col("c.url").alias("url"),
+        F.size("c.value").cast("long").alias("items"),
+        F.md5(inputs.joined(F.transform("c.value", lambda v: F.coalesce(v["value"], v["imgsrc"])))).alias("hash"),
+    )
 
 
 # ---- URLs and text ---------------------------------------------------------------------
@@ -439,14 +488,15 @@ def result_sink(spark, sf_dir):
 def scan_range_status(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders")
     low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
-    found = scan.scan_range(orders, low, high + 1, "F", "o_orderkey", "o_orderstatus")
+    quarter = (high - low) // 4
+    found = scan.scan_range(orders, low + quarter, high - quarter, "F", "o_orderkey", "o_orderstatus")
     return found.select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query
 def scan_page(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return scan.number_pages(orders, 100, "o_orderkey", bucket_rows=50_000)
+    return scan.number_pages(orders, 100, "o_orderkey")
 
 
 @query
@@ -481,7 +531,7 @@ def range_split(spark, sf_dir):
         F.min("o_orderkey").alias("start_seq"), (F.max("o_orderkey") + 1).alias("end_seq")
     )
     cuts = orders.select(F.col("o_orderpriority").alias("pid"), F.col("o_orderkey").alias("x"))
-    return scan.split_ranges(ranges, cuts, bucket_rows=50_000)
+    return scan.split_ranges(ranges, cuts)
 
 
 def _catalog(spark, sf_dir):
@@ -672,9 +722,12 @@ def quota_usage_stream(spark, sf_dir):
         spark,
         inputs.requests(spark, sf_dir),
         _third_of_month("ts"),
-        lambda stream: _append(quota_stream_ops.usage_stream(stream, "1 hour"), base),
+        lambda stream: run_with_state(
+            stream, quota_stream_ops.usage_step("hour"), quota_stream_ops.USAGE_SCHEMA, base
+        ),
     )
-    return read_output(spark, base).select(at_text("bucket"), "domain", "requests")
+    totals = read_state(spark, base, quota_stream_ops.USAGE_SCHEMA)
+    return totals.select(at_text("bucket"), "domain", "requests")
 
 
 @query

@@ -63,18 +63,3 @@ def cut_lineage(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     target = path or run_dir(spark, label)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def spread(df: DataFrame, key: str, small: int = 50_000) -> DataFrame:
-    """A small table over all cores; a larger one as it is.
-
-    A few thousand pages often lie in one file chunk, which one task would have to
-    extract alone. Large tables have chunks enough and are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if fits(df, small) else df

@@ -39,19 +39,18 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(rows: DataFrame, body: str = "body", charset: str = "charset") -> DataFrame:
-    """Bodies to ``html`` text; NULL where bytes do not fit the charset.
+    """Bodies to ``html`` text in one pass; NULL where bytes do not fit the charset.
 
-    Common charsets are decoded in the JVM. Only rows in another one pass through Python.
+    A row without a charset is read as UTF-8. Charsets that Spark knows are decoded in the
+    JVM; Python is given the bodies in any other one, and NULL for the rest.
     """
-    native = text.is_native_charset(F.col(charset))
+    label = F.coalesce(F.col(charset), F.lit("utf-8"))
+    native = text.is_native_charset(label)
     kept = [c for c in rows.columns if c != body]
-    in_jvm = rows.filter(native).select(
-        *kept, text.decode_native(F.col(body), F.col(charset)).alias("html")
+    other = text.decode_other(F.when(~native, F.col(body)), label)
+    return rows.select(
+        *kept, F.when(native, text.decode_native(F.col(body), label)).otherwise(other).alias("html")
     )
-    in_python = rows.filter(~native).select(
-        *kept, text.decode_other(F.col(body), F.col(charset)).alias("html")
-    )
-    return in_jvm.unionByName(in_python)
 
 
 def read_sidecars(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.keys import bucket_start
@@ -12,14 +12,23 @@ from gleaner.streaming.state import Step
 COUNTER_SCHEMA = "width string, bucket timestamp, domain string, used long"
 
 
-def usage_stream(requests: DataFrame, width: str = "1 second", delay: str = "1 hour") -> DataFrame:
-    """Requests per (window, domain); a window is emitted once the watermark passes it."""
-    return (
-        requests.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width), "domain")
-        .agg(F.count("*").alias("requests"))
-        .select(F.col("window.start").alias("bucket"), "domain", "requests")
-    )
+USAGE_SCHEMA = "bucket timestamp, domain string, requests long"
+
+
+def usage_step(width: str = "second") -> Step:
+    """Requests per (bucket, domain) so far: counts of a batch are added to those in the state.
+
+    Output: the buckets a batch touched with their new totals. The state has every bucket,
+    the newest included, so nothing waits for a watermark.
+    """
+
+    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        counted = quota.usage(batch, width).select("bucket", "domain", "requests")
+        after = state.unionByName(counted).groupBy("bucket", "domain").agg(F.sum("requests").alias("requests"))
+        output = after.join(counted.select("bucket", "domain"), ["bucket", "domain"], "left_semi")
+        return output, after
+
+    return step
 
 
 def admission_step(
@@ -65,10 +74,15 @@ def admission_step(
             .filter(F.col("rn") + F.coalesce("bucket_used", F.lit(0)) <= bucket_cap)
             .join(slots["day"], ["day", "domain"], "left")
         )
-        by_day = Window.partitionBy("domain", "day").orderBy("ts", "request_id")
-        rank = F.row_number().over(by_day) + F.coalesce("day_used", F.lit(0))
-        verdicts = passed.withColumn("admitted", rank <= day_cap).select(
-            "request_id", "bucket", "day", "domain", "admitted"
+        # only the day's first rows are ranked; the others are refused without
+        ranked = quota.first_n(
+            passed.drop("rn"), ["domain", "day"], ["ts", "request_id"], day_cap
+        ).filter(F.col("rn") + F.coalesce("day_used", F.lit(0)) <= day_cap)
+        admitted = ranked.select("request_id", F.lit(True).alias("admitted"))
+        verdicts = (
+            passed.select("request_id", "bucket", "day", "domain")
+            .join(admitted, "request_id", "left")
+            .withColumn("admitted", F.coalesce("admitted", F.lit(False)))
         )
         output = requests.join(
             verdicts.select("request_id", "admitted"), "request_id", "left"

@@ -53,3 +53,12 @@ def run_with_state(
 
 def read_output(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base}/output")
+
+
+def read_state(spark: SparkSession, base: str, state_schema: str) -> DataFrame:
+    """The state after the last batch."""
+    last = read_output(spark, base).agg({"batch_id": "max"}).first()[0]
+    schema = StructType.fromDDL(state_schema)
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_state_path(base, last))

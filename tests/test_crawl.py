@@ -27,9 +27,15 @@ def titles(ready):
     return extract.phased_items(match_selectors(ready, [Selector("//h1")]))
 
 
-@pytest.mark.parametrize("bound", [frontier.BROADCAST_FRONTIER, 0])
-def test_phases_carry_visit_counts(spark, monkeypatch, bound):
-    monkeypatch.setattr(frontier, "BROADCAST_FRONTIER", bound)
+def test_only_pages_of_the_frontier_reach_the_executor(spark):
+    pages = pages_of(spark, [page("r", "a"), page("q", "b")])
+    wanted = spark.createDataFrame([(SITE + "r", 1), (SITE + "gone", 1)], "url string, visits long")
+    given = []
+    frontier.visit(pages, wanted, lambda ready: given.append(ready) or links(ready)).collect()
+    assert [r.url for r in given[0].select("url").collect()] == [SITE + "r"]
+
+
+def test_phases_carry_visit_counts(spark):
     pages = pages_of(
         spark,
         [page("r", "a", "b", "gone"), page("q", "a"), page("a", "c", "c"), page("b", "c"), page("c")],
@@ -113,12 +119,27 @@ def test_documents(spark):
     gate = {r.seqno: (r.expected, r.arrived, r.complete) for r in assemble.completeness(parents, children).collect()}
     assert gate == {"s1": (7, 7, True), "s2": (1, 0, False), "s3": (0, 0, True)}
     rows = assemble.document_rows(parents, children)
-    for part_size, parts in ((1000, 1), (2, 4)):
-        docs = assemble.documents(rows, part_size).filter("seqno = 's1'").collect()
-        assert 1 <= len(docs) <= parts and (parts == 1 or len(docs) > 1)
+    for size, sizes in ((1000, [8]), (3, [3, 3, 2])):
+        docs = sorted(assemble.documents(rows, size).filter("seqno = 's1'").collect(), key=lambda d: d.chunk_no)
+        assert [len(d.tablelist) for d in docs] == sizes
+        assert [(d.chunk_no, d.chunks) for d in docs] == [(k, len(sizes)) for k in range(len(sizes))]
+        assert [i.no for d in docs for i in d.tablelist] == list(range(1, 9))
         contents = {k: v.value for d in docs for k, v in d.contents.items()}
         assert contents == {f"c{n}": f"v{n}.2" for n in range(1, 8)}
-        assert sorted(i.no for d in docs for i in d.tablelist) == list(range(1, 9))
+        assert all(f"c{i.no}" in d.contents for d in docs for i in d.tablelist if i.no < 8)
+    assert '"chunk_no":0,"chunks":1,"tablelist":[{"no":1' in assemble.document_calls(
+        assemble.documents(rows).filter("seqno = 's1'")
+    ).first().data
+
+
+def test_items_without_links_are_chunked_by_position(spark):
+    parents = spark.range(5000).select(
+        F.lit("s").alias("seqno"), F.lit("l").alias("url"), (F.col("id") + 1).cast("int").alias("no"),
+        F.lit("v").alias("value"), F.lit("h").alias("hashcode"), F.lit(None).cast("string").alias("href"),
+    )
+    children = spark.createDataFrame([], "seqno string, url string, no int, value string, hashcode string")
+    docs = assemble.documents(assemble.document_rows(parents, children)).collect()
+    assert sorted((d.chunk_no, d.chunks, len(d.tablelist)) for d in docs) == [(k, 5, 1000) for k in range(5)]
 
 
 def test_call_results_and_nested_dump(spark):

@@ -49,10 +49,11 @@ def test_range_join_against_brute_force(spark, monkeypatch):
     )
     rows = spark.createDataFrame(ids, "pid string, id long")
     table = spark.createDataFrame(ranges, "pid string, start_seq long, end_seq long")
-    for bound in (scan.BROADCAST_RANGES, 0):
-        monkeypatch.setattr(scan, "BROADCAST_RANGES", bound)
+    for bound in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
         got = scan.assign_ranges(rows, table, "id", ["pid"]).select("pid", "id", "start_seq")
         assert sorted(map(tuple, got.collect())) == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     found = scan.lookup_ranges(rows, table, "id").select("pid", "id", "start_seq").collect()
     assert sorted(map(tuple, found)) == sorted(
         (p, i, s) for p, i in ids for q, s, e in ranges if p == q and s < i <= e

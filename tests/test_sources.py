@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gleaner.operators import assemble, definitions
+from gleaner.operators.extract import match_selectors, prepare_pages
 from gleaner.session import run_dir, shared_dir
 from gleaner.sources import landing, records, results
 from gleaner.streaming import gate
@@ -77,8 +78,46 @@ def test_nested_definition(spark):
     ]
     assert got[0].page_limit == 3 and got[0].next_xpath == "//a[@class='next']"
     assert got[0].sub_steps[0][0].tag == "b" and got[0].item_limit == -1
-    with pytest.raises(PySparkException, match="nested deeper than 2"):
-        definitions.flatten(rows, max_depth=2).collect()
+
+
+def test_any_depth_and_rejects(spark):
+    body = {"selectors": [{"xpath": "//p"}]}
+    for _ in range(7):
+        body = {"selectors": [{"xpath": "//h1"}], "child": body}
+    bad = {"selectors": [{"xpath": "//a[2]"}, {"xpath": "//a", "subselectors": [{"xpath": "b"}]},
+                         {"xpath": "./img", "linkselector": {"xpath": "a()"}}]}
+    rows = [(1, json.dumps(body)), (2, json.dumps(bad)), (3, '{"addr":'), (4, None), (5, "[1]"), (6, '{"type":3}')]
+    materials = spark.createDataFrame(rows, "material_id long, definition string")
+    flat = definitions.flatten(materials).filter(definitions.is_supported()).collect()
+    assert sorted((r.material_id, r.phase) for r in flat) == [(1, n) for n in range(1, 9)]
+    found = sorted((r.material_id, r.phase, r.reason, r.text) for r in definitions.rejects(materials).collect() if r.text)
+    assert found == [
+        (2, 1, "unsupported selector", "//a[2]"), (2, 1, "unsupported selector", "a()"), (2, 1, "unsupported selector", "b"),
+        (3, 0, "not a definition", '{"addr":'), (5, 0, "not a definition", "[1]"),
+    ]
+    assert {r.material_id for r in definitions.rejects(materials).collect()} == {2, 3, 4, 5}
+
+
+def test_every_body_is_decoded_once(spark):
+    rows = [
+        (1, None, "é".encode()), (2, "utf-8", "é".encode()), (3, "GBK", "中文".encode("gbk")), (4, "no such", b"x"),
+        (5, "UTF-16LE", "é".encode("utf-16-le")), (6, "utf-8", b"\xff"), (7, "latin1", "é".encode("latin-1")), (8, "utf-8", None),
+    ]
+    decoded = landing.decoded(spark.createDataFrame(rows, "id int, charset string, body binary"))
+    assert {r.id: r.html for r in decoded.collect()} == {
+        1: "é", 2: "é", 3: "中文", 4: None, 5: "é", 6: None, 7: "é", 8: None,
+    }
+    plan = decoded._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_table_driven_pages_are_read_once(spark):
+    """Selectors of a material meet its page in one row; markup is not repeated for each."""
+    pages = spark.createDataFrame([(1, "http://a.com/", "<p>a<p>b<h1>c</h1>")], "material_id long, url string, html string")
+    body = {"addr": "http://a.com/", "type": 3, "selectors": [{"xpath": "//p"}, {"xpath": "//h1"}, {"xpath": "//p"}]}
+    flat = definitions.flatten(spark.createDataFrame([(1, json.dumps(body))], "material_id long, definition string"))
+    matched = match_selectors(prepare_pages(pages), flat.drop("addr"))
+    assert sorted((r.selector_no, len(r.elements)) for r in matched.collect()) == [(1, 2), (2, 1), (3, 2)]
 
 
 def test_results_skip_empty_pages(spark):
