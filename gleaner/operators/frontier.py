@@ -17,10 +17,12 @@ from gleaner.functions import markup
 from gleaner.functions.sqltext import each, first, keep
 from gleaner.functions.text import is_blank
 from gleaner.functions.urls import abs_url
-from gleaner.operators.extract import prepare_pages
+from gleaner.operators import definitions
+from gleaner.operators.extract import match_selectors, phased_items, prepare_pages
 from gleaner.session import cut_lineage, run_dir
 
 Executor = Callable[[DataFrame], DataFrame]
+WEIGHT = "decimal(38,0)"
 
 
 def with_round(schema: StructType, name: str) -> StructType:
@@ -47,12 +49,13 @@ def missing_pages(pages: DataFrame, frontier: DataFrame) -> DataFrame:
 def next_frontier(items: DataFrame) -> DataFrame:
     """Distinct hrefs with the number of visits they stand for.
 
-    A page linked a million times is one row of weight a million, not a million rows.
+    A page linked a million times is one row of weight a million, not a million rows. Weights
+    multiply from phase to phase: they are decimals of 38 digits.
     """
     return (
         items.filter("href is not null")
         .groupBy(F.col("href").alias("url"))
-        .agg(F.sum("visits").alias("visits"))
+        .agg(F.sum("visits").cast(WEIGHT).alias("visits"))
     )
 
 
@@ -62,7 +65,7 @@ def crawl_phases(pages: DataFrame, seeds: DataFrame, phases: Sequence[Executor])
     Each executor returns items with ``url`` and ``href``, and the same columns in every
     phase. The result has every item once, with its ``phase`` and its ``visits``.
     """
-    frontier = seeds.groupBy("url").agg(F.count("*").alias("visits"))
+    frontier = seeds.groupBy("url").agg(F.count("*").cast(WEIGHT).alias("visits"))
     base = run_dir(pages.sparkSession, "phases")
     schema = None
     for number, executor in enumerate(phases, 1):
@@ -110,6 +113,83 @@ def paginate(nexts: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
     return spark.read.schema(with_round(schema, "page_no")).parquet(base).drop("next_url")
 
 
+def _chains(pages: DataFrame, roots: DataFrame, rules: DataFrame, base: str) -> DataFrame:
+    """Pages of each (material, root) by following its definition's "next", root included.
+
+    ``rules`` has ``page_limit`` and ``next_steps`` per material; without them a chain is
+    its root. Rounds end with the longest limit or when no chain goes on.
+    """
+    spark = pages.sparkSession
+    ruled = roots.join(rules, "material_id", "left").withColumn("root", F.col("url"))
+    schema = ruled.select("material_id", "root", "url", "visits", "page_limit", "next_steps").schema
+    chain, number = ruled, 1
+    while True:
+        chain = cut_lineage(chain.select(*schema.names), "chain", f"{base}/page_no={number}")
+        going = chain.filter(F.col("page_limit") > number)
+        if going.isEmpty():
+            break
+        wanted = pages.join(going.select("url").distinct(), "url", "left_semi")
+        asked = prepare_pages(wanted).select("url", "markup").join(going, "url")
+        found = markup.select_elements_sql("markup", "next_steps")
+        href = first(keep(each(found, lambda e: markup.attribute_sql(f"{e}.open", "href")), lambda h: f"{h} IS NOT NULL"))
+        after = asked.withColumn("next_href", F.expr(href)).filter("next_href is not null")
+        chain = after.withColumn("url", abs_url("root", "next_href"))
+        number += 1
+    return spark.read.schema(with_round(schema, "page_no")).parquet(base)
+
+
+def crawl_definitions(pages: DataFrame, materials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Crawl as the definitions say: ``(items, missing)``.
+
+    Each level of a definition is a phase. Its pages are the links of the phase before, and
+    what its pagination reaches from them; items of all those carry the page they started
+    from as ``srcurl``. Runs of different materials share nothing but the pages. ``missing``
+    has (phase, material_id, srcurl, url) of pages that were not captured: their results are
+    empty. Unsupported selectors are left to :func:`definitions.rejects`.
+    """
+    spark = pages.sparkSession
+    flat = definitions.flatten(materials).filter(definitions.is_supported())
+    flat = cut_lineage(flat.withColumn("next_steps", markup.step_column("next_xpath")), "selectors")
+    last = flat.agg(F.max("phase")).first()[0] or 0
+    start = flat.filter("phase = 1 and addr is not null").select("material_id", F.col("addr").alias("url")).distinct()
+    roots = start.withColumn("visits", F.lit(1).cast(WEIGHT))
+    base = run_dir(spark, "definition-crawl")
+    schema = missing = None
+    for phase in range(1, last + 1):
+        here = flat.filter(F.col("phase") == phase)
+        rules = here.groupBy("material_id").agg(
+            F.max("page_limit").alias("page_limit"), F.first("next_steps", ignorenulls=True).alias("next_steps")
+        )
+        roots = cut_lineage(roots, "roots")
+        visited = _chains(pages, roots, rules, f"{base}-chains-{phase}")
+        wanted = visited.select("material_id", "url").distinct()
+        hit = pages.join(visited.select("url").distinct(), "url", "left_semi")
+        ready = prepare_pages(hit).select("url", "markup").join(wanted, "url")
+        selectors = here.select("material_id", "selector_no", "extract", "wrap", "item_limit", "steps", "sub_steps", "link_steps")
+        found = phased_items(match_selectors(ready, selectors), "sub_steps")
+        found = found.join(visited.select("material_id", "url", "root", "page_no", "visits"), ["material_id", "url"])
+        found = found.select(
+            "material_id", F.col("root").alias("srcurl"), "url", "page_no", "selector_no", "no", "value",
+            "hashcode", "subvalues", "href", "visits",
+        )
+        items = cut_lineage(found, "phase", f"{base}/phase={phase}")
+        schema = schema or found.schema
+        lost = visited.join(pages.select("url"), "url", "left_anti").select(
+            F.lit(phase).alias("phase"), "material_id", F.col("root").alias("srcurl"), "url"
+        )
+        missing = lost if missing is None else missing.unionByName(lost)
+        roots = (
+            items.filter("href is not null")
+            .groupBy("material_id", F.col("href").alias("url"))
+            .agg(F.sum("visits").cast(WEIGHT).alias("visits"))
+        )
+        # materials without a further phase end here
+        roots = roots.join(flat.filter(F.col("phase") == phase + 1).select("material_id").distinct(), "material_id", "left_semi")
+    if schema is None:
+        raise ValueError("no definition has a usable selector")
+    return spark.read.schema(with_round(schema, "phase")).parquet(base), missing
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Nodes within ``max_depth`` links of the seeds, with their least depth.
 

@@ -111,6 +111,27 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Crawls over the site: three phases with pagination, and two with sub-selectors.
+CRAWLS = {
+    0: """{"addr":"@URL","selectors":[{"xpath":"//div[@class='to']/a","extract":1}],
+"pagination":{"limit":2,"interim":1,"mode":1,"selector":{"xpath":"//a[@class='next']"}},
+"child":{"selectors":[{"xpath":"//h1"},{"xpath":"//div[@class='to']/a","extract":1}],
+"child":{"selectors":[{"xpath":"//h1"}]}}}""",
+    1: """{"addr":"@URL","selectors":[{"xpath":"//article","subselectors":[{"xpath":"./h1"}]},
+{"xpath":"//li/a","extract":1},{"xpath":"//div[@class='to']/a","extract":1}],
+"child":{"selectors":[{"xpath":"//h1"}]}}""",
+}
+
+
+def crawl_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl from each page of the site, of either kind by page_id % 2."""
+    definition = F.when(F.col("page_id") % 2 == 0, F.lit(CRAWLS[0])).otherwise(F.lit(CRAWLS[1]))
+    url = F.concat(F.lit(SITE), F.col("page_id").cast("string"))
+    return pages(spark, sf_dir).select(
+        F.col("page_id").alias("material_id"), F.replace(definition, F.lit("@URL"), url).alias("definition")
+    )
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between pages, from the number of links on each page."""
     total = table(spark, sf_dir, "pages").count()

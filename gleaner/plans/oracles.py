@@ -505,6 +505,46 @@ CRAWL = f"""{PREP}, {SITE_EDGES}, v2 AS (
     SELECT 3, '{SITE}' || page_id, 1, 1, {dense('value')}, md5(value), NULL, visits
     FROM v3 JOIN head USING (page_id))"""
 oracle("phase_crawl", f"WITH {CRAWL} SELECT * FROM items")
+SUB_TITLE = dense(text_of("array_to_string(" + HEADINGS.replace("(m,", "(a,") + ", '<!>')"))
+oracle(
+    "crawl_from_definitions",
+    f"""WITH {PREP}, {SITE_EDGES}, head AS (
+    SELECT page_id, md5({text_of("regexp_extract(m, '(?s)<h1>(.*?)</h1>', 1)")}) AS hash FROM prep),
+    start AS (
+    SELECT p.page_id AS mat, p.page_id AS root, p.page_id + k AS page, k + 1 AS page_no
+    FROM pages p, (SELECT unnest([0, 1]) AS k)
+    WHERE k = 0 OR (p.page_id % 2 = 0 AND p.page_id % 5 <> 4)), one AS (
+    SELECT * FROM start WHERE page IN (SELECT page_id FROM pages)), first AS (
+    SELECT mat, root, src AS page, page_no, CASE mat % 2 WHEN 0 THEN 1 ELSE 3 END AS selector_no,
+        no, dst FROM one JOIN hop ON src = page), art AS (
+    SELECT page_id AS mat, no, el AS a FROM ({elements(1, ARTICLES)}) WHERE page_id % 2 = 1), li AS (
+    SELECT page_id AS mat, no, el, '{SITE[: SITE.index("/p/")]}' || {HREF} AS href
+    FROM ({elements(2, ITEMS)}) WHERE page_id % 2 = 1), two AS (
+    SELECT mat, dst AS page, count(*) AS visits FROM first GROUP BY ALL), second AS (
+    SELECT mat, page, no, dst, visits FROM two JOIN hop ON src = page WHERE mat % 2 = 0), three AS (
+    SELECT mat, dst AS page, sum(visits)::BIGINT AS visits FROM second GROUP BY ALL), gone AS (
+    SELECT DISTINCT mat, 2 AS phase, href AS root, href AS url FROM li
+    UNION ALL
+    SELECT mat, 1, '{SITE}' || root, '{SITE}' || page FROM start
+    WHERE page NOT IN (SELECT page_id FROM pages))
+SELECT mat AS material_id, 1 AS phase, '{SITE}' || root AS srcurl, '{SITE}' || page AS url, page_no,
+    selector_no, no, md5('to') AS hashcode, '{SITE}' || dst AS href, '' AS subvalues, 1 AS visits FROM first
+UNION ALL
+SELECT mat, 1, '{SITE}' || mat, '{SITE}' || mat, 1, 1, no, md5({text_of('a')}), NULL,
+    {SUB_TITLE}, 1 FROM art
+UNION ALL
+SELECT mat, 1, '{SITE}' || mat, '{SITE}' || mat, 1, 2, no, md5({text_of('el')}), href, '', 1 FROM li
+UNION ALL
+SELECT mat, 2, '{SITE}' || page, '{SITE}' || page, 1, 1, 1, hash, NULL, '', visits
+FROM two JOIN head ON page_id = page
+UNION ALL
+SELECT mat, 2, '{SITE}' || page, '{SITE}' || page, 1, 2, no, md5('to'), '{SITE}' || dst, '', visits FROM second
+UNION ALL
+SELECT mat, 3, '{SITE}' || page, '{SITE}' || page, 1, 1, 1, hash, NULL, '', visits
+FROM three JOIN head ON page_id = page
+UNION ALL
+SELECT mat, phase, root, url, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM gone""",
+)
 oracle(
     "paginate",
     f"""SELECT '{SITE}' || p.page_id AS root, '{SITE}' || q.page_id AS url, k + 1 AS page_no

@@ -613,11 +613,24 @@ def _crawl(spark, sf_dir):
 @query
 def phase_crawl(spark, sf_dir):
     items = _crawl(spark, sf_dir)
-    return longs(items, "phase", "selector_no", "no").select(
+    return longs(items, "phase", "selector_no", "no", "visits").select(
         "phase", "url", "selector_no", "no", "value", "hashcode", "href", "visits"
     )
 
 
+@query
+def crawl_from_definitions(spark, sf_dir):
+    items, missing = frontier.crawl_definitions(
+        inputs.site_pages(spark, sf_dir), inputs.crawl_materials(spark, sf_dir)
+    )
+    numbers = ("phase", "page_no", "selector_no", "no", "visits")
+    rows = longs(items, *numbers).select(
+        "material_id", "phase", "srcurl", "url", "page_no", "selector_no", "no", "hashcode", "href",
+        inputs.joined(F.col("subvalues")).alias("subvalues"), "visits",
+    )
+    return rows.unionByName(longs(missing, "phase"), allowMissingColumns=True)
+
+
 @query
 def paginate(spark, sf_dir):
     pages = inputs.site_pages(spark, sf_dir)
@@ -634,7 +647,7 @@ def collect_by_phase(spark, sf_dir):
     return calls.select(
         F.col("phase").cast("long").alias("phase"),
         "srcurl",
-        "visits",
+        F.col("visits").cast("long").alias("visits"),
         F.size("data").cast("long").alias("items"),
         inputs.joined(F.col("data.value")).alias("value"),
     )
