@@ -38,11 +38,20 @@ class PieceTable:
             for i in range(model.get_piece_size())
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
         ]
+        self.names = ["", *(model.id_to_piece(i) for i in plain)]
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        self.longest = max(map(len, self.scores))
         if any(MARK in p.lstrip(MARK) for p in self.scores):
             raise ValueError("pieces of this model reach over the start of a word")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # by character: the number of the piece that ends there, if any, and what may follow
+        self.tree: dict[str, list] = {}
+        for number, piece in enumerate(self.names):
+            below, node = self.tree, None
+            for c in piece:
+                node = below.setdefault(c, [None, {}])
+                below = node[1]
+            if node is not None:
+                node[0] = number
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short string: the best pair merges first, the leftmost of equals."""
@@ -57,14 +66,12 @@ class PieceTable:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def stands(self, left: str, right: str) -> bool:
-        """Whether two pieces stay apart; an empty left side asks for the right one alone."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = known
+    def stands(self, left: int, right: int) -> bool:
+        """Whether two pieces stay apart; number 0 on the left asks for the right one alone."""
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        pair = [self.names[left], self.names[right]] if left else [self.names[right]]
+        known = self.pairs[left * len(self.names) + right] = self.merged("".join(pair)) == pair
         return known
 
     def table(self, word: str) -> list[int]:
@@ -72,19 +79,26 @@ class PieceTable:
 
         A character outside the vocabulary merges with nothing and counts its bytes.
         """
-        scores, longest = self.scores, self.longest
-        counts, last = [0], [""]
-        for i in range(1, len(word) + 1):
-            if word[i - 1] not in scores:
-                counts.append(counts[-1] + len(word[i - 1].encode("utf-8")))
-                last.append("")
+        n, scores, pairs, width = len(word), self.scores, self.pairs, len(self.names)
+        counts, last = [0] * (n + 1), [0] + [-1] * n
+        for i in range(n):
+            if word[i] not in scores:
+                counts[i + 1], last[i + 1] = counts[i] + len(word[i].encode("utf-8")), 0
                 continue
-            for k in range(max(0, i - longest), i):
-                piece = word[k:i]
-                if piece in scores and self.stands(last[k], piece):
-                    counts.append(counts[k] + 1)
-                    last.append(piece)
+            left, below, j = last[i], self.tree, i
+            while j < n:
+                node = below.get(word[j])
+                if node is None:
                     break
+                j += 1
+                piece, below = node
+                if piece is None or last[j] >= 0:
+                    continue
+                apart = pairs.get(left * width + piece)
+                if apart is None:
+                    apart = self.stands(left, piece)
+                if apart:
+                    last[j], counts[j] = piece, counts[i] + 1
         return counts
 
 
@@ -146,11 +160,11 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                 for text in rows.column("text").to_pylist():
                     text = text or ""
                     tables = counter.tables(text)
-                    ends = np.cumsum([t[-1] for t in tables], dtype=np.int64)
-                    total = int(ends[-1]) if len(ends) else 0
+                    counts = [t[-1] for t in tables]
+                    total = sum(counts)
                     sizes.append(len(text.encode("utf-8")))
                     totals.append(total)
-                    fits.append(len(text) if total <= limit else counter.fitting(tables, ends, limit))
+                    fits.append(len(text) if total <= limit else counter.fitting(tables, np.cumsum(counts), limit))
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc_id"),
