@@ -35,6 +35,12 @@ def phase_documents(calls: DataFrame) -> DataFrame:
     )
 
 
+def opening_tasks(tasks: DataFrame) -> DataFrame:
+    """The tasks that open a document: list pages, that is type 1 on level 1."""
+    level = F.coalesce(F.get_json_object("definition", "$.level").cast("int"), F.lit(1))
+    return tasks.filter((F.col("type") == 1) & (level == 1))
+
+
 def expected_children(parents: DataFrame) -> DataFrame:
     """Children per run: the distinct hrefs of its level-1 items; 0 for a run without links."""
     return parents.groupBy("seqno").agg(F.count_distinct("href").alias("expected"))

@@ -169,6 +169,16 @@ def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return parents, cut_lineage(children, "children")
 
 
+def list_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list task for each page; those of odd pages are on level 2."""
+    deeper = F.lit(DEFINITIONS[1].replace('"level":1', '"level":2', 1))
+    definition = F.when(F.col("page_id") % 2 == 0, F.lit(DEFINITIONS[1])).otherwise(deeper)
+    return pages(spark, sf_dir).select(
+        F.lit("p1").alias("pid"), F.col("page_id").alias("material_id"), F.md5("url").alias("uuid"),
+        F.replace(definition, F.lit("@URL"), F.col("url")).alias("definition"),
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a request log keyed by event type."""
     return table(spark, sf_dir, "events").select(

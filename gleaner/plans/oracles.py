@@ -584,6 +584,20 @@ SELECT seqno, 'content', '{SITE}' || dst, 1, {text_of("regexp_extract(m, '(?s)<h
     JOIN prep ON page_id = dst WHERE complete = 1""",
 )
 
+oracle("nested_dump", ORACLES["collect_by_phase"])
+oracle(
+    "document_sink",
+    f"""WITH {COUNTS}, placed AS (
+    SELECT src, seqno, dst, no, (no - 1) // 2 AS chunk_no,
+        min(no) OVER (PARTITION BY src, dst) AS place FROM gate JOIN hop USING (src)
+    WHERE complete = 1 AND src % 2 = 0), listed AS (
+    SELECT src, seqno, chunk_no, string_agg('{SITE}' || dst, '|' ORDER BY no) AS hrefs
+    FROM placed GROUP BY ALL), linked AS (
+    SELECT src, (place - 1) // 2 AS chunk_no, count(DISTINCT dst) AS contents FROM placed GROUP BY ALL)
+SELECT src AS material_id, seqno, 'y20s1' AS period, 'p1' AS pid, chunk_no, 2 AS chunks, hrefs,
+    coalesce(contents, 0) AS contents FROM listed LEFT JOIN linked USING (src, chunk_no)""",
+)
+
 # ---- streams ---------------------------------------------------------------------------
 
 oracle("quota_stream", ADMIT)

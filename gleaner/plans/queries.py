@@ -266,7 +266,7 @@ def harvest_run(spark, sf_dir):
     run = landed.select("material_id", "seqno", "charset", "url", "pid").join(found, "material_id")
     results.write_results(results.result_rows(run, inputs.start_instant()), f"{path}/results")
     schema = "charset string, url string, value array<struct<value:string,href:string,imgsrc:string>>"
-    back = spark.read.parquet(f"{path}/results").withColumn("c", F.from_json("contents", schema))
+    back = results.read_results(spark, f"{path}/results").withColumn("c", F.from_json("contents", schema))
     return back.select(
         "material_id", "seqno", "period", "pid", F.col("c.url").alias("url"),
         F.size("c.value").cast("long").alias("items"),
@@ -688,6 +688,44 @@ def assemble_document(spark, sf_dir):
     return listed.unionByName(contents)
 
 
+@query
+def nested_dump(spark, sf_dir):
+    path = run_dir(spark, "nested-dump")
+    results.write_lines(assemble.phase_documents(assemble.call_results(_crawl(spark, sf_dir))), path)
+    schema = "srcurl string, visits long, data array<struct<no:int,value:string,href:string>>"
+    back = spark.read.schema("value string, phase int").text(path)
+    back = back.withColumn("d", F.from_json("value", schema))
+    return back.select(
+        F.col("phase").cast("long").alias("phase"),
+        "d.srcurl",
+        "d.visits",
+        F.size("d.data").cast("long").alias("items"),
+        inputs.joined(F.col("d.data.value")).alias("value"),
+    )
+
+
+@query
+def document_sink(spark, sf_dir):
+    """Documents of the runs that level-1 list tasks opened, written as result rows."""
+    tasks = definitions.project_tasks(inputs.list_tasks(spark, sf_dir))
+    opened = assemble.opening_tasks(tasks).select(
+        "material_id", "pid", keys.seqno(F.col("material_id"), inputs.start_instant()).alias("seqno")
+    )
+    parents, children = inputs.runs(spark, sf_dir)
+    mine = parents.join(opened.select("seqno"), "seqno", "left_semi")
+    documents = assemble.documents(assemble.document_rows(mine, children), chunk_size=2)
+    rows = assemble.document_calls(documents).join(opened, "seqno")
+    path = run_dir(spark, "documents")
+    results.write_results(results.generic_rows(rows, inputs.start_instant()), path)
+    schema = "chunk_no int, chunks int, tablelist array<struct<no:int,href:string>>, contents map<string,struct<value:string>>"
+    back = results.read_results(spark, path).withColumn("d", F.from_json("contents", schema))
+    return longs(back.select("material_id", "seqno", "period", "pid", "d.*"), "chunk_no", "chunks").select(
+        "material_id", "seqno", "period", "pid", "chunk_no", "chunks",
+        inputs.joined(F.col("tablelist.href")).alias("hrefs"),
+        F.size("contents").cast("long").alias("contents"),
+    )
+
+
 # ---- streams ---------------------------------------------------------------------------
 
 

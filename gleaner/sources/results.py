@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import keys, markup, text, urls
@@ -57,6 +57,26 @@ def result_rows(
     )
 
 
+def generic_rows(
+    results: DataFrame, inserted_at: Column, period: str | Column = keys.DEFAULT_PERIOD
+) -> DataFrame:
+    """Result rows whose contents are ``data`` as it stands; blank data gives no row."""
+    return results.filter(~text.is_blank(F.col("data"))).select(
+        "material_id",
+        "seqno",
+        F.to_date(inserted_at).alias("insert_day"),
+        F.col("data").alias("contents"),
+        inserted_at.alias("insert_time"),
+        (period if isinstance(period, Column) else F.lit(period)).alias("period"),
+        "pid",
+    )
+
+
+def write_lines(documents: DataFrame, path: str) -> None:
+    """One line per row of (phase, value), a folder per phase."""
+    documents.write.mode("append").partitionBy("phase").text(path)
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     """Append result rows by (period, pid); a crowded pid is split into several files."""
     rows.hint("rebalance", "period", "pid").write.mode("append").partitionBy(
@@ -64,6 +84,17 @@ def write_results(rows: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+_STORED = (
+    "material_id long, seqno string, insert_day date, contents string, insert_time timestamp, "
+    "period string, pid string"
+)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Stored result rows; none if nothing was written."""
+    return spark.read.schema(_STORED).parquet(path)
+
+
 def write_phases(calls: DataFrame, path: str) -> None:
     """JSON lines per phase, UTF-8 kept as it is."""
     calls.write.mode("append").partitionBy("phase").json(path)
