@@ -173,6 +173,35 @@ def lookup_ranges(points: DataFrame, ranges: DataFrame, point_col: str, keys: Se
     )
 
 
+def place_in_partitions(
+    rows: DataFrame, partitions: DataFrame, id_col: str, closed_right: bool = False, clamp: bool = False
+) -> DataFrame:
+    """Each row with its range among those of :func:`partition_ranges`, by arithmetic.
+
+    These ranges have one width per partition, so a row needs its partition and a division,
+    no range test. Ranges are ``[s, e)``, or ``(s, e]`` with ``closed_right``; ``clamp`` as
+    there. Ranges of any other kind go through :func:`range_join`.
+    """
+    width = fragment_width(F.col("min_seq"), F.col("max_seq"), F.col("split_num"))
+    planned = first_partition(partitions).filter("split_num > 0").select(
+        "pid", "min_seq", "max_seq", "split_num", width.alias("width")
+    )
+    shift = 1 if closed_right else 0
+    past = F.col("max_seq") + 1
+    start = F.col("min_seq") + F.col("range_no") * F.col("width")
+    end = start + F.col("width")
+    inside = (F.col(id_col) - shift >= F.col("min_seq")) & (F.col("range_no") < F.col("split_num"))
+    if clamp:
+        start, end = F.least(start, past), F.least(end, past)
+        inside = inside & (F.col(id_col) - shift < past)
+    placed = rows.join(planned, "pid").withColumn(
+        "range_no", F.expr(f"CAST((`{id_col}` - {shift} - min_seq) div width AS INT)")
+    )
+    return placed.filter(inside).select(
+        *rows.columns, "range_no", start.alias("start_seq"), end.alias("end_seq")
+    )
+
+
 def split_ranges(
     ranges: DataFrame, cuts: DataFrame, bucket_rows: int = ROWS_PER_BUCKET
 ) -> DataFrame:

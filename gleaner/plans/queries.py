@@ -512,15 +512,17 @@ def _order_ids(spark, sf_dir):
 
 @query
 def range_assign(spark, sf_dir):
-    ranges = scan.partition_ranges(inputs.partitions(spark, sf_dir))
-    assigned = scan.assign_ranges(_order_ids(spark, sf_dir), ranges, "o_orderkey", ["pid"])
+    assigned = scan.place_in_partitions(
+        _order_ids(spark, sf_dir), inputs.partitions(spark, sf_dir), "o_orderkey"
+    )
     return longs(assigned, "range_no").select("o_orderkey", "pid", "range_no")
 
 
 @query
 def range_lookup(spark, sf_dir):
-    ranges = scan.partition_ranges(inputs.partitions(spark, sf_dir), clamp=True)
-    found = scan.lookup_ranges(_order_ids(spark, sf_dir), ranges, "o_orderkey")
+    found = scan.place_in_partitions(
+        _order_ids(spark, sf_dir), inputs.partitions(spark, sf_dir), "o_orderkey", closed_right=True, clamp=True
+    )
     return longs(found, "range_no").select("o_orderkey", "pid", "range_no", "start_seq", "end_seq")
 
 

@@ -111,3 +111,19 @@ def test_jdbc_predicates():
     assert range_predicates([(1, 5), (5, 9)]) == [
         "materialId >= 1 AND materialId < 5", "materialId >= 5 AND materialId < 9",
     ]
+
+
+def test_arithmetic_agrees_with_the_range_join(spark):
+    rng = random.Random(12)
+    parts = [(f"p{k}", rng.randrange(-50, 50), rng.randrange(1, 6)) for k in range(12)]
+    parts = [(p, low, low + rng.randrange(0, 40), n) for p, low, n in parts]
+    table = spark.createDataFrame(parts, "pid string, min_seq long, max_seq long, split_num int")
+    ids = [(p, i) for p, low, high, _ in parts for i in range(low - 3, high + 4)]
+    rows = spark.createDataFrame(ids, "pid string, id long")
+    for closed, clamp in ((False, False), (True, True), (True, False), (False, True)):
+        ranges = scan.partition_ranges(table, clamp=clamp)
+        join = scan.lookup_ranges if closed else scan.assign_ranges
+        want = join(rows, ranges, "id", ["pid"]).select("pid", "id", "range_no", "start_seq", "end_seq").collect()
+        got = scan.place_in_partitions(rows, table, "id", closed, clamp)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
