@@ -753,7 +753,7 @@ def quota_stream(spark, sf_dir):
         spark,
         inputs.requests(spark, sf_dir),
         _third_of_month("ts"),
-        lambda stream: run_with_state(stream, step, schema, base),
+        lambda stream: run_with_state(stream, step, schema, base, parts=quota_stream_ops.by_day()),
     )
     return read_output(spark, base).select("request_id", "domain", "verdict")
 
@@ -776,7 +776,8 @@ def quota_usage_stream(spark, sf_dir):
         inputs.requests(spark, sf_dir),
         _third_of_month("ts"),
         lambda stream: run_with_state(
-            stream, quota_stream_ops.usage_step("hour"), quota_stream_ops.USAGE_SCHEMA, base
+            stream, quota_stream_ops.usage_step("hour"), quota_stream_ops.USAGE_SCHEMA, base,
+            parts=quota_stream_ops.by_day(),
         ),
     )
     totals = read_state(spark, base, quota_stream_ops.USAGE_SCHEMA)

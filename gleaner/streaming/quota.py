@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.keys import bucket_start
 from gleaner.operators import quota
-from gleaner.streaming.state import Step
+from gleaner.streaming.state import Parts, Step
 
 COUNTER_SCHEMA = "width string, bucket timestamp, domain string, used long"
 
 
+def by_day() -> Parts:
+    """Quota state in parts by day: a batch rewrites the days of its requests."""
+    return Parts(F.to_date("ts"), F.to_date("bucket"))
+
+
 USAGE_SCHEMA = "bucket timestamp, domain string, requests long"
 
 

@@ -4,42 +4,94 @@ Some rules need state that a batch must first aggregate to be safe against one b
 key. Each micro-batch reads the state its predecessor wrote, runs ordinary batch
 operators, and writes its output and the next state under its own batch id. A replayed
 batch overwrites exactly its own folders, so a lost driver or executor changes nothing.
+
+A state may be kept in parts, say by day: a batch then reads and writes the parts it touches,
+each in its newest version, and leaves the others as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
+@dataclass(frozen=True)
+class Parts:
+    """How rows fall into parts: expressions over a batch's and over the state's rows.
+
+    The text of a part orders like its age; the newest part is always read along.
+    """
+
+    of_batch: Column
+    of_state: Column
+
+
 def _state_path(base: str, batch_id: int) -> str:
-    return f"{base}/state/v{batch_id}"
+    return f"{base}/state/batch_id={batch_id}"
+
+
+def _versions(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
+    """State rows of all versions, with their ``batch_id`` and ``part``."""
+    full = StructType([*schema.fields]).add("batch_id", LongType()).add("part", StringType())
+    return spark.read.schema(full).parquet(f"{base}/state")
+
+
+def _touched(batch: DataFrame, batch_id: int, base: str, schema: StructType, parts: Parts) -> DataFrame:
+    """The state's newest rows in the parts that a batch touches, and in the newest part."""
+    spark = batch.sparkSession
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    known = _versions(spark, base, schema).filter(F.col("batch_id") < batch_id)
+    newest = known.agg(F.max("part")).first()[0]
+    # the parts of one batch, a handful of names
+    wanted = [r[0] for r in batch.select(parts.of_batch.cast("string")).distinct().collect()]
+    versions = (
+        known.filter(F.col("part").isin([*wanted, newest])).groupBy("part").agg(F.max("batch_id")).collect()
+    )
+    paths = [f"{_state_path(base, number)}/part={part}" for part, number in versions]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def run_with_state(
-    stream: DataFrame, step: Step, state_schema: str, base: str, trigger: dict | None = None
+    stream: DataFrame,
+    step: Step,
+    state_schema: str,
+    base: str,
+    trigger: dict | None = None,
+    parts: Parts | None = None,
 ) -> StreamingQuery:
-    """Start a query that folds ``step(batch, state) -> (output, next state)`` over a stream."""
+    """Start a query that folds ``step(batch, state) -> (output, next state)`` over a stream.
+
+    With ``parts`` a step sees the touched parts of the state only and returns those.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         schema = StructType.fromDDL(state_schema)
-        if batch_id == 0:
-            state = spark.createDataFrame([], schema)
-        else:
-            state = spark.read.schema(schema).parquet(_state_path(base, batch_id - 1))
         batch = batch.persist()
         try:
+            if parts is not None:
+                state = _touched(batch, batch_id, base, schema, parts)
+            elif batch_id == 0:
+                state = spark.createDataFrame([], schema)
+            else:
+                state = spark.read.schema(schema).parquet(_state_path(base, batch_id - 1))
             output, after = step(batch, state)
             output.write.mode("overwrite").parquet(f"{base}/output/batch_id={batch_id}")
-            after.select(*schema.names).write.mode("overwrite").parquet(
-                _state_path(base, batch_id)
-            )
+            after = after.select(*schema.names)
+            writer = after.write
+            if parts is not None:
+                writer = after.withColumn("part", parts.of_state.cast("string")).write.partitionBy("part")
+            writer.mode("overwrite").parquet(_state_path(base, batch_id))
         finally:
             batch.unpersist()
 
@@ -56,9 +108,8 @@ def read_output(spark: SparkSession, base: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, base: str, state_schema: str) -> DataFrame:
-    """The state after the last batch."""
-    last = read_output(spark, base).agg({"batch_id": "max"}).first()[0]
+    """The state in parts after the last batch: every part in its newest version."""
     schema = StructType.fromDDL(state_schema)
-    if last is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_state_path(base, last))
+    rows = _versions(spark, base, schema)
+    last = rows.groupBy("part").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["part", "batch_id"]).select(*schema.names)

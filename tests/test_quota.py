@@ -68,7 +68,9 @@ def _stream(spark, rows_per_run, step, base):
     for rows in rows_per_run:
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        run_with_state(stream, step, quota_stream.COUNTER_SCHEMA, base).awaitTermination()
+        run_with_state(
+            stream, step, quota_stream.COUNTER_SCHEMA, base, parts=quota_stream.by_day()
+        ).awaitTermination()
     return {r.request_id: r.verdict for r in read_output(spark, base).collect()}
 
 
@@ -102,7 +104,7 @@ def test_replayed_batch_changes_nothing(spark):
         # The second query has no progress log, as after a loss before the commit.
         stream = spark.readStream.schema(SCHEMA).parquet(source)
         query = (
-            run_with_state(stream, step, quota_stream.COUNTER_SCHEMA, base)
+            run_with_state(stream, step, quota_stream.COUNTER_SCHEMA, base, parts=quota_stream.by_day())
             if _ == 0
             else _again(spark, stream, step, base)
         )
@@ -115,4 +117,26 @@ def _again(spark, stream, step, base):
     import os
 
     os.rename(f"{base}/checkpoint", f"{base}/checkpoint-before")
-    return run_with_state(stream, step, quota_stream.COUNTER_SCHEMA, base)
+    return run_with_state(stream, step, quota_stream.COUNTER_SCHEMA, base, parts=quota_stream.by_day())
+
+
+def test_a_batch_writes_the_days_it_touches(spark):
+    import os
+
+    day = timedelta(days=1)
+    runs = [[(1, START, "a"), (2, START + day, "a")], [(3, START, "a")], [(4, START + 3 * day, "b")]]
+    base = run_dir(spark, "quota")
+    got = _stream(spark, runs, quota_stream.admission_step(2, 2, "day"), base)
+    assert set(got.values()) == {quota.ADMITTED}
+    written = [
+        {f for f in os.listdir(f"{base}/state/batch_id={k}") if f.startswith("part=")} for k in range(3)
+    ]
+    name = lambda d: f"part={(START + d * day).date()}"
+    # the newest day is always read along
+    assert written == [{name(0), name(1)}, {name(0), name(1)}, {name(1), name(3)}]
+
+
+def test_both_stages_are_cut_before_the_shuffle(spark):
+    plan = quota.admit(spark.createDataFrame(log(50), SCHEMA), 3, 5, "minute")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") >= 4
