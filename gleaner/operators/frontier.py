@@ -18,7 +18,13 @@ from gleaner.functions.sqltext import each, first, keep
 from gleaner.functions.text import is_blank
 from gleaner.functions.urls import abs_url
 from gleaner.operators import definitions
-from gleaner.operators.extract import match_selectors, phased_items, prepare_pages
+from gleaner.operators.extract import (
+    mass_items,
+    match_selectors,
+    phased_items,
+    prepare_pages,
+    wrapped_items,
+)
 from gleaner.session import cut_lineage, run_dir
 
 Executor = Callable[[DataFrame], DataFrame]
@@ -217,6 +223,42 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return spark.read.schema(schema).parquet(base)
 
 
+def crawl_levels(pages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """List pages and what they lead to, level by level as each task's definition nests.
+
+    ``tasks`` (pid, material_id, uuid, type, charset, seqno, write_time, url, definition) open
+    runs. The links of a level become the tasks of the next, each url once in a run. A level
+    gives one item per match or, with ``wrap``, one per selector. Items keep their ``seqno``
+    and ``level``; a page that was not captured has none.
+    """
+    spark = pages.sparkSession
+    materials = tasks.select("material_id", "definition").distinct()
+    flat = definitions.flatten(materials).filter(definitions.is_supported())
+    flat = cut_lineage(flat, "selectors")
+    last = flat.agg(F.max("phase")).first()[0] or 0
+    columns = ["seqno", "material_id", "url", "selector_no", "no", "value", "hashcode", "href"]
+    base, schema = run_dir(spark, "levels"), None
+    current = cut_lineage(tasks, "tasks")
+    for level in range(1, last + 1):
+        here = flat.filter(F.col("phase") == level).select(
+            "material_id", "selector_no", "extract", "wrap", "item_limit", "steps", "link_steps"
+        )
+        hit = pages.join(current.select("url").distinct(), "url", "left_semi")
+        ready = prepare_pages(hit).select("url", "markup").join(
+            current.select("url", "seqno", "material_id"), "url"
+        )
+        matched = match_selectors(ready, here)
+        listed = mass_items(matched.filter("wrap = 0")).select(*columns)
+        wrapped = wrapped_items(matched.filter("wrap = 1")).withColumn("href", F.lit(None).cast("string"))
+        found = listed.unionByName(wrapped.select(*columns))
+        items = cut_lineage(found, "level", f"{base}/level={level}")
+        schema = schema or found.schema
+        current = cut_lineage(child_tasks(current, items), "tasks")
+    if schema is None:
+        raise ValueError("no definition has a usable selector")
+    return spark.read.schema(with_round(schema, "level")).parquet(base)
+
+
 def unseen(tasks: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
     """Tasks with a key that was not processed before, each key once."""
     filled = tasks.filter(~is_blank(F.col(key)))
@@ -233,6 +275,7 @@ def child_tasks(tasks: DataFrame, items: DataFrame) -> DataFrame:
         .select(
             "pid", "material_id", "uuid", "type", "charset", "seqno", *written, child.alias("definition")
         )
+        .distinct()  # a run may have many pages on a level; its child definition is one
         .join(links, "seqno")
         .withColumnRenamed("href", "url")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import markup
-from gleaner.functions.keys import seqno
+from gleaner.functions.keys import seqno, write_time
 from gleaner.operators import extract
 from gleaner.operators.extract import Selector, prepare_pages
 from gleaner.session import cut_lineage
@@ -179,6 +179,27 @@ def list_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A list page, its linked pages, and theirs; @L is the level of the outermost part.
+NESTED_LIST = """{"addr":"@URL","type":1,"level":@L,"wrap":0,
+"selectors":[{"xpath":"//div[@class='to']/a","extract":1}],
+"child":{"level":2,"wrap":0,"selectors":[{"xpath":"//h1","extract":0},{"xpath":"//div[@class='to']/a","extract":1}],
+"child":{"level":3,"wrap":1,"selectors":[{"xpath":"//h1","extract":0}]}}}"""
+
+
+def site_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task for each page of the site; those of odd pages are not on level 1."""
+    ident = F.col("page_id")
+    level = F.when(ident % 2 == 0, F.lit("1")).otherwise(F.lit("2"))
+    url = F.concat(F.lit(SITE), ident.cast("string"))
+    definition = F.replace(F.replace(F.lit(NESTED_LIST), F.lit("@URL"), url), F.lit("@L"), level)
+    at = start_instant()
+    return pages(spark, sf_dir).select(
+        F.lit("p1").alias("pid"), ident.alias("material_id"), F.md5("url").alias("uuid"), F.lit(1).alias("type"),
+        F.lit("utf-8").alias("charset"), seqno(ident, at).alias("seqno"), write_time(at).alias("write_time"),
+        url.alias("url"), definition.alias("definition"),
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a request log keyed by event type."""
     return table(spark, sf_dir, "events").select(

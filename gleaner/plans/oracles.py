@@ -545,6 +545,20 @@ FROM three JOIN head ON page_id = page
 UNION ALL
 SELECT mat, phase, root, url, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM gone""",
 )
+oracle(
+    "mass_crawl",
+    f"""WITH {PREP}, {SITE_EDGES}, head AS (
+    SELECT page_id, md5({text_of("regexp_extract(m, '(?s)<h1>(.*?)</h1>', 1)")}) AS hash FROM prep),
+    two AS (SELECT DISTINCT src AS run, dst AS page FROM hop WHERE src % 2 = 0),
+    three AS (SELECT DISTINCT run, dst AS page FROM two JOIN hop ON src = page), items AS (
+    SELECT 1 AS level, src AS run, src AS page, 1 AS selector_no, no, md5('to') AS hashcode, dst
+    FROM hop WHERE src % 2 = 0
+    UNION ALL SELECT 2, run, page, 1, 1, hash, NULL FROM two JOIN head ON page_id = page
+    UNION ALL SELECT 2, run, page, 2, no, md5('to'), dst FROM two JOIN hop ON src = page
+    UNION ALL SELECT 3, run, page, 1, 1, hash, NULL FROM three JOIN head ON page_id = page)
+SELECT level, run || '{SEQNO}' AS seqno, '{SITE}' || page AS url, selector_no, no, hashcode,
+    '{SITE}' || dst AS href FROM items""",
+)
 oracle(
     "paginate",
     f"""SELECT '{SITE}' || p.page_id AS root, '{SITE}' || q.page_id AS url, k + 1 AS page_no

@@ -633,6 +633,15 @@ def crawl_from_definitions(spark, sf_dir):
     return rows.unionByName(longs(missing, "phase"), allowMissingColumns=True)
 
 
+@query
+def mass_crawl(spark, sf_dir):
+    tasks = assemble.opening_tasks(inputs.site_tasks(spark, sf_dir))
+    items = frontier.crawl_levels(inputs.site_pages(spark, sf_dir), tasks)
+    return longs(items, "level", "selector_no", "no").select(
+        "level", "seqno", "url", "selector_no", "no", "hashcode", "href"
+    )
+
+
 @query
 def paginate(spark, sf_dir):
     pages = inputs.site_pages(spark, sf_dir)
