@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed value: status of a material that is to be collected.
 ACTIVE = 2
 
 
 def range_predicates(ranges: list[tuple[int, int]], id_col: str = "materialId") -> list[str]:
-    """One WHERE clause per half-open range; each becomes one partition of a JDBC scan."""
+    """One WHERE clause per half-open range; each becomes one partition of a JDBC scan.
+
+    Ranges must not overlap: a row would be read twice.
+    """
+    ordered = sorted(ranges)
+    for (_, high), (low, _) in zip(ordered, ordered[1:], strict=False):
+        if low < high:
+            raise ValueError(f"ranges overlap at {low}")
     return [f"{id_col} >= {int(low)} AND {id_col} < {int(high)}" for low, high in ranges]
 
 
@@ -20,11 +28,16 @@ def read_materials_jdbc(
     ranges: list[tuple[int, int]],
     properties: dict[str, str] | None = None,
     status: int = ACTIVE,
+    pid: str | None = None,
 ) -> DataFrame:
-    """Active materials of a list of ranges, one connection and one task per range."""
+    """Active materials of a list of ranges, one connection and one task per range.
+
+    One table holds one partition: ``pid`` names it. Ids come as ``material_id``.
+    """
     options = {"fetchsize": "10000", **(properties or {})}
     rows = spark.read.jdbc(url, table, predicates=range_predicates(ranges), properties=options)
-    return rows.filter(f"status = {int(status)}")
+    rows = rows.filter(f"status = {int(status)}").withColumnRenamed("materialId", "material_id")
+    return rows.withColumn("pid", F.lit(pid))
 
 
 def read_table_jdbc(

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gleaner.operators import scan
@@ -111,6 +113,8 @@ def test_jdbc_predicates():
     assert range_predicates([(1, 5), (5, 9)]) == [
         "materialId >= 1 AND materialId < 5", "materialId >= 5 AND materialId < 9",
     ]
+    with pytest.raises(ValueError, match="overlap"):
+        range_predicates([(1, 6), (5, 9)])
 
 
 def test_arithmetic_agrees_with_the_range_join(spark):
