@@ -208,8 +208,13 @@ def _training_runs(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndar
     return symbols, *runs_of(symbols, sizes[trains])
 
 
-def _start(blocks: DataFrame, mass: np.ndarray, states: int) -> Model:
-    """The model before the first full pass, fitted on a bounded sample of runs."""
+def _start(blocks: DataFrame, mass: np.ndarray, states: int, tokens: int) -> Model:
+    """The model before the first full pass, fitted on a bounded sample of runs.
+
+    The partitions send the runs below a hash that lets a few times START_RUNS pass, not
+    START_RUNS each.
+    """
+    below = (1 << 32) * min(1.0, 4 * START_RUNS * RUN / max(1, tokens))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +222,7 @@ def _start(blocks: DataFrame, mass: np.ndarray, states: int) -> Model:
                 symbols, begin, sizes = _training_runs(batch, row)
                 runs = [symbols[b : b + s].astype("<i4").tobytes() for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
                 hashes = [zlib.crc32(r) for r in runs]
-                best = np.argsort(hashes, kind="stable")[:START_RUNS]
+                best = [i for i, h in enumerate(hashes) if h <= below]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashes[i] for i in best], pa.int64()), pa.array([runs[i] for i in best], pa.binary())],
                     ["hash", "symbols"],
@@ -274,8 +279,10 @@ def _one_round(blocks: DataFrame, model: Model, mass: np.ndarray) -> Model:
     return maximise(total, mass)
 
 
-def train(blocks: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    model = _start(blocks, mass, states)
+def train(
+    blocks: DataFrame, mass: np.ndarray, tokens: int, states: int = STATES, rounds: int = ROUNDS
+) -> Model:
+    model = _start(blocks, mass, states, tokens)
     for _ in range(rounds):
         model = _one_round(blocks, model, mass)
     return model
@@ -303,7 +310,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     ends = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     n_all, v_all = int(n_class.sum()) + ends, int(v_class.sum()) + (ends > 0)
     mass = np.append(v_class + 1.0, 1.0)
-    model = train(blocks, mass, states, rounds)
+    model = train(blocks, mass, n_all, states, rounds)
 
     coded = blocks.select("block", F.posexplode("words").alias("place", "word"))
     known = (
