@@ -25,7 +25,6 @@ class Selector:
     extract: int = 0
     wrap: int = 0
     item_limit: int = -1
-    subs: tuple[str, ...] = ()
 
 
 def prepare_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -180,7 +180,7 @@ def crawl_definitions(pages: DataFrame, materials: DataFrame) -> tuple[DataFrame
         )
         items = cut_lineage(found, "phase", f"{base}/phase={phase}")
         schema = schema or found.schema
-        lost = visited.join(pages.select("url"), "url", "left_anti").select(
+        lost = missing_pages(pages, visited).select(
             F.lit(phase).alias("phase"), "material_id", F.col("root").alias("srcurl"), "url"
         )
         missing = lost if missing is None else missing.unionByName(lost)
