@@ -8,8 +8,10 @@ gives it one more piece. Only the last sequence is short.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import slices
+from gleaner.llm.common import shared, slices
 from gleaner.session import cut_lineage
 
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Space-led runs whose ids a worker keeps; beyond it the store starts anew.
-KEPT_RUNS = 300_000
+#: Runs whose ids a worker keeps from task to task, in each of two generations.
+KEPT_RUNS = 400_000
 #: A space before more white space, or at the end: no boundary of the pre-tokenizer.
 _UNCUT = re.compile(r" (?:\s|[\x1c-\x1f]|\Z)")
 
@@ -44,44 +46,84 @@ def _joined(parts: list[str]) -> list[str]:
     return out
 
 
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Byte strings with their ids, if the ids of a byte-level vocabulary follow its merges."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
+    added = {t["content"] for t in spec["added_tokens"]}
+    vocabulary = spec["model"]["vocab"]
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
+    order = [vocabulary[a + b] for a, b in pairs]
+    if order != sorted(set(order)):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in added}
+
+
 class RunEncoder:
-    """Ids of texts as the library gives them, with those of repeated runs kept.
+    """Ids of texts as the tokenizer file gives them, with those of repeated runs kept.
 
     The byte-level pre-tokenizer always cuts before a space that a visible character
-    follows, so a text's ids are those of its space-led runs, one after the other.
+    follows, so a text's ids are those of its space-led runs, one after the other. Runs are
+    merged by tiktoken from the ranks in the file, which spares the offsets that the
+    tokenizers library works out; texts that hold a special string go through the latter.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], runs: set[str], lead: str) -> None:
-        new = [r for r in runs if r not in known]
-        coded = self.library.encode_batch([lead + r for r in new], add_special_tokens=False)
-        for run, found in zip(new, coded, strict=True):
-            known[run] = np.array(found.ids, self.kind).tobytes()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = _ranks(spec)
+        self.merge = self._by_library
+        if ranks is not None:
+            pattern = public_tokenizers.PATTERN
+            self.merge = tiktoken.Encoding(
+                "runs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+            ).encode_ordinary
+        self.letter = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.new: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def _by_library(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _learn(self, place: int, runs: set[str], lead: str) -> dict[str, bytes]:
+        """The store of first (0) or space-led (1) runs, with these in it."""
+        known, older, merge, pack = self.new[place], self.old[place], self.merge, self.pack
+        for run in runs:
+            if run not in known:
+                kept = older.get(run)
+                known[run] = pack(merge(lead + run)) if kept is None else kept
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > KEPT_RUNS:
-            self.first, self.later = {}, {}
-        split = [x.split(" ") if not _UNCUT.search(x) else _joined(x.split(" ")) for x in texts]
-        self._learn(self.first, {x[0] for x in split}, "")
-        self._learn(self.later, {run for x in split for run in x[1:]}, " ")
-        get = self.later.__getitem__
-        return [self.first[x[0]] + b"".join(map(get, x[1:])) for x in split]
+        if len(self.new[0]) + len(self.new[1]) > KEPT_RUNS:
+            self.new, self.old = ({}, {}), self.new
+        whole = {k: self.pack(self._by_library(x)) for k, x in enumerate(texts) if any(s in x for s in self.special)}
+        split = [
+            [""] if k in whole else x.split(" ") if not _UNCUT.search(x) else _joined(x.split(" "))
+            for k, x in enumerate(texts)
+        ]
+        first = self._learn(0, {x[0] for x in split}, "")
+        later = self._learn(1, set().union(*[x[1:] for x in split]), " ")
+        get = later.__getitem__
+        return [whole[k] if k in whole else first[x[0]] + b"".join(map(get, x[1:])) for k, x in enumerate(split)]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id, part, before, n, ids``: ids with the end id, and tokens before it in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(path)
-        end = np.array([end_id], encoder.kind).tobytes()
+        encoder = shared(RunEncoder, path)
+        end = encoder.pack([end_id])
         width = len(end)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
