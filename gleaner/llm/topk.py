@@ -118,10 +118,10 @@ def exact_scores(rows: np.ndarray, query: np.ndarray) -> list[int]:
 class Bucket:
     """Vectors of one dimension, longest first."""
 
-    def __init__(self, row: dict):
-        self.uids, self.ids = _numbers(row["uids"], np.int64), _numbers(row["ids"], np.int64)
-        self.norms = _numbers(row["norms"], np.float64)
-        self.data = _matrix(row["data"], len(self.ids))
+    def __init__(self, rows: list[dict]):
+        join = lambda name, kind: np.concatenate([_numbers(r[name], kind) for r in rows])
+        self.uids, self.ids, self.norms = join("uids", np.int64), join("ids", np.int64), join("norms", np.float64)
+        self.data = np.vstack([_matrix(r["data"], len(r["ids"]) // 8) for r in rows])
         self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def by_coordinate(self, query: np.ndarray, norm: float, cosine: float) -> np.ndarray:
@@ -171,7 +171,7 @@ def _bounds(blocks: DataFrame, probes: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             made = []
             for row in batch.to_pylist():
-                probe = Bucket({c: row[f"probe_{c}"] for c in ("uids", "ids", "norms", "data")})
+                probe = Bucket(row["probe"])
                 uids, norms = _numbers(row["uids"], np.int64), _numbers(row["norms"], np.float64)
                 queries = _matrix(row["data"], len(uids))
                 bounds = np.full(len(uids), -np.inf)
@@ -197,7 +197,7 @@ def _verified(pairs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
-                bucket = Bucket({c: row[f"bucket_{c}"] for c in ("uids", "ids", "norms", "data")})
+                bucket = Bucket([{c: row[f"bucket_{c}"] for c in ("uids", "ids", "norms", "data")}])
                 uids, ids = _numbers(row["uids"], np.int64), _numbers(row["ids"], np.int64)
                 norms, bounds = _numbers(row["norms"], np.float64), _numbers(row["bounds"], np.float64)
                 queries = _matrix(row["data"], len(uids))
@@ -230,14 +230,18 @@ def search(table: DataFrame, every: int = 20, k: int = TOP) -> DataFrame:
     buckets = cut_lineage(_packed(vectors, parts), "buckets")
     asked = vectors.filter(F.col("vec_id") % every == 0)
     blocks = cut_lineage(_packed(asked, max(1, -(-total // every // BLOCK_ROWS))), "blocks")
-    first = buckets.groupBy("dim").agg(F.min("part").alias("part"))
-    # one bucket for each dimension in the table
-    probes = buckets.join(first, ["dim", "part"]).select(
-        "dim", *[F.col(c).alias(f"probe_{c}") for c in ("uids", "ids", "norms", "data")]
+    first = buckets.groupBy("dim").agg(F.min("part").alias("first"))
+    final, filled = buckets.agg(F.coalesce(F.max("part"), F.lit(0)), F.countDistinct("part")).first()
+    # the longest vectors of each dimension in the table, about BUCKET_ROWS of them
+    depth = -(-BUCKET_ROWS * max(1, filled) // max(1, total))
+    probes = (
+        buckets.join(first, "dim")
+        .filter(F.col("part") < F.col("first") + depth)
+        .groupBy("dim")
+        .agg(F.sort_array(F.collect_list(F.struct("part", "uids", "ids", "norms", "data"))).alias("probe"))
     )
     bounded = _bounds(blocks, probes, k)
     # each block of queries meets each bucket once
-    final = buckets.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
     sent = bounded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(final))))
     renamed = buckets.select(
         "part", "dim", *[F.col(c).alias(f"bucket_{c}") for c in ("uids", "ids", "norms", "data")]
