@@ -74,7 +74,7 @@ def test_segment_rows(spark, texts):
     out = nbest.segment(frame(spark, texts), with_ids=True).collect()
     assert len(out) == len(texts) and all(r.decoded for r in out)
     for r in out:
-        assert r.n_pieces == r.lengths[0] == len(r.paths[0])
+        assert r.n_pieces == r.lengths[0] and list(r.lengths) == [len(p) for p in r.paths]
         assert r.ids_crc32 == zlib.crc32(np.array(r.paths[0], "<u4").tobytes())
         assert list(r.scores) == sorted(r.scores, reverse=True)
 
