@@ -3,8 +3,8 @@
 A stand-in comes from a keyed permutation of the entity's own alphabet positions: letters
 become letters of the same script and case, digits become digits, all else stays. It is a
 bijection for each format, so different entities get different stand-ins; the same entity
-gets the same one wherever and in whatever case or spacing it occurs. If a stand-in is
-itself an entity of the corpus, the permutation is applied again until it is not.
+gets the same one wherever and in whatever case or spacing it occurs. A stand-in that is
+itself an entity of the corpus, or was given to another entity, is drawn anew.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from gleaner.llm.common import quoted, release, slices
 from gleaner.session import cut_lineage
 
-#: Times a stand-in is drawn anew before one that is an entity elsewhere is taken.
-ROUNDS = 8
+#: Stand-ins drawn for each pending entity in the first rounds; the last number holds on.
+DRAWS = (1, 1, 8, 64)
 #: Key of the registered query and the pipeline. A user gives a secret one.
 SAMPLE_KEY = b"sample key, replace in production"
 
@@ -121,7 +121,10 @@ def _number(key: bytes, *parts: object) -> int:
 
 
 def permute(key: bytes, tweak: str, values: list[int], radices: list[int], times: int = 1) -> list[int]:
-    """A keyed bijection of mixed-radix numbers: eight rounds that shift one half by the other."""
+    """A keyed bijection of mixed-radix numbers, another for each of ``times``.
+
+    It has eight rounds that shift one half by the other.
+    """
     half = len(values) // 2
     sides = [(values[:half], radices[:half]), (values[half:], radices[half:])]
     numbers = []
@@ -131,11 +134,10 @@ def permute(key: bytes, tweak: str, values: list[int], radices: list[int], times
             n = n * b + d
         numbers.append(n)
     sizes = [prod(bases) for _, bases in sides]
-    label = (tweak, tuple(radices))
-    for again in range(times):
-        for step in range(8):
-            a = step % 2
-            numbers[a] = (numbers[a] + _number(key, label, step, numbers[1 - a])) % sizes[a]
+    label = (tweak, tuple(radices)) if times == 1 else (tweak, tuple(radices), times)
+    for step in range(8):
+        a = step % 2
+        numbers[a] = (numbers[a] + _number(key, label, step, numbers[1 - a])) % sizes[a]
     out = []
     for n, (_, bases) in zip(numbers, sides, strict=True):
         digits = []
@@ -163,7 +165,7 @@ def _check_digit(digits: str) -> int:
 
 
 def stand_in(key: bytes, kind: str, canon: str, times: int = 1) -> str:
-    """The canonical form of an entity's surrogate after ``times`` rounds of its permutation."""
+    """The canonical form of an entity's surrogate, as drawn the ``times``-th time."""
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         head, _, top = domain.rpartition(".")
@@ -237,37 +239,43 @@ def _detected(docs: DataFrame) -> DataFrame:
     return docs.select(whole, "text").mapInArrow(run, schema)
 
 
-def _stand_ins(entities: DataFrame, key: bytes, times: int) -> DataFrame:
+def _stand_ins(entities: DataFrame, key: bytes, draws: range) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("kind").to_pylist(), batch.column("canon").to_pylist(), strict=True)
-            made = [stand_in(key, k, c, times) for k, c in pairs]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("kind"), batch.column("canon"), pa.array(made, pa.string())], ["kind", "canon", "surrogate"]
-            )
+            made = [(k, c, n, stand_in(key, k, c, n)) for k, c in pairs for n in draws]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "canon", "draw", "surrogate"])
 
-    return entities.select("kind", "canon").mapInArrow(run, "kind string, canon string, surrogate string")
+    return entities.select("kind", "canon").mapInArrow(run, "kind string, canon string, draw int, surrogate string")
 
 
 def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
-    """``kind, canon, surrogate`` of distinct entities, none of them an entity of the corpus.
+    """``kind, canon, surrogate`` of distinct entities: no two alike, none an entity of the corpus.
 
-    Entities whose stand-in occurs in the corpus walk on along the cycle of their
-    permutation, which keeps all of them distinct. After ROUNDS rounds the first stand-in is
-    taken even so: then the format has hardly any value to spare. Given names from the
-    built-in lists are exempt, as they identify nobody.
+    A stand-in that occurs in the corpus or was given in an earlier round is void. One that
+    several entities draw goes to that of smallest hash; the others draw again. Given names
+    from the built-in lists may occur in the corpus, as they identify nobody.
     """
     known = entities.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
-    pending, done = entities, None
-    for times in range(1, ROUNDS + 1):
-        made = cut_lineage(_stand_ins(pending, key, times), "stand-ins")
+    pending, done, drawn, turn = entities, None, 0, 0
+    while True:
+        count = DRAWS[min(turn, len(DRAWS) - 1)]
+        made = cut_lineage(_stand_ins(pending, key, range(drawn + 1, drawn + count + 1)), "stand-ins")
         clash = (made["kind"] == known["k"]) & (made["surrogate"] == known["c"]) & ~made["kind"].startswith("given")
-        fine = made.join(known, clash, "left_anti")
-        done = fine if done is None else done.union(fine)
-        pending = cut_lineage(made.join(known, clash, "left_semi").select("kind", "canon"), "clashes")
+        free = made.join(known, clash, "left_anti")
+        if done is not None:
+            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        rank = F.struct(F.xxhash64("surrogate", "canon").alias("h"), "canon", "draw")
+        owned = free.groupBy("kind", "surrogate").agg(F.min(rank).alias("o"))
+        won = owned.groupBy("kind", F.col("o.canon").alias("canon")).agg(F.min(F.struct("o.draw", "surrogate")).alias("w"))
+        won = cut_lineage(won.select("kind", "canon", F.col("w.surrogate").alias("surrogate")), "surrogates")
+        done = won if done is None else done.union(won)
+        pending = cut_lineage(pending.join(won, ["kind", "canon"], "left_anti"), "clashes")
         if pending.isEmpty():
-            return cut_lineage(done, "surrogates")
-    return cut_lineage(done.union(_stand_ins(pending, key, 1)), "surrogates")
+            return done
+        drawn, turn = drawn + count, turn + 1
 
 
 def _rewritten(rows: DataFrame, schema: T.StructType) -> DataFrame:

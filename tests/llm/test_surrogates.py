@@ -108,3 +108,17 @@ def test_columns_and_empty_table(spark):
     assert s.replace_entities(empty, KEY).collect() == []
     docs = frame(spark, [TEXT, CLEAN])
     assert s.replace_entities(docs, KEY).schema.simpleString() == docs.schema.simpleString()
+
+
+def table(spark, entities):
+    rows = s.surrogate_table(spark.createDataFrame(entities, "kind string, canon string"), KEY).collect()
+    assert sorted((r.kind, r.canon) for r in rows) == sorted(entities)
+    return {(r.kind, r.canon): r.surrogate for r in rows}
+
+
+def test_clashes_do_not_merge_entities(spark):
+    phones = [("phone", f"+1{n:03d}") for n in range(0, 1000, 3)]
+    names = [("surname", f"{a}{b}n") for a in "bcdfghjkl" for b in "aeiou"]
+    made = table(spark, phones + names)
+    images = {(kind, v) for (kind, _), v in made.items()}
+    assert len(images) == len(made) and not images & set(made)
