@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 from gleaner.llm.common import quoted, release, slices
 from gleaner.session import cut_lineage
 
-#: Stand-ins drawn for each pending entity in the first rounds; the last number holds on.
-DRAWS = (1, 1, 8, 64)
+#: Stand-ins drawn for each pending entity in rounds of its own format. After these the
+#: format counts as used up, and each further round adds a letter or digit to it.
+DRAWS = (1, 1, 8, 64, 64, 64)
+WIDER_DRAWS = 8
 #: Key of the registered query and the pipeline. A user gives a secret one.
 SAMPLE_KEY = b"sample key, replace in production"
 
@@ -164,31 +166,50 @@ def _check_digit(digits: str) -> int:
     return -total % 10
 
 
-def stand_in(key: bytes, kind: str, canon: str, times: int = 1) -> str:
-    """The canonical form of an entity's surrogate, as drawn the ``times``-th time."""
+def _pooled(kind: str, canon: str) -> bool:
+    """Whether this is a given name of the built-in lists after a title that fits it."""
+    return kind.startswith("given") and canon in _POOL and kind[-1] in ("-", _POOL[canon][0][0])
+
+
+def space(kind: str, canon: str) -> str:
+    """What must be distinct: names share one space, apart from those of the built-in lists."""
+    if _pooled(kind, canon):
+        return f"given-{_POOL[canon][0][0]}"
+    return "name" if kind.startswith("given") or kind == "surname" else kind
+
+
+def stand_in(key: bytes, kind: str, canon: str, times: int = 1, wider: int = 0) -> str:
+    """The canonical form of an entity's surrogate, as drawn the ``times``-th time.
+
+    It is ``wider`` letters or digits longer than the entity; an IPv4 address becomes an
+    IPv6 one. Lists of given names are walked in a keyed order, so none stands for itself.
+    """
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         head, _, top = domain.rpartition(".")
-        return f"{_spelled(key, 'local ' + domain, local, times)}@{_spelled(key, 'domain', head, 1)}.{top}"
+        return f"{_spelled(key, 'local ' + domain, local + 'b' * wider, times)}@{_spelled(key, 'domain', head, 1)}.{top}"
+    if kind == "ip" and wider:
+        return f"{_number(key, kind, canon, times) % 2**128:032x}"[:4] + "".join(f":{n:x}" for n in permute(key, kind, [int(x) for x in canon.split(".")] + [0] * 3, [256] * 4 + [1 << 16] * 3, times))
     if kind == "ip":
         return ".".join(map(str, permute(key, kind, [int(x) for x in canon.split(".")], [256] * 4, times)))
     if kind == "card":
         off = (int(canon[-1]) - _check_digit(canon[:-1])) % 10
-        body = _spelled(key, f"card {off}", canon[:-1], times)
+        body = _spelled(key, f"card {off}", canon[:-1] + "0" * wider, times)
         return body + str((_check_digit(body) + off) % 10)
-    if kind == "phone":
-        return _spelled(key, kind, canon, times, fixed=2 if canon[0] == "+" else 0)
+    if kind in ("phone", "ssn"):
+        return _spelled(key, kind, canon + "0" * wider, times, fixed=2 if canon[0] == "+" else 0)
     if kind == "iban":
-        return _spelled(key, kind, canon, times, fixed=2)
+        return _spelled(key, kind, canon + "0" * wider, times, fixed=2)
     if kind == "secret":
         if set(canon) <= set(_HEX):
-            return _spelled(key, "hex", canon, times, _HEX)
-        return _spelled(key, kind, canon, times, fixed=4 if canon.startswith("akia") else 0)
-    if kind.startswith("given") and canon in _POOL and _POOL[canon][0][0] == (kind[-1:] if kind[-1] != "-" else _POOL[canon][0][0]):
-        group, place = _POOL[canon]
-        return GIVEN[group][permute(key, str(group), [place], [len(GIVEN[group])], times)[0]].lower()
+            return _spelled(key, "hex", canon + "0" * wider, times, _HEX)
+        return _spelled(key, kind, canon + "0" * wider, times, fixed=4 if canon.startswith("akia") else 0)
+    if _pooled(kind, canon):
+        group, _ = _POOL[canon]
+        order = sorted(GIVEN[group], key=lambda name: _number(key, group, name))
+        return order[[name.lower() for name in order].index(canon) - 1].lower()
     # the ending of a name stays: it often tells the gender
-    return _spelled(key, "name", canon[:-1], times) + canon[-1:]
+    return _spelled(key, "name", canon[:-1] + "b" * wider, times) + canon[-1:]
 
 
 def render(kind: str, surface: str, surrogate: str) -> str:
@@ -199,18 +220,17 @@ def render(kind: str, surface: str, surrogate: str) -> str:
         return surrogate.upper() if surface.isupper() else surrogate.capitalize()
     if kind == "secret" and surface.isupper():
         return surrogate.upper()
-    source = iter(surrogate)
-    if kind in ("card", "ssn", "phone"):
-        digits = iter(re.sub(r"\D", "", surrogate))
-        return "".join(next(digits) if c.isascii() and c.isdigit() else c for c in surface)
+    bare = kind in ("card", "ssn", "phone")
+    source = iter(re.sub(r"\D", "", surrogate) if bare else surrogate)
     out = []
     for c in surface:
-        if kind == "iban" and c == " ":
+        if (bare and not (c.isascii() and c.isdigit())) or (kind == "iban" and c == " "):
             out.append(c)
             continue
-        new = next(source)
+        new = next(source, "")
         out.append(new.upper() if c.isupper() else new)
-    return "".join(out)
+    rest = "".join(source)
+    return "".join(out) + (rest.upper() if surface.isupper() else rest)
 
 
 def _detected(docs: DataFrame) -> DataFrame:
@@ -225,7 +245,7 @@ def _detected(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [
-                    [dict(zip(("begin", "end", "kind", "canon"), e, strict=True)) for e in detect(t or "")]
+                    [{"begin": b, "end": e, "kind": space(k, c), "canon": c} for b, e, k, c in detect(t or "")]
                     for t in part.column("text").to_pylist()
                 ]
                 ids = pa.array(range(uid, uid + len(found)), pa.int64())
@@ -239,11 +259,17 @@ def _detected(docs: DataFrame) -> DataFrame:
     return docs.select(whole, "text").mapInArrow(run, schema)
 
 
-def _stand_ins(entities: DataFrame, key: bytes, draws: range) -> DataFrame:
+def _stand_ins(entities: DataFrame, key: bytes, draws: range, wider: int) -> DataFrame:
+    """The stand-ins of these draws, without those that are the entity itself or a listed given name."""
+
+    def fits(kind: str, canon: str, new: str) -> bool:
+        return new != canon and (new not in _POOL or kind not in ("name", "surname"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("kind").to_pylist(), batch.column("canon").to_pylist(), strict=True)
-            made = [(k, c, n, stand_in(key, k, c, n)) for k, c in pairs for n in draws]
+            made = [(k, c, n, stand_in(key, k, c, n, wider)) for k, c in pairs for n in draws]
+            made = [m for m in made if fits(m[0], m[1], m[3])]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
             columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["kind", "canon", "draw", "surrogate"])
@@ -255,14 +281,16 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     """``kind, canon, surrogate`` of distinct entities: no two alike, none an entity of the corpus.
 
     A stand-in that occurs in the corpus or was given in an earlier round is void. One that
-    several entities draw goes to that of smallest hash; the others draw again. Given names
-    from the built-in lists may occur in the corpus, as they identify nobody.
+    several entities draw goes to that of smallest hash; the others draw again, at last in a
+    wider format, until each has one. Given names from the built-in lists may occur in the
+    corpus, as they identify nobody.
     """
     known = entities.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
     pending, done, drawn, turn = entities, None, 0, 0
     while True:
-        count = DRAWS[min(turn, len(DRAWS) - 1)]
-        made = cut_lineage(_stand_ins(pending, key, range(drawn + 1, drawn + count + 1)), "stand-ins")
+        wider = max(0, turn + 1 - len(DRAWS))
+        count = WIDER_DRAWS if wider else DRAWS[turn]
+        made = cut_lineage(_stand_ins(pending, key, range(drawn + 1, drawn + count + 1), wider), "stand-ins")
         clash = (made["kind"] == known["k"]) & (made["surrogate"] == known["c"]) & ~made["kind"].startswith("given")
         free = made.join(known, clash, "left_anti")
         if done is not None:

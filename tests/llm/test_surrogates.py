@@ -122,3 +122,15 @@ def test_clashes_do_not_merge_entities(spark):
     made = table(spark, phones + names)
     images = {(kind, v) for (kind, _), v in made.items()}
     assert len(images) == len(made) and not images & set(made)
+
+
+def test_used_up_formats_grow(spark):
+    names = [("surname", f"{c}n") for c in "bcdfghjklmnpqrstvwxyz"]  # all 21 values of their format
+    made = table(spark, names + [("given-m", n.lower()) for n in s.GIVEN["m", "latin"]])
+    images = {(kind, v) for (kind, _), v in made.items()}
+    assert len(images) == len(made) and all(v != canon for (_, canon), v in made.items())
+    assert not {v for (kind, _), v in made.items() if kind == "surname"} & {c for _, c in names}
+    assert all(v[-1] == "n" for (kind, _), v in made.items() if kind == "surname")
+    assert s.render("name", "BN", "zkn") == "ZKN" and s.render("phone", "+1 23", "+1456") == "+1 456"
+    for kind, canon in [("email", "a@b.c"), ("ip", "1.2.3.4"), ("card", "4012888888881881"), ("phone", "+12"), ("ssn", "123456789"), ("iban", "de00"), ("secret", "zyx")]:
+        assert len(s.stand_in(KEY, kind, canon, 300, 1)) > len(canon)
