@@ -1,8 +1,8 @@
 """PII surrogates: detected entities get keyed stand-ins of the same type, script and format.
 
 A stand-in comes from a keyed permutation of the entity's own alphabet positions: letters
-become letters of the same script and case, digits become digits, all else stays. It is a
-bijection for each format, so different entities get different stand-ins; the same entity
+become letters of the same script and case, digits become digits of their script, all else
+stays. Different entities get different stand-ins; the same entity
 gets the same one wherever and in whatever case or spacing it occurs. A stand-in that is
 itself an entity of the corpus, or was given to another entity, is drawn anew.
 """
@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import prod
 
 import pyarrow as pa
@@ -56,13 +58,56 @@ ALPHABETS = [
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
 ]
 _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
+#: Sizes of the aligned runs of code points whose letters may stand for each other.
+RUNS = (1 << 7, 1 << 10, 1 << 16)
 _HEX = {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
 
+
+@lru_cache(1 << 16)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+@lru_cache(1 << 10)
+def _alphabet(script: str, category: str, begin: int, size: int) -> str:
+    """The letters of a script and category in a run of code points, with one form in each case."""
+    run = map(chr, range(begin, begin + size))
+    steady = lambda c: len(c.upper()) == 1 and c.upper().lower() == c
+    return "".join(c for c in run if unicodedata.category(c) == category and _script(c) == script and steady(c) and c not in _PLACE)
+
+
+@lru_cache(1 << 16)
+def _place(c: str) -> tuple[str, int] | None:
+    """The alphabet of a letter or digit and a place in it; none for other characters.
+
+    Digits have those of their script. Letters outside ALPHABETS have the letters around
+    them of their script and category, or else vowels or consonants.
+    """
+    if c in _PLACE:
+        return _PLACE[c]
+    if c.isdecimal():
+        digit = unicodedata.decimal(c)
+        return "".join(chr(ord(c) - digit + k) for k in range(10)), digit
+    category = unicodedata.category(c)
+    if category[0] != "L":
+        return None
+    for size in RUNS:
+        letters = _alphabet(_script(c), category, ord(c) // size * size, size)
+        if len(letters) > 1:
+            at = letters.find(c)
+            return letters, at if at >= 0 else ord(c) % len(letters)
+    return ALPHABETS[2], ord(c) % len(ALPHABETS[2])
+
+
+def _ascii_digits(text: str) -> str:
+    return "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Patterns in order of precedence; the first group, if any, is the entity.
 PATTERNS = [
-    ("email", regex.compile(r"[\p{L}\p{M}\d_.%+-]+@[\p{L}\d-]+(?:\.[\p{L}\d-]+)+")),
+    ("email", regex.compile(r"[\p{L}\p{M}\d_.%+-]+@[\p{L}\p{M}\d-]+(?:\.[\p{L}\p{M}\d-]+)+")),
     ("secret", regex.compile(r"\bAKIA[0-9A-Z]{16}\b")),
     ("secret", regex.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([a-z0-9_+/.-]{6,})")),
     ("secret", regex.compile(r"(?<![\p{L}\d])(?=[a-fA-F]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\d])")),
@@ -73,7 +118,8 @@ PATTERNS = [
     ("phone", regex.compile(r"(?<![\p{L}\d])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)")),
     ("phone", regex.compile(r"(?<![\p{L}\d])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\d)")),
 ]
-NAME = regex.compile(rf"\b({_TITLE})\b\.?[ ]((?:\p{{Lu}}[\p{{L}}'’-]+)(?:[ ]\p{{Lu}}[\p{{L}}'’-]+){{0,2}})")
+NAME = regex.compile(rf"\b({_TITLE})\b\.?[ ]((?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)(?:[ ]\p{{Lu}}[\p{{L}}\p{{M}}'’-]+){{0,2}})")
+_FOREIGN_DIGIT = regex.compile(r"[^\P{Nd}0-9]")
 #: What a text must hold for any pattern to match; others are passed on by Spark alone.
 HINT = rf"[0-9@=:]|(?:{_TITLE})\.? "
 
@@ -81,11 +127,11 @@ HINT = rf"[0-9@=:]|(?:{_TITLE})\.? "
 def canonical(kind: str, surface: str) -> str:
     """What makes two mentions the same entity."""
     if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", surface)
+        return _ascii_digits(re.sub(r"\D", "", surface))
     if kind == "phone":
-        return ("+" if surface.startswith("+") else "") + re.sub(r"\D", "", surface)
+        return ("+" if surface.startswith("+") else "") + _ascii_digits(re.sub(r"\D", "", surface))
     if kind == "iban":
-        return surface.replace(" ", "").lower()
+        return _ascii_digits(surface.replace(" ", "").lower())
     if kind == "ip":
         return ".".join(str(int(x)) for x in surface.split("."))
     return surface.lower()
@@ -101,8 +147,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             taken[begin:end] = b"\x01" * (end - begin)
             found.append((begin, end, kind, canonical(kind, text[begin:end])))
 
+    # digits of any script are read as ASCII ones
+    plain = text if text.isascii() else _FOREIGN_DIGIT.sub(lambda m: str(unicodedata.decimal(m.group(), m.group())), text)
     for kind, pattern in PATTERNS:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(plain):
             group = 1 if kind == "secret" and m.re.groups else 0
             begin, end = m.span(group)
             if kind in ("email", "secret"):
@@ -150,15 +198,13 @@ def permute(key: bytes, tweak: str, values: list[int], radices: list[int], times
     return out
 
 
-def _spelled(key: bytes, tweak: str, text: str, times: int, place: dict = _PLACE, fixed: int = 0) -> str:
+def _spelled(key: bytes, tweak: str, text: str, times: int, place: Callable = _place, fixed: int = 0) -> str:
     """``text`` with each letter and digit replaced by one of its own alphabet; the first ``fixed`` stay."""
-    at = [k for k in range(fixed, len(text)) if text[k] in place]
-    new = permute(key, tweak + "|" + "".join("?" if k in set(at) else c for k, c in enumerate(text)),
-                  [place[text[k]][1] for k in at], [len(place[text[k]][0]) for k in at], times) if at else []
-    out = list(text)
-    for k, v in zip(at, new, strict=True):
-        out[k] = place[text[k]][0][v]
-    return "".join(out)
+    places = [place(c) if k >= fixed else None for k, c in enumerate(text)]
+    held = [p for p in places if p]
+    shape = "".join("?" if p else c for p, c in zip(places, text, strict=True))
+    new = iter(permute(key, tweak + "|" + shape, [i for _, i in held], [len(a) for a, _ in held], times) if held else [])
+    return "".join(p[0][next(new)] if p else c for p, c in zip(places, text, strict=True))
 
 
 def _check_digit(digits: str) -> int:
@@ -202,7 +248,7 @@ def stand_in(key: bytes, kind: str, canon: str, times: int = 1, wider: int = 0)
         return _spelled(key, kind, canon + "0" * wider, times, fixed=2)
     if kind == "secret":
         if set(canon) <= set(_HEX):
-            return _spelled(key, "hex", canon + "0" * wider, times, _HEX)
+            return _spelled(key, "hex", canon + "0" * wider, times, _HEX.get)
         return _spelled(key, kind, canon + "0" * wider, times, fixed=4 if canon.startswith("akia") else 0)
     if _pooled(kind, canon):
         group, _ = _POOL[canon]
@@ -212,10 +258,17 @@ def stand_in(key: bytes, kind: str, canon: str, times: int = 1, wider: int = 0)
     return _spelled(key, "name", canon[:-1] + "b" * wider, times) + canon[-1:]
 
 
+def _like(new: str, old: str) -> str:
+    """A character in the case of another, and a digit in its script."""
+    if old.isdecimal() and new.isdecimal():
+        return chr(ord(old) - unicodedata.decimal(old) + unicodedata.decimal(new))
+    return new.upper() if old.isupper() else new
+
+
 def render(kind: str, surface: str, surrogate: str) -> str:
-    """The surrogate in the spacing and case of the mention."""
+    """The surrogate in the spacing, case and digits of the mention."""
     if kind == "ip":
-        return surrogate
+        return "".join(_like(c, surface[0]) for c in surrogate)
     if kind.startswith("given") and len(surrogate) != len(surface):
         return surrogate.upper() if surface.isupper() else surrogate.capitalize()
     if kind == "secret" and surface.isupper():
@@ -224,11 +277,11 @@ def render(kind: str, surface: str, surrogate: str) -> str:
     source = iter(re.sub(r"\D", "", surrogate) if bare else surrogate)
     out = []
     for c in surface:
-        if (bare and not (c.isascii() and c.isdigit())) or (kind == "iban" and c == " "):
+        if (bare and not c.isdecimal()) or (kind == "iban" and c == " "):
             out.append(c)
-            continue
-        new = next(source, "")
-        out.append(new.upper() if c.isupper() else new)
+        else:
+            new = next(source, "")
+            out.append(_like(new, c) if new else "")
     rest = "".join(source)
     return "".join(out) + (rest.upper() if surface.isupper() else rest)
 

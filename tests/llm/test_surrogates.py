@@ -134,3 +134,23 @@ def test_used_up_formats_grow(spark):
     assert s.render("name", "BN", "zkn") == "ZKN" and s.render("phone", "+1 23", "+1456") == "+1 456"
     for kind, canon in [("email", "a@b.c"), ("ip", "1.2.3.4"), ("card", "4012888888881881"), ("phone", "+12"), ("ssn", "123456789"), ("iban", "de00"), ("secret", "zyx")]:
         assert len(s.stand_in(KEY, kind, canon, 300, 1)) > len(canon)
+
+
+def test_every_script_is_replaced():
+    text = (
+        "用户@例子.com محمد@مثال.com שלום@דוגמה.com 홍길동@한국.com ไทย@ไทย.com हिंदी@भारत.com łódź@ąęć.pl ß@ß.de ꙗ@ꙗ.ru "
+        "call +٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨, card ४०१२८८८८८८८८१८८१, ١٢٣-٤٥-٦٧٨٩, ١٦٩.١٢٢.٢٢١.١٨٢, DE٨٩ 3704 0044 0532 0130 00. Mr. Łučžőñ"
+    )
+    entities = found(text)
+    assert [kind for _, kind in entities] == ["email"] * 9 + ["phone", "card", "ssn", "ip", "iban", "surname"]
+    for surface, kind in entities:
+        new = stand_in(surface, kind)
+        kept = [a for a, b in zip(surface, new, strict=False) if a == b and a.isalnum()]
+        assert new != surface and len(kept) < 0.7 * sum(c.isalnum() for c in surface)
+        if kind != "ip":
+            assert [c.isdecimal() and s._place(c)[0] for c in new] == [c.isdecimal() and s._place(c)[0] for c in surface]
+    assert all(s._script(c) == "HANGUL" for c in stand_in("홍길동@한국.com", "email")[:3])
+    assert s.canonical("phone", "+٤٤ ٢٠ ٧٩٤٦") == s.canonical("phone", "+44 20 7946")
+    assert set(stand_in("١٦٩.١٢٢.٢٢١.١٨٢", "ip")) <= set("٠١٢٣٤٥٦٧٨٩.")
+    accented = "łčžšőąęćğ"
+    assert sum(a != b for a, b in zip(accented, s.stand_in(KEY, "surname", accented + "a"), strict=False)) > 5
