@@ -119,6 +119,10 @@ PATTERNS = [
     ("phone", regex.compile(r"(?<![\p{L}\d])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\d)")),
 ]
 NAME = regex.compile(rf"\b({_TITLE})\b\.?[ ]((?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)(?:[ ]\p{{Lu}}[\p{{L}}\p{{M}}'’-]+){{0,2}})")
+#: A word with its inner hyphens and apostrophes, and the parts of one.
+WORD = regex.compile(r"(?<![\p{L}\p{M}\d_])\p{L}[\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*(?![\p{L}\p{M}\d_])")
+WORD_PART = regex.compile(r"[\p{L}\p{M}]+")
+_TAIL = regex.compile(r"(?:['’][sS])?['’-]*$")
 _FOREIGN_DIGIT = regex.compile(r"[^\P{Nd}0-9]")
 #: What a text must hold for any pattern to match; others are passed on by Spark alone.
 HINT = rf"[0-9@=:]|(?:{_TITLE})\.? "
@@ -138,7 +142,11 @@ def canonical(kind: str, surface: str) -> str:
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """``(begin, end, kind, canonical form)`` of the entities, in order and without overlap."""
+    """``(begin, end, kind, canonical form)`` of the entities, in order and without overlap.
+
+    A name found after a form of address is an entity wherever else it stands in the text as
+    a word or part of one with a capital letter.
+    """
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
 
@@ -156,13 +164,23 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if kind in ("email", "secret"):
                 end = begin + len(text[begin:end].rstrip(".-"))
             add(begin, end, kind)
+    names: dict[str, str] = {}
     for m in NAME.finditer(text):
         gender = _GENDER[m.group(1)]
         parts = list(regex.finditer(r"[^ ]+", m.group(2)))
         for k, part in enumerate(parts):
             begin = m.start(2) + part.start()
+            name = _TAIL.sub("", part.group(), count=1)
             kind = f"given-{gender}" if k < len(parts) - 1 else "surname"
-            add(begin, begin + len(part.group()), kind)
+            names.setdefault(name.lower(), kind)
+            add(begin, begin + len(name), kind)
+    for m in WORD.finditer(text) if names else ():
+        whole = [(m.start(), m.group())]
+        if m.group().lower() not in names:
+            whole = [(m.start() + part.start(), part.group()) for part in WORD_PART.finditer(m.group())]
+        for begin, word in whole:
+            if word.lower() in names and word[0].isupper():
+                add(begin, begin + len(word), names[word.lower()])
     return sorted(found)
 
 

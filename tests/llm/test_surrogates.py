@@ -154,3 +154,16 @@ def test_every_script_is_replaced():
     assert set(stand_in("١٦٩.١٢٢.٢٢١.١٨٢", "ip")) <= set("٠١٢٣٤٥٦٧٨٩.")
     accented = "łčžšőąęćğ"
     assert sum(a != b for a, b in zip(accented, s.stand_in(KEY, "surname", accented + "a"), strict=False)) > 5
+
+
+def test_later_mentions_of_a_name_are_found(spark):
+    text = "Mr. John Smith's dog came. Smith paid; JOHN left, Smith-Jones and Smith’s too. A smith, Johnny, a_Smith. Ms O'Brien; O'Brien"
+    names = ["John", "Smith", "Smith", "JOHN", "Smith", "Smith", "O'Brien", "O'Brien"]
+    assert [surface for surface, _ in found(text)] == names
+    out = s.replace_entities(frame(spark, [text, "Smith and John without a title: 1"]), KEY, count="n").orderBy("doc_id").collect()
+    assert out[0].n == len(names) and out[1].n == 0
+    given, surname = re.match(r"Mr. (\w+) (\w+)'s dog", out[0].text).groups()
+    assert f"came. {surname} paid; {given.upper()} left, {surname}-Jones and {surname}’s too. A smith, Johnny, a_Smith." in out[0].text
+    assert not {"John", "Smith"} & {given, surname}
+    first, second = re.search(r"Ms (\S+); (\S+)$", out[0].text).groups()
+    assert first == second != "O'Brien"
