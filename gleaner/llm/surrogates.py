@@ -107,9 +107,13 @@ _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Patterns in order of precedence; the first group, if any, is the entity.
 PATTERNS = [
+    # a quoted string, or else what stands before a delimiter
+    ("secret", regex.compile(
+        r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*"
+        r"(?:\"(?P<v>[^\"\r\n]{6,})\"|'(?P<v>[^'\r\n]{6,})'|[\"']?(?P<v>[^\s\"<>,;]{6,}|[^\s\"<>]{6,}))"
+    )),
     ("email", regex.compile(r"[\p{L}\p{M}\d_.%+-]+@[\p{L}\p{M}\d-]+(?:\.[\p{L}\p{M}\d-]+)+")),
     ("secret", regex.compile(r"\bAKIA[0-9A-Z]{16}\b")),
-    ("secret", regex.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([a-z0-9_+/.-]{6,})")),
     ("secret", regex.compile(r"(?<![\p{L}\d])(?=[a-fA-F]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\d])")),
     ("iban", regex.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("card", regex.compile(r"(?<![\p{L}\d])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\p{L}\d])")),
@@ -159,10 +163,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     plain = text if text.isascii() else _FOREIGN_DIGIT.sub(lambda m: str(unicodedata.decimal(m.group(), m.group())), text)
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(plain):
-            group = 1 if kind == "secret" and m.re.groups else 0
-            begin, end = m.span(group)
-            if kind in ("email", "secret"):
+            begin, end = m.span("v" if "v" in pattern.groupindex else 0)
+            if kind == "email":
                 end = begin + len(text[begin:end].rstrip(".-"))
+            if kind == "secret":  # punctuation at its ends would stay as it is
+                while begin < end and not text[end - 1].isalnum():
+                    end -= 1
             add(begin, end, kind)
     names: dict[str, str] = {}
     for m in NAME.finditer(text):
