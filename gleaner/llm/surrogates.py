@@ -129,7 +129,7 @@ WORD_PART = regex.compile(r"[\p{L}\p{M}]+")
 _TAIL = regex.compile(r"(?:['’][sS])?['’-]*$")
 _FOREIGN_DIGIT = regex.compile(r"[^\P{Nd}0-9]")
 #: What a text must hold for any pattern to match; others are passed on by Spark alone.
-HINT = rf"[0-9@=:]|(?:{_TITLE})\.? "
+HINT = rf"[\p{{Nd}}@=:]|AKIA|(?:{_TITLE})\.? "
 
 
 def canonical(kind: str, surface: str) -> str:
