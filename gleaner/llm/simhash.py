@@ -181,13 +181,8 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, fingerprint (long), component_id.
-
-    component_id is the smallest doc_id reachable over fingerprints at most ``max_bits``
-    apart, its own included; null if no row of the component has an id. Null and empty
-    texts have fingerprint zero and are linked like any other. Equal rows share a class.
-    """
+def _classes(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``root``, the smallest fingerprint of the class."""
     prints = cut_lineage(fingerprints(docs, shingle), "fingerprints")
     nodes = cut_lineage(
         prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("first")), "nodes"
@@ -195,22 +190,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     roots = components(cut_lineage(links(nodes.select("node"), max_bits), "links"))
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut_lineage(classed.join(lowest, "root").select("node", "component_id"), "classes")
+    classes = cut_lineage(classed.join(lowest, "root").select("node", "component_id", "root"), "classes")
     return prints.join(classes, prints["fingerprint"] == classes["node"]).drop("node")
 
 
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_key, fingerprint (long), component_id.
+
+    component_id is the smallest doc_id reachable over fingerprints at most ``max_bits``
+    apart, its own included; null if no row of the component has an id. Null and empty
+    texts have fingerprint zero and are linked like any other. Equal rows share a class.
+    """
+    return _classes(docs, shingle, max_bits).drop("root")
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each class: that of smallest doc_id, then smallest text key.
 
     A row without an id goes if its class has a row with one. Equal rows count once.
     """
-    classes = near_duplicates(docs, shingle, max_bits)
+    classes = _classes(docs, shingle, max_bits)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    # a class of documents without any id is named by its fingerprints' smallest text key
-    first = classes.groupBy(
-        F.coalesce("component_id", F.lit(-1)).alias("c"),
-        F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"),
-    ).agg(F.min(rank).alias("r"))
+    first = classes.groupBy("root").agg(F.min(rank).alias("r"))
     text_key, id_key, no_id = private_names(docs, "_text_key", "_id_key", "_no_id")
     chosen = first.select(
         F.coalesce("r.doc_id", F.lit(0)).alias(id_key),

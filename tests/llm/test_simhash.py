@@ -95,3 +95,13 @@ def test_keep_one_row_of_each_class(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r[0] or -1, r[2]) for r in kept.collect()) == [(-1, "p"), (2, "m"), (5, "z")]
+
+
+def test_rows_without_ids_keep_one_of_a_class(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in range(0, 400, 8)]
+    prints = [plain_print(t) for t in texts]
+    roots = plain_classes(prints)
+    assert len(set(roots)) < len(set(prints))  # some fingerprints of a class differ
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == len(set(roots))
