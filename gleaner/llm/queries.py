@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import hmm, nbest, packing, prefix, quality, simhash, substring, surrogates, topk, warc
+from gleaner.llm import (
+    alignment,
+    hmm,
+    nbest,
+    packing,
+    prefix,
+    quality,
+    simhash,
+    substring,
+    suffixes,
+    surrogates,
+    topk,
+    variants,
+    warc,
+)
 from gleaner.llm.common import table
 
 
@@ -66,6 +80,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of every document, weighed by corpus-wide counts."""
+    return alignment.aligned_counts(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with its near words, its form and its root."""
+    return variants.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated strings of 400 bytes cover, and what stays."""
+    out = suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_segmentation": op2_segmentation,
@@ -77,6 +107,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_surrogates": op9_surrogates,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
+    "op12_variants": op12_variants,
+    "op13_suffix_array": op13_suffix_array,
 }
 
 ORACLES: dict[str, str] = {

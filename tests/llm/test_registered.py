@@ -12,7 +12,7 @@ SF_DIR = os.environ.get("GLEANER_TEST_SF", "/root/testdata/sf0.001")
 
 
 def test_all_are_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert QUERIES.keys() | {"pipeline"} <= contract.queries().keys()
     assert ORACLES.keys() <= contract.oracle_sql().keys() & QUERIES.keys()
 
@@ -36,5 +36,8 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_query_covers_its_table(spark, name):
     out = QUERIES[name](spark, SF_DIR)
+    if name == "op12_variants":  # a row for each word, checked in its own tests
+        assert out.count() == out.select("word").distinct().count() > 0
+        return
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert out.select("doc_id").distinct().count() == docs.count()
