@@ -7,17 +7,21 @@ with the same next ``length - m`` bytes.
 
 1. **Sorted samples.** Every sampled place gets a name for its next ``length - m`` bytes. Spark
    sorts the names into its partitions; a name that occurs once settles its place as unique.
-2. **Recursion on names.** The names of the places ``m`` before, at and ``m`` after a sampled
-   place form a triple. Since names are at least ``m`` bytes long, a triple names all the bytes
-   of all strings of ``length`` whose first sampled place with a repeat may be this one. Equal
-   triples settle those strings as repeated, and no deeper level is needed.
-3. **Merge of the remaining suffixes.** Where a name is repeated but a triple is not, a repeat
-   begins or ends nearby. There all suffixes, sampled or not, are compared by their first
-   ``length`` bytes, one representative for each triple.
-4. **Adjacent prefixes.** Equal prefixes that meet there are repeats; marks go back to the texts.
-
-A name is a fingerprint, so it needs no rank of a neighbour to be formed, and only places with
-repeats are ever listed. Groups are counted before they shuffle and never gathered.
+2. **Triples.** The names of the places ``m`` before, at and ``m`` after a sampled place form a
+   triple. Names are at least ``m`` bytes long, so a triple names all bytes of the ``m`` strings
+   that the place stands for. Equal triples settle those strings as repeated.
+3. **Recursion on names.** A place whose name is repeated while its triple is not lies where a
+   repeat begins or ends. Its range of strings is cut into ``PARTS`` ranges, each with a name of
+   the bytes that all its strings share and one of all the bytes that any of them has: the
+   first alone settles the range as unique if it occurs once, the second as repeated if it
+   occurs again.
+4. **Merge of the remaining suffixes.** In the ranges that are still open all suffixes, sampled
+   or not, are brought together by their first ``length`` bytes, and equal prefixes that meet
+   are repeats.
+
+On every level one representative of each distinct content goes on, and only where some member
+of its group is open. A name is a fingerprint, so it needs no rank of a neighbour to be formed.
+Groups are counted before they shuffle and never gathered.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from gleaner.llm.common import mix, quoted, release, slices, starts_of
 from gleaner.session import cut_lineage
 
 LENGTH = 400
+#: Ranges into which an open range is cut before its suffixes are merged one by one.
+PARTS = 4
 #: Bytes hashed at once; a longer text is hashed in pieces that overlap.
 CHUNK = 1 << 20
 
@@ -104,7 +110,7 @@ class Hashes:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(words ^ _KEYS[2 + which]) * powers[:n], out=self.sums[1:])
 
-    def of(self, begin: np.ndarray, size: int) -> np.ndarray:
+    def of(self, begin: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         """The name of ``size`` (8 or more) bytes from each place."""
         return mix((self.sums[begin + (size - 7)] - self.sums[begin]) * self.inverses[begin])
 
@@ -197,32 +203,60 @@ def _sampled_names(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "name long")
 
 
-def _sampled_places(docs: DataFrame, length: int) -> DataFrame:
-    """``name, triple, doc, key, at`` of each sampled place."""
+_ROWS = "core long, hull long, doc long, key long, at int"
+
+
+def _batch(part: pa.RecordBatch, core: np.ndarray, hull: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(row)
+    columns = [_signed(core), _signed(hull), part.column("doc").take(rows), part.column("key").take(rows)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(at.astype(np.int32))], ["core", "hull", "doc", "key", "at"])
+
+
+def _sampled_ranges(docs: DataFrame, length: int) -> DataFrame:
+    """``core, hull, doc, key, at`` of each sampled place: its name, its triple, and the first of
+    the strings that it stands for (before the text begins, where it is among the first)."""
+    m = modulus_for(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", CHUNK):
                 for x in pieces(part.column("text"), length):
                     s = samples(x, length)
-                    rows = pa.array(x.row[s.piece])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            _signed(_names(x, s, Hashes(x.data, 0), length)),
-                            _signed(_triples(x, s, Hashes(x.data, 1), length)),
-                            part.column("doc").take(rows),
-                            part.column("key").take(rows),
-                            pa.array(s.at.astype(np.int32)),
-                        ],
-                        ["name", "triple", "doc", "key", "at"],
-                    )
+                    core = _names(x, s, Hashes(x.data, 0), length)
+                    hull = _triples(x, s, Hashes(x.data, 1), length)
+                    yield _batch(part, core, hull, x.row[s.piece], s.at - m + 1)
+
+    return docs.select("doc", "key", "text").mapInArrow(run, _ROWS)
 
-    return docs.select("doc", "key", "text").mapInArrow(run, "name long, triple long, doc long, key long, at int")
 
+def _inner_ranges(docs: DataFrame, length: int, outer: int, width: int) -> DataFrame:
+    """The same for the ranges of ``width`` strings inside the ranges of ``outer`` in ``open``.
 
-def _windows_of(places: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last start of the strings that the sampled places settle, in a text of ``size`` bytes."""
-    return np.maximum(places - modulus_for(length) + 1, 0), np.minimum(places, size - length)
+    With a width of one both names are those of the string itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = np.arange(0, outer, width)
+        for batch in batches:
+            for part in slices(batch, "text", CHUNK):
+                starts = [np.unique(np.array(v.values, np.int64)[:, None] + inside) for v in part.column("open")]
+                for x in pieces(part.column("text"), length):
+                    counts = np.array([len(starts[r]) for r in x.row.tolist()], np.int64)
+                    at = np.concatenate([starts[r] for r in x.row.tolist()])
+                    piece = np.repeat(np.arange(len(counts)), counts)
+                    low, last = np.maximum(at, 0), np.minimum(at + width - 1, x.size[piece] - length)
+                    mine = np.flatnonzero((low <= last) & (low >= x.low[piece]) & (low < x.high[piece]))
+                    at, piece, low, last = at[mine], piece[mine], low[mine], last[mine]
+                    origin = x.first[piece] - x.base[piece]
+                    core = Hashes(x.data, 0).of(origin + at + width - 1, length - width + 1)
+                    hull = Hashes(x.data, 1).of(origin + low, last - low + length)
+                    if width > 1:  # ranges cut by the edge of a text equal none that are not
+                        hull = mix(hull + (low - at).astype(np.uint64) * _KEYS[4] + (last - at).astype(np.uint64) * _KEYS[5])
+                    for begin in range(0, len(at), CHUNK):
+                        rows = slice(begin, begin + CHUNK)
+                        yield _batch(part, core[rows], hull[rows], x.row[piece[rows]], at[rows])
+
+    return docs.select("doc", "key", "text", "open").mapInArrow(run, _ROWS)
 
 
 def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,62 +267,39 @@ def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], reach[np.append(new[1:], len(low)) - 1] if len(new) else reach
 
 
-def _remaining_suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """``h1, h2, doc, key, at``: every string of ``length`` bytes near the places in ``open``."""
+def _settle(ranges: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """Of a level's ranges, the repeated ones (doc, key, at, width) and the open ones (doc, key, open).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", CHUNK):
-                places = [np.array(v.values, np.int64) for v in part.column("open")]
-                for x in pieces(part.column("text"), length):
-                    lows, highs, of = [], [], []
-                    for k, row in enumerate(x.row.tolist()):
-                        low, last = _windows_of(places[row], int(x.size[k]), length)
-                        low, high = np.maximum(low, x.low[k]), np.minimum(last + 1, x.high[k])
-                        low, high = _runs(low[low < high], high[low < high])
-                        lows.append(low)
-                        highs.append(high)
-                        of.append(np.full(len(low), k))
-                    low, piece = np.concatenate(lows), np.concatenate(of)
-                    count = np.concatenate(highs) - low
-                    at = np.repeat(low - starts_of(count)[:-1], count) + np.arange(count.sum())
-                    piece = np.repeat(piece, count)
-                    place = x.first[piece] + at - x.base[piece]
-                    one, two = Hashes(x.data, 0).of(place, length), Hashes(x.data, 1).of(place, length)
-                    for begin in range(0, len(at), CHUNK):
-                        end = begin + CHUNK
-                        rows = pa.array(x.row[piece[begin:end]])
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                _signed(one[begin:end]),
-                                _signed(two[begin:end]),
-                                part.column("doc").take(rows),
-                                part.column("key").take(rows),
-                                pa.array(at[begin:end].astype(np.int32)),
-                            ],
-                            ["h1", "h2", "doc", "key", "at"],
-                        )
-
-    return docs.select("doc", "key", "text", "open").mapInArrow(run, "h1 long, h2 long, doc long, key long, at int")
+    A range is repeated if its hull occurs twice. It stays open if its core occurs twice; then
+    one range of each hull of that core goes on, since it may hold what the open one repeats.
+    Single strings have one name, so none of them stays open.
+    """
+    counted = [F.count("*").alias("n")]
+    if width > 1:
+        counted.append(F.min(F.struct("doc", "key", "at")).alias("one"))
+    hulls = ranges.groupBy("core", "hull").agg(*counted)
+    hulls = cut_lineage(hulls if width > 1 else hulls.filter("n > 1"), "hulls")
+    twice = hulls.filter("n > 1").select("core", "hull")
+    repeated = ranges.join(twice, ["core", "hull"]).select("doc", "key", "at", F.lit(width).alias("width"))
+    repeated = cut_lineage(repeated, "repeated")
+    if width == 1:
+        return repeated, None
+    cores = hulls.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least"))
+    cores = cores.filter("total > 1 and least = 1").select("core")
+    going = hulls.join(cores, "core").select("one.*").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
+    return repeated, cut_lineage(going, "open-ranges")
 
 
 def _verdicts(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
-    """One row per row of ``docs``, which has the ``whole`` places and the ``hit`` strings of its text."""
+    """One row per row of ``docs``, which has the repeated ranges of strings of its text as ``marks``."""
     made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:int,end:int>>"
     made += ", kept binary" if with_bytes else ""
 
-    def judge(text: bytes, whole: np.ndarray | None, hit: np.ndarray | None) -> tuple[list[dict], bytes]:
-        lows, highs = [], []
-        if whole is not None:
-            low, last = _windows_of(whole, len(text), length)
-            lows.append(low)
-            highs.append(last + length)
-        if hit is not None:
-            lows.append(hit)
-            highs.append(hit + length)
-        if not lows:
+    def judge(text: bytes, marks: pa.Scalar) -> tuple[list[dict], bytes]:
+        if not marks.is_valid:
             return [], text
-        low, high = _runs(np.concatenate(lows), np.concatenate(highs))
+        at, width = (np.array(marks.values.field(k), np.int64) for k in (0, 1))
+        low, high = _runs(np.maximum(at, 0), np.minimum(at + width - 1 + length, len(text)))
         spans = [{"begin": a, "end": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         edges = [0, *(e for s in spans for e in (s["begin"], s["end"])), len(text)]
         return spans, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -298,10 +309,7 @@ def _verdicts(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", CHUNK):
                 texts = pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()
-                lists = [
-                    [np.array(v.values, np.int64) if v.is_valid else None for v in part.column(c)] for c in ("whole", "hit")
-                ]
-                found = [judge(*x) for x in zip(texts, *lists, strict=True)]
+                found = [judge(*x) for x in zip(texts, part.column("marks"), strict=True)]
                 columns = [
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([len(t) - len(k) for t, (_, k) in zip(texts, found, strict=True)], pa.int64()),
@@ -313,10 +321,10 @@ def _verdicts(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
                 if with_bytes:
                     columns.append(pa.array([k for _, k in found], pa.binary()))
                     names.append("kept")
-                others = [c for c in part.schema.names if c not in ("text", "whole", "hit")]
+                others = [c for c in part.schema.names if c not in ("text", "marks")]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], *columns], [*others, *names])
 
-    passed = [f for f in docs.schema if f.name not in ("text", "whole", "hit")]
+    passed = [f for f in docs.schema if f.name not in ("text", "marks")]
     return docs.mapInArrow(run, T.StructType([*passed, *T.StructType.fromDDL(made)]))
 
 
@@ -333,7 +341,7 @@ def repeated_bytes(
     other, so equal rows lose every string they hold. ``extra`` columns come along inside a struct
     ``extra``. An empty table gives an empty one. A text is hashed in pieces of ``CHUNK`` bytes.
     """
-    modulus_for(length)  # refuses what is too short
+    m = modulus_for(length)
     spark = docs.sparkSession
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
@@ -345,21 +353,17 @@ def repeated_bytes(
     named = _sampled_names(base, length).groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
     named = cut_lineage(named.select("name"), "repeated-names")
     release(spark)
-    places = cut_lineage(_sampled_places(base, length).join(named, "name"), "places")
-    release(spark)
-    triples = places.groupBy("name", "triple").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "at")).alias("one"))
-    triples = cut_lineage(triples, "triples")
-    settled = places.join(triples.filter("n > 1").select("name", "triple"), ["name", "triple"])
-    settled = settled.groupBy("doc", "key").agg(F.collect_set("at").alias("whole"))
-    settled = cut_lineage(settled, "settled")
-    unsettled = triples.filter("n = 1").select("name").distinct()
-    unsettled = triples.join(unsettled, "name").select("one.*").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
-    suffixes = _remaining_suffixes(base.select("doc", "key", "text").join(unsettled, ["doc", "key"]), length)
-    suffixes = cut_lineage(suffixes, "suffixes")
+    ranges = cut_lineage(_sampled_ranges(base, length).join(named.withColumnRenamed("name", "core"), "core"), "ranges")
     release(spark)
-    equal = suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    equal = cut_lineage(equal, "equal-prefixes")
-    hits = suffixes.join(equal, ["h1", "h2"]).groupBy("doc", "key").agg(F.collect_set("at").alias("hit"))
-    marks = cut_lineage(settled.join(hits, ["doc", "key"], "full_outer"), "marks")
+    found, going = _settle(ranges, m)
+    repeated, outer = found, m
+    for width in dict.fromkeys([-(-m // PARTS), 1]):
+        texts = base.select("doc", "key", "text").join(going, ["doc", "key"])
+        ranges = cut_lineage(_inner_ranges(texts, length, outer, width), "ranges")
+        release(spark)
+        found, going = _settle(ranges, width)
+        repeated, outer = repeated.unionByName(found), width
+    marks = repeated.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "width")).alias("marks"))
+    marks = cut_lineage(marks, "marks")
     release(spark)
     return _verdicts(base.join(marks, ["doc", "key"], "left").drop("doc", "key"), length, with_bytes)
