@@ -1,31 +1,27 @@
 """Selectors over captured HTML, as native column expressions.
 
-Captured HTML is rarely well formed, so nothing here parses a tree. A page is first
-prepared (comments become separators, script and style bodies lose their ``<``), then
-cut at the boundaries of the wanted tag. Each tag follows one of three end rules:
+Captured HTML is rarely well formed, so no tree is built. A page is first prepared (comments
+become separators, script and style bodies lose their ``<``) and cut into its tags and the
+texts between them, by one pattern each. :mod:`gleaner.operators.elements` gives every open
+tag its interval; a selector is then a filter over names and intervals, whatever the markup
+around them. Tags end by three rules:
 
 * flat: the element ends at the next boundary (paragraphs, headings, void tags);
 * scoped: it ends at the next sibling, unless that lies inside a nested container, or
   where a container around it closes (list items, table cells, links, inline tags);
 * balanced: it ends at its matching close tag (every other tag).
-
-Offsets and depths are running sums over the pieces, and all ends are found by one sort, so
-the work follows the length of a page and of what is selected from it.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.sqltext import (
-    Body, each, first, fold, fresh, keep, let, quoted, raw, running_sums, strings,
-)
-from gleaner.functions.text import decode_entities_sql, quotes_closed_sql
+from gleaner.functions.sqltext import Body, each, first, fold, fresh, keep, let, quoted, raw
+from gleaner.functions.text import BLANK_CHARACTERS, TAG, decode_entities_sql
 
 # Fixed values (HTML standard): elements without content.
 VOID_TAGS = (
@@ -37,31 +33,24 @@ PARAGRAPH_ENDS = (
     "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol pre section table ul"
 ).split()
 _PARENT_ENDS = "body html li dd dt td th".split()
-_BLOCKS = [t for t in [*PARAGRAPH_ENDS, *_PARENT_ENDS] if t not in VOID_TAGS]
-
-# Flat tags and the further boundaries that end them.
-FLAT_TAGS: dict[str, list[str]] = {
-    "p": PARAGRAPH_ENDS + _PARENT_ENDS,
-    **{t: [] for t in "h1 h2 h3 h4 h5 h6 title script style textarea button".split()},
-    **{t: [] for t in VOID_TAGS},
-}
-# Scoped tags: (siblings that end them, containers that hide siblings). The close tag of a
-# container that was opened outside the element ends it too.
-SCOPED_TAGS: dict[str, tuple[list[str], list[str]]] = {
-    "li": (["li"], ["ul", "ol", "menu"]),
-    "dt": (["dt", "dd"], ["dl"]),
-    "dd": (["dt", "dd"], ["dl"]),
-    "tr": (["tr", "tbody", "thead", "tfoot"], ["table"]),
-    "td": (["td", "th", "tr", "tbody", "thead", "tfoot"], ["table"]),
-    "th": (["td", "th", "tr", "tbody", "thead", "tfoot"], ["table"]),
-    "option": (["option", "optgroup"], ["select"]),
-    "a": (["a"], _BLOCKS),
-    **{
-        t: ([t, "p", "center"], _BLOCKS)
-        for t in "b big em font i s small strong tt u".split()
-    },
-    **{t: (["p"], [t, *_BLOCKS]) for t in "abbr cite code label q span sub sup".split()},
+BLOCKS = [t for t in [*PARAGRAPH_ENDS, *_PARENT_ENDS] if t not in VOID_TAGS]
+#: Any of these tags, opening or closing, ends a paragraph.
+PARAGRAPH_BOUNDARIES = ["p", *PARAGRAPH_ENDS, *_PARENT_ENDS]
+#: These end at the next tag of their own name.
+FLAT_TAGS = "h1 h2 h3 h4 h5 h6 title script style textarea button".split()
+#: Siblings that end one another, what else ends them, and the containers that hide all those.
+SIBLING_GROUPS = {
+    "li": (["li"], [], ["ul", "ol", "menu"]),
+    "dd": (["dt", "dd"], [], ["dl"]),
+    "option": (["option"], ["optgroup"], ["select"]),
+    "tr": (["tr"], ["tbody", "thead", "tfoot"], ["table"]),
 }
+#: Cells are ended by what ends a row, and by one another.
+CELLS = ["td", "th"]
+#: Ended by their own name, and where a block around them closes; fonts also by paragraphs.
+FONT_TAGS = "b big em font i s small strong tt u".split()
+#: Balanced, but also ended by a paragraph or where a block around them closes.
+PHRASE_TAGS = "abbr cite code label q span sub sup".split()
 
 STEP_PATTERN = r"(//?)([A-Za-z][A-Za-z0-9\-]*)(\[[^\]]*\])?"
 PREDICATE_PATTERN = (
@@ -69,8 +58,6 @@ PREDICATE_PATTERN = (
     r"""|contains\(\s*@([A-Za-z][\w\-]*)\s*,\s*(?:'([^']*)'|"([^"]*)")\s*\))\]$"""
 )
 
-_OPEN_TAG = r"""^<[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_LOOSE_TAG = r"^<[A-Za-z][^>]*+>"
 _ATTRIBUTE = r"""[^\s=/>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
@@ -113,45 +100,6 @@ def parse_steps(xpath: str) -> list[Step]:
     return steps
 
 
-_END = r"(?=[\s/>])"
-
-
-def _boundary(tag: str, extra: list[str]) -> str:
-    names = "|".join([tag, *[e for e in extra if e != tag]])
-    return f"(?i)(?=</?(?:{names}){_END})"
-
-
-def _tag_rule(tag: str) -> dict:
-    """How elements of a tag start and end."""
-    siblings, containers = SCOPED_TAGS.get(tag, ([], [tag]))
-    return {
-        "boundary": _boundary(tag, FLAT_TAGS.get(tag, [*siblings, *containers])),
-        "start": f"(?i)^<{tag}{_END}",
-        "flat": tag in FLAT_TAGS,
-        "void": tag in VOID_TAGS,
-        "siblings": siblings,
-        "containers": containers,
-    }
-
-
-_RULE_TYPE = (
-    "struct<boundary:string,start:string,flat:boolean,void:boolean,"
-    "siblings:array<string>,containers:array<string>>"
-)
-_KNOWN_RULES = json.dumps({tag: _tag_rule(tag) for tag in [*FLAT_TAGS, *SCOPED_TAGS]})
-
-
-def _rule_sql(tag: str) -> str:
-    """The rule of a tag held in a column, so that selectors carry theirs as data."""
-    generic = f"""named_struct(
-        'boundary', concat('(?i)(?=</?', {tag}, {raw(_END)}, ')'),
-        'start', concat('(?i)^<', {tag}, {raw(_END)}),
-        'flat', false, 'void', false,
-        'siblings', {strings([])}, 'containers', array({tag}))"""
-    known = f"from_json({quoted(_KNOWN_RULES)}, 'map<string,{_RULE_TYPE}>')"
-    return f"coalesce(try_element_at({known}, {tag}), {generic})"
-
-
 def step_sql(xpath: str) -> str:
     """Steps of selectors held in a column; NULL where the selector is not supported."""
     anchored = raw("^" + STEP_PATTERN)
@@ -176,8 +124,7 @@ def step_sql(xpath: str) -> str:
                 'test', CASE WHEN {p} = '' THEN NULL
                     WHEN {groups(p, 4)} IS NOT NULL THEN 'contains'
                     WHEN contains({p}, '=') THEN 'equals' ELSE 'has' END,
-                'value', if(contains({p}, '='), coalesce({value}, ''), {value}),
-                'rule', {let(f"lower({part(piece, 2)})", _rule_sql)})"""
+                'value', if(contains({p}, '='), coalesce({value}, ''), {value}))"""
 
         return let(part(piece, 3), with_predicate)
 
@@ -196,7 +143,7 @@ def step_sql(xpath: str) -> str:
 
 
 def step_column(xpath: str) -> Column:
-    """:func:`step_sql` as a column of ``array<struct<axis,tag,attr,test,value,rule>>``."""
+    """:func:`step_sql` as a column of ``array<struct<axis,tag,attr,test,value>>``."""
     return F.expr(step_sql(xpath))
 
 
@@ -231,15 +178,19 @@ def prepare(html: str) -> Column:
     return F.expr(prepare_sql(html))
 
 
-def open_tag_sql(piece: str) -> str:
-    """The open tag a piece of markup starts with, quoted ``>`` respected."""
+def tags_sql(markup: str) -> str:
+    """All tags of prepared markup in order, quoted ``>`` respected."""
+    return f"regexp_extract_all({markup}, {raw(TAG)}, 0)"
+
 
-    def tag(head: str) -> str:
-        return f"""if(contains({piece}, '>') AND {quotes_closed_sql(head)}, concat({head}, '>'),
-            coalesce(nullif(regexp_extract({piece}, {raw(_OPEN_TAG)}, 0), ''),
-                regexp_extract({piece}, {raw(_LOOSE_TAG)}, 0)))"""
+def nodes_sql(markup: str) -> str:
+    """The text before the first tag and the one after each tag, entities decoded."""
+    cut = f"split({markup}, {raw(TAG)}, -1)"
+    return f"if(contains({markup}, '&'), {each(cut, decode_entities_sql)}, {cut})"
 
-    return let(f"substring_index({piece}, '>', 1)", tag)
+
+def stripped_sql(nodes: str) -> str:
+    return each(nodes, lambda node: f"trim(BOTH {quoted(BLANK_CHARACTERS)} FROM {node})")
 
 
 def _attribute_pattern(name: str) -> str:
@@ -268,60 +219,17 @@ def attribute(tag: str, name: str) -> Column:
     return F.expr(attribute_sql(tag, name))
 
 
-def _self_closed(tag: str) -> str:
-    return f"rlike({tag}, {raw(r"""(?:["'\s]|^<[A-Za-z][A-Za-z0-9\-]*)/>$""")})"
-
-
-ELEMENT_TYPE = "array<struct<at:int,open:string,inner:string>>"
-
-
-def _name_of(piece: str) -> str:
-    return f"lower(regexp_extract({piece}, {raw(r'^</?([A-Za-z][A-Za-z0-9\-]*)')}, 1))"
-
-
-def _depth_step(piece: str, rule: dict[str, str]) -> str:
-    """What a piece adds to the depth in containers: 1 opens one, -1 closes one."""
-    return let(
-        _name_of(piece),
-        lambda name: f"""CASE WHEN NOT array_contains({rule["containers"]}, {name}) THEN 0
-            WHEN startswith({piece}, '</') THEN -1
-            WHEN {_self_closed(open_tag_sql(piece))} THEN 0 ELSE 1 END""",
-    )
-
-
-def _ends(piece: str, rule: dict[str, str]) -> str:
-    """Whether a piece ends an element that is open on its level."""
-    return let(
-        _name_of(piece),
-        lambda name: f"""(array_contains({rule["siblings"]}, {name}) OR
-            (array_contains({rule["containers"]}, {name}) AND startswith({piece}, '</')))""",
-    )
-
-
-def _with_stops(starts: str, events: str) -> str:
-    """For each start ``(level, pos)`` the first event after it on its level, by position.
-
-    Sorted together, the k-th entry, if it is the q-th start, has k - q events before it,
-    so the next event is number k - q. Gives ``(pos, stop)``; stop is NULL where none is left.
-    """
-    mark = lambda rows, kind: each(
-        rows, lambda x: f"named_struct('level', {x}.level, 'pos', {x}.pos, 'kind', {kind})"
-    )
-
-    def ranked(rows: str) -> str:
-        x, k, y, q = fresh(), fresh(), fresh(), fresh()
-        numbered = f"transform({rows}, ({x}, {k}) -> named_struct('level', {x}.level, 'pos', {x}.pos, 'kind', {x}.kind, 'k', {k}))"
-
-        def found(ends: str) -> str:
-            end = f"get({ends}, {y}.k - {q})"
-            stop = f"if({end}.level = {y}.level, {end}.pos, NULL)"
-            asked = keep(numbered, lambda r: f"{r}.kind = 1")
-            return f"array_sort(transform({asked}, ({y}, {q}) -> named_struct('pos', {y}.pos, 'stop', {stop})))"
-
-        return let(keep(rows, lambda r: f"{r}.kind = 0"), found)
-
-    # at one position an event comes first: it ends what was open before
-    return let(f"array_sort(concat({mark(events, 0)}, {mark(starts, 1)}))", ranked)
+#: An element: the number of its tag, that of the tag that ends it (its own where it holds
+#: nothing), its place among the elements, how many elements are around it, name and open tag.
+ELEMENTS = "array<struct<el:int,end:int,idx:int,level:int,name:string,open:string>>"
+#: What a page becomes: texts between tags, as they stand and stripped, and its elements.
+PAGE = f"struct<nodes:array<string>,texts:array<string>,elements:{ELEMENTS}>"
+#: A matched element: itself, its text, and, where asked for, what is needed to look inside.
+MATCHES = (
+    "array<struct<el:int,end:int,idx:int,level:int,open:string,text:string,"
+    f"inside:{ELEMENTS},texts:array<string>>>"
+)
+PAGE_ROOT = "named_struct('el', 0, 'end', 2147483647, 'idx', 0, 'level', -1)"
 
 
 def _passes(tag: str, step: Step | str) -> str:
@@ -335,159 +243,112 @@ def _passes(tag: str, step: Step | str) -> str:
         wanted = quoted(step.value)
         test = f"{value} = {wanted}" if step.test == "equals" else f"contains({value}, {wanted})"
         return f"coalesce({test}, false)"
-    return let(
+    tested = let(
         attribute_sql(tag, f"{step}.attr", fixed=False),
-        lambda value: f"""CASE WHEN {step}.attr IS NULL THEN true
-            WHEN {step}.test = 'has' THEN {value} IS NOT NULL
+        lambda value: f"""CASE WHEN {step}.test = 'has' THEN {value} IS NOT NULL
             WHEN {step}.test = 'equals' THEN coalesce({value} = {step}.value, false)
             ELSE coalesce(contains({value}, {step}.value), false) END""",
     )
+    return f"if({step}.attr IS NULL, true, {tested})"
 
 
-def _left_open(piece: str) -> str:
-    """How many more tags a piece opens than it closes."""
-    void = "|".join(VOID_TAGS)
-    opens = raw(rf"(?i)<(?!(?:{void})[\s/>])[a-z]")
-    closes = raw(rf"(?i)</(?!(?:{void})[\s/>])[a-z]")
-    return f"regexp_count({piece}, {opens}) - regexp_count({piece}, {closes})"
+def _step_literal(step: Step) -> str:
+    """A step known now in the form that selectors held in a column have."""
+    fields = (("axis", step.axis), ("tag", step.tag), ("attr", step.attr), ("test", step.test), ("value", step.value))
+    return f"named_struct({', '.join(f"'{name}', {quoted(value)}" for name, value in fields)})"
 
 
-def _before(sums: str, name: str, i: str) -> str:
-    """A running sum before piece ``i``."""
-    return f"coalesce(get({sums}, {i} - 2).{name}, 0)"
+def _within(elements: str, context: str, step: Step | str, base: str) -> str:
+    """The elements inside a context that a step selects, in page order.
 
+    They follow the context in the list of elements, and there are no more of them than tags.
+    """
+    known = isinstance(step, Step)
+    tag = quoted(step.tag) if known else f"{step}.tag"
 
-def _rule(step: Step | str) -> dict[str, str]:
-    """The rule of a step's tag, as expressions."""
-    if isinstance(step, str):
-        names = ("boundary", "start", "flat", "void", "siblings", "containers")
-        return {"tag": f"{step}.tag", **{name: f"{step}.rule.{name}" for name in names}}
-    rule = _tag_rule(step.tag)
-    return {
-        "tag": quoted(step.tag),
-        "boundary": raw(rule["boundary"]),
-        "start": raw(rule["start"]),
-        "flat": str(rule["flat"]).lower(),
-        "void": str(rule["void"]).lower(),
-        "siblings": strings(rule["siblings"]),
-        "containers": strings(rule["containers"]),
-    }
+    def selected(e: str) -> str:
+        child = f"{e}.level = {context}.level + 1"
+        if known:
+            axis = child if step.axis == "/" else "true"
+        else:
+            axis = f"({step}.axis = '//' OR {child})"
+        # nested conditions: the attribute is looked for only where the name fits
+        return f"if({e}.name = {tag} AND {e}.el < {context}.end AND {axis}, {_passes(f'{e}.open', step)}, false)"
 
+    first_inside = f"{context}.idx - {base} + 1"
+    most = f"least({context}.end - {context}.el - 1, size({elements}))"
+    inside = elements if context == PAGE_ROOT else f"slice({elements}, {first_inside}, greatest({most}, 0))"
+    return keep(inside, selected)
 
-def _step_literal(step: Step) -> str:
-    """A step known now in the form that selectors held in a column have."""
-    rule = _rule(step)
-    texts = (("attr", step.attr), ("test", step.test), ("value", step.value))
-    rest = ", ".join(f"'{name}', {quoted(value)}" for name, value in texts)
-    parts = ", ".join(f"'{name}', {rule[name]}" for name in rule if name != "tag")
-    return f"named_struct('axis', {quoted(step.axis)}, 'tag', {rule['tag']}, {rest}, 'rule', named_struct({parts}))"
-
-
-def _matches(context: str, step: Step | str, absolute: bool) -> str:
-    """Elements of one context that a step selects, in document order."""
-    rule = _rule(step)
-    fixed = isinstance(step, Step)
-    flat = fixed and step.tag in FLAT_TAGS
-
-    def in_pieces(pieces: str) -> str:
-        """Offsets, open tags and depths of all pieces are summed once, then looked up."""
-
-        child_test = not fixed or step.axis == "/"
-        sums_of = {}
-        if absolute:
-            sums_of["chars"] = lambda p: f"length({p})"
-        if child_test:
-            sums_of["open"] = _left_open if fixed else lambda p: f"if({step}.axis = '/', {_left_open(p)}, 0)"
-        if not flat:
-            sums_of["depth"] = lambda p: _depth_step(p, rule)
-        if not sums_of:
-            sums_of["none"] = lambda p: "0"
-
-        def with_sums(sums: str) -> str:
-            def wanted(i: str) -> str:
-                piece = f"element_at({pieces}, {i})"
-                name = f"left({piece}, length({rule["tag"]}) + 2)"
-                tests = [f"rlike({name}, {rule["start"]})", _passes(open_tag_sql(piece), step)]
-                if child_test:
-                    child = f"{_before(sums, 'open', i)} = 0"
-                    tests.append(child if fixed else f"({step}.axis = '//' OR {child})")
-                # Nested conditions: the dearer tests run only where the cheaper ones pass.
-                test = tests[-1]
-                for cheaper in reversed(tests[:-1]):
-                    test = f"if({cheaper}, {test}, false)"
-                return test
-
-            def element(i: str, stop: str | None) -> str:
-                piece = f"element_at({pieces}, {i})"
-
-                def with_tag(tag: str) -> str:
-                    one = f"substring({piece}, length({tag}) + 1)"
-                    inner = one
-                    if stop is not None:
-                        span = f"coalesce({stop}, size({pieces}) + 1) - {i}"
-                        many = f"substring(array_join(slice({pieces}, {i}, {span}), ''), length({tag}) + 1)"
-                        inner = f"if({span} = 1, {one}, {many})"
-                    at = i
-                    if absolute:
-                        at = f"{context}.at + length({context}.open) + {_before(sums, 'chars', i)}"
-                    return f"""named_struct('at', CAST({at} AS INT), 'open', {tag},
-                        'inner', if({rule["void"]} OR {_self_closed(tag)}, '', {inner}))"""
-
-                return let(open_tag_sql(piece), with_tag)
-
-            numbers = f"sequence(1, size({pieces}))"
-            found = keep(numbers, wanted)
-            if flat:
-                return each(found, lambda i: element(i, None))
-            starts = each(
-                found, lambda i: f"named_struct('level', element_at({sums}, {i}).depth, 'pos', {i})"
-            )
-            ends = keep(numbers, lambda j: _ends(f"element_at({pieces}, {j})", rule))
-            events = each(
-                ends, lambda j: f"named_struct('level', {_before(sums, 'depth', j)}, 'pos', {j})"
-            )
-            stop = (lambda e: f"{e}.stop") if fixed else (
-                # a flat element ends at the next boundary, whatever that is
-                lambda e: f"if({rule['flat']}, {e}.pos + 1, {e}.stop)"
-            )
-            return each(_with_stops(starts, events), lambda e: element(f"{e}.pos", stop(e)))
 
-        sums = running_sums(pieces, list(sums_of), lambda p: [f(p) for f in sums_of.values()])
-        return let(sums, with_sums)
+def _clipped(found: str, context: str) -> str:
+    """Elements end where their context ends, at the latest."""
 
-    return let(f"split({context}.inner, {rule["boundary"]})", in_pieces)
+    def clip(e: str) -> str:
+        fields = f"'idx', {e}.idx, 'level', {e}.level, 'name', {e}.name, 'open', {e}.open"
+        return f"if({e}.end <= {context}.end, {e}, named_struct('el', {e}.el, 'end', {context}.end, {fields}))"
 
+    return each(found, clip)
 
-def _next_elements(contexts: str, step: Step | str) -> str:
-    matched = each(contexts, lambda context: _matches(context, step, absolute=True))
-    # Nested contexts meet the same element twice; a node set holds it once, in page order.
-    x, k = fresh(), fresh()
-    return let(
-        f"array_sort(flatten({matched}))",
-        lambda s: f"filter({s}, ({x}, {k}) -> {k} = 0 OR {x}.at <> get({s}, {k} - 1).at)",
-    )
 
+def select_sql(elements: str, steps: list[Step] | str, root: str = PAGE_ROOT) -> str:
+    """The elements a selector picks, in page order and once each.
 
-def select_elements_sql(markup: str, steps: list[Step] | str) -> str:
-    """Elements a selector picks from prepared markup: ``array<struct<at,open,inner>>``.
-
-    ``steps`` is a list known now, or an expression when selectors are data. ``at`` orders
-    the elements; ``open`` is the open tag and ``inner`` the markup inside.
+    ``steps`` is a list known now, or an expression when selectors are data. ``root`` is the
+    element that ``elements`` lie inside of; the page by default.
     """
-    root = f"named_struct('at', 0, 'open', '', 'inner', {markup})"
+    base = "0" if root == PAGE_ROOT else f"{root}.idx"
     if not isinstance(steps, str) and len(steps) == 1:
-        return let(root, lambda context: _matches(context, steps[0], absolute=False))
-    # Several steps are folded over as data: chained, their lambdas would nest too deep.
+        found = _within(elements, root, steps[0], base)
+        return found if root == PAGE_ROOT else _clipped(found, root)
+
+    def advance(contexts: str, step: Step | str) -> str:
+        found = each(contexts, lambda c: _clipped(_within(elements, c, step, base), c))
+        # nested contexts meet the same element twice
+        x, k = fresh(), fresh()
+        return let(
+            f"array_sort(flatten({found}))",
+            lambda s: f"filter({s}, ({x}, {k}) -> {k} = 0 OR {x}.el <> get({s}, {k} - 1).el)",
+        )
+
+    begin = f"array(named_struct('el', {root}.el, 'end', {root}.end, 'idx', {root}.idx, 'level', {root}.level, 'name', '', 'open', ''))"
     data = steps if isinstance(steps, str) else f"array({', '.join(map(_step_literal, steps))})"
-    return fold(
-        data,
-        f"CAST(array({root}) AS {ELEMENT_TYPE})",
-        lambda contexts, step: f"CAST({_next_elements(contexts, step)} AS {ELEMENT_TYPE})",
-    )
+    return fold(data, f"CAST({begin} AS {ELEMENTS})", lambda contexts, step: f"CAST({advance(contexts, step)} AS {ELEMENTS})")
+
+
+def _texts_of(texts: str, element: str, base: str = "0") -> str:
+    return f"slice({texts}, {element}.el - {base} + 1, {element}.end - {element}.el)"
+
+
+def text_sql(texts: str, element: str, base: str = "0") -> str:
+    """All text nodes of an element, each stripped, joined without a separator."""
+    return f"array_join({_texts_of(texts, element, base)}, '')"
+
+
+def node_list_sql(page: str, element: str) -> str:
+    """The text nodes of an element as they stand."""
+    return keep(_texts_of(f"{page}.nodes", element), lambda node: f"{node} <> ''")
+
+
+def matches_sql(page: str, steps: list[Step] | str, inside: str = "false") -> str:
+    """Matched elements (:data:`MATCHES`) of a page; ``inside`` tells whether to keep what is in them."""
+
+    def match(e: str) -> str:
+        most = f"greatest(least({e}.end - {e}.el - 1, size({page}.elements)), 0)"
+        within = f"slice({page}.elements, {e}.idx + 1, {most})"
+        content = f"""'inside', CAST(array() AS {ELEMENTS}), 'texts', CAST(array() AS array<string>)"""
+        if inside != "false":
+            content = f"""'inside', if({inside}, {within}, CAST(array() AS {ELEMENTS})),
+                'texts', if({inside}, {_texts_of(f'{page}.texts', e)}, CAST(array() AS array<string>))"""
+        return f"""named_struct('el', {e}.el, 'end', {e}.end, 'idx', {e}.idx, 'level', {e}.level,
+            'open', {e}.open, 'text', {text_sql(f'{page}.texts', e)}, {content})"""
+
+    return f"CAST({each(select_sql(f'{page}.elements', steps), match)} AS {MATCHES})"
 
 
-def select_elements(markup: str, steps: list[Step] | str) -> Column:
-    return F.expr(select_elements_sql(markup, steps))
+def inner_sql(match: str, steps: list[Step] | str) -> str:
+    """The elements that a selector picks inside a match."""
+    return select_sql(f"{match}.inside", steps, match)
 
 
 def link_tags_sql(markup: str) -> str:

@@ -61,31 +61,3 @@ def fold(array: str, zero: str, step: Callable[[str, str], str], finish: Body |
 
 def first(array: str) -> str:
     return f"try_element_at({array}, 1)"
-
-
-# Running sums are built run by run, so that no list is copied once for each entry.
-_RUN = 512
-
-
-def running_sums(array: str, names: list[str], values: Callable[[str], list[str]]) -> str:
-    """For each entry of an array the sums of ``values`` up to it, as structs of ints.
-
-    ``array`` is the name of a bound value. Nested lambdas cost rounds of the analyzer, so
-    the sum before a run is taken afresh rather than bound once more.
-    """
-    zero = f"named_struct({', '.join(f"'{n}', 0" for n in names)})"
-
-    def added(state: str, item: str) -> str:
-        pairs = zip(names, values(item), strict=True)
-        return f"named_struct({', '.join(f"'{n}', CAST({state}.{n} + {v} AS INT)" for n, v in pairs)})"
-
-    run = fresh()
-    begin = fold(f"slice({array}, 1, CAST({run} * {_RUN} AS INT))", zero, added)
-    # the list starts with the sum before the run, which is cut off at the end
-    inner = fold(
-        f"slice({array}, CAST({run} * {_RUN} + 1 AS INT), {_RUN})",
-        f"array({begin})",
-        lambda state, item: f"concat({state}, array({added(f'element_at({state}, -1)', item)}))",
-        lambda state: f"slice({state}, 2, {_RUN})",
-    )
-    return f"flatten(transform(sequence(0, greatest((size({array}) - 1) div {_RUN}, 0)), {run} -> {inner}))"

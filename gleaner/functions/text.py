@@ -7,28 +7,24 @@ from __future__ import annotations
 
 import json
 from html.entities import name2codepoint
-from string import ascii_letters
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gleaner.functions.sqltext import each, fold, fresh_lambda, let, quoted, raw
+from gleaner.functions.sqltext import fold, let, quoted, raw
 
 # Unicode white space plus the four separators that Python also counts as blank.
 BLANK = r"[\s\x1c-\x1f]"
 _EDGES = rf"(?U)^{BLANK}+|{BLANK}+$"
 _ALL_BLANK = rf"(?U){BLANK}+"
-_BLANK_CHARACTERS = "".join(
+BLANK_CHARACTERS = "".join(
     chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                      0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
 TAG = r"""<(?=[A-Za-z/!?])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
-# A tag with the blanks around it: removing it strips both neighbouring text nodes.
-_TAG_AND_BLANKS = rf"(?U){BLANK}*+{TAG}{BLANK}*+"
 
-_BLANK_ENTITIES = r"&(?:nbsp|ensp|emsp|thinsp|#0*(?:9|10|13|32|160)|#[xX]0*(?:9|[aA]|[dD]|20|[aA]0));"
 _AMP_ENTITY = r"&(?:amp|#0*38|#[xX]0*26);"
 _OTHER_ENTITY = r"&(?!amp;)[A-Za-z0-9#]+;"
 _NAMED = json.dumps({n: chr(c) for n, c in sorted(name2codepoint.items()) if n != "amp"})
@@ -106,63 +102,6 @@ def decode_entities_sql(text: str) -> str:
     return let(text, lambda v: f"if(contains({v}, '&'), {decoded(v)}, {v})")
 
 
-def _trim_sql(text: str) -> str:
-    return f"trim(BOTH {quoted(_BLANK_CHARACTERS)} FROM {text})"
-
-
-def quotes_closed_sql(head: str) -> str:
-    """Whether text up to a ``>`` leaves no quote open, so that the ``>`` ends the tag.
-
-    Certain for at most one kind of quote, in even number; otherwise the answer is false
-    and the tag has to be matched in full.
-    """
-
-    def count(quote: str) -> str:
-        return f"(length({head}) - length(replace({head}, {quote}, '')))"
-
-    double, single = count("chr(34)"), count("chr(39)")
-    return f"({double} % 2 = 0 AND {single} % 2 = 0 AND ({double} = 0 OR {single} = 0))"
-
-
-def _bare_text_sql(markup: str) -> str:
-    """Text nodes stripped and joined, entities untouched.
-
-    Cutting at ``<`` and looking for the first ``>`` serves almost all markup. A quote
-    before that ``>`` may hide another one, and a ``<`` that opens no tag is text: only
-    such markup goes through the full tag pattern.
-    """
-    by_pattern = _trim_sql(f"regexp_replace({markup}, {raw(_TAG_AND_BLANKS)}, '')")
-
-    def after_tag(piece: str) -> str:
-        def end(head: str) -> str:
-            return f"""if({quotes_closed_sql(head)}, length({head}) + 2,
-                length(regexp_extract(concat('<', {piece}), {raw("^" + TAG)}, 0)))"""
-
-        return _trim_sql(f"substring({piece}, {let(f"substring_index({piece}, '>', 1)", end)})")
-
-    def opens_tag(piece: str) -> str:
-        first = f"substring({piece}, 1, 1)"
-        return f"instr('{ascii_letters}/!?', {first}) > 0 AND contains({piece}, '>')"
-
-    def cut(pieces: str) -> str:
-        rest = f"slice({pieces}, 2, size({pieces}))"
-        nodes = f"concat(array({_trim_sql(f'{pieces}[0]')}), {each(rest, after_tag)})"
-        plain = f"forall({rest}, {fresh_lambda(opens_tag)})"
-        return f"if({plain}, array_join({nodes}, ''), {by_pattern})"
-
-    return f"if(contains({markup}, '<'), {let(f"split({markup}, '<', -1)", cut)}, {_trim_sql(markup)})"
-
-
-def node_text_sql(markup: str) -> str:
-    """All text nodes of a piece of markup, each stripped, joined without a separator."""
-    spaced = let(
-        markup,
-        lambda value: f"if(contains({value}, '&') AND rlike({value}, {raw(_OTHER_ENTITY)}), "
-        f"regexp_replace({value}, {raw(_BLANK_ENTITIES)}, ' '), {value})",
-    )
-    return decode_entities_sql(let(spaced, _bare_text_sql))
-
-
 def is_blank(text: Column) -> Column:
     return text.isNull() | (strip(text) == "")
 

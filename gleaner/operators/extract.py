@@ -1,7 +1,8 @@
 """Extraction: pages and selectors to items, links, banners and series.
 
-Everything here is a narrow projection or generator: a page is read once, whatever
-the number of selectors, and its markup is dropped as soon as the items are out.
+Pages are indexed once (:mod:`gleaner.operators.elements`). Everything here is a narrow
+projection or generator over that table, whatever the number of selectors, and a page's
+elements are dropped as soon as the items are out.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import markup, text, urls
 from gleaner.functions.keys import seconds_after
-from gleaner.functions.sqltext import each, keep, let, raw
+from gleaner.functions.sqltext import each, let
+from gleaner.operators.elements import index_pages, is_indexed
 
 
 @dataclass(frozen=True)
@@ -27,17 +29,22 @@ class Selector:
     item_limit: int = -1
 
 
-def prepare_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the raw page by markup that selectors can be applied to."""
+def mask_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Replace the raw page by markup in which every tag is one; enough to read its links."""
     return pages.withColumn("markup", markup.prepare(html)).drop(html)
 
 
-def _subvalues(inner: str, sub_steps: Sequence[list] | str) -> Column:
-    """For each sub-selector, the blank-free text of what it selects inside an element."""
+def prepare_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Replace the raw page by what selectors read; pages that are indexed stay as they are."""
+    return pages if is_indexed(pages) else index_pages(pages, html)
+
+
+def _subvalues(match: str, sub_steps: Sequence[list] | str) -> Column:
+    """For each sub-selector, the blank-free text of what it selects inside a match."""
 
     def joined(steps: list | str) -> str:
-        found = markup.select_elements_sql(inner, steps)
-        texts = each(found, lambda e: text.nonblank_sql(text.node_text_sql(f"{e}.inner")))
+        found = markup.inner_sql(match, steps)
+        texts = each(found, lambda e: text.nonblank_sql(markup.text_sql(f"{match}.texts", e, f"{match}.el")))
         return f"array_join({texts}, '')"
 
     if isinstance(sub_steps, str):
@@ -46,32 +53,38 @@ def _subvalues(inner: str, sub_steps: Sequence[list] | str) -> Column:
     return F.expr(f"CAST(array({values}) AS ARRAY<STRING>)")
 
 
-def match_selectors(prepared: DataFrame, selectors: Sequence[Selector] | DataFrame) -> DataFrame:
-    """One row per (page, selector) with the matched ``elements``; markup is gone.
+def match_selectors(
+    prepared: DataFrame, selectors: Sequence[Selector] | DataFrame, key: str = "material_id", inside: bool = False
+) -> DataFrame:
+    """One row per (page, selector) with the matched ``elements``; the page itself is gone.
 
     Selectors given as a list are applied in one pass over the page. Those of a table are
-    gathered into one row per ``material_id`` and join the pages once, so that a page's
-    markup is not repeated for each of its selectors; Spark picks the join by size.
+    gathered into one row per ``key`` and join the pages once, so that a page is not repeated
+    for each of its selectors; Spark picks the join by size. Matches keep what is inside them
+    with ``inside``, or where a row of the table has sub-selectors or a link selector.
     """
     kept = [c for c in prepared.columns if c != "markup"]
     if isinstance(selectors, DataFrame):
-        columns = [c for c in selectors.columns if c != "material_id"]
-        gathered = selectors.groupBy("material_id").agg(F.collect_list(F.struct(*columns)).alias("selectors"))
-        joined = prepared.join(gathered, "material_id")
-        found = each(
-            "selectors",
-            lambda s: f"named_struct({', '.join(f"'{c}', {s}.{c}" for c in columns)}, 'elements', "
-            + markup.select_elements_sql("markup", f"coalesce({s}.link_steps, {s}.steps)")
-            + ")",
-        )
-        return joined.select(*kept, F.inline(F.expr(found)))
+        columns = [c for c in selectors.columns if c != key]
+        gathered = selectors.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("selectors"))
+        joined = prepared.join(gathered, key)
+
+        def found(s: str) -> str:
+            fields = ", ".join(f"'{c}', {s}.{c}" for c in columns)
+            needed = [f"{s}.link_steps IS NOT NULL"] if "link_steps" in columns else []
+            needed += [f"size({s}.sub_steps) > 0"] if "sub_steps" in columns else []
+            steps = f"coalesce({s}.link_steps, {s}.steps)" if "link_steps" in columns else f"{s}.steps"
+            elements = markup.matches_sql("markup", steps, " OR ".join(needed) or "false")
+            return f"named_struct({fields}, 'elements', {elements})"
+
+        return joined.select(*kept, F.inline(F.expr(each("selectors", found))))
     entries = [
         F.struct(
             F.lit(number).alias("selector_no"),
             F.lit(s.extract).alias("extract"),
             F.lit(s.wrap).alias("wrap"),
             F.lit(s.item_limit).alias("item_limit"),
-            markup.select_elements("markup", markup.parse_steps(s.xpath)).alias("elements"),
+            F.expr(markup.matches_sql("markup", markup.parse_steps(s.xpath), str(inside).lower())).alias("elements"),
         )
         for number, s in enumerate(selectors, 1)
     ]
@@ -91,7 +104,7 @@ def _numbered(matched: DataFrame, limited: bool = False) -> DataFrame:
 
 
 def _value() -> Column:
-    return F.expr(text.node_text_sql("element.inner"))
+    return F.col("element.text")
 
 
 def _href(base: str, when: Column | None = None) -> Column:
@@ -134,9 +147,8 @@ def mass_items(matched: DataFrame, base: str = "url") -> DataFrame:
 
 def wrapped_items(matched: DataFrame) -> DataFrame:
     """All matches of a selector on a page as one item; a page without a match gives empty text."""
-    texts = each("elements", lambda e: text.node_text_sql(f"{e}.inner"))
     gone = ("elements", "extract", "wrap", "item_limit")
-    rows = matched.withColumns({"no": F.lit(1), "value": F.expr(f"array_join({texts}, '')")})
+    rows = matched.withColumns({"no": F.lit(1), "value": F.array_join("elements.text", "")})
     rows = rows.withColumn("hashcode", text.fingerprint(F.col("value")))
     return rows.select(*[c for c in rows.columns if c not in gone])
 
@@ -144,26 +156,29 @@ def wrapped_items(matched: DataFrame) -> DataFrame:
 def phased_items(
     matched: DataFrame, sub_steps: Sequence[list] | str = (), base: str = "url"
 ) -> DataFrame:
-    """Items of the phased crawl: blank-free value, fingerprint of the text before that."""
+    """Items of the phased crawl: blank-free value, fingerprint of the text before that.
+
+    Sub-selectors need matches that keep what is inside them.
+    """
     rows = _numbered(matched).withColumn("text", _value())
     rows = rows.withColumns(
         {
             "no": F.col("idx") + 1,
             "value": text.nonblank(F.col("text")),
             "hashcode": text.fingerprint(F.col("text")),
-            "subvalues": _subvalues("element.inner", sub_steps),
+            "subvalues": _subvalues("element", sub_steps),
             "href": _href(base, F.col("extract") == 1),
         }
     )
     return _finish(rows, ["text"])
 
 
-def page_links(prepared: DataFrame, base: str = "url") -> DataFrame:
-    """Every non-empty ``<a href>`` of a page, in page order, raw and resolved."""
-    kept = [c for c in prepared.columns if c != "markup"]
+def page_links(masked: DataFrame, base: str = "url") -> DataFrame:
+    """Every non-empty ``<a href>`` of a page (:func:`mask_pages`), in page order, raw and resolved."""
+    kept = [c for c in masked.columns if c != "markup"]
     hrefs = each(markup.link_tags_sql("markup"), lambda tag: markup.attribute_sql(tag, "href"))
     filled = F.filter(F.expr(hrefs), lambda href: href != "")
-    rows = prepared.select(*kept, F.posexplode(filled).alias("no", "href"))
+    rows = masked.select(*kept, F.posexplode(filled).alias("no", "href"))
     return rows.withColumn("link", urls.abs_url(base, "href"))
 
 
@@ -174,9 +189,9 @@ def selected_links(matched: DataFrame) -> DataFrame:
     return _finish(rows.filter("href is not null").withColumn("no", F.col("idx")))
 
 
-def _first_src(inner: str, steps: list | str) -> Column:
-    """Source of the first selected image that has one."""
-    found = markup.select_elements_sql(inner, steps)
+def _first_src(match: str, steps: list | str) -> Column:
+    """Source of the first image selected inside a match that has one."""
+    found = markup.inner_sql(match, steps)
     sources = each(found, lambda e: markup.attribute_sql(f"{e}.open", "src"))
     return F.try_element_at(F.filter(F.expr(sources), lambda s: s.isNotNull()), F.lit(1))
 
@@ -186,15 +201,15 @@ def banner_items(
 ) -> DataFrame:
     """Images, numbered from 0: either the matches themselves or the image inside each match.
 
-    ``image`` is the selector of the image inside a link. Matches without an image
-    source give no row but keep their number, so gaps count them.
+    ``image`` is the selector of the image inside a link; the matches must keep what is inside
+    them. Matches without an image source give no row but keep their number, so gaps count them.
     """
     rows = _numbered(matched)
     own = markup.attribute("element.open", "src")
     if image is None:
         source, link = own, F.lit(None).cast("string")
     else:
-        source = _first_src("element.inner", markup.parse_steps(image))
+        source = _first_src("element", markup.parse_steps(image))
         link = _href(base)
     rows = rows.withColumn("src", source).filter("src is not null")
     rows = rows.withColumns(
@@ -226,12 +241,7 @@ def asset_manifest(banners: DataFrame) -> DataFrame:
 def _text_lists(selector: str, known: bool) -> Column:
     """For each match, the list of its text nodes as they stand."""
     steps = markup.parse_steps(selector) if known else selector
-
-    def nodes(element: str) -> str:
-        parts = keep(f"split({element}.inner, {raw(text.TAG)})", lambda part: f"{part} != ''")
-        return each(parts, text.decode_entities_sql)
-
-    return F.expr(each(markup.select_elements_sql("markup", steps), nodes))
+    return F.expr(each(markup.select_sql("markup.elements", steps), lambda e: markup.node_list_sql("markup", e)))
 
 
 def series_items(
@@ -284,14 +294,12 @@ def collect_definitions(matched: DataFrame, base: str = "url") -> DataFrame:
     type 3 limited items. Other types give no rows.
     """
     wrapped = (F.col("type") == 1) & (F.col("wrap") == 1)
-    whole = F.struct(
-        F.lit(0).alias("at"),
-        F.lit("").alias("open"),
-        # Matches stay separate text: an empty tag between them keeps their nodes apart.
-        F.array_join(F.transform("elements", lambda e: e["inner"]), "<!>").alias("inner"),
-    )
+    first = F.try_element_at("elements", F.lit(1))
+    whole = F.transform(F.array(first), lambda e: e.withField("open", F.lit("")).withField("text", F.array_join("elements.text", "")))
+    empty = F.expr(f"CAST(array(named_struct('el', 0, 'end', 0, 'idx', 0, 'level', 0, 'open', '', 'text', '', 'inside', array(), 'texts', array())) AS {markup.MATCHES})")
     elements = (
-        F.when(wrapped, F.array(whole).cast(markup.ELEMENT_TYPE))
+        F.when(wrapped & (F.size("elements") > 0), whole)
+        .when(wrapped, empty)
         .when(
             (F.col("type") == 3) & (F.col("item_limit") >= 0),
             F.slice("elements", F.lit(1), F.col("item_limit")),
@@ -307,7 +315,7 @@ def collect_definitions(matched: DataFrame, base: str = "url") -> DataFrame:
             "href": _href(base, ~is_image & ((F.col("type") == 3) | (F.col("extract") == 1))),
             "src": F.when(
                 is_image & F.col("link_steps").isNotNull(),
-                _first_src("element.inner", "steps"),
+                _first_src("element", "steps"),
             ).when(is_image, markup.attribute("element.open", "src")),
             "link": _href(base, is_image & F.col("link_steps").isNotNull()),
         }

@@ -13,7 +13,7 @@ from gleaner.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "gleaner-tests",
-        "local[8]",
+        os.environ.get("GLEANER_TEST_MASTER", "local[8]"),
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",

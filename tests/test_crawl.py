@@ -153,7 +153,7 @@ def test_call_results_and_nested_dump(spark):
 def test_limits_banners_and_dispatch(spark):
     html = '<a href="/1">t</a><a href="/2"><img alt=x><img src="i/2.png?v=1"></a><img src=/3.gif>'
     ready = prepare_pages(spark.createDataFrame([(SITE + "d/p", html, 2)], "url string, html string, type int"))
-    linked = extract.banner_items(match_selectors(ready, [Selector("//a")]), "./img").first()
+    linked = extract.banner_items(match_selectors(ready, [Selector("//a")], inside=True), "./img").first()
     assert (linked.no, linked.imgsrc, linked.link, linked.imgname, linked.domain) == (
         1, SITE + "d/i/2.png?v=1", SITE + "2", "2.png?v=1", "example.com",
     )

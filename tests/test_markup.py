@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import markup, text
-from gleaner.functions.sqltext import each
+from gleaner.operators.elements import index_pages
 
 PAGE = """<html><head><meta http-equiv="Content-Type" content="text/html; charset=GBK">
 <script>var a="<p>x</p>&lt;<!-- q -->";</script></head><body><!-- <p>no <script> -->
@@ -43,20 +43,25 @@ def page(spark):
     return rows.select(markup.prepare("html").alias("markup")).cache()
 
 
-def texts(elements):
-    return F.expr(each("e", lambda e: text.node_text_sql(f"{e}.inner")))
+@pytest.fixture(scope="module")
+def indexed(spark):
+    return index_pages(spark.createDataFrame([(PAGE,)], "html string"))
+
+
+def texts(steps):
+    return F.expr(f"transform({markup.matches_sql('markup', steps)}, m -> m.text)")
 
 
 @pytest.mark.parametrize("xpath", list(EXPECTED))
-def test_selectors_known_and_as_data(page, xpath):
-    known = page.select(markup.select_elements("markup", markup.parse_steps(xpath)).alias("e"))
+def test_selectors_known_and_as_data(indexed, xpath):
+    known = indexed.select(texts(markup.parse_steps(xpath)).alias("t"))
     as_data = (
-        page.withColumn("xpath", F.lit(xpath))
+        indexed.withColumn("xpath", F.lit(xpath))
         .withColumn("steps", markup.step_column("xpath"))
-        .select(markup.select_elements("markup", "steps").alias("e"))
+        .select(texts("steps").alias("t"))
     )
     for found in (known, as_data):
-        assert found.select(texts("e").alias("t")).first().t == EXPECTED[xpath]
+        assert found.first().t == EXPECTED[xpath]
 
 
 @pytest.mark.parametrize("xpath", ["//a[1]", "//*", "a", "//a/@href", "//a[@x='1' and @y]", ""])
@@ -130,7 +135,8 @@ def test_node_text_agrees_with_tag_by_tag_strip(spark):
         return stdlib_html.unescape("".join(n.strip() for n in nodes))
 
     rows = spark.createDataFrame([(s,) for s in samples], "s string")
-    for row in rows.withColumn("t", F.expr(text.node_text_sql("s"))).collect():
+    whole = F.expr(f"array_join({markup.stripped_sql(markup.nodes_sql('s'))}, '')")
+    for row in rows.withColumn("t", whole).collect():
         assert row.t == want(row.s), row.s
 
 
@@ -155,24 +161,3 @@ def test_decode_native_and_other(spark):
     )
     got = {r.id: r.html for r in decoded(df).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(rows)}
-
-
-@pytest.mark.parametrize(
-    ("xpath", "page"),
-    [
-        ("//div", lambda n: "<div>x" * (n // 4) + "</div>" * (n // 4)),
-        ("//li/a", lambda n: "<ul>" + '<li><a href="/x">t</a>' * n + "</ul>"),
-        ("/body/div/a", lambda n: "<body>" + '<div><a href="/x">t</a></div>' * n + "</body>"),
-    ],
-)
-def test_time_follows_the_page(spark, xpath, page):
-    def seconds(n):
-        rows = spark.createDataFrame([(page(n),)] * 4, "html string").coalesce(1)
-        found = rows.select(F.size(markup.select_elements("html", markup.parse_steps(xpath))).alias("n"))
-        start = time.perf_counter()
-        found.agg(F.sum("n")).collect()
-        return time.perf_counter() - start
-
-    seconds(500)
-    small, large = (min(seconds(n) for _ in range(2)) for n in (2000, 8000))
-    assert large < 9 * small
