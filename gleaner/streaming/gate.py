@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor
 
-from gleaner.streaming.state import Step
-
-CHILD_SCHEMA = "seqno string, url string, expected long, done boolean, seen_at timestamp"
+RUN_SCHEMA = "seqno string, expected long, arrived long, complete boolean"
 
 
 def suppress_repeats(tasks: DataFrame, key: str = "url", delay: str = "1 hour") -> DataFrame:
@@ -15,56 +13,62 @@ def suppress_repeats(tasks: DataFrame, key: str = "url", delay: str = "1 hour")
     return tasks.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def gate_step(timeout_hours: int | None = None) -> Step:
-    """Hold runs until all their children have arrived, then report them once.
+def _open_runs(timeout_ms: int) -> StatefulProcessor:
+    # Defined here so that it ships by value: workers need no copy of this package.
+    class OpenRuns(StatefulProcessor):
+        def init(self, handle) -> None:  # noqa: ANN001
+            self.handle = handle
+            self.run = handle.getValueState("run", "expected long, arrived long, done boolean")
+            self.urls = handle.getMapState("urls", "url string", "seen boolean")
 
-    A batch has rows (seqno, url, expected, ts): a parent names ``expected`` and no url, a
-    child names its url. Output: one row per run, ``complete`` or, with a timeout, given up.
-    State keeps one row per child of an open run and one marker row per closed run; with a
-    timeout a marker is forgotten after twice that time.
-    """
+        def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201
+            known = self.run.get()
+            expected, arrived, done = known or (None, 0, False)
+            if known is None:
+                since = None
+            for row in rows:
+                if known is None:
+                    since = row.ts if since is None else min(since, row.ts)
+                if row.expected is not None:
+                    expected = row.expected if expected is None else max(expected, row.expected)
+                if row.url is not None and not done and not self.urls.containsKey((row.url,)):
+                    self.urls.updateValue((row.url,), (True,))
+                    arrived += 1
+            if known is None:
+                self.handle.registerTimer(int(since.timestamp() * 1000) + timeout_ms)
+            complete = not done and expected is not None and arrived >= expected
+            if complete:
+                self.urls.clear()
+                yield Row(seqno=key[0], expected=expected, arrived=arrived, complete=True)
+            self.run.update((expected, arrived, done or complete))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201
+            expected, arrived, done = self.run.get() or (None, 0, True)
+            self.urls.clear()
+            if done:
+                self.run.clear()
+                return
+            # what arrives late belongs to a run that was given up: remembered as long again
+            self.run.update((expected, arrived, True))
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + timeout_ms)
+            yield Row(seqno=key[0], expected=expected, arrived=arrived, complete=False)
+
+        def close(self) -> None:
+            pass
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        arrivals = batch.select(
-            "seqno", "url", "expected", F.lit(False).alias("done"), F.col("ts").alias("seen_at")
-        )
-        known = (
-            state.unionByName(arrivals)
-            .groupBy("seqno", "url")
-            .agg(
-                F.max("expected").alias("expected"),
-                F.max("done").alias("done"),
-                F.min("seen_at").alias("seen_at"),
-            )
-        )
-        runs = known.groupBy("seqno").agg(
-            F.max("expected").alias("expected"),
-            F.count("url").alias("arrived"),
-            F.max("done").alias("was_done"),
-            F.min("seen_at").alias("since"),
-            F.max("seen_at").alias("latest"),
-        )
-        complete = F.coalesce(F.col("arrived") >= F.col("expected"), F.lit(False))
-        over, forget = F.lit(False), F.lit(False)
-        if timeout_hours is not None:
-            clock = batch.select(F.unix_micros(F.max("ts"))).first()[0]
-            if clock is not None:
-                hours = timeout_hours * 3_600_000_000
-                over = F.col("since") < F.timestamp_micros(F.lit(clock - hours))
-                forget = F.col("since") < F.timestamp_micros(F.lit(clock - 2 * hours))
-        over = F.coalesce(over, F.lit(False))
-        runs = runs.withColumns({"complete": complete, "over": over})
-        closing = runs.filter(~F.col("was_done") & (F.col("complete") | F.col("over")))
-        output = closing.select("seqno", "expected", "arrived", "complete")
-        closed = runs.filter(F.col("was_done") | F.col("complete") | F.col("over"))
-        markers = closed.filter(~F.coalesce(forget, F.lit(False))).select(
-            "seqno",
-            F.lit(None).cast("string").alias("url"),
-            "expected",
-            F.lit(True).alias("done"),
-            F.col("since").alias("seen_at"),
-        )
-        still_open = known.join(closed.select("seqno"), "seqno", "left_anti")
-        return output, still_open.unionByName(markers)
+    return OpenRuns()
 
-    return step
+
+def run_gate(arrivals: DataFrame, timeout_hours: float = 24, delay: str = "1 hour") -> DataFrame:
+    """Hold runs until all their children have arrived, then report them once.
+
+    ``arrivals`` is a stream of (seqno, url, expected, ts): a parent names ``expected`` and no
+    url, a child names its url. One row per run: ``complete``, or given up when the watermark
+    (``delay`` behind the newest row) passes its first row by the timeout. State has one entry
+    per child of an open run and one row per run, and both go: those of a complete run with its
+    timeout, those of one given up after twice that time.
+    """
+    rows = arrivals.select("seqno", "url", "expected", "ts").withWatermark("ts", delay)
+    return rows.groupBy("seqno").transformWithState(
+        _open_runs(int(timeout_hours * 3_600_000)), RUN_SCHEMA, "append", "EventTime"
+    )

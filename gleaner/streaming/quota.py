@@ -2,119 +2,130 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import insort
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gleaner.functions.keys import bucket_start
 from gleaner.operators import quota
-from gleaner.streaming.state import Parts, Step
 
-COUNTER_SCHEMA = "width string, bucket timestamp, domain string, used long"
+#: Verdict on a request that came after the watermark had passed it.
+LATE = "late"
+#: Parts over which refused requests of one domain and day pass the second stage.
+SPREAD = 1024
 
 
-def by_day() -> Parts:
-    """Quota state in parts by day: a batch rewrites the days of its requests."""
-    return Parts(F.to_date("ts"), F.to_date("bucket"))
+def window_usage(requests: DataFrame, width: str = "second", delay: str = "1 day") -> DataFrame:
+    """Requests so far per (bucket, domain), in windows of one ``width``.
 
+    Each batch gives the windows it touched with their new totals (update mode). A window is
+    forgotten when the watermark has passed its end; requests for it are not counted any more,
+    see :func:`late_usage`. Windows start at whole units of UTC.
+    """
+    rows = requests.withWatermark("ts", delay)
+    counted = rows.groupBy(F.window("ts", f"1 {width}").alias("w"), "domain").agg(F.count("*").alias("requests"))
+    return counted.select(F.col("w.start").alias("bucket"), "domain", "requests")
 
-USAGE_SCHEMA = "bucket timestamp, domain string, requests long"
 
+def latest_totals(updates: DataFrame) -> DataFrame:
+    """The newest total of each (bucket, domain) among the updates of all batches."""
+    last = updates.groupBy("bucket", "domain").agg(F.max(F.struct("batch_id", "requests")).alias("u"))
+    return last.select("bucket", "domain", F.col("u.requests").alias("requests"))
 
-def usage_step(width: str = "second") -> Step:
-    """Requests per (bucket, domain) so far: counts of a batch are added to those in the state.
 
-    Output: the buckets a batch touched with their new totals. The state has every bucket,
-    the newest included, so nothing waits for a watermark.
-    """
+def late_usage(requests: DataFrame, totals: DataFrame, width: str = "second") -> DataFrame:
+    """Requests of ``requests`` per (bucket, domain) that the stream came too late to count."""
+    all_of = quota.usage(requests, width).withColumnRenamed("requests", "sent")
+    joined = all_of.join(totals, ["bucket", "domain"], "left")
+    late = F.col("sent") - F.coalesce("requests", F.lit(0))
+    return joined.select("bucket", "domain", late.alias("requests")).filter("requests > 0")
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        counted = quota.usage(batch, width).select("bucket", "domain", "requests")
-        after = state.unionByName(counted).groupBy("bucket", "domain").agg(F.sum("requests").alias("requests"))
-        output = after.join(counted.select("bucket", "domain"), ["bucket", "domain"], "left_semi")
-        return output, after
 
-    return step
+def _slots(cap: int, fields: list[str], passed: str | None, refused: str) -> StatefulProcessor:
+    """Counts the slots taken of a key ``(domain, ends, part)`` and forgets them after ``ends``.
 
+    The first rows by (ts, request_id) of a batch take what is left. No more than ``cap`` rows
+    are held; a row that finds no place leaves at once. ``passed`` and ``refused`` are the
+    verdicts; rows that pass without one keep NULL. Parts from 0 hold rows refused before.
+    """
 
-def admission_step(
+    # Defined here so that it ships by value: workers need no copy of this package.
+    class Slots(StatefulProcessor):
+        def init(self, handle) -> None:  # noqa: ANN001
+            self.handle = handle
+            self.used = handle.getValueState("used", "n int")
+
+        def row(self, source, verdict):  # noqa: ANN001, ANN202
+            return Row(**{f: source[f] for f in fields}, verdict=verdict)
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201
+            if key[2] >= 0:
+                for row in rows:
+                    yield self.row(row, row.verdict)
+                return
+            known = self.used.get()
+            free = cap - (known[0] if known else 0)
+            held: list = []
+            for n, row in enumerate(rows):
+                insort(held, (row.ts, row.request_id, n, row))
+                if len(held) > free:
+                    yield self.row(held.pop()[3], refused)
+            for *_, row in held:
+                yield self.row(row, passed)
+            if known is None:
+                self.handle.registerTimer(key[1])
+            self.used.update((cap - free + len(held),))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201
+            self.used.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Slots()
+
+
+def _ends(width: str) -> Column:
+    return F.unix_millis(bucket_start(F.col("ts"), width) + F.expr(f"interval 1 {width}"))
+
+
+def admission_stream(
+    requests: DataFrame,
     bucket_cap: int = quota.SECOND_CAP,
     day_cap: int = quota.DAY_CAP,
     width: str = "second",
-    keep_days: int | None = None,
-) -> Step:
-    """Micro-batch form of :func:`gleaner.operators.quota.admit`.
-
-    State counts the slots used per (bucket, domain) and (day, domain). Within a batch
-    only the first ``bucket_cap`` rows per bucket can pass, so a busy domain is cut down
-    before the shuffle. ``keep_days`` forgets buckets that many days older than the
-    newest; requests for forgotten days get the verdict ``late`` and take no slot.
+    delay: str = "1 day",
+) -> DataFrame:
+    """Stream form of :func:`gleaner.operators.quota.admit`: requests with their verdict.
+
+    Slots are the engine's keyed state, a number per (domain, bucket) and per (domain, day);
+    inside a batch the first requests take them, later batches what is left. A timer clears a
+    slot when the watermark, ``delay`` behind the newest request, has passed its bucket or day.
+    Requests behind the watermark get no row here, see :func:`late_requests`. A domain's
+    requests meet in one task for one bucket only; of each bucket ``bucket_cap`` at most go on to
+    the domain's day, and the refused ones pass in ``SPREAD`` parts.
     """
-
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        requests = batch.withColumns(
-            {"bucket": bucket_start(F.col("ts"), width), "day": bucket_start(F.col("ts"), "day")}
-        )
-        late, horizon = F.lit(False), None
-        if keep_days is not None:
-            newest = state.select("bucket").unionByName(batch.select(F.col("ts").alias("bucket")))
-            micros = newest.select(F.unix_micros(F.date_trunc("day", F.max("bucket")))).first()[0]
-            if micros is not None:
-                horizon = F.timestamp_micros(F.lit(micros - keep_days * 86_400_000_000))
-                late = F.col("day") < horizon
-        requests = requests.withColumn("late", late)
-        slots = {
-            kind: state.filter(F.col("width") == kind).select(
-                F.col("bucket").alias(name), "domain", F.col("used").alias(f"{name}_used")
-            )
-            for kind, name in (("bucket", "bucket"), ("day", "day"))
-        }
-        first = quota.first_n(
-            requests.filter(~F.col("late")).select("request_id", "ts", "domain", "bucket", "day"),
-            ["domain", "bucket"],
-            ["ts", "request_id"],
-            bucket_cap,
-        )
-        passed = (
-            first.join(slots["bucket"], ["bucket", "domain"], "left")
-            .filter(F.col("rn") + F.coalesce("bucket_used", F.lit(0)) <= bucket_cap)
-            .join(slots["day"], ["day", "domain"], "left")
-        )
-        # only the day's first rows are ranked; the others are refused without
-        ranked = quota.first_n(
-            passed.drop("rn"), ["domain", "day"], ["ts", "request_id"], day_cap
-        ).filter(F.col("rn") + F.coalesce("day_used", F.lit(0)) <= day_cap)
-        admitted = ranked.select("request_id", F.lit(True).alias("admitted"))
-        verdicts = (
-            passed.select("request_id", "bucket", "day", "domain")
-            .join(admitted, "request_id", "left")
-            .withColumn("admitted", F.coalesce("admitted", F.lit(False)))
-        )
-        output = requests.join(
-            verdicts.select("request_id", "admitted"), "request_id", "left"
-        ).select(
-            *batch.columns,
-            F.when(F.col("late"), F.lit("late"))
-            .when(F.col("admitted"), F.lit(quota.ADMITTED))
-            .when(F.col("admitted").isNotNull(), F.lit(quota.DAY_FULL))
-            .otherwise(F.lit(quota.BUCKET_FULL))
-            .alias("verdict"),
-        )
-        used = [
-            verdicts.groupBy(F.lit("bucket").alias("width"), "bucket", "domain").agg(
-                F.count("*").alias("used")
-            ),
-            verdicts.filter("admitted")
-            .groupBy(F.lit("day").alias("width"), F.col("day").alias("bucket"), "domain")
-            .agg(F.count("*").alias("used")),
-        ]
-        after = (
-            state.unionByName(used[0])
-            .unionByName(used[1])
-            .groupBy("width", "bucket", "domain")
-            .agg(F.sum("used").alias("used"))
-        )
-        if horizon is not None:
-            after = after.filter(F.col("bucket") >= horizon)
-        return output, after
-
-    return step
+    fields = requests.columns
+    schema = StructType([*requests.schema.fields, StructField("verdict", StringType())])
+    rows = requests.withWatermark("ts", delay).withColumns(
+        {"ends": _ends(width), "part": F.lit(-1), "verdict": F.lit(None).cast("string")}
+    )
+    first = rows.groupBy("domain", "ends", "part").transformWithState(
+        _slots(bucket_cap, fields, None, quota.BUCKET_FULL), schema, "append", "EventTime", eventTimeColumnName="ts"
+    )
+    refused = F.col("verdict").isNotNull()
+    rows = first.withColumns(
+        {"ends": _ends("day"), "part": F.when(refused, F.pmod(F.xxhash64("request_id"), F.lit(SPREAD))).otherwise(-1).cast("int")}
+    )
+    return rows.groupBy("domain", "ends", "part").transformWithState(
+        _slots(day_cap, fields, quota.ADMITTED, quota.DAY_FULL), schema, "append", "EventTime"
+    )
+
+
+def late_requests(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Requests that the stream read and gave no verdict: they came behind the watermark."""
+    return requests.join(verdicts.select("request_id"), "request_id", "left_anti").withColumn("verdict", F.lit(LATE))
