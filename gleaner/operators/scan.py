@@ -107,6 +107,27 @@ def scan_assignments(scans: DataFrame, partitions: DataFrame, scanner_id: str |
     return mine.join(first_partition(partitions), "pid")
 
 
+def scan_assigned(
+    materials: DataFrame, scans: DataFrame, scanner_id: str, status: object = 2, status_col: str = "status"
+) -> DataFrame:
+    """Active materials in the ranges that a scanner is assigned, with ``start_seq`` and ``end_seq``.
+
+    ``materials`` lie in folders by ``pid``, sorted by ``material_id`` in each file. The pids of
+    the scanner prune the folders at run time, its lowest and highest bound reach the file scan
+    and skip row groups, and the ranges themselves are met by :func:`range_join`.
+    """
+    mine = cut_lineage(
+        scans.filter(F.col("scanner_id") == scanner_id).select("pid", "start_seq", "end_seq").distinct(), "assigned"
+    )
+    low, high = mine.agg(F.min("start_seq"), F.max("end_seq")).first()
+    ident = F.col("material_id")
+    inside = (ident >= low) & (ident < high) if low is not None else F.lit(False)
+    rows = materials.filter((F.col(status_col) == status) & inside)
+    # Spark prunes at run time by a side that it deems selective: one with a comparison
+    rows = rows.join(mine.filter("start_seq < end_seq").select("pid"), "pid", "left_semi")
+    return range_join(rows, mine, "material_id", F.col("start_seq"), F.col("end_seq"), ["pid"])
+
+
 def first_unassigned(partitions: DataFrame) -> DataFrame:
     """The unassigned partition with the least pid, if any."""
     return partitions.filter(~F.col("assigned")).orderBy("pid").limit(1)

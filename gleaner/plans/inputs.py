@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import markup
 from gleaner.functions.keys import seqno, write_time
 from gleaner.operators import extract
-from gleaner.operators.extract import Selector, prepare_pages
+from gleaner.operators.extract import Selector, mask_pages, prepare_pages
+from gleaner.operators.scan import split_ranges
 from gleaner.session import cut_lineage
 
 # Definitions of the materials derived from pages: page p has type p % 5 + 1.
@@ -39,6 +40,10 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_pages(pages(spark, sf_dir))
 
 
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_pages(pages(spark, sf_dir))
+
+
 def banner_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a linked image at the end; seven pages share an image name."""
     ident = F.col("page_id").cast("string")
@@ -132,11 +137,56 @@ def crawl_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Definitions that hide what a run cannot use: empty, of other types, deep, strange.
+AUDITED = {
+    0: '{"addr":"@URL","type":3,"selectors":[]}',
+    1: '{"addr":"@URL","type":3,"limit":"many","selectors":[{"xpath":"//p"},{"xpath":["//b"]}]}',
+    2: '{"addr":"@URL","type":1,"selectors":[{"xpath":"//h1"}],"child":{"selectors":"//p","child":{"selectors":[{"xpath":"//b"}]}}}',
+    3: '{"addr":"@URL","type":"3","selectors":[{"xpath":"//p"}],"note":"\\"child\\":\\"child\\":"}',
+    4: '{"addr":"@URL","type":4}',
+    5: '{"addr":"@URL","type":3,"selectors":[{"xpath":"//p"}],"child":[1]}',
+    6: "[]",
+}
+
+
+def audited_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Materials with one of the audited definitions by page_id % 7."""
+    definition = F.lit(None).cast("string")
+    for number, body in AUDITED.items():
+        filled = F.replace(F.lit(body), F.lit("@URL"), F.col("url"))
+        definition = F.when(F.col("page_id") % 7 == number, filled).otherwise(definition)
+    return pages(spark, sf_dir).select(F.col("page_id").alias("material_id"), definition.alias("definition"))
+
+
+RECAPTURE_DAYS, EARLY_DAYS, LATE_DAYS = 10, 1, 20
+RECAPTURED = """{"addr":"@URL","selectors":[{"xpath":"//div[@class='to']/a","extract":1},{"xpath":"//h1"}],
+"child":{"selectors":[{"xpath":"//h1"}]}}"""
+
+
+def recaptured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two captures of each page of the site, the second with a new title; of every seventh the second only."""
+    first = site_pages(spark, sf_dir).withColumn("captured_at", start_instant())
+    later = start_instant() + F.expr(f"interval {RECAPTURE_DAYS} days")
+    second = first.withColumn("html", F.replace("html", F.lit("<h1>"), F.lit("<h1>New "))).withColumn("captured_at", later)
+    return first.filter("page_id % 7 <> 3").unionByName(second)
+
+
+def timed_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl from each page: before its second capture for even pages, after it for odd ones."""
+    url = F.concat(F.lit(SITE), F.col("page_id").cast("string"))
+    early, late = (start_instant() + F.expr(f"interval {n} days") for n in (EARLY_DAYS, LATE_DAYS))
+    return pages(spark, sf_dir).select(
+        F.col("page_id").alias("material_id"),
+        F.replace(F.lit(RECAPTURED), F.lit("@URL"), url).alias("definition"),
+        F.when(F.col("page_id") % 2 == 0, early).otherwise(late).alias("run_at"),
+    )
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between pages, from the number of links on each page."""
     total = table(spark, sf_dir, "pages").count()
     tags = markup.link_tags("markup")
-    found = prepared(spark, sf_dir).select("page_id", F.posexplode(tags).alias("no", "tag"))
+    found = masked(spark, sf_dir).select("page_id", F.posexplode(tags).alias("no", "tag"))
     dst = (F.col("page_id") * 13 + F.col("no") * 7 + 1) % total
     return found.select(F.col("page_id").alias("src"), dst.alias("dst")).distinct()
 
@@ -222,3 +272,16 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def joined(values: Column) -> Column:
     return F.array_join(values, "|")
+
+
+def delayed_slice(column: str = "ts") -> Column:
+    """Thirds of a month by time, but that every 50th request of the first comes with the last."""
+    third = F.least(F.floor((F.dayofmonth(column) - 1) / 10), F.lit(2))
+    return F.when((third == 0) & (F.col("request_id") % 50 == 0), 2).otherwise(third)
+
+
+def priority_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of order keys per priority, cut at every key that is a multiple of 97 or below 100."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("pid"), F.col("o_orderkey").alias("x"))
+    whole = orders.groupBy("pid").agg(F.min("x").alias("start_seq"), (F.max("x") + 1).alias("end_seq"))
+    return split_ranges(whole, orders.filter("x % 97 = 0 or x < 100"))

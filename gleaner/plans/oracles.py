@@ -7,7 +7,7 @@ is shared with the operators but the derived inputs and their parameters.
 from __future__ import annotations
 
 from gleaner.functions.urls import DOMAIN_ENDINGS
-from gleaner.plans.inputs import DEFINITIONS, SITE, START
+from gleaner.plans.inputs import DEFINITIONS, EARLY_DAYS, LATE_DAYS, RECAPTURE_DAYS, SITE, START
 from gleaner.plans.queries import DAY_CAP, HOUR_CAP, REFERENCE_FORMS
 
 ORACLES: dict[str, str] = {}
@@ -290,6 +290,30 @@ oracle(
 FROM pages WHERE page_id % 4 <> 0""",
 )
 
+oracle(
+    "definition_audit",
+    """SELECT page_id AS material_id, phase, reason, text FROM pages JOIN (VALUES
+    (0, 1, 'no selector', NULL), (1, 1, 'used', '//p'), (1, 1, 'bad field', '$.limit'),
+    (1, 1, 'bad field', '$.selectors[1].xpath'), (1, 1, 'unsupported selector', '["//b"]'),
+    (2, 1, 'used', '//h1'), (2, 2, 'bad field', '$.selectors'), (2, 2, 'no selector', NULL),
+    (2, 3, 'used', '//b'), (3, 1, 'used', '//p'), (4, 1, 'no axis', NULL), (5, 1, 'used', '//p'),
+    (5, 1, 'bad field', '$.child'), (6, 0, 'not a definition', '[]')) v(kind, phase, reason, text)
+    ON page_id % 7 = kind""",
+)
+oracle(
+    "registry_dispatch",
+    f"""WITH {PREP}, {BANNERS}, e1 AS ({elements(1, ITEMS)}), e3 AS ({elements(1, PARAGRAPHS)}),
+    e5 AS ({elements(1, HEADINGS)})
+SELECT page_id, 1 AS type, selector_no, no, {text_of('el')} AS value, {link(1)} AS href,
+    NULL AS imgsrc, NULL AS link FROM e1 WHERE page_id % 5 = 0
+UNION ALL
+SELECT page_id, 2, 1, links, NULL, NULL, imgsrc, link FROM b WHERE page_id % 5 = 1
+UNION ALL
+SELECT page_id, 3, 1, no, {text_of('el')}, NULL, NULL, NULL FROM e3 WHERE page_id % 5 = 2 AND no <= 2
+UNION ALL
+SELECT page_id, 5, 1, no, {text_of('el')}, NULL, NULL, NULL FROM e5 WHERE page_id % 5 = 4""",
+)
+
 # ---- URLs and text ---------------------------------------------------------------------
 
 FORMS = "[" + ", ".join(f"replace('{f}', '@W', w)" for f in REFERENCE_FORMS) + "]"
@@ -386,6 +410,12 @@ oracle(
     CASE WHEN page_id % 10 = 3 THEN 'orphan' ELSE 'joined' END AS state,
     CASE WHEN page_id % 10 <> 3 THEN length(html) END AS chars FROM pages""",
 )
+oracle("landing_stream", ORACLES["landing_join"])
+oracle(
+    "result_replay",
+    f"""SELECT page_id AS material_id, page_id || '{SEQNO}' AS seqno, 'y20s1' AS period, {domain('url')} AS pid,
+    md5(html) AS contents, count(*) OVER (PARTITION BY {domain('url')}) AS listed FROM pages""",
+)
 oracle(
     "result_sink",
     f"""WITH {PREP}, l AS (SELECT page_id, url, {BOLDS} AS bs FROM prep)
@@ -429,6 +459,23 @@ oracle(
 SELECT o_orderkey, pid, range_no, start_seq, end_seq FROM orders JOIN c
     ON pid = o_custkey::VARCHAR AND o_orderkey > start_seq AND o_orderkey <= end_seq""",
 )
+UNEVEN = """whole AS (SELECT o_orderpriority AS pid, min(o_orderkey) AS low, max(o_orderkey) + 1 AS high
+    FROM orders GROUP BY 1), bound AS (SELECT pid, low AS x FROM whole UNION
+    SELECT o_orderpriority, o_orderkey FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey < 100), r AS (
+    SELECT pid, x AS start_seq, lead(x, 1, high) OVER (PARTITION BY pid ORDER BY x) AS end_seq
+    FROM bound JOIN whole USING (pid))
+SELECT o_orderkey, pid, start_seq, end_seq FROM orders JOIN r ON pid = o_orderpriority"""
+oracle("range_assign_uneven", f"WITH {UNEVEN} AND o_orderkey >= start_seq AND o_orderkey < end_seq")
+oracle("range_lookup_uneven", f"WITH {UNEVEN} AND o_orderkey > start_seq AND o_orderkey <= end_seq")
+oracle(
+    "scanner_run",
+    """WITH w AS (SELECT o_orderpriority AS pid, min(o_orderkey) AS low,
+    (max(o_orderkey) - min(o_orderkey) + 4) // 4 AS width FROM orders GROUP BY 1), r AS (
+    SELECT pid, low + k * width AS start_seq, low + (k + 1) * width AS end_seq
+    FROM w, (SELECT unnest([1, 3]) AS k) WHERE pid < '3')
+SELECT o_orderkey AS material_id, pid, start_seq, end_seq FROM orders JOIN r ON pid = o_orderpriority
+    AND o_orderkey >= start_seq AND o_orderkey < end_seq WHERE o_orderstatus = 'F'""",
+)
 oracle(
     "range_split",
     """SELECT o_orderpriority AS pid, o_orderkey AS start_seq,
@@ -566,6 +613,31 @@ FROM pages p, (SELECT unnest([0, 1, 2]) AS k), pages q
 WHERE q.page_id = p.page_id + k AND p.page_id % 5 + k <= 4""",
 )
 
+# Early runs see first captures only, late runs the second ones.
+assert EARLY_DAYS < RECAPTURE_DAYS < LATE_DAYS
+oracle(
+    "recaptured_crawl",
+    f"""WITH {PREP}, {SITE_EDGES}, title AS (SELECT page_id, regexp_extract(m, '(?s)<h1>(.*?)</h1>', 1) AS t FROM prep),
+    head AS (SELECT page_id, md5({text_of('t')}) AS old, md5({text_of("'New ' || t")}) AS new FROM title),
+    seen AS (SELECT m.page_id AS mat, p.page_id AS page, m.page_id % 2 = 1 OR p.page_id % 7 <> 3 AS captured,
+        CASE WHEN m.page_id % 2 = 0 THEN old ELSE new END AS hash
+    FROM pages m, pages p JOIN head USING (page_id)), one AS (SELECT * FROM seen WHERE mat = page), two AS (
+    SELECT mat, dst AS page, count(*) AS visits FROM one JOIN hop ON src = page WHERE captured GROUP BY ALL)
+SELECT mat AS material_id, 1 AS phase, '{SITE}' || page AS url, 1 AS selector_no, no, md5('to') AS hashcode,
+    '{SITE}' || dst AS href, 1 AS visits FROM one JOIN hop ON src = page WHERE captured
+UNION ALL SELECT mat, 1, '{SITE}' || page, 2, 1, hash, NULL, 1 FROM one WHERE captured
+UNION ALL SELECT mat, 2, '{SITE}' || page, 1, 1, hash, NULL, visits FROM two JOIN seen USING (mat, page) WHERE captured
+UNION ALL SELECT mat, 1, '{SITE}' || page, NULL, NULL, NULL, NULL, NULL FROM one WHERE NOT captured
+UNION ALL SELECT mat, 2, '{SITE}' || page, NULL, NULL, NULL, NULL, NULL FROM two JOIN seen USING (mat, page)
+WHERE NOT captured""",
+)
+oracle(
+    "second_run",
+    f"""SELECT 2 AS run, '{SITE}' || page_id AS url, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS tries
+FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 2
+UNION ALL SELECT 3, '{SITE}' || page_id, 2 FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 = 3""",
+)
+
 # ---- assembly --------------------------------------------------------------------------
 
 oracle(
@@ -621,6 +693,18 @@ oracle(
     event_type AS domain, count(*) AS requests FROM events
 GROUP BY date_trunc('hour', ts), event_type""",
 )
+LATE = "(event_id % 50 = 0 AND day(ts) <= 10)"
+oracle(
+    "quota_stream_late",
+    ADMIT.replace("FROM events)", f"FROM events WHERE NOT {LATE})")
+    + f" UNION ALL SELECT event_id, event_type, 'late' FROM events WHERE {LATE}",
+)
+oracle(
+    "quota_usage_late",
+    f"""SELECT CASE WHEN {LATE} THEN 'late' ELSE 'counted' END AS kind,
+    strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket, event_type AS domain, count(*) AS requests
+FROM events GROUP BY ALL""",
+)
 oracle(
     "dedup_stream",
     """SELECT DISTINCT 'https://site.example.com/' || event_type || '/' || user_id AS url

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import keys, markup, text, urls
-from gleaner.operators import assemble, definitions, extract, frontier, quota, scan
+from gleaner.operators import assemble, definitions, extract, frontier, quota, scan, seen
 from gleaner.operators.extract import Selector, match_selectors, prepare_pages
 from gleaner.plans import inputs
 from gleaner.session import cut_lineage, run_dir
-from gleaner.sources import landing, records, results
+from gleaner.sources import catalog, landing, records, results
 from gleaner.streaming import gate as gate_stream_ops
 from gleaner.streaming import quota as quota_stream_ops
-from gleaner.streaming.state import read_output, read_state, run_with_state
+from gleaner.streaming.queries import append_rows, read_output, update_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +46,7 @@ def at_text(column: str):
 
 @query
 def extract_links(spark, sf_dir):
-    links = extract.page_links(inputs.prepared(spark, sf_dir))
+    links = extract.page_links(inputs.masked(spark, sf_dir))
     return longs(links, "no").select(
         "page_id",
         "no",
@@ -95,7 +95,7 @@ def extract_items_flagged(spark, sf_dir):
 def extract_nested(spark, sf_dir):
     subs = [markup.parse_steps(x) for x in ("./h1", ".//p", ".//b")]
     items = extract.phased_items(
-        match_selectors(inputs.prepared(spark, sf_dir), [Selector("//article")]), subs
+        match_selectors(inputs.prepared(spark, sf_dir), [Selector("//article")], inside=True), subs
     )
     return longs(items, "no").select(
         "page_id", "no", "hashcode", inputs.joined(F.col("subvalues")).alias("subvalues")
@@ -129,7 +129,7 @@ def extract_wrapped(spark, sf_dir):
 @query
 def extract_banner(spark, sf_dir):
     ready = prepare_pages(inputs.banner_pages(spark, sf_dir))
-    banners = extract.banner_items(match_selectors(ready, [Selector("//a")]), "./img")
+    banners = extract.banner_items(match_selectors(ready, [Selector("//a")], inside=True), "./img")
     return longs(banners, "no").select("page_id", "no", "imgsrc", "link", "imgname", "domain")
 
 
@@ -209,6 +209,16 @@ def definition_rejects(spark, sf_dir):
     return longs(definitions.rejects(inputs.mixed_materials(spark, sf_dir)), "phase")
 
 
+@query
+def definition_audit(spark, sf_dir):
+    """Every level of every definition: the selectors it gives, and what it is rejected for."""
+    materials = inputs.audited_materials(spark, sf_dir)
+    used = definitions.flatten(materials).filter(definitions.is_supported()).select(
+        "material_id", "phase", F.lit("used").alias("reason"), F.col("xpath").alias("text")
+    )
+    return longs(used.unionByName(definitions.rejects(materials)), "phase")
+
+
 @query
 def page_selector_join(spark, sf_dir):
     items = extract.subscribe_items(
@@ -240,6 +250,30 @@ def dispatch_by_type(spark, sf_dir):
     return longs(rows, "type", "phase", "selector_no", "no")
 
 
+def _titled_links(ready):
+    """A collector of our own: the titles of pages, for a type that has none."""
+    titled = extract.subscribe_items(match_selectors(ready, [Selector("//h1")]))
+    return titled.select("page_id", "selector_no", "no", "value", "href")
+
+
+REGISTRY: dict[int, extract.Collector] = {
+    1: lambda t: extract.mass_items(match_selectors(t, [Selector("//li/a", extract=1)])).drop("url", "hashcode"),
+    2: lambda t: extract.banner_items(match_selectors(t, [Selector("//a")], inside=True), "./img").drop("url"),
+    3: lambda t: extract.subscribe_items(match_selectors(t, [Selector("//p", item_limit=2)])).drop("url", "hashcode"),
+}
+
+
+@query
+def registry_dispatch(spark, sf_dir):
+    """Pages sent by type to registered collectors, one of them added by the user; type 4 has none."""
+    pages = prepare_pages(inputs.banner_pages(spark, sf_dir))
+    typed = pages.withColumn("type", (F.col("page_id") % 5 + 1).cast("int"))
+    rows = extract.dispatch(typed, {**REGISTRY, 5: _titled_links})
+    return longs(rows, "type", "selector_no", "no").select(
+        "page_id", "type", "selector_no", "no", "value", "href", "imgsrc", "link"
+    )
+
+
 @query
 def harvest_run(spark, sf_dir):
     """Range scan, tasks, landed pages, all collectors by definition, envelope and sink."""
@@ -285,7 +319,7 @@ REFERENCE_FORMS = (
 
 @query
 def abs_url(spark, sf_dir):
-    links = extract.page_links(inputs.prepared(spark, sf_dir))
+    links = extract.page_links(inputs.masked(spark, sf_dir))
     word = F.substring(F.col("href"), F.lit(2), F.length("href"))
     forms = F.array(*[F.replace(F.lit(f), F.lit("@W"), word) for f in REFERENCE_FORMS])
     refs = links.select("page_id", "no", "url", F.posexplode(forms).alias("form", "ref"))
@@ -450,6 +484,89 @@ def landing_join(spark, sf_dir):
     )
 
 
+def _write_files(rows: DataFrame, folder: str, name: str, content: str) -> None:
+    """A file for each row, under the name and with the bytes of its columns."""
+
+    def write(batches):
+        import pyarrow.fs as fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{file}") as out:
+                    out.write(data)
+            yield batch.select([0])
+
+    rows.select(name, F.col(content).cast("binary").alias(content)).mapInArrow(write, f"{name} string").count()
+
+
+@query
+def landing_stream(spark, sf_dir):
+    """Sidecars and bodies as they land, in four polls; bodies come a poll early, in time or late."""
+    path = run_dir(spark, "landing-stream")
+    rows = landing.landed(_fetched(spark, sf_dir))
+    task = F.to_json(F.struct(
+        "pid", F.col("material_id").alias("materialId"), "type", "url",
+        F.col("write_time").alias("writeTime"), "seqno", "charset",
+    ))
+    total = inputs.table(spark, sf_dir, "pages").count()
+    poll = F.least(F.floor(F.col("material_id") * 3 / total), F.lit(2))
+    rows = cut_lineage(
+        rows.select(
+            "seqno", "material_id", "body", poll.alias("poll"), F.concat("seqno", F.lit(".ini")).alias("file"), task.alias("task")
+        ),
+        "landing-rows",
+    )
+    captured = rows.filter("material_id % 10 <> 3").withColumn(
+        "poll", F.greatest(F.least(F.col("poll") + F.col("material_id") % 3 - 1, F.lit(2)), F.lit(0))
+    )
+    # runs of a much later day push the watermark past all others
+    later = rows.agg(F.max("material_id").alias("m")).select(F.concat("m", F.lit("20240401000000")).alias("seqno"))
+    later = later.select("seqno", F.concat("seqno", F.lit(".ini")).alias("file"), F.concat(F.lit('{"seqno":"'), "seqno", F.lit('"}')).alias("task"))
+    work, bodies, done = f"{path}/work", f"{path}/bodies", f"{path}/done"
+    _write_files(rows.filter("poll = 0"), work, "file", "task")
+    _write_files(captured.filter("poll = 0"), bodies, "seqno", "body")
+    for number in range(1, 5):
+        stream = landing.pair_stream(spark, work, bodies, "7 days", done)
+        append_rows(stream.select("seqno", "charset", "path"), path).awaitTermination()
+        if number < 3:
+            _write_files(rows.filter(F.col("poll") == number), work, "file", "task")
+            _write_files(captured.filter(F.col("poll") == number), bodies, "seqno", "body")
+        elif number == 3:
+            _write_files(later, work, "file", "task")
+            _write_files(later, bodies, "seqno", "task")
+    pairs = read_output(spark, path).join(rows.select("seqno"), "seqno", "left_semi")
+    html = landing.decoded(landing.with_bodies(pairs, bodies))
+    return html.select(
+        "seqno", F.when(F.col("html").isNull(), "orphan").otherwise("joined").alias("state"),
+        F.length("html").cast("long").alias("chars"),
+    )
+
+
+@query
+def result_replay(spark, sf_dir):
+    """Result rows in three batches: one attempt breaks off, every batch is sent again."""
+    path = run_dir(spark, "result-ledger")
+    rows = inputs.pages(spark, sf_dir).select(
+        F.col("page_id").alias("material_id"),
+        keys.seqno(F.col("page_id"), inputs.start_instant()).alias("seqno"),
+        urls.registered_domain(F.col("url")).alias("pid"),
+        F.md5("html").alias("data"),
+    )
+    stored = results.generic_rows(rows, inputs.start_instant())
+    for number in range(3):
+        batch = stored.filter(F.col("material_id") % 3 == number)
+        # an attempt that wrote its files and died before its entry
+        results.write_results(batch, f"{path}/data/attempt=lost-{number}")
+        for _ in range(2):
+            results.write_once(batch, path, str(number))
+    listed = results.committed_batches(spark, path).groupBy("pid").agg(F.sum("rows").alias("listed"))
+    return results.read_committed(spark, path).join(listed, "pid").select(
+        "material_id", "seqno", "period", "pid", "contents", "listed"
+    )
+
+
 @query
 def result_sink(spark, sf_dir):
     ready = inputs.prepared(spark, sf_dir).select(
@@ -526,6 +643,45 @@ def range_lookup(spark, sf_dir):
     return longs(found, "range_no").select("o_orderkey", "pid", "range_no", "start_seq", "end_seq")
 
 
+def _priority_ids(spark, sf_dir):
+    return inputs.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("pid"))
+
+
+@query
+def range_assign_uneven(spark, sf_dir):
+    ranges = inputs.priority_ranges(spark, sf_dir)
+    return scan.assign_ranges(_priority_ids(spark, sf_dir), ranges, "o_orderkey", ["pid"]).select(
+        "o_orderkey", "pid", "start_seq", "end_seq"
+    )
+
+
+@query
+def range_lookup_uneven(spark, sf_dir):
+    ranges = inputs.priority_ranges(spark, sf_dir)
+    return scan.lookup_ranges(_priority_ids(spark, sf_dir), ranges, "o_orderkey").select(
+        "o_orderkey", "pid", "start_seq", "end_seq"
+    )
+
+
+@query
+def scanner_run(spark, sf_dir):
+    """Active materials of all ranges that one scanner is assigned, out of several pids."""
+    path = run_dir(spark, "materials")
+    orders = inputs.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("material_id"), F.col("o_orderpriority").alias("pid"),
+        F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("status"),
+    )
+    catalog.write_materials(orders, path)
+    partitions = orders.groupBy("pid").agg(
+        F.min("material_id").alias("min_seq"), F.max("material_id").alias("max_seq"), F.lit(4).alias("split_num")
+    )
+    scans = scan.partition_ranges(partitions).withColumn(
+        "scanner_id", F.when((F.col("range_no") % 2 == 1) & (F.col("pid") < "3"), "s1").otherwise("s0")
+    )
+    found = scan.scan_assigned(catalog.read_materials(spark, path), scans, "s1")
+    return found.select("material_id", "pid", "start_seq", "end_seq")
+
+
 @query
 def range_split(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders")
@@ -633,6 +789,42 @@ def crawl_from_definitions(spark, sf_dir):
     return rows.unionByName(longs(missing, "phase"), allowMissingColumns=True)
 
 
+@query
+def recaptured_crawl(spark, sf_dir):
+    """Crawls at two instants over pages that were captured twice: each sees the last capture before it."""
+    items, missing = frontier.crawl_definitions(
+        inputs.recaptured_pages(spark, sf_dir), inputs.timed_materials(spark, sf_dir)
+    )
+    rows = longs(items, "phase", "selector_no", "no", "visits").select(
+        "material_id", "phase", "url", "selector_no", "no", "hashcode", "href", "visits"
+    )
+    return rows.unionByName(longs(missing, "phase").drop("srcurl"), allowMissingColumns=True)
+
+
+@query
+def second_run(spark, sf_dir):
+    """Three runs over one state of urls: what each may fetch, and how often it was tried."""
+    path = run_dir(spark, "url-states")
+    urls_ = inputs.site_pages(spark, sf_dir).select("page_id", "url")
+    status = F.element_at(
+        F.array(*map(F.lit, (seen.FETCHED, seen.DEAD, seen.FAILED, seen.FETCHING, seen.FAILED))),
+        (F.col("page_id") % 5 + 1).cast("int"),
+    )
+    tries = F.when(F.col("page_id") % 5 == 4, 3).otherwise(1)
+    first = urls_.filter("page_id % 3 <> 0").select("url", status.alias("status"), tries.alias("tries"), inputs.start_instant().alias("at"))
+    seen.record(first, path, 1)
+    tasks = urls_.select("url").unionByName(urls_.select("url"))
+    out = None
+    for run, minutes in ((2, 30), (3, 80)):
+        at = inputs.start_instant() + F.expr(f"interval {minutes} minutes")
+        claimed = cut_lineage(seen.claim(tasks, path, at), "claimed")
+        states = claimed.select("url", F.lit(seen.FETCHING).alias("status"), "tries", at.alias("at"))
+        seen.record(states, path, run)
+        rows = claimed.select(F.lit(run).cast("long").alias("run"), "url", F.col("tries").cast("long").alias("tries"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def mass_crawl(spark, sf_dir):
     tasks = assemble.opening_tasks(inputs.site_tasks(spark, sf_dir))
@@ -753,46 +945,57 @@ def _third_of_month(column: str):
     return F.least(F.floor((F.dayofmonth(column) - 1) / 10), F.lit(2))
 
 
-@query
-def quota_stream(spark, sf_dir):
+def _verdicts(spark, sf_dir, slices):
     base = run_dir(spark, "quota-stream")
-    step = quota_stream_ops.admission_step(HOUR_CAP, DAY_CAP, "hour")
-    schema = quota_stream_ops.COUNTER_SCHEMA
+    requests = inputs.requests(spark, sf_dir)
     _replay(
         spark,
-        inputs.requests(spark, sf_dir),
-        _third_of_month("ts"),
-        lambda stream: run_with_state(stream, step, schema, base, parts=quota_stream_ops.by_day()),
+        requests,
+        slices,
+        lambda stream: append_rows(quota_stream_ops.admission_stream(stream, HOUR_CAP, DAY_CAP, "hour"), base),
     )
-    return read_output(spark, base).select("request_id", "domain", "verdict")
+    verdicts = read_output(spark, base)
+    rows = verdicts.unionByName(quota_stream_ops.late_requests(requests, verdicts))
+    return rows.select("request_id", "domain", "verdict")
 
 
-def _append(stream: DataFrame, base: str):
-    return (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/output")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+@query
+def quota_stream(spark, sf_dir):
+    return _verdicts(spark, sf_dir, _third_of_month("ts"))
 
 
 @query
-def quota_usage_stream(spark, sf_dir):
+def quota_stream_late(spark, sf_dir):
+    """Some requests come weeks late: they take no slot and are told so."""
+    return _verdicts(spark, sf_dir, inputs.delayed_slice())
+
+
+def _usage(spark, sf_dir, slices):
     base = run_dir(spark, "usage-stream")
     _replay(
         spark,
         inputs.requests(spark, sf_dir),
-        _third_of_month("ts"),
-        lambda stream: run_with_state(
-            stream, quota_stream_ops.usage_step("hour"), quota_stream_ops.USAGE_SCHEMA, base,
-            parts=quota_stream_ops.by_day(),
-        ),
+        slices,
+        lambda stream: update_rows(quota_stream_ops.window_usage(stream, "hour"), base),
     )
-    totals = read_state(spark, base, quota_stream_ops.USAGE_SCHEMA)
+    return quota_stream_ops.latest_totals(read_output(spark, base))
+
+
+@query
+def quota_usage_stream(spark, sf_dir):
+    totals = _usage(spark, sf_dir, _third_of_month("ts"))
     return totals.select(at_text("bucket"), "domain", "requests")
 
 
+@query
+def quota_usage_late(spark, sf_dir):
+    """Windows as counted in time, and what came too late for them."""
+    totals = cut_lineage(_usage(spark, sf_dir, inputs.delayed_slice()), "totals")
+    late = quota_stream_ops.late_usage(inputs.requests(spark, sf_dir), totals, "hour")
+    rows = totals.withColumn("kind", F.lit("counted")).unionByName(late.withColumn("kind", F.lit("late")))
+    return rows.select("kind", at_text("bucket"), "domain", "requests")
+
+
 @query
 def dedup_stream(spark, sf_dir):
     base = run_dir(spark, "dedup-stream")
@@ -804,7 +1007,7 @@ def dedup_stream(spark, sf_dir):
         spark,
         tasks,
         _third_of_month("ts"),
-        lambda stream: _append(
+        lambda stream: append_rows(
             gate_stream_ops.suppress_repeats(stream, "url", "60 days").select("url"), base
         ),
     )
@@ -826,9 +1029,7 @@ def gate_stream(spark, sf_dir):
         spark,
         rows,
         F.pmod(F.xxhash64("seqno", "url"), F.lit(3)),
-        lambda stream: run_with_state(
-            stream, gate_stream_ops.gate_step(), gate_stream_ops.CHILD_SCHEMA, base
-        ),
+        lambda stream: append_rows(gate_stream_ops.run_gate(stream), base),
     )
     return longs(read_output(spark, base), "complete").select(
         "seqno", "expected", "arrived", "complete"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Fixed value: status of a material that is to be collected.
 ACTIVE = 2
@@ -48,6 +49,14 @@ def read_table_jdbc(
 
 
 def read_materials(spark: SparkSession, path: str, pid: str | None = None) -> DataFrame:
-    """Materials stored as files partitioned by ``pid``; one pid reads its folder only."""
-    rows = spark.read.parquet(path)
+    """Materials stored as files partitioned by ``pid``, a string; one pid reads its folder only."""
+    schema = spark.read.parquet(path).schema
+    typed = StructType([StructField("pid", StringType()) if f.name == "pid" else f for f in schema])
+    rows = spark.read.schema(typed).parquet(path)
     return rows if pid is None else rows.filter(rows.pid == pid)
+
+
+def write_materials(materials: DataFrame, path: str) -> None:
+    """Materials in folders by ``pid``, sorted by id in each file, so that a scan of ids skips row groups."""
+    spread = materials.repartitionByRange("pid", "material_id").sortWithinPartitions("pid", "material_id")
+    spread.write.mode("overwrite").partitionBy("pid").parquet(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import keys, markup, text
-from gleaner.sources.records import TASK_SCHEMA, decode_records
+from gleaner.sources.records import TASK_SCHEMA, decode_records, good_records
+
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def landed(tasks: DataFrame, fetched_at: str = "fetched_at", body: str = "body") -> DataFrame:
@@ -85,3 +87,32 @@ def join_bodies(sidecars: DataFrame, bodies: DataFrame) -> DataFrame:
 def orphans(sidecars: DataFrame, bodies: DataFrame) -> DataFrame:
     """Tasks whose body is missing."""
     return sidecars.join(bodies.select("seqno"), "seqno", "left_anti")
+
+
+def _run_instant() -> Column:
+    """The fetch instant at the end of a run key."""
+    return F.to_timestamp(F.right("seqno", F.lit(14)), "yyyyMMddHHmmss").alias("at")
+
+
+def pair_stream(
+    spark: SparkSession, work: str, bodies: str, delay: str = "1 hour", archive_to: str | None = None
+) -> DataFrame:
+    """Tasks of a landing folder with the path of their body, as a stream.
+
+    Sidecars and bodies are two streams joined by run key; either may come first. A task
+    whose body has not come when the watermark of both, ``delay`` behind their newest run,
+    passes its fetch instant comes out with a NULL path: an orphan. State holds keys and paths
+    of the last ``delay``, no bodies. Blank or broken sidecars give no task.
+    """
+    tasks = good_records(read_sidecars(spark, work, stream=True, archive_to=archive_to))
+    tasks = tasks.select("*", _run_instant()).withWatermark("at", delay)
+    files = spark.readStream.format("binaryFile").schema(_FILES).load(bodies)
+    found = files.select(F.substring_index("path", "/", -1).alias("seqno"), "path")
+    found = found.select("*", _run_instant()).withWatermark("at", delay)
+    return tasks.join(found, ["seqno", "at"], "left_outer")
+
+
+def with_bodies(pairs: DataFrame, bodies: str) -> DataFrame:
+    """Paired tasks with ``body`` in place of the path; orphans have none."""
+    files = pairs.sparkSession.read.format("binaryFile").load(bodies)
+    return pairs.join(files.select("path", F.col("content").alias("body")), "path", "left").drop("path")

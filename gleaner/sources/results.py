@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def page_results(prepared: DataFrame, selectors: Sequence[Selector], base: str =
     """
 
     def items(selector: Selector) -> str:
-        found = markup.select_elements_sql("markup", markup.parse_steps(selector.xpath))
+        found = markup.matches_sql("markup", markup.parse_steps(selector.xpath))
         if selector.item_limit >= 0:
             found = f"slice({found}, 1, {selector.item_limit})"
 
@@ -28,10 +30,9 @@ def page_results(prepared: DataFrame, selectors: Sequence[Selector], base: str =
                 markup.attribute_sql(f"{element}.open", "href"),
                 lambda h: f"if({h} IS NULL, NULL, {urls.abs_url_sql(base, h)})",
             )
-            return let(
-                text.node_text_sql(f"{element}.inner"),
-                lambda v: f"named_struct('no', {index} + 1, 'value', {v}, "
-                f"'hashcode', md5({v}), 'href', {href})",
+            return (
+                f"named_struct('no', {index} + 1, 'value', {element}.text, "
+                f"'hashcode', md5({element}.text), 'href', {href})"
             )
 
         element, index = fresh(), fresh()
@@ -95,6 +96,51 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_STORED).parquet(path)
 
 
+# A batch is committed by its entry in the ledger, the last thing it writes.
+_LEDGER = "period string, pid string, rows long, attempt string, batch string"
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_LEDGER).parquet(f"{path}/ledger")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LEDGER)
+
+
+def write_once(rows: DataFrame, path: str, batch: str) -> bool:
+    """Append result rows as one batch, once: False, and nothing written, if it is there already.
+
+    Rows go to a folder of this attempt; the ledger entry with the rows per (period, pid) makes
+    them visible. A writer that dies in between leaves files that no reader sees, and the
+    repeated batch writes its own.
+    """
+    spark = rows.sparkSession
+    if not _ledger(spark, path).filter(F.col("batch") == batch).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    target = f"{path}/data/attempt={attempt}"
+    write_results(rows, target)
+    written = spark.read.schema(_STORED).parquet(target) if not rows.isEmpty() else rows
+    entry = written.groupBy("period", "pid").agg(F.count("*").alias("rows"))
+    entry = entry.withColumn("attempt", F.lit(attempt)).withColumn("batch", F.lit(batch)).coalesce(1)
+    entry.write.mode("append").partitionBy("batch").parquet(f"{path}/ledger")
+    return True
+
+
+def committed_batches(spark: SparkSession, path: str) -> DataFrame:
+    """``batch, period, pid, rows`` of what readers see."""
+    return _ledger(spark, path).select("batch", "period", "pid", "rows")
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows of committed batches; the folders of other attempts are not read."""
+    attempts = _ledger(spark, path).select("attempt").distinct()
+    stored = spark.read.schema(f"{_STORED}, attempt string").parquet(f"{path}/data")
+    return stored.join(attempts, "attempt", "left_semi").drop("attempt")
+
+
 def write_phases(calls: DataFrame, path: str) -> None:
     """JSON lines per phase, UTF-8 kept as it is."""
     calls.write.mode("append").partitionBy("phase").json(path)

@@ -6,12 +6,12 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gleaner.operators import assemble, definitions
+from gleaner.operators import assemble, definitions, scan
 from gleaner.operators.extract import match_selectors, prepare_pages
 from gleaner.session import run_dir, shared_dir
-from gleaner.sources import landing, records, results
+from gleaner.sources import catalog, landing, records, results
 from gleaner.streaming import gate
-from gleaner.streaming.state import read_output, run_with_state
+from gleaner.streaming.queries import append_rows, read_output
 
 
 def drop_task(folder, seqno, text=None):
@@ -95,7 +95,25 @@ def test_any_depth_and_rejects(spark):
         (2, 1, "unsupported selector", "//a[2]"), (2, 1, "unsupported selector", "a()"), (2, 1, "unsupported selector", "b"),
         (3, 0, "not a definition", '{"addr":'), (5, 0, "not a definition", "[1]"),
     ]
-    assert {r.material_id for r in definitions.rejects(materials).collect()} == {2, 3, 4, 5}
+    assert {r.material_id for r in definitions.rejects(materials).collect()} == {2, 3, 4, 5, 6}
+
+
+def test_every_level_gives_a_selector_or_a_reject(spark):
+    rows = [
+        (1, '{"type":3,"selectors":[]}'), (2, '{"selectors":[{"xpath":"//p"}],"child":{"selectors":"text"}}'),
+        (3, '{"limit":"abc","type":"3","selectors":[{"xpath":"//p"},{"xpath":["x"]},7]}'), (4, '{"type":4}'),
+        (5, '{"type":5}'), (6, '{"type":4,"yaxisXpath":"a()"}'), (7, '{"child":7,"selectors":[{"xpath":"//p"}]}'),
+        (8, json.dumps({"selectors": [{"xpath": "//p"}], "note": '"child":' * 1000})),
+    ]
+    materials = spark.createDataFrame(rows, "material_id long, definition string")
+    used = {(r.material_id, r.phase, r.xpath) for r in definitions.flatten(materials).filter(definitions.is_supported()).collect()}
+    assert used == {(2, 1, "//p"), (3, 1, "//p"), (7, 1, "//p"), (8, 1, "//p")}
+    found = {(r.material_id, r.phase, r.reason, r.text) for r in definitions.rejects(materials).collect()}
+    assert found == {
+        (1, 1, "no selector", None), (2, 2, "bad field", "$.selectors"), (2, 2, "no selector", None), (3, 1, "bad field", "$.limit"),
+        (3, 1, "bad field", "$.selectors[1].xpath"), (3, 1, "unsupported selector", '["x"]'), (3, 1, "unsupported selector", ""),
+        (4, 1, "no axis", None), (6, 1, "unsupported selector", "a()"), (7, 1, "bad field", "$.child"),
+    }
 
 
 def test_every_body_is_decoded_once(spark):
@@ -160,17 +178,58 @@ def test_gate_waits_then_reports_once_or_gives_up(spark):
         [("a", "u1", None, start + hour), ("c", "early", None, start + hour)],
         [("a", "u2", None, start + 2 * hour), ("c", None, 1, start + 2 * hour)],
         [("a", "u2", None, start + 9 * hour)],
+        [("b", "late", None, start + 10 * hour), ("d", None, 0, start + 30 * hour)],
     ]
-    source, base = run_dir(spark, "gate-in"), run_dir(spark, "gate")
+    source, base, seen = run_dir(spark, "gate-in"), run_dir(spark, "gate"), []
     for rows in runs:
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        step = gate.gate_step(timeout_hours=6)
-        run_with_state(stream, step, gate.CHILD_SCHEMA, base).awaitTermination()
-    got = read_output(spark, base).collect()
-    assert sorted((r.seqno, r.batch_id, r.arrived, r.complete) for r in got) == [
-        ("a", 2, 2, True), ("b", 3, 0, False), ("c", 2, 1, True), ("z", 0, 0, True),
-    ]
+        query = append_rows(gate.run_gate(stream, timeout_hours=6, delay="3 hours"), base)
+        query.awaitTermination()
+        out = {(r.seqno, r.arrived, r.complete) for r in read_output(spark, base).collect()}
+        seen.append(out)
+    assert seen[0] == {("z", 0, True)}
+    assert seen[1] == seen[0]
+    assert seen[2] == seen[0] | {("a", 2, True), ("c", 1, True)}
+    # the watermark now stands at six hours
+    assert seen[3] == seen[4] - {("d", 0, True)}
+    assert seen[4] == seen[2] | {("b", 0, False), ("d", 0, True)}
+    # closed runs are forgotten with their timeout, given-up ones after twice that time
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal <= 4
+
+
+def test_batches_are_committed_once(spark):
+    at = F.to_timestamp(F.lit("2024-02-03 04:05:06"))
+    made = spark.range(10).select(
+        F.col("id").alias("material_id"), F.col("id").cast("string").alias("seqno"), F.lit("p").alias("pid"), F.lit("x").alias("data")
+    )
+    rows, path = results.generic_rows(made, at), run_dir(spark, "ledger")
+    broken = rows.withColumn("contents", F.when(F.col("material_id") == 9, F.raise_error(F.lit("killed"))).otherwise(F.col("contents")))
+    with pytest.raises(PySparkException):
+        results.write_once(broken, path, "b1")
+    assert results.committed_batches(spark, path).count() == 0
+    assert results.write_once(rows, path, "b1") and not results.write_once(rows, path, "b1")
+    assert results.write_once(rows.filter("material_id < 3"), path, "b2")
+    assert results.read_committed(spark, path).count() == 13
+    assert {(r.batch, r.rows) for r in results.committed_batches(spark, path).collect()} == {("b1", 10), ("b2", 3)}
+
+
+def test_assigned_scan_reads_the_folders_of_its_pids(spark):
+    path = run_dir(spark, "mat")
+    rows = spark.range(40_000).select(
+        F.col("id").alias("material_id"), (F.col("id") % 8).cast("string").alias("pid"), F.lit(2).alias("status")
+    )
+    catalog.write_materials(rows, path)
+    scans = spark.createDataFrame(
+        [("3", 100, 200, "s1"), ("3", 300, 301, "s1"), ("5", 0, 50, "s1"), ("6", 0, 9999, "s2")],
+        "pid string, start_seq long, end_seq long, scanner_id string",
+    )
+    found = scan.scan_assigned(catalog.read_materials(spark, path), scans, "s1")
+    got = sorted((r.pid, r.material_id) for r in found.select("pid", "material_id").collect())
+    assert got == sorted([("3", i) for i in range(100, 200) if i % 8 == 3] + [("5", i) for i in range(50) if i % 8 == 5])
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "dynamicpruning" in plan.lower() and "GreaterThanOrEqual(material_id,0)" in plan and "LessThan(material_id,301)" in plan
+    assert scan.scan_assigned(catalog.read_materials(spark, path), scans, "nobody").count() == 0
 
 
 def test_completeness_without_children(spark):
