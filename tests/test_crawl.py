@@ -1,12 +1,17 @@
+import json
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import assemble, extract, frontier
+from gleaner.operators import assemble, extract, frontier, seen
 from gleaner.operators.extract import Selector, match_selectors, prepare_pages
 
+from gleaner.session import run_dir
+
 SITE = "https://s.example.com/"
+START = datetime(2024, 1, 1)
 
 
 def page(name, *links, title=None, after=None):
@@ -78,6 +83,91 @@ def test_pagination_resolves_against_the_root(spark):
     ]
 
 
+def test_long_chains_take_a_logarithm_of_rounds(spark, monkeypatch):
+    rows = [page(f"p{n}", after=f"p{n + 1}") for n in range(40)] + [page("q0", after="?n=1"), page("q0?n=1", after="?n=2")]
+    rows += [page("d/a", after="../e/b"), page("e/b", after="c"), page("d/c", after="/p38"), page("e/c")]
+    nexts = frontier.next_links(prepare_pages(pages_of(spark, rows)), "//a[@class='next']")
+    roots = spark.createDataFrame([(SITE + r,) for r in ("p0", "p3", "q0", "d/a")], "url string")
+    written = []
+    keep = frontier.cut_lineage
+    monkeypatch.setattr(frontier, "cut_lineage", lambda df, label, *a: written.append(label) or keep(df, label, *a))
+    got = {}
+    for r in frontier.paginate(nexts, roots, 30).collect():
+        got.setdefault(r.root[len(SITE):], {})[r.page_no] = r.url[len(SITE):]
+    monkeypatch.undo()
+    assert got["p0"] == {n + 1: f"p{n}" for n in range(30)} and got["p3"] == {n + 1: f"p{n + 3}" for n in range(30)}
+    assert got["q0"] == {1: "q0", 2: "q0?n=1"}
+    # "c" on e/b means d/c for a root in d, and p39 on p38 means d/p39: stepped by itself where the pointers end
+    assert got["d/a"] == {1: "d/a", 2: "e/b", 3: "d/c", 4: "p38"}
+    assert written.count("pointers") == 5
+
+
+def test_each_run_sees_the_last_capture_before_it(spark):
+    captures = spark.createDataFrame(
+        [("u", START, 1), ("u", START + timedelta(days=2), 2), ("v", START + timedelta(days=1), 3), ("v", START + timedelta(days=9), 4)],
+        "url string, captured_at timestamp, capture_id long",
+    )
+    tasks = spark.createDataFrame(
+        [("a", "u", START), ("b", "u", START + timedelta(days=1)), ("c", "u", START + timedelta(days=2)), ("c", "u", START + timedelta(days=2)),
+         ("d", "v", START), ("e", "v", START + timedelta(days=5)), ("f", "w", START)],
+        "task string, url string, run_at timestamp",
+    )
+    got = sorted((r.task, r.capture_id) for r in frontier.as_of(tasks, captures).collect())
+    assert got == [("a", 1), ("b", 1), ("c", 2), ("c", 2), ("d", None), ("e", 3), ("f", None)]
+
+
+def _definition(addr, *selectors, child=None, **fields):
+    body = {"addr": addr, "selectors": [{"xpath": x, "extract": 1} for x in selectors], **fields}
+    return body | ({"child": child} if child else {})
+
+
+def test_equal_captures_count_once_and_programs_share_pages(spark, monkeypatch):
+    pages = pages_of(spark, [page("r", "a"), page("r", "a"), page("a"), page("a")])
+    body = json.dumps(_definition(SITE + "r", "//li/a", child=_definition(None, "//h1")))
+    other = json.dumps(_definition(SITE + "r", "//li/a", child=_definition(None, "//li")))
+    materials = spark.createDataFrame([(k, body) for k in range(5)] + [(9, other)], "material_id long, definition string")
+    given = []
+    match = frontier.match_selectors
+    monkeypatch.setattr(frontier, "match_selectors", lambda ready, *a: given.append(ready.count()) or match(ready, *a))
+    items, missing = frontier.crawl_definitions(pages, materials)
+    got = sorted((r.material_id, r.phase, r.value, int(r.visits)) for r in items.collect())
+    assert got == sorted([(k, 1, "a", 1) for k in (0, 1, 2, 3, 4, 9)] + [(k, 2, "a", 1) for k in range(5)])
+    assert given == [1, 2] and missing.count() == 0  # a page for each set of selectors asked of it
+
+
+def test_crawls_without_a_usable_definition_are_empty(spark):
+    pages = pages_of(spark, [page("r", "a")])
+    for rows in ([], [(1, '{"selectors":[]}'), (2, None)]):
+        materials = spark.createDataFrame(rows, "material_id long, definition string")
+        items, missing = frontier.crawl_definitions(pages, materials)
+        assert items.count() == missing.count() == 0 and "visits" in items.columns
+    tasks = spark.createDataFrame([], "pid string, material_id long, uuid string, type int, charset string, seqno string, write_time string, url string, definition string")
+    assert frontier.crawl_levels(pages, tasks).count() == 0
+
+
+def test_url_states_outlive_runs_and_read_what_may_hit(spark):
+    path = run_dir(spark, "states")
+    at = lambda h: F.lit(START + timedelta(hours=h))
+    tasks = spark.createDataFrame([(f"u{n}",) for n in range(30)] * 2 + [(" ",), (None,)], "url string")
+    assert seen.claim(tasks, path, at(0)).count() == 30  # nothing is known yet
+    states = [(f"u{n}", seen.FETCHED, 1) for n in range(10)] + [(f"u{n}", seen.DEAD, 1) for n in range(10, 15)]
+    states += [(f"u{n}", seen.FETCHING, 1) for n in range(15, 20)] + [("u20", seen.FAILED, 3), ("u21", seen.FAILED, 1)]
+    table = spark.createDataFrame(states, "url string, status string, tries int").withColumn("at", at(0))
+    for _ in range(2):  # a run that is repeated replaces what it left
+        seen.record(table, path, 1)
+    soon = {r.url: r.tries for r in seen.claim(tasks, path, at(0.5)).collect()}
+    assert soon == {f"u{n}": 1 for n in range(22, 30)} | {"u21": 2}
+    assert {r.url for r in seen.claim(tasks, path, at(2)).collect()} == soon.keys() | {f"u{n}" for n in range(15, 20)}
+    many = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("url"), F.lit(seen.FETCHED).alias("status"), F.lit(1).alias("tries"), at(3).alias("at"))
+    seen.record(many.unionByName(table.filter("url = 'u21'").withColumns({"status": F.lit(seen.DEAD), "at": at(3)})), path, 2)
+    assert {r.url: r.tries for r in seen.claim(tasks, path, at(0.5)).collect()} == {f"u{n}": 1 for n in range(22, 30)}
+    asked = spark.range(2000).select(F.concat(F.lit("never"), "id").alias("url"))
+    assert seen._may_hold(asked, path).count() < 40  # of 4,000 pairs of urls and runs
+    target = run_dir(spark, "states")
+    seen.compact(spark, path, target, 5)
+    assert seen.known_states(tasks, target).count() == seen.known_states(tasks, path).count() == 22
+
+
 def test_breadth_first_search_against_brute_force(spark):
     rng = random.Random(2)
     edges = {(rng.randrange(60), 0 if rng.random() < 0.3 else rng.randrange(60)) for _ in range(110)}

@@ -1,4 +1,5 @@
 import html as stdlib_html
+import random
 import re
 import time
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import markup, text
 from gleaner.operators.elements import index_pages
+from gleaner.operators.extract import Selector, match_selectors
 
 PAGE = """<html><head><meta http-equiv="Content-Type" content="text/html; charset=GBK">
 <script>var a="<p>x</p>&lt;<!-- q -->";</script></head><body><!-- <p>no <script> -->
@@ -161,3 +163,90 @@ def test_decode_native_and_other(spark):
     )
     got = {r.id: r.html for r in decoded(df).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+
+
+def tree(html):
+    """Elements of well-formed markup by a stack: (name, end tag number, level) by tag number."""
+    from html.parser import HTMLParser
+
+    out, stack, n = {}, [], 0
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            nonlocal n
+            n += 1
+            out[n] = [tag, n, len(stack)]
+            if tag not in markup.VOID_TAGS:
+                stack.append(n)
+
+        def handle_endtag(self, tag):
+            nonlocal n
+            n += 1
+            out[stack.pop()][1] = n
+
+    Reader().feed(html)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_intervals_equal_those_of_a_stack(spark):
+    rng = random.Random(7)
+    inline = ["t", "t<br>u", "<video>v</video>", "<span>s<span>t</span></span>", "<code>c</code><img src=x>"]
+    lists = {"ul": "li", "dl": "dd", "select": "option", "table": "tr"}
+
+    def grow(depth):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            name = rng.choice("div section article video ul dl select table span b a em p h2".split())
+            if name in lists:
+                inner = "".join(f"<{lists[name]}>{rng.choice(inline[:2] if name == 'select' else inline)}</{lists[name]}>" for _ in range(rng.randint(0, 3)))
+                if name != "select":
+                    inner = inner.replace("t<br>u", grow(depth - 1) if depth else "t")
+            elif name in ("div", "section", "article", "video"):
+                inner = grow(depth - 1) if depth else "t"
+            else:
+                inner = rng.choice(inline)
+            parts.append(f"<{name}>{inner}</{name}>")
+        return "".join(parts)
+
+    pages = ["<html><body>" + grow(3) + grow(3) + "</body></html>" for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(pages)), "n int, html string").repartition(3)
+    for r in index_pages(rows).collect():
+        got = {e.el: (e.name, e.end, e.level) for e in r.markup.elements}
+        assert got == tree(pages[r.n]), pages[r.n]
+        assert [e.idx for e in r.markup.elements] == list(range(1, len(got) + 1))
+
+
+def test_open_items_and_overlapping_tags(spark):
+    """Items, cells and paragraphs that nothing closes are siblings, not children."""
+    html = "<ul><li>1<li>2<ul><li>3</ul><li>4</ul><table><tr><td>a<td>b<tr><td>c</table><p>x<div>y<b>z</div>w<p>v"
+    one = index_pages(spark.createDataFrame([(html,)], "html string"))
+    found = one.select(*[F.expr(f"transform({markup.matches_sql('markup', markup.parse_steps(x))}, m -> m.text)").alias(x[2:].replace("/", "_"))
+                         for x in ("//ul/li", "/ul/li", "//tr/td", "//p", "//div/b")]).first()
+    assert list(found) == [["1", "23", "3", "4"], ["1", "23", "4"], ["a", "b", "c"], ["x", "v"], ["z"]]
+
+
+def test_pages_that_are_empty_equal_or_null(spark):
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "no tags"), (4, "<p>a"), (4, "<p>a"), (5, "<p " * 50)], "n int, html string")
+    got = sorted((r.n, len(r.markup.elements), "".join(r.markup.texts)) for r in index_pages(pages).collect())
+    assert got[:5] == [(1, 0, ""), (2, 0, ""), (3, 0, "no tags"), (4, 1, "a"), (4, 1, "a")]
+
+
+def test_ten_selectors_cost_little_more_than_one(spark):
+    html = "<html><body>" + "<div class='k'><ul><li><a href='/x'>t</a></li></ul><p>u<b>v</b></p></div>" * 400 + "</body></html>"
+    pages = index_pages(spark.createDataFrame([(html,)] * 16, "html string"))
+    ten = ["//div", "//ul", "//li", "//a", "//p", "//b", "//li/a", "//div[@class='k']", "//body/div", "//ul//a"]
+
+    def seconds(xpaths):
+        made = match_selectors(pages, [Selector(x) for x in xpaths]).select("selector_no", F.size("elements").alias("n"))
+        start = time.perf_counter()
+        made.agg(F.sum("n")).collect()
+        return time.perf_counter() - start
+
+    def cut():
+        start = time.perf_counter()
+        index_pages(spark.createDataFrame([(html,)] * 16, "html string"))
+        return time.perf_counter() - start
+
+    seconds(ten), cut()
+    one, all_ten, index = (min(f() for _ in range(2)) for f in (lambda: seconds(ten[:1]), lambda: seconds(ten), cut))
+    assert index + all_ten < 2 * (index + one)
