@@ -5,17 +5,15 @@ any two suffixes there is then a shift below ``m`` that takes both to sampled pl
 strings of ``length`` bytes thus hold, at equal distance from their starts, two sampled places
 with the same next ``length - m`` bytes.
 
-1. **Sorted samples.** Every sampled place gets a name for its next ``length - m`` bytes. Spark
-   sorts the names into its partitions; a name that occurs once settles its place as unique.
-2. **Triples.** The names of the places ``m`` before, at and ``m`` after a sampled place form a
-   triple. Names are at least ``m`` bytes long, so a triple names all bytes of the ``m`` strings
-   that the place stands for. Equal triples settle those strings as repeated.
-3. **Recursion on names.** A place whose name is repeated while its triple is not lies where a
-   repeat begins or ends. Its range of strings is cut into ``PARTS`` ranges, each with a name of
-   the bytes that all its strings share and one of all the bytes that any of them has: the
-   first alone settles the range as unique if it occurs once, the second as repeated if it
-   occurs again.
-4. **Merge of the remaining suffixes.** In the ranges that are still open all suffixes, sampled
+1. **Sorted samples.** Every sampled place gets a name for its next ``length - m`` bytes, in
+   place of the triple of letters that a cover modulo 3 would give. Spark sorts the names into
+   its partitions; a name that occurs once settles its place as unique.
+2. **Recursion on names.** A place with a repeated name stands for the ``m`` strings that hold it
+   at its shift. Such a range of strings has a core, the bytes that all of them share, and a
+   hull, all bytes that any of them has. A core that occurs once settles the range as unique,
+   a hull that occurs again as repeated; a range that is neither lies where a repeat begins or
+   ends, is cut into ``PARTS`` ranges, and those get names again.
+3. **Merge of the remaining suffixes.** In the ranges that are still open all suffixes, sampled
    or not, are brought together by their first ``length`` bytes, and equal prefixes that meet
    are repeats.
 
@@ -57,6 +55,7 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
     183: (0, 2, 3, 10, 26, 39, 43, 61, 109, 121, 130, 136, 141, 155),
+    273: (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256),
 }
 #: Shortest string that can be asked for: a name needs eight bytes.
 LEAST = 15
@@ -67,10 +66,10 @@ _KEYS = np.random.default_rng(31).integers(1 << 62, (1 << 63) - 1, 8, dtype=np.u
 
 
 def modulus_for(length: int) -> int:
-    """The largest modulus whose names reach from one place to the next."""
+    """The largest modulus that leaves a quarter of the length, and eight bytes, to names."""
     if length < LEAST:
         raise ValueError(f"strings must have {LEAST} bytes at least")
-    return max(m for m in COVERS if 2 * m <= length)
+    return max(m for m in COVERS if m <= min(3 * length // 4, length - 8))
 
 
 class _Powers:
@@ -173,19 +172,6 @@ def _names(x: Pieces, s: Samples, hashes: Hashes, length: int) -> np.ndarray:
     return hashes.of(x.first[s.piece] + s.at - x.base[s.piece], length - modulus_for(length))
 
 
-def _triples(x: Pieces, s: Samples, hashes: Hashes, length: int) -> np.ndarray:
-    """The names before, at and after each place; at the edges of a text, the outermost ones."""
-    m = modulus_for(length)
-    size = length - m
-    origin = x.first[s.piece] - x.base[s.piece]
-    left = np.maximum(s.at - m, 0)
-    right = np.minimum(s.at + m, x.size[s.piece] - size)
-    out = (s.at - left).astype(np.uint64) * _KEYS[4] + (right - s.at).astype(np.uint64) * _KEYS[5]
-    for at, key in ((left, _KEYS[6]), (s.at, _KEYS[7]), (right, _KEYS[0])):
-        out = out + hashes.of(origin + at, size) * key
-    return mix(out)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -206,15 +192,9 @@ def _sampled_names(docs: DataFrame, length: int) -> DataFrame:
 _ROWS = "core long, hull long, doc long, key long, at int"
 
 
-def _batch(part: pa.RecordBatch, core: np.ndarray, hull: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    rows = pa.array(row)
-    columns = [_signed(core), _signed(hull), part.column("doc").take(rows), part.column("key").take(rows)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(at.astype(np.int32))], ["core", "hull", "doc", "key", "at"])
-
-
-def _sampled_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """``core, hull, doc, key, at`` of each sampled place: its name, its triple, and the first of
-    the strings that it stands for (before the text begins, where it is among the first)."""
+def _sampled_places(docs: DataFrame, length: int) -> DataFrame:
+    """``name, doc, key, at`` of each sampled place, by the first of the strings that it stands for
+    (before the text begins, where the place is among its first)."""
     m = modulus_for(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +202,17 @@ def _sampled_ranges(docs: DataFrame, length: int) -> DataFrame:
             for part in slices(batch, "text", CHUNK):
                 for x in pieces(part.column("text"), length):
                     s = samples(x, length)
-                    core = _names(x, s, Hashes(x.data, 0), length)
-                    hull = _triples(x, s, Hashes(x.data, 1), length)
-                    yield _batch(part, core, hull, x.row[s.piece], s.at - m + 1)
+                    rows = pa.array(x.row[s.piece])
+                    columns = [_signed(_names(x, s, Hashes(x.data, 0), length)), part.column("doc").take(rows), part.column("key").take(rows)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array((s.at - m + 1).astype(np.int32))], ["name", "doc", "key", "at"]
+                    )
 
-    return docs.select("doc", "key", "text").mapInArrow(run, _ROWS)
+    return docs.select("doc", "key", "text").mapInArrow(run, "name long, doc long, key long, at int")
 
 
 def _inner_ranges(docs: DataFrame, length: int, outer: int, width: int) -> DataFrame:
-    """The same for the ranges of ``width`` strings inside the ranges of ``outer`` in ``open``.
+    """``core, hull, doc, key, at`` of the ranges of ``width`` strings inside those of ``outer`` in ``open``.
 
     With a width of one both names are those of the string itself.
     """
@@ -253,8 +235,12 @@ def _inner_ranges(docs: DataFrame, length: int, outer: int, width: int) -> DataF
                     if width > 1:  # ranges cut by the edge of a text equal none that are not
                         hull = mix(hull + (low - at).astype(np.uint64) * _KEYS[4] + (last - at).astype(np.uint64) * _KEYS[5])
                     for begin in range(0, len(at), CHUNK):
-                        rows = slice(begin, begin + CHUNK)
-                        yield _batch(part, core[rows], hull[rows], x.row[piece[rows]], at[rows])
+                        some = slice(begin, begin + CHUNK)
+                        rows = pa.array(x.row[piece[some]])
+                        columns = [_signed(core[some]), _signed(hull[some]), part.column("doc").take(rows), part.column("key").take(rows)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*columns, pa.array(at[some].astype(np.int32))], ["core", "hull", "doc", "key", "at"]
+                        )
 
     return docs.select("doc", "key", "text", "open").mapInArrow(run, _ROWS)
 
@@ -353,16 +339,17 @@ def repeated_bytes(
     named = _sampled_names(base, length).groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
     named = cut_lineage(named.select("name"), "repeated-names")
     release(spark)
-    ranges = cut_lineage(_sampled_ranges(base, length).join(named.withColumnRenamed("name", "core"), "core"), "ranges")
+    going = _sampled_places(base, length).join(named, "name").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
+    going = cut_lineage(going, "repeated-places")
     release(spark)
-    found, going = _settle(ranges, m)
-    repeated, outer = found, m
-    for width in dict.fromkeys([-(-m // PARTS), 1]):
+    repeated, outer = None, 1
+    for width in dict.fromkeys([m, -(-m // PARTS), 1]):
         texts = base.select("doc", "key", "text").join(going, ["doc", "key"])
         ranges = cut_lineage(_inner_ranges(texts, length, outer, width), "ranges")
         release(spark)
         found, going = _settle(ranges, width)
-        repeated, outer = repeated.unionByName(found), width
+        release(spark)
+        repeated, outer = found if repeated is None else repeated.unionByName(found), width
     marks = repeated.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "width")).alias("marks"))
     marks = cut_lineage(marks, "marks")
     release(spark)

@@ -71,7 +71,7 @@ def test_long_text_in_pieces(spark, monkeypatch):
     body = "".join(rng.choice("abc") for _ in range(700))
     rows = [(1, body + "x" + body[100:400]), (2, "y" * 10 + body[350:] * 2), (3, "short")]
     texts = [t for _, t in rows]
-    # the pieces of a long text see every sampled place once, with the names of the whole text
+    # the pieces of a long text see every sampled place once, with its name in the whole text
     import pyarrow as pa
 
     for text in texts:
@@ -80,16 +80,24 @@ def test_long_text_in_pieces(spark, monkeypatch):
         for x in suffixes.pieces(wide, 20):
             s = suffixes.samples(x, 20)
             names = suffixes._names(x, s, suffixes.Hashes(x.data, 0), 20)
-            found += zip(s.at.tolist(), names.tolist(), suffixes._triples(x, s, suffixes.Hashes(x.data, 1), 20).tolist(), strict=True)
+            found += zip(s.at.tolist(), names.tolist(), strict=True)
         monkeypatch.setattr(suffixes, "CHUNK", 1 << 20)
         (x,) = suffixes.pieces(wide, 20)
         s = suffixes.samples(x, 20)
         names = suffixes._names(x, s, suffixes.Hashes(x.data, 0), 20)
-        triples = suffixes._triples(x, s, suffixes.Hashes(x.data, 1), 20)
-        assert found == list(zip(s.at.tolist(), names.tolist(), triples.tolist(), strict=True))
+        assert found == list(zip(s.at.tolist(), names.tolist(), strict=True))
         monkeypatch.setattr(suffixes, "CHUNK", 64)
 
 
+def test_long_texts_in_pieces_match_brute_force(spark):
+    rng = random.Random(9)
+    body = "".join(rng.choice("abcd") for _ in range(5_000_000))
+    rows = [(1, body), (2, body[1_048_000:1_049_000] + "x" + body[4_000_000:]), (3, body[:300] + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffixes.repeated_bytes(docs).collect()}
+    assert got == {1: [(1_048_000, 1_049_000), (4_000_000, 5_000_000)], 2: [(0, 1000), (1001, 1_001_001)], 3: []}
+
+
 def test_empty_table_and_extra_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.repeated_bytes(none).count() == 0
