@@ -30,7 +30,7 @@ BUCKETS = 1 << 14
 STATES = 8
 #: Passes of Baum-Welch over all training texts.
 ROUNDS = 3
-#: Training sequences are runs of this many tokens; scoring always takes whole texts.
+#: Training texts are worked on in runs of this many tokens, their states carried over the cuts.
 RUN = 128
 #: The starting point is fitted on this many runs, those of smallest hash, in so many rounds.
 START_RUNS, START_ROUNDS = 1500, 15
@@ -59,25 +59,103 @@ class Expected:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((states, BUCKETS + 1)))
 
 
-def runs_of(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and size of the runs that whole sequences are cut into."""
+@dataclass
+class Runs:
+    """Runs of whole texts, in order: place, size, and the text and number of each."""
+
+    begin: np.ndarray
+    sizes: np.ndarray
+    text: np.ndarray
+    ordinal: np.ndarray
+    last: np.ndarray
+
+
+def runs_of(sizes: np.ndarray) -> Runs:
+    """The runs that whole sequences are cut into."""
     pieces = -(-sizes // RUN)
-    first = starts_of(sizes)[:-1]
-    ordinal = np.arange(pieces.sum()) - np.repeat(starts_of(pieces)[:-1], pieces)
-    begin = np.repeat(first, pieces) + RUN * ordinal
-    return begin, np.minimum(RUN, np.repeat(first + sizes, pieces) - begin)
+    text = np.repeat(np.arange(len(sizes)), pieces)
+    ordinal = np.arange(len(text)) - starts_of(pieces)[:-1][text]
+    first = starts_of(sizes)[:-1][text]
+    begin = first + RUN * ordinal
+    return Runs(begin, np.minimum(RUN, first + sizes[text] - begin), text, ordinal, ordinal == pieces[text] - 1)
+
+
+def _transfers(model: Model, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run the matrix that takes the state before it to that after it, up to a factor.
+
+    The first run of a text takes any distribution to what the start leads to.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    begin, sizes, first = begin[order], sizes[order], first[order]
+    emits = np.ascontiguousarray(model.emits.T)
+    made = np.repeat(model.moves[None], len(begin), axis=0)
+    made[first] = model.start
+    made *= emits[symbols[begin]][:, None, :]
+    made /= made.sum(axis=(1, 2), keepdims=True)
+    for t in range(1, int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -t, "left"))
+        made[:n] = (made[:n] @ model.moves) * emits[symbols[begin[:n] + t]][:, None, :]
+        made[:n] /= made[:n].sum(axis=(1, 2), keepdims=True)
+    out = np.empty_like(made)
+    out[order] = made
+    return out
+
 
+def _carried(model: Model, symbols: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """The state before each run (its first one aside) and the backward state after it, each up to a factor.
 
-def expect(model: Model, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray, total: Expected) -> None:
-    """Add the expected counts of these runs, all at once step by step, longest first."""
+    Texts of several runs are walked run by run, all texts at once: as many steps as the
+    longest one has runs.
+    """
+    states = len(model.start)
+    before = np.full((len(runs.begin), states), 1.0 / states)
+    behind = np.ones((len(runs.begin), states))
+    cut = np.flatnonzero((runs.ordinal > 0) | ~runs.last)
+    if not len(cut):
+        return before, behind
+    matrices = np.empty((len(runs.begin), states, states))
+    matrices[cut] = _transfers(model, symbols, runs.begin[cut], runs.sizes[cut], runs.ordinal[cut] == 0)
+    by_step = np.argsort(runs.ordinal, kind="stable")
+    bounds = np.searchsorted(runs.ordinal[by_step], np.arange(int(runs.ordinal.max()) + 2))
+    for k in range(1, len(bounds) - 1):
+        here = by_step[bounds[k] : bounds[k + 1]]
+        state = np.einsum("ni,nij->nj", before[here - 1], matrices[here - 1])
+        before[here] = state / state.sum(axis=1, keepdims=True)
+    for k in range(len(bounds) - 2, 0, -1):
+        here = by_step[bounds[k] : bounds[k + 1]]
+        state = np.einsum("nij,nj->ni", matrices[here], behind[here])
+        behind[here - 1] = state / state.sum(axis=1, keepdims=True)
+    return before, behind
+
+
+def expect(model: Model, symbols: np.ndarray, sizes: np.ndarray, total: Expected) -> None:
+    """Add the expected counts of whole texts, whatever their length.
+
+    Texts are cut into runs, and the forward and backward states at the cuts come first, from a
+    matrix for each run. Then all runs are walked at once, some thousands together, so memory
+    follows the runs at hand; the counts are those of the uncut texts.
+    """
+    runs = runs_of(sizes)
+    before, behind = _carried(model, symbols, runs)
+    for k in range(0, len(runs.begin), 4096):
+        part = slice(k, k + 4096)
+        _expect_runs(model, symbols, runs.begin[part], runs.sizes[part], runs.ordinal[part] == 0, before[part], behind[part], total)
+
+
+def _expect_runs(
+    model: Model, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray, first: np.ndarray,
+    before: np.ndarray, behind: np.ndarray, total: Expected,
+) -> None:
+    """Step by step, longest first; a run begins and ends with the states of its text there."""
     order = np.argsort(-sizes, kind="stable")
-    begin, sizes = begin[order], sizes[order]
+    begin, sizes, first, before, behind = (x[order] for x in (begin, sizes, first, before, behind))
     emits = np.ascontiguousarray(model.emits.T)
     active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]) if len(sizes) else 0)]
     alphas, scales, seen = [], [], []
     for t, n in enumerate(active):
         at = symbols[begin[:n] + t]
-        a = emits[at] * (model.start if t == 0 else alphas[-1][:n] @ model.moves)
+        reached = alphas[-1][:n] @ model.moves if t else np.where(first[:, None], model.start, before @ model.moves)
+        a = emits[at] * reached
         c = a.sum(axis=1)
         alphas.append(a / c[:, None])
         scales.append(c)
@@ -85,16 +163,20 @@ def expect(model: Model, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarr
     beta = None
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
-        now = np.ones((n, len(model.start)))
-        if beta is not None:
-            m = len(beta)
+        m = len(beta) if beta is not None else 0
+        now = np.empty((n, len(model.start)))
+        now[m:] = behind[m:n] / (alphas[t][m:] * behind[m:n]).sum(axis=1, keepdims=True)
+        if m:
             ahead = emits[seen[t + 1]] * beta / scales[t + 1][:, None]
             total.moves += model.moves * (alphas[t][:m].T @ ahead)
             now[:m] = ahead @ model.moves.T
         beta = now
+        if t == 0:
+            over = emits[seen[0]] * beta / scales[0][:, None]
+            total.moves += model.moves * (before[~first].T @ over[~first])
         alphas[t] = alphas[t] * beta
         if t == 0:
-            total.start += alphas[0].sum(axis=0)
+            total.start += alphas[0][first].sum(axis=0)
     if active:
         at, gamma = np.concatenate(seen), np.concatenate(alphas)
         for k in range(len(model.start)):
@@ -201,15 +283,14 @@ def _symbols(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes + 1
 
 
-def _training_runs(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _training_texts(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     symbols, sizes = _symbols(batch, row)
     trains = ~_flat(batch, "held", row).astype(bool)
-    symbols = symbols[np.repeat(trains, sizes)]
-    return symbols, *runs_of(symbols, sizes[trains])
+    return symbols[np.repeat(trains, sizes)], sizes[trains]
 
 
 def _start(blocks: DataFrame, mass: np.ndarray, states: int, tokens: int) -> Model:
-    """The model before the first full pass, fitted on a bounded sample of runs.
+    """The model before the first full pass, fitted on a bounded sample of runs, each by itself.
 
     The partitions send the runs below a hash that lets a few times START_RUNS pass, not
     START_RUNS each.
@@ -219,8 +300,9 @@ def _start(blocks: DataFrame, mass: np.ndarray, states: int, tokens: int) -> Mod
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                symbols, begin, sizes = _training_runs(batch, row)
-                runs = [symbols[b : b + s].astype("<i4").tobytes() for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
+                symbols, whole = _training_texts(batch, row)
+                cut = runs_of(whole)
+                runs = [symbols[b : b + s].astype("<i4").tobytes() for b, s in zip(cut.begin.tolist(), cut.sizes.tolist(), strict=True)]
                 hashes = [zlib.crc32(r) for r in runs]
                 best = [i for i, h in enumerate(hashes) if h <= below]
                 yield pa.RecordBatch.from_arrays(
@@ -234,12 +316,12 @@ def _start(blocks: DataFrame, mass: np.ndarray, states: int, tokens: int) -> Mod
     parts = [np.frombuffer(r.symbols, "<i4").astype(np.int64) for r in rows]
     sizes = np.array([len(p) for p in parts], np.int64)
     if parts:
-        symbols, begin = np.concatenate(parts), starts_of(sizes)[:-1]
+        symbols = np.concatenate(parts)
         # the sample stands for the corpus, so the mass beforehand shrinks with it
         small = mass * min(1.0, len(symbols) / max(1.0, mass.sum()))
         for _ in range(START_ROUNDS):
             total = Expected.none(states)
-            expect(model, symbols, begin, sizes, total)
+            expect(model, symbols, sizes, total)
             model = maximise(total, small + 1e-6)
     return model
 
@@ -253,9 +335,7 @@ def _one_round(blocks: DataFrame, model: Model, mass: np.ndarray) -> Model:
         total = Expected.none(states)
         for batch in batches:
             for row in range(batch.num_rows):
-                symbols, begin, sizes = _training_runs(batch, row)
-                for k in range(0, len(begin), 4096):
-                    expect(model, symbols, begin[k : k + 4096], sizes[k : k + 4096], total)
+                expect(model, *_training_texts(batch, row), total)
         used = np.flatnonzero(total.emits.any(axis=0))
         keys = np.concatenate([used, [-1], -2 - np.arange(states)])
         values = np.vstack([total.emits[:, used].T, total.start, total.moves])
@@ -294,7 +374,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     Scores are base-10 logarithms of a whole text's probability, its end included: of the
     smoothed unigram base, and of the model. Null and empty texts are an end alone. Rows
     with equal or no ids are texts of their own. A table without training texts gives the
-    scores of a model that knows no word.
+    scores of a model that knows no word. Texts are whole in training too: a long one is worked
+    on in runs of RUN tokens whose counts are those of the uncut text.
     """
     spark = docs.sparkSession
     blocks = cut_lineage(blocks_of(docs), "hmm-blocks")

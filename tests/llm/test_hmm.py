@@ -40,7 +40,7 @@ def test_expected_counts_are_the_posterior_ones():
     texts = [[rng.randrange(4) for _ in range(n)] for n in (5, 2, 6, 1)]
     sizes = np.array([len(t) for t in texts])
     got = hmm.Expected.none(2)
-    hmm.expect(model, np.array(sum(texts, []), np.int64), np.cumsum(sizes) - sizes, sizes, got)
+    hmm.expect(model, np.array(sum(texts, []), np.int64), sizes, got)
     want = hmm.Expected.none(2)
     for t in texts:
         total = sum(p for _, p in paths(model, t))
@@ -57,9 +57,27 @@ def test_expected_counts_are_the_posterior_ones():
 def test_runs_cover_every_token(monkeypatch):
     monkeypatch.setattr(hmm, "RUN", 4)
     sizes = np.array([3, 4, 9, 1])
-    begin, size = hmm.runs_of(np.zeros(17), sizes)
-    covered = sorted(x for b, s in zip(begin, size, strict=True) for x in range(b, b + s))
-    assert covered == list(range(17)) and size.max() == 4
+    runs = hmm.runs_of(sizes)
+    covered = sorted(x for b, s in zip(runs.begin, runs.sizes, strict=True) for x in range(b, b + s))
+    assert covered == list(range(17)) and runs.sizes.max() == 4
+    assert runs.text.tolist() == [0, 1, 2, 2, 2, 3] and runs.last.tolist() == [True, True, False, False, True, True]
+
+
+def test_counts_of_cut_texts_are_those_of_whole_ones(monkeypatch):
+    model, rng = tiny(3, 9), random.Random(8)
+    sizes = np.array([1, 40, 7, 300, 3, 64, 65, 8, 16, 1])
+    symbols = np.array([rng.randrange(9) for _ in range(sizes.sum())], np.int64)
+    found = {}
+    for run in (1, 3, 8, 1000):
+        monkeypatch.setattr(hmm, "RUN", run)
+        found[run] = hmm.Expected.none(3)
+        hmm.expect(model, symbols, sizes, found[run])
+        assert abs(found[run].start.sum() - len(sizes)) < 1e-9
+        assert abs(found[run].moves.sum() - (sizes.sum() - len(sizes))) < 1e-6
+        assert abs(found[run].emits.sum() - sizes.sum()) < 1e-6
+    for run in (1, 3, 8):
+        for name in ("start", "moves", "emits"):
+            assert np.allclose(getattr(found[run], name), getattr(found[1000], name), rtol=1e-9, atol=1e-12)
 
 
 def words_of(text):
@@ -96,24 +114,38 @@ def test_base_scores_and_counts(spark):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
-def test_words_and_unknown_shares_make_one(spark):
-    """Summed over all words and one unknown word a class, first tokens have probability one."""
-    rows = sample_rows(12)
+def test_scores_are_those_of_a_plain_forward_pass(spark):
+    rows = sample_rows(25)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    blocks = hmm.blocks_of(docs).toPandas()
-    counts = Counter()
-    for b in blocks.itertuples():
-        for w, c in zip(b.words, b.counts, strict=True):
-            counts[w] += int(c)
-    model = hmm.first_model(np.ones(hmm.BUCKETS + 1), 2)
-    shares = model.start @ model.emits
+    blocks = hmm.blocks_of(docs).cache()
+    counts, classes = Counter(), {}
+    for d, t in rows:
+        if not is_held(d):
+            counts.update(words_of(t))
     n, v = np.zeros(hmm.BUCKETS), np.zeros(hmm.BUCKETS)
     for w, c in counts.items():
-        if c:
-            n[zlib.crc32(w.encode()) % hmm.BUCKETS] += c
-            v[zlib.crc32(w.encode()) % hmm.BUCKETS] += 1
-    inner = (n + v + 1) / (n + v + 1)
-    assert abs((shares[:-1] * inner).sum() + shares[-1] - 1) < 1e-9
+        classes[w] = zlib.crc32(w.encode()) % hmm.BUCKETS
+        n[classes[w]] += c
+        v[classes[w]] += 1
+    texts = sum(not is_held(d) for d, _ in rows)
+    model = hmm.train(blocks, np.append(v + 1.0, 1.0), sum(counts.values()) + texts, 3, 2)
+    share = lambda w, b: (counts.get(w, 0) + 1) / (n[b] + v[b] + 1)
+    for b in set(classes.values()):  # the words of a class and its unknown ones share one
+        assert abs(sum(share(w, b) for w in counts if classes[w] == b) + share(None, b) - 1) < 1e-12
+    want = []
+    for d, t in rows:
+        words = words_of(t)
+        symbols = [zlib.crc32(w.encode()) % hmm.BUCKETS for w in words] + [hmm.END]
+        state, total = model.start, 0.0
+        for k, x in enumerate(symbols):
+            state = (state if k == 0 else state @ model.moves) * model.emits[:, x]
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        total += sum(math.log10(share(w, b)) for w, b in zip(words, symbols, strict=False))
+        want.append((d, len(symbols), round(total, 6)))
+    got = [(r.doc_id, r.n_tokens, round(r.score, 6)) for r in hmm.score(docs, states=3, rounds=2).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(got, key=order) == sorted(want, key=order)
 
 
 def test_held_out_texts_are_likelier_than_under_the_base(spark):
