@@ -108,28 +108,37 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return hashes[np.asarray(coded.indices)]
 
 
+#: Longest key whose value a worker keeps: text without spaces is one word however long.
+KEPT_LENGTH = 64
+
+
 class Recent:
     """Values made on demand, the recently used ones kept: two generations of ``limit`` each.
 
-    A full generation replaces the older one, so what is asked for often stays.
+    A full generation replaces the older one, so what is asked for often stays. Keys beyond
+    KEPT_LENGTH are made once a call and not kept, so that entries are bounded in size too.
     """
 
-    def __init__(self, make: Callable, limit: int):
-        self.make, self.limit = make, limit
+    def __init__(self, make: Callable, limit: int, length: Callable = len):
+        self.make, self.limit, self.length = make, limit, length
         self.new: dict = {}
         self.old: dict = {}
 
     def all(self, keys: list) -> list:
         if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
+        once: dict = {}
         get, fetch = self.new.get, self._fetch
-        return [get(k) or fetch(k) for k in keys]
+        return [get(k) or fetch(k, once) for k in keys]
 
-    def _fetch(self, key):  # noqa: ANN001, ANN202
+    def _fetch(self, key, once):  # noqa: ANN001, ANN202
         value = self.old.get(key)
+        if value is None:
+            value = once.get(key)
         if value is None:
             value = self.make(key)
-        self.new[key] = value
+        kept = once if self.length(key) > KEPT_LENGTH else self.new
+        kept[key] = value
         return value
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import shared, slices
+from gleaner.llm.common import KEPT_LENGTH, shared, slices
 from gleaner.session import cut_lineage
 
 LENGTH = 2048
@@ -86,6 +86,7 @@ class RunEncoder:
                 "runs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
             ).encode_ordinary
         self.letter = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.once: list[tuple[dict[str, bytes], str]] = []
         self.new: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
@@ -102,6 +103,8 @@ class RunEncoder:
             if run not in known:
                 kept = older.get(run)
                 known[run] = pack(merge(lead + run)) if kept is None else kept
+                if len(run) > KEPT_LENGTH:
+                    self.once.append((known, run))
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -115,7 +118,11 @@ class RunEncoder:
         first = self._learn(0, {x[0] for x in split}, "")
         later = self._learn(1, set().union(*[x[1:] for x in split]), " ")
         get = later.__getitem__
-        return [whole[k] if k in whole else first[x[0]] + b"".join(map(get, x[1:])) for k, x in enumerate(split)]
+        out = [whole[k] if k in whole else first[x[0]] + b"".join(map(get, x[1:])) for k, x in enumerate(split)]
+        for store, run in self.once:  # text without spaces is one run however long
+            del store[run]
+        self.once = []
+        return out
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:

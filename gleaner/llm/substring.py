@@ -277,8 +277,8 @@ def repeats(docs: DataFrame, extra: list[str] | None = None, with_text: bool = F
     release(spark)
     seeds = found.select("anchor", "doc", "key", "number").join(shared, "anchor").filter("not whole or first < doc")
     seeds = seeds.groupBy("doc", "key").agg(
-        F.collect_list(F.when(F.col("whole"), F.col("number"))).alias("whole"),
-        F.collect_list(F.when(~F.col("whole"), F.col("number"))).alias("open"),
+        F.collect_set(F.when(F.col("whole"), F.col("number"))).alias("whole"),
+        F.collect_set(F.when(~F.col("whole"), F.col("number"))).alias("open"),
     )
     seeds = cut_lineage(seeds, "seeds")
     release(spark)
@@ -290,7 +290,7 @@ def repeats(docs: DataFrame, extra: list[str] | None = None, with_text: bool = F
     earliest = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("final"))
     earliest = cut_lineage(earliest.filter("first < final").select("h1", "h2", "first"), "first-windows")
     hits = windows.join(earliest, ["h1", "h2"]).filter("first < doc")
-    hits = hits.groupBy("doc", "key").agg(F.collect_list("at").alias("hit"))
+    hits = hits.groupBy("doc", "key").agg(F.collect_set("at").alias("hit"))
     marks = seeds.select("doc", "key", "whole").join(hits, ["doc", "key"], "full_outer")
     marks = cut_lineage(marks, "marks")
     release(spark)

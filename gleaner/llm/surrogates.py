@@ -112,7 +112,8 @@ PATTERNS = [
         r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*"
         r"(?:\"(?P<v>[^\"\r\n]{6,})\"|'(?P<v>[^'\r\n]{6,})'|[\"']?(?P<v>[^\s\"<>,;]{6,}|[^\s\"<>]{6,}))"
     )),
-    ("email", regex.compile(r"[\p{L}\p{M}\d_.%+-]+@[\p{L}\p{M}\d-]+(?:\.[\p{L}\p{M}\d-]+)+")),
+    # a run of such characters is tried from its begin, or from the end of the match before, and once
+    ("email", regex.compile(r"(?:\G|(?<![\p{L}\p{M}\d_.%+-]))[\p{L}\p{M}\d_.%+-]++@[\p{L}\p{M}\d-]+(?:\.[\p{L}\p{M}\d-]+)+")),
     ("secret", regex.compile(r"\bAKIA[0-9A-Z]{16}\b")),
     ("secret", regex.compile(r"(?<![\p{L}\d])(?=[a-fA-F]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\d])")),
     ("iban", regex.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),

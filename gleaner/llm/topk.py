@@ -10,6 +10,7 @@ coordinate. A low one prunes by length alone. What is left is verified by exact
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,11 @@ _LONG = (1 << 63) - 1
 
 
 def _vectors(table: DataFrame) -> DataFrame:
-    """``uid, vec_id, dim, norm, data``: usable rows, components scaled and floored as doubles."""
+    """``uid, vec_id, dim, norm, data``: usable rows, components scaled and floored as doubles.
+
+    A vector with a component too long to be scaled as a double stays as it is; an infinite
+    norm marks it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
@@ -43,11 +48,13 @@ def _vectors(table: DataFrame) -> DataFrame:
             for vec_id, vector in pairs:
                 if vec_id is None or not vector.is_valid or vector.values.null_count:
                     continue
-                with np.errstate(over="ignore"):
-                    x = np.floor(SCALE * np.asarray(vector.values, np.float64))
-                if np.isfinite(x).all():
+                given = np.asarray(vector.values, np.float64)
+                if np.isfinite(given).all():
                     with np.errstate(over="ignore"):
-                        norm = float(np.linalg.norm(x))
+                        x = np.floor(SCALE * given)
+                        norm = min(float(np.linalg.norm(x)), np.finfo(float).max)
+                    if not np.isfinite(x).all():
+                        x, norm = given, np.inf
                     rows.append((uid, vec_id, len(x), norm, x.tobytes()))
                     uid += 1
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -108,10 +115,18 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(data, kind)
 
 
-def exact_scores(rows: np.ndarray, query: np.ndarray) -> list[int]:
+def _whole(x: np.ndarray, norm: float) -> list[int]:
+    """The components as integers; an infinite norm marks those that are still to be scaled."""
+    if np.isfinite(norm):
+        return [int(v) for v in x]
+    with np.errstate(over="ignore"):
+        return [int(np.floor(SCALE * v)) if np.isfinite(SCALE * v) else int(SCALE) * int(v) for v in x]
+
+
+def exact_scores(rows: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: float) -> list[int]:
     """Integer products of any size, held within the limits of a long."""
-    q = [int(x) for x in query]
-    found = [sum(a * int(b) for a, b in zip(q, row, strict=True)) for row in rows]
+    q = _whole(query, norm)
+    found = [sum(map(operator.mul, q, _whole(row, n))) for row, n in zip(rows, norms, strict=True)]
     return [max(-_LONG - 1, min(_LONG, s)) for s in found]
 
 
@@ -159,7 +174,7 @@ class Bucket:
             rows, scores = rows[reached], scores[reached]
             order = np.lexsort((self.ids[rows], -scores))[:k]
             return rows[order], [int(s) for s in scores[order]]
-        scores = exact_scores(self.data[rows], query)
+        scores = exact_scores(self.data[rows], self.norms[rows], query, norm)
         order = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
         return rows[order], [scores[i] for i in order]
 

@@ -10,6 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from gleaner.llm import nbest, packing, prefix
+from gleaner.llm.common import Recent
 
 ODD = [
     None, "", " ", "  ", "a  b ", " a", "日本語 テスト🙂 ▁x", "a\n\n b\t", "<s> <0x0A> </s>", "x" * 3000,
@@ -135,3 +136,18 @@ def test_pieces_hold_every_token_once(spark, texts, length):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).count() == prefix.token_counts(none).count() == nbest.segment(none).count() == 0
+
+
+def test_caches_keep_no_long_words():
+    """Text without spaces is one word, whose value is made once a call and dropped."""
+    made = []
+    recent = Recent(lambda key: made.append(key) or [len(key)], 100)
+    long = "語" * 1000
+    for _ in range(2):
+        assert recent.all(["a", long, "a", long]) == [[1], [1000]] * 2
+    assert made == ["a", long, long] and list(recent.new) == ["a"]
+    encoder = packing.RunEncoder(public_tokenizers.path(packing.TOKENIZER))
+    rng = random.Random(4)
+    for _ in range(5):
+        encoder.encode(["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(500)) + " tail" for _ in range(20)])
+    assert set(encoder.new[1]) == {"tail"} and not encoder.new[0]

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -10,7 +11,7 @@ def plain(rows, every=20, k=20):
     usable = []
     for i, (vec_id, v) in enumerate(rows):
         if vec_id is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            usable.append((i, vec_id, [math.floor(64 * x) for x in v]))
+            usable.append((i, vec_id, [math.floor(64 * Fraction(x)) for x in v]))
     out = []
     for i, q, a in usable:
         if q % every == 0:
@@ -56,6 +57,11 @@ def test_products_beyond_doubles_and_longs(spark):
     check(spark, rows)
 
 
+def test_components_too_long_to_scale_take_part(spark):
+    rows = [(20, [3e306, 4e306, 0.013]), (21, [1.0, -1.0, 70.5]), (22, [-1.7e308, 2e-300, 1.0]), (40, [0.0, 0.0, 3.0]), (41, [1e155] * 3)]
+    check(spark, rows + [(100 + i, [i / 7, 1.0, -2.0]) for i in range(30)])
+
+
 def test_few_or_no_rows(spark):
     check(spark, [])
     check(spark, [(0, [1.0])])
