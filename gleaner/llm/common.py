@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.session import cut_lineage, run_dir
+
 #: ASCII white space, as a Java and Python pattern.
 SPACES = r"[ \t\n\x0B\f\r]"
 
@@ -32,6 +34,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path."""
+    path = run_dir(df.sparkSession, label)
+    return cut_lineage(df, label, path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables whose readers have all been written themselves."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def private_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like the wanted ones that no column of ``df`` bears, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import mix, quoted, release, slices, starts_of
+from gleaner.llm.common import mix, quoted, release, remove, slices, starts_of, written
 from gleaner.session import cut_lineage
 
 LENGTH = 400
 #: Ranges into which an open range is cut before its suffixes are merged one by one.
-PARTS = 4
+PARTS = 6
 #: Bytes hashed at once; a longer text is hashed in pieces that overlap.
 CHUNK = 1 << 20
 
@@ -253,27 +254,42 @@ def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], reach[np.append(new[1:], len(low)) - 1] if len(new) else reach
 
 
-def _settle(ranges: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
+def _settle(ranges: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Of a level's ranges, the repeated ones (doc, key, at, width) and the open ones (doc, key, open).
 
     A range is repeated if its hull occurs twice. It stays open if its core occurs twice; then
     one range of each hull of that core goes on, since it may hold what the open one repeats.
-    Single strings have one name, so none of them stays open.
     """
-    counted = [F.count("*").alias("n")]
-    if width > 1:
-        counted.append(F.min(F.struct("doc", "key", "at")).alias("one"))
-    hulls = ranges.groupBy("core", "hull").agg(*counted)
-    hulls = cut_lineage(hulls if width > 1 else hulls.filter("n > 1"), "hulls")
-    twice = hulls.filter("n > 1").select("core", "hull")
-    repeated = ranges.join(twice, ["core", "hull"]).select("doc", "key", "at", F.lit(width).alias("width"))
-    repeated = cut_lineage(repeated, "repeated")
-    if width == 1:
-        return repeated, None
+    hulls = ranges.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "at")).alias("one"))
+    hulls, path = written(hulls, "hulls")
+    repeated = _marks(ranges, hulls.filter("n > 1"), width)
     cores = hulls.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least"))
     cores = cores.filter("total > 1 and least = 1").select("core")
     going = hulls.join(cores, "core").select("one.*").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
-    return repeated, cut_lineage(going, "open-ranges")
+    going = cut_lineage(going, "open-ranges")
+    remove(ranges.sparkSession, path)
+    return repeated, going
+
+
+def _marks(ranges: DataFrame, twice: DataFrame, width: int) -> DataFrame:
+    """Each text's ranges among those of the hulls in ``twice``."""
+    found = ranges.join(twice.select("core", "hull"), ["core", "hull"])
+    found = found.groupBy("doc", "key").agg(F.collect_set("at").alias("at"))
+    return cut_lineage(found.withColumn("width", F.lit(width)), "marks")
+
+
+def _merge(suffixes: DataFrame) -> DataFrame:
+    """The strings that occur twice (doc, key, at, width): first by 64 bits of their name, then by all."""
+    spark = suffixes.sparkSession
+    cores = suffixes.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    cores, known = written(cores, "repeated-prefixes")
+    release(spark)
+    likely, path = written(suffixes.join(cores, "core"), "likely-prefixes")
+    release(spark)
+    whole = likely.groupBy("core", "hull").agg(F.count("*").alias("n")).filter("n > 1")
+    found = _marks(likely, whole, 1)
+    remove(spark, known, path)
+    return found
 
 
 def _verdicts(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
@@ -284,7 +300,9 @@ def _verdicts(docs: DataFrame, length: int, with_bytes: bool) -> DataFrame:
     def judge(text: bytes, marks: pa.Scalar) -> tuple[list[dict], bytes]:
         if not marks.is_valid:
             return [], text
-        at, width = (np.array(marks.values.field(k), np.int64) for k in (0, 1))
+        levels = [(np.array(x["at"], np.int64), x["width"]) for x in marks.as_py()]
+        at = np.concatenate([x for x, _ in levels])
+        width = np.repeat([w for _, w in levels], [len(x) for x, _ in levels])
         low, high = _runs(np.maximum(at, 0), np.minimum(at + width - 1 + length, len(text)))
         spans = [{"begin": a, "end": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         edges = [0, *(e for s in spans for e in (s["begin"], s["end"])), len(text)]
@@ -337,20 +355,24 @@ def repeated_bytes(
         F.col("doc_id"),
     )
     named = _sampled_names(base, length).groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
-    named = cut_lineage(named.select("name"), "repeated-names")
+    named, path = written(named.select("name"), "repeated-names")
     release(spark)
     going = _sampled_places(base, length).join(named, "name").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
     going = cut_lineage(going, "repeated-places")
+    remove(spark, path)
     release(spark)
-    repeated, outer = None, 1
+    repeated, outer = [], 1
     for width in dict.fromkeys([m, -(-m // PARTS), 1]):
         texts = base.select("doc", "key", "text").join(going, ["doc", "key"])
-        ranges = cut_lineage(_inner_ranges(texts, length, outer, width), "ranges")
+        ranges, path = written(_inner_ranges(texts, length, outer, width), "ranges")
         release(spark)
-        found, going = _settle(ranges, width)
+        if width > 1:
+            found, going = _settle(ranges, width)
+        else:
+            found = _merge(ranges)
+        remove(spark, path)
         release(spark)
-        repeated, outer = found if repeated is None else repeated.unionByName(found), width
-    marks = repeated.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "width")).alias("marks"))
-    marks = cut_lineage(marks, "marks")
-    release(spark)
+        repeated.append(found)
+        outer = width
+    marks = reduce(DataFrame.unionByName, repeated).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "width")).alias("marks"))
     return _verdicts(base.join(marks, ["doc", "key"], "left").drop("doc", "key"), length, with_bytes)
