@@ -14,7 +14,7 @@ elements in order, so that what lies inside an element follows it in the list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import markup
@@ -23,16 +23,19 @@ from gleaner.session import cut_lineage, run_dir
 
 #: Kinds of events in a scope (in that of rows, OTHER is a cell), and a tag without content.
 OWN, OTHER, BLOCK_END, ALONE = 1, 2, 4, 8
+#: Depths that are summed: in blocks, and in the containers of each group of siblings.
+DEPTHS = ["blocks", *markup.SIBLING_GROUPS]
 _SELF_CLOSED = r"""(?:["'\s]|^<[A-Za-z][A-Za-z0-9\-]*)/>$"""
 _NAME = r"^</?([A-Za-z][^\s/>]*)"
 
 
 def _tags(pages: DataFrame) -> DataFrame:
-    """``page_no, pos, name, closing, alone`` of each tag that has a name."""
+    """``page_no, behind, pos, name, closing, alone`` of each tag that has a name."""
     tag = F.col("tag")
-    rows = pages.select("page_no", F.posexplode("tags").alias("at", "tag"))
+    rows = pages.select("page_no", "behind", F.posexplode("tags").alias("at", "tag"))
     rows = rows.select(
         "page_no",
+        "behind",
         (F.col("at") + 1).alias("pos"),
         F.lower(F.regexp_extract(tag, _NAME, 1)).alias("name"),
         tag.startswith("</").alias("closing"),
@@ -42,56 +45,67 @@ def _tags(pages: DataFrame) -> DataFrame:
     return rows.filter("name <> ''").withColumn("alone", ~F.col("closing") & (void | F.col("slashed"))).drop("slashed")
 
 
-def _entry(key: Column | str, depth: Column | int, event: Column | int, asks: Column | int) -> Column:
-    whole = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
-    return F.struct(
-        (key if isinstance(key, Column) else F.lit(key)).alias("key"),
-        whole(depth).alias("depth"),
-        whole(event).alias("event"),
-        whole(asks).alias("asks"),
-    )
+def _enters(name: str, kind: str) -> list[tuple[str, str, int, int]]:
+    """The scopes of a tag ("*": of any other name) as ``key, depth, event, asks``.
+
+    ``key`` "*" stands for its name, ``depth`` names the sum that counts there; ``event`` is what
+    the tag is for others, ``asks`` are the events it waits for, as bits.
+    """
+    closing = kind == "close"
 
+    def asks(bits: int) -> int:
+        return 0 if closing else ALONE if kind == "alone" else bits
 
-def _scopes() -> Column:
-    """The scopes of a tag: what it is an event for, and the events it asks for (as bits)."""
-    name, closing = F.col("name"), F.col("closing")
-    asks = lambda bits: F.when(closing, 0).when(F.col("alone"), ALONE).otherwise(bits)
     grouped = [*markup.CELLS, *(t for members, _, _ in markup.SIBLING_GROUPS.values() for t in members)]
-    balanced = _entry(name, F.col("own"), F.when(closing, OWN).otherwise(0), asks(OWN))
-    own = (
-        F.when(name.isin(["p", *grouped]), None)
-        .when(name.isin(markup.FLAT_TAGS), _entry(name, 0, OWN, asks(OWN)))
-        .when(name.isin(["a", *markup.FONT_TAGS]), _entry(name, F.col("blocks"), OWN, asks(OWN)))
-        .otherwise(balanced)
-    )
-    paragraph = F.when(
-        name.isin(markup.PARAGRAPH_BOUNDARIES), _entry("#p", 0, OWN, F.when(name == "p", asks(OWN)).otherwise(0))
+    font = name in markup.FONT_TAGS
+    found = []
+    if name in markup.FLAT_TAGS:
+        found.append(("*", "none", OWN, asks(OWN)))
+    elif name == "a" or font:
+        found.append(("*", "blocks", OWN, asks(OWN)))
+    elif name != "p" and name not in grouped:
+        found.append(("*", "own", OWN if closing else 0, asks(OWN)))
+    if name in markup.PARAGRAPH_BOUNDARIES:
+        found.append(("#p", "none", OWN, asks(OWN) if name == "p" else 0))
+    for group, (members, others, containers) in markup.SIBLING_GROUPS.items():
+        cell = group == "tr" and name in markup.CELLS
+        if cell:
+            found.append((f"#{group}", group, OTHER, asks(OWN | OTHER)))
+        elif name in [*members, *others] or (name in containers and closing):
+            found.append((f"#{group}", group, OWN, asks(OWN) if name in members else 0))
+    event = BLOCK_END if closing and name in markup.BLOCKS else {"p": OTHER, "center": OWN}.get(name, 0)
+    inline = BLOCK_END if name == "a" else BLOCK_END | OTHER | OWN if font else BLOCK_END | OTHER
+    waits = asks(inline) if name == "a" or font or name in markup.PHRASE_TAGS else 0
+    found.append(("#b", "blocks", event, waits))
+    return [x for x in found if x[2] or x[3]]
+
+
+def _steps(name: str, kind: str) -> list[int]:
+    """What a tag adds to the depth in blocks and in the containers of each group."""
+    sets = [markup.BLOCKS, *(containers for _, _, containers in markup.SIBLING_GROUPS.values())]
+    return [{"open": 1, "close": -1, "alone": 0}[kind] * (name in names) for names in sets]
+
+
+def rule_names() -> list[str]:
+    """Tag names that have rules of their own."""
+    groups = markup.SIBLING_GROUPS.values()
+    names = {
+        "a", "p", "center", *markup.FLAT_TAGS, *markup.FONT_TAGS, *markup.PHRASE_TAGS, *markup.BLOCKS, *markup.CELLS,
+        *markup.PARAGRAPH_BOUNDARIES, *(t for group in groups for names in group for t in names),
+    }
+    return sorted(names)
+
+
+def _rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Scopes and depth steps by ``rule, kind``: small tables over :func:`rule_names` and "*"."""
+    each_kind = [(n, k) for n in [*rule_names(), "*"] for k in ("open", "close", "alone")]
+    scopes = [(n, k, *entry) for n, k in each_kind for entry in _enters(n, k)]
+    steps = [(n, k, *_steps(n, k)) for n, k in each_kind]
+    counted = ", ".join(f"d_{c} int" for c in DEPTHS)
+    return (
+        spark.createDataFrame(scopes, "rule string, kind string, key string, depth_of string, event int, asks int"),
+        spark.createDataFrame(steps, f"rule string, kind string, {counted}"),
     )
-    groups = []
-    for key, (members, others, containers) in markup.SIBLING_GROUPS.items():
-        event = F.when(name.isin([*members, *others]) | (name.isin(containers) & closing), OWN)
-        asked = F.when(name.isin(members), asks(OWN))
-        if key == "tr":
-            event = event.when(name.isin(markup.CELLS), OTHER)
-            asked = asked.when(name.isin(markup.CELLS), asks(OWN | OTHER))
-        groups.append(F.when(event.isNotNull(), _entry(f"#{key}", F.col(f"depth_{key}"), event, asked.otherwise(0))))
-    block_end = F.when(name.isin(markup.BLOCKS) & closing, BLOCK_END).when(name == "p", OTHER).when(name == "center", OWN)
-    inline = (
-        F.when(name == "a", asks(BLOCK_END))
-        .when(name.isin(markup.FONT_TAGS), asks(BLOCK_END | OTHER | OWN))
-        .when(name.isin(markup.PHRASE_TAGS), asks(BLOCK_END | OTHER))
-    )
-    blocks = F.when(
-        block_end.isNotNull() | (inline > 0),
-        _entry("#b", F.col("blocks"), F.coalesce(block_end, F.lit(0)), F.coalesce(inline, F.lit(0))),
-    )
-    return F.filter(F.array(own, paragraph, *groups, blocks), lambda s: s.isNotNull())
-
-
-def _change(names: list[str]) -> Column:
-    """What a tag adds to the depth in containers of these names."""
-    inside = F.col("name").isin(names)
-    return F.when(inside & F.col("closing"), -1).when(inside & ~F.col("alone"), 1).otherwise(0)
 
 
 def element_rows(pages: DataFrame) -> DataFrame:
@@ -101,31 +115,53 @@ def element_rows(pages: DataFrame) -> DataFrame:
     its own tag, and one that nothing ends at the tag after the last. ``level`` counts the
     elements around it. Pages meet in one shuffle; everything after it sorts within it.
     """
-    spread = pages.select("page_no", "tags").repartition("page_no")
-    page = Window.partitionBy("page_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("page_no", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = lambda names: F.coalesce(F.sum(_change(names)).over(page), F.lit(0))
-    summed = _tags(spread).withColumns(
+    scopes, steps = _rules(pages.sparkSession)
+    known = rule_names()
+    spread = pages.select("page_no", (F.size("tags") + 1).alias("behind"), "tags").repartition("page_no")
+    kind = F.when(F.col("closing"), "close").when(F.col("alone"), "alone").otherwise("open")
+    ruled = _tags(spread).withColumns({"kind": kind, "rule": F.when(F.col("name").isin(known), F.col("name")).otherwise("*")})
+    # both tables hold the tag names of the standard
+    ruled = ruled.join(F.broadcast(steps), ["rule", "kind"])
+    # every window below is over a page: scopes follow one another in it, and a change of scope shows
+    page = Window.partitionBy("page_no")
+    earlier = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ruled.select(
+        "page_no", "behind", "pos", "name", "kind", "rule",
+        *[F.coalesce(F.sum(f"d_{c}").over(earlier), F.lit(0)).alias(f"s_{c}") for c in DEPTHS],
+    )
+    by_name = page.orderBy("name", "pos")
+    change = F.when(F.col("kind") == "close", -1).when(F.col("kind") == "open", 1).otherwise(0)
+    summed = summed.withColumns(
         {
-            "blocks": before(markup.BLOCKS),
-            **{f"depth_{key}": before(containers) for key, (_, _, containers) in markup.SIBLING_GROUPS.items()},
+            "first": ~F.lag("name").over(by_name).eqNullSafe(F.col("name")),
+            "run": F.coalesce(F.sum(change).over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         }
     )
-    after = F.sum(F.when(F.col("closing"), -1).when(~F.col("alone"), 1).otherwise(0)).over(same)
+    base = F.last(F.when(F.col("first"), F.col("run")), ignorenulls=True)
+    base = base.over(by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # an open tag is as deep as the close tag that it meets: after the one, before the other
-    summed = summed.withColumn("own", after + F.when(F.col("closing"), 1).otherwise(0))
-    entered = summed.select("page_no", "pos", F.inline(_scopes()))
-    later = Window.partitionBy("page_no", "key", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = {
-        f"next_{bit}": F.last(F.when(F.col("event").bitwiseAND(bit) != 0, F.col("pos")), ignorenulls=True).over(later)
-        for bit in (OWN, OTHER, BLOCK_END)
-    }
+    summed = summed.withColumn("s_own", F.col("run") - base + F.when(F.col("kind") == "open", 1).otherwise(0))
+    depth = F.lit(0)
+    for c in ("own", *DEPTHS):
+        depth = F.when(F.col("depth_of") == c, F.col(f"s_{c}")).otherwise(depth)
+    entered = summed.join(F.broadcast(scopes), ["rule", "kind"]).select(
+        "page_no", "behind", "pos", F.when(F.col("key") == "*", F.col("name")).otherwise(F.col("key")).alias("key"),
+        depth.cast("int").alias("depth"), "event", "asks",
+    )
+    later = page.orderBy("key", "depth", F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    scope = F.xxhash64("key", "depth")
+    is_event = lambda bit: F.col("event").bitwiseAND(bit) != 0
+    bits = (OWN, OTHER, BLOCK_END)
+    entered = entered.withColumn("scope", scope)
+    nexts = {}
+    for bit in bits:
+        nexts[f"next_{bit}"] = F.last(F.when(is_event(bit), F.col("pos")), ignorenulls=True).over(later)
+        nexts[f"scope_{bit}"] = F.last(F.when(is_event(bit), F.col("scope")), ignorenulls=True).over(later)
     asked = lambda bit: F.col("asks").bitwiseAND(bit) != 0
-    stop = F.when(asked(ALONE), F.col("pos")).otherwise(F.least(*[F.when(asked(bit), F.col(f"next_{bit}")) for bit in (OWN, OTHER, BLOCK_END)]))
+    reached = [F.when(asked(bit) & (F.col(f"scope_{bit}") == F.col("scope")), F.col(f"next_{bit}")) for bit in bits]
+    stop = F.when(asked(ALONE), F.col("pos")).otherwise(F.coalesce(F.least(*reached), F.col("behind")))
     ends = entered.withColumns(nexts).filter("asks > 0").select("page_no", "pos", stop.alias("stop"))
-    ends = ends.groupBy("page_no", F.col("pos").alias("el")).agg(F.min("stop").alias("stop"))
-    sizes = spread.select("page_no", (F.size("tags") + 1).alias("behind"))
-    ends = ends.join(sizes, "page_no").select("page_no", "el", F.coalesce("stop", "behind").alias("end"))
+    ends = ends.groupBy("page_no", F.col("pos").alias("el")).agg(F.min("stop").alias("end"))
     holds = F.col("end") > F.col("el")
     marks = F.when(
         holds, F.array(F.struct(F.col("el").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))
