@@ -73,6 +73,9 @@ class Lattice:
         self.unknown = min(self.scores.values()) - self.UNKNOWN
         self.pieces = {i: p for p, i in self.ids.items()}
         self.octets = {i: b for b, i in self.bytes.items()}
+        # by id: the UTF-8 bytes that it decodes to, marks as spaces
+        held = [bytes([self.octets[i]]) if i in self.octets else self.pieces.get(i, "").replace(MARK, " ").encode("utf-8") for i in range(model.get_piece_size())]
+        self.decoded = pa.array(held, pa.large_binary())
         self.known = Recent(self.summary, KEPT_WORDS)
         self.searched = Recent(lambda asked: self.word_paths(*asked), KEPT_SEARCHES, lambda asked: len(asked[0]))
 
@@ -108,9 +111,9 @@ class Lattice:
             out += [found] if found is not None else [self.bytes[b] for b in word[i:j].encode("utf-8")]
         return out
 
-    def summary(self, word: str) -> tuple[bytes, float, float, str]:
-        """Ids of the best path, its score, what the second-best path costs more, and the
-        characters that the ids decode to: a forward pass that keeps two scores a prefix."""
+    def summary(self, word: str) -> tuple[bytes, float, float]:
+        """Ids of the best path, its score, and what the second-best path costs more: a
+        forward pass that keeps two scores a prefix."""
         tree, scores, n = self.tree, self.scores, len(word)
         best, second, back = [0.0] + [_LOW] * n, [_LOW] * (n + 1), [0] * (n + 1)
         for i in range(n):
@@ -140,9 +143,7 @@ class Lattice:
         while cuts[-1]:
             cuts.append(back[cuts[-1]])
         cuts.reverse()
-        ids = self.path_ids(word, cuts)
-        decoded = self.characters(ids)
-        return _packed(ids), best[n], best[n] - second[n], word if decoded == word else decoded
+        return _packed(self.path_ids(word, cuts)), best[n], best[n] - second[n]
 
     def word_paths(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """Up to ``n`` best paths of a word, by A-star from its end. Ties come in a fixed order."""
@@ -168,13 +169,12 @@ class Lattice:
                     heapq.heappush(agenda, (-(gained + s + best[i]), -next(order), i, gained + s, (at, later)))
         return out
 
-    def text_ways(self, text: str, n: int) -> tuple[list[bytes], list[tuple[float, dict[int, bytes]]], str]:
-        """Ids of the words on the best path, up to ``n`` ways as (score, words taken
-        otherwise), and the text that the best path decodes to."""
+    def text_paths(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """Up to ``n`` best paths of a text as (score, ids); empty text has one empty path."""
         words = words_of(text)
         if not words:
-            return [], [(0.0, {})], ""
-        ids, scores, extra, decoded = zip(*self.known.all(words), strict=True)
+            return [(0.0, b"")]
+        ids, scores, extra = zip(*self.known.all(words), strict=True)
         total = float(sum(scores))
         costs = np.array(extra)
         at = np.arange(len(costs))
@@ -187,17 +187,15 @@ class Lattice:
             options = [(0.0, None)] + [(first - s, p) for s, p in self._others(paths, ids[k])]
             merged = [(c + d, w if p is None else {**w, k: p}) for c, w in ways for d, p in options]
             ways = heapq.nsmallest(n, merged, key=lambda x: x[0])
-        plain = "".join(decoded).replace(MARK, " ")[1:]
-        return list(ids), [(total - cost, swap) for cost, swap in ways], plain
-
-    def text_paths(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """Up to ``n`` best paths of a text as (score, ids); empty text has one empty path."""
-        ids, ways, _ = self.text_ways(text, n)
-        return [(score, self.joined(ids, swap)) for score, swap in ways]
+        return [(total - cost, self._joined(ids, swap)) for cost, swap in ways]
 
     @staticmethod
-    def joined(ids: list[bytes], swap: dict[int, bytes]) -> bytes:
-        return b"".join([swap.get(k, x) for k, x in enumerate(ids)] if swap else ids)
+    def _joined(ids: tuple[bytes, ...], swap: dict[int, bytes]) -> bytes:
+        """The ids of a text's words, but for those words that are taken otherwise."""
+        taken = list(ids)
+        for k, other in swap.items():
+            taken[k] = other
+        return b"".join(taken)
 
     @staticmethod
     def _others(paths: list[tuple[float, list[int]]], best: bytes) -> list[tuple[float, bytes]]:
@@ -227,40 +225,52 @@ class Lattice:
         """The text of a path: its characters with marks as spaces, without the first one."""
         return self.characters(np.frombuffer(ids, "<u4").tolist()).replace(MARK, " ")[1:]
 
+    def decode_all(self, paths: list[bytes]) -> list[bytes]:
+        """What :meth:`decode` gives for each path, in UTF-8: the pieces of all of them taken at once."""
+        taken = self.decoded.take(pa.array(np.frombuffer(b"".join(paths), "<u4")))
+        data = memoryview(taken.buffers()[2] or b"")
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[np.cumsum([0, *(len(p) // 4 for p in paths)])].tolist()
+        return [bytes(data[a + 1 : b]) for a, b in zip(ends, ends[1:], strict=False)]
+
 
 def segment(docs: DataFrame, path: str | None = None, n: int = N_BEST, with_ids: bool = False) -> DataFrame:
     """Best segmentations of each text.
 
     ``doc_id, n_pieces, ids_crc32`` (of the best path, ids as little-endian 32-bit numbers),
-    ``scores`` (best first), ``lengths`` (pieces of each) and ``decoded`` (whether the best path
-    decodes to the text; the model reads its own mark as a space). ``with_ids`` adds
-    ``paths array<array<int>>``. Null texts count as empty: one path without pieces, score 0.
+    ``scores`` (best first), ``lengths`` (pieces of each), ``decoded`` (whether each path decodes
+    to the text; the model reads its own mark as a space) and ``paths_crc32`` (of each path's ids).
+    ``with_ids`` adds ``paths array<array<int>>``. Null texts count as empty: one path without
+    pieces, score 0.
     """
     path = path or public_tokenizers.path(MODEL)
     ddl = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, lengths array<int>, decoded boolean"
+    ddl += ", paths_crc32 array<long>"
     ddl += ", paths array<array<int>>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = shared(Lattice, path)
         for batch in batches:
             for rows in slices(batch, "text"):
-                out: list[list] = [[] for _ in range(6)]
-                for text in rows.column("text").to_pylist():
-                    ids, ways, decoded = lattice.text_ways(text or "", n)
-                    best = b"".join(ids)
-                    longer = [sum(len(p) - len(ids[k]) for k, p in swap.items()) for _, swap in ways]
+                texts = [text or "" for text in rows.column("text").to_pylist()]
+                found = [lattice.text_paths(text, n) for text in texts]
+                again = iter(lattice.decode_all([ids for ways in found for _, ids in ways]))
+                out: list[list] = [[] for _ in range(7)]
+                for text, ways in zip(texts, found, strict=True):
+                    whole = text.replace(MARK, " ").encode("utf-8")
+                    sums = [zlib.crc32(ids) for _, ids in ways]
                     row = (
-                        len(best) // 4,
-                        zlib.crc32(best),
+                        len(ways[0][1]) // 4,
+                        sums[0],
                         [score for score, _ in ways],
-                        [(len(best) + x) // 4 for x in longer],
-                        decoded == (text or "").replace(MARK, " "),
-                        [np.frombuffer(lattice.joined(ids, w), "<u4").tolist() for _, w in ways] if with_ids else None,
+                        [len(ids) // 4 for _, ids in ways],
+                        [next(again) == whole for _ in ways].count(False) == 0,
+                        sums,
+                        [np.frombuffer(ids, "<u4").tolist() for _, ids in ways] if with_ids else None,
                     )
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
-                names = ["n_pieces", "ids_crc32", "scores", "lengths", "decoded", "paths"][: 5 + with_ids]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+                names = ["n_pieces", "ids_crc32", "scores", "lengths", "decoded", "paths_crc32", "paths"][: 6 + with_ids]
                 arrays = [pa.array(c, k) for c, k, _ in zip(out, kinds, names, strict=False)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *arrays], ["doc_id", *names])
 

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleaner.llm import nbest, packing, prefix
@@ -80,6 +81,17 @@ def test_segment_rows(spark, texts):
         assert list(r.scores) == sorted(r.scores, reverse=True)
 
 
+def test_every_path_is_made_and_decoded(spark, lattice, texts):
+    docs = frame(spark, texts).select(F.col("n_tokens").alias("doc_id"), "text")
+    made = {r.doc_id: r for r in nbest.segment(docs).collect()}
+    for i, text in enumerate(texts):
+        paths = [ids for _, ids in lattice.text_paths(text or "", nbest.N_BEST)]
+        assert made[i].paths_crc32 == [zlib.crc32(p) for p in paths]
+        assert lattice.decode_all(paths) == [lattice.decode(p).encode("utf-8") for p in paths]
+    broken = lattice.path_ids("▁the", [0, 4]), lattice.path_ids("▁a", [0, 2])
+    assert lattice.decode_all([np.array(p, "<u4").tobytes() for p in (*broken, [])]) == [b"the", b"a", b""]
+
+
 def test_counts_match_the_library(spark, texts):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(prefix.MODEL))
     want = {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
