@@ -23,9 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import release, slices, split_words, starts_of
+from gleaner.llm.common import release, remove, slices, split_words, starts_of, written
 from gleaner.session import cut_lineage
 
+#: Classes of words; their numbers are kept as 16-bit ones.
 BUCKETS = 1 << 14
 STATES = 8
 #: Passes of Baum-Welch over all training texts.
@@ -223,15 +224,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD, F.lit(False))
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Word numbers byte plane by byte plane: the upper ones are mostly zero. The least of a block's files."""
+    planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _codes(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """The word numbers of a block; its sizes say how many."""
+    n = int(_flat(batch, "sizes", row).sum())
+    planes = pa.decompress(batch.column("codes")[row].as_py(), 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").ravel()
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Texts as word numbers, a block of about BLOCK_BYTES a row.
 
-    ``block, doc_ids, held, sizes, codes`` (numbers of words in ``words``), ``buckets`` and
+    ``block, doc_ids, held, sizes, codes`` (packed numbers of words in ``words``), ``buckets`` and
     ``counts`` (the class and the number of training tokens of each distinct word).
     """
     ddl = (
-        "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, codes array<int>, "
-        "words array<string>, buckets array<int>, counts array<long>"
+        "block long, codes binary, doc_ids array<long>, held array<boolean>, sizes array<int>, "
+        "words array<string>, buckets array<short>, counts array<long>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,17 +263,16 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                     (part.column("doc_id"), pa.int64()),
                     (part.column("held"), pa.bool_()),
                     (pa.array(sizes.astype(np.int32)), pa.int32()),
-                    (pa.array(codes), pa.int32()),
                     (coded.dictionary.cast(pa.string()), pa.string()),
-                    (pa.array(buckets.astype(np.int32)), pa.int32()),
+                    (pa.array(buckets.astype(np.int16)), pa.int16()),
                     (pa.array(counts), pa.int64()),
                 ]
                 arrays = [
                     pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.cast(k)) for c, k in columns
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), *arrays],
-                    ["block", "doc_ids", "held", "sizes", "codes", "words", "buckets", "counts"],
+                    [pa.array([block], pa.int64()), pa.array([_packed(codes)], pa.binary()), *arrays],
+                    ["block", "codes", "doc_ids", "held", "sizes", "words", "buckets", "counts"],
                 )
                 block += 1
 
@@ -273,7 +286,7 @@ def _flat(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
 
 def _symbols(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     """Class symbols of a block's texts, each with its end, and their sizes."""
-    classes = _flat(batch, "buckets", row).astype(np.int64)[_flat(batch, "codes", row)]
+    classes = _flat(batch, "buckets", row).astype(np.int64)[_codes(batch, row)]
     sizes = _flat(batch, "sizes", row).astype(np.int64)
     out = np.full(len(classes) + len(sizes), END, np.int64)
     ends = np.cumsum(sizes + 1) - 1
@@ -378,10 +391,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     on in runs of RUN tokens whose counts are those of the uncut text.
     """
     spark = docs.sparkSession
-    blocks = cut_lineage(blocks_of(docs), "hmm-blocks")
+    blocks = cut_lineage(blocks_of(docs), "hmm-blocks", compression="zstd")
     words = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts")
     table = words.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")).filter("c > 0")
-    table = cut_lineage(table, "hmm-words")
+    table, counted = written(table, "hmm-words")
     release(spark)
     by_class = table.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     n_class, v_class = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -392,6 +405,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     n_all, v_all = int(n_class.sum()) + ends, int(v_class.sum()) + (ends > 0)
     mass = np.append(v_class + 1.0, 1.0)
     model = train(blocks, mass, n_all, states, rounds)
+    release(spark)
 
     coded = blocks.select("block", F.posexplode("words").alias("place", "word"))
     known = (
@@ -399,7 +413,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
         .groupBy("block")
         .agg(F.collect_list("place").alias("places"), F.collect_list("c").alias("found"))
     )
-    known = cut_lineage(known, "hmm-known")
+    known = cut_lineage(known, "hmm-known", compression="zstd")
+    remove(spark, counted)
     release(spark)
     ready = blocks.select("block", "doc_ids", "held", "sizes", "codes", "buckets").join(known, "block", "left")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -408,7 +423,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                classes, codes = _flat(batch, "buckets", row), _flat(batch, "codes", row)
+                classes, codes = _flat(batch, "buckets", row), _codes(batch, row)
                 c = np.zeros(len(classes))
                 if batch.column("places")[row].is_valid:
                     c[_flat(batch, "places", row)] = _flat(batch, "found", row)

@@ -155,6 +155,16 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
     assert sum(r.score > r.base_score for r in held) > 0.95 * len(held)
 
 
+def test_blocks_after_the_first_keep_their_words(spark):
+    rows = [(i, f"Word{i} É x\t" * (20_000 + i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    blocks = hmm.blocks_of(docs).collect()
+    assert len(blocks) > 1
+    for r in blocks:
+        assert list(r.sizes) == [len(words_of(rows[d][1])) for d in r.doc_ids]
+        assert sorted(r.words) == sorted({w for d in r.doc_ids for w in words_of(rows[d][1])})
+
+
 def test_empty_table(spark):
     assert hmm.score(spark.createDataFrame([], "doc_id long, text string"), rounds=1).count() == 0
     only = [d for d in range(200) if is_held(d)][:2]
