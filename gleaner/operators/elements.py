@@ -25,6 +25,8 @@ from gleaner.session import cut_lineage, run_dir
 OWN, OTHER, BLOCK_END, ALONE = 1, 2, 4, 8
 #: Depths that are summed: in blocks, and in the containers of each group of siblings.
 DEPTHS = ["blocks", *markup.SIBLING_GROUPS]
+#: Tags that are sorted in one task, some 2 KB of memory each in all the sorts; a page stays in one task.
+TAGS_A_TASK = 50_000
 _SELF_CLOSED = r"""(?:["'\s]|^<[A-Za-z][A-Za-z0-9\-]*)/>$"""
 _NAME = r"^</?([A-Za-z][^\s/>]*)"
 
@@ -113,11 +115,14 @@ def element_rows(pages: DataFrame) -> DataFrame:
 
     ``el`` and ``end`` count the tags of the page from 1; an element without content ends at
     its own tag, and one that nothing ends at the tag after the last. ``level`` counts the
-    elements around it. Pages meet in one shuffle; everything after it sorts within it.
+    elements around it. Pages meet in one shuffle; everything after it sorts within it, in as
+    many tasks as the number of tags asks for: partitions by bytes would hold all that fits them.
     """
     scopes, steps = _rules(pages.sparkSession)
     known = rule_names()
-    spread = pages.select("page_no", (F.size("tags") + 1).alias("behind"), "tags").repartition("page_no")
+    tags = pages.agg(F.sum(F.size("tags"))).first()[0] or 0
+    tasks = max(1, -(-tags // TAGS_A_TASK))
+    spread = pages.select("page_no", (F.size("tags") + 1).alias("behind"), "tags").repartition(tasks, "page_no")
     kind = F.when(F.col("closing"), "close").when(F.col("alone"), "alone").otherwise("open")
     ruled = _tags(spread).withColumns({"kind": kind, "rule": F.when(F.col("name").isin(known), F.col("name")).otherwise("*")})
     # both tables hold the tag names of the standard

@@ -256,3 +256,16 @@ def test_limits_banners_and_dispatch(spark):
         3: lambda t: extract.subscribe_items(match_selectors(t, [Selector("//a")])),
     }
     assert {r.type for r in extract.dispatch(ready, collectors).collect()} == {2}
+
+
+def test_the_index_sorts_a_bounded_number_of_tags_a_task(spark, monkeypatch):
+    from gleaner.operators import elements
+
+    rows = [page(f"p{n}", *[f"x{k}" for k in range(20)]) for n in range(30)]
+    whole = sorted(map(tuple, prepare_pages(pages_of(spark, rows)).collect()))
+    pages = spark.createDataFrame([(n, ["<b>", "</b>"] * 100) for n in range(60)], "page_no long, tags array<string>")
+    for limit, tasks in ((elements.TAGS_A_TASK, 1), (1000, 12)):
+        monkeypatch.setattr(elements, "TAGS_A_TASK", limit)
+        found = elements.element_rows(pages)
+        assert found.count() == 6000 and found.rdd.getNumPartitions() == tasks
+        assert sorted(map(tuple, prepare_pages(pages_of(spark, rows)).collect())) == whole
