@@ -56,7 +56,8 @@ def index_captures(pages: DataFrame) -> DataFrame:
     """Indexed pages, one row per url and instant, with ``capture_id`` and ``captured_at``.
 
     Pages without ``captured_at`` count as captured before every run. Of several captures of
-    one url at one instant the one whose content sorts last by fingerprint counts.
+    one url at one instant the one whose content sorts last by fingerprint counts; the others
+    are written once, so that no reader of the index chooses again or shuffles what it holds.
     """
     if "capture_id" in pages.columns:
         return pages
@@ -66,8 +67,13 @@ def index_captures(pages: DataFrame) -> DataFrame:
         {"capture_id": F.monotonically_increasing_id(), "captured_at": at, "print": F.md5(content)}
     )
     marked = cut_lineage(marked, "captures") if "html" not in pages.columns else prepare_pages(marked)
-    chosen = marked.groupBy("url", "captured_at").agg(F.max(F.struct("print", "capture_id")).alias("c"))
-    return marked.drop("print").join(chosen.select("c.capture_id"), "capture_id", "left_semi")
+    slim = marked.select("url", "captured_at", "print", "capture_id")
+    several = slim.groupBy(F.col("url").alias("u"), F.col("captured_at").alias("t")).agg(
+        F.max(F.struct("print", "capture_id")).alias("c"), F.count("*").alias("n")
+    )
+    same = F.col("url").eqNullSafe(F.col("u")) & (F.col("captured_at") == F.col("t")) & (F.col("capture_id") != F.col("c.capture_id"))
+    others = cut_lineage(slim.join(several.filter("n > 1"), same, "left_semi").select("capture_id"), "other-captures")
+    return marked.drop("print").join(others, "capture_id", "left_anti")
 
 
 def latest_captures(captures: DataFrame) -> DataFrame:
@@ -318,6 +324,8 @@ def crawl_definitions(pages: DataFrame, materials: DataFrame) -> tuple[DataFrame
         )
         paged = starts.filter("page_limit > 1").select(_origin("root").alias("origin"), "sel").distinct()
         paged = paged.join(here.select(F.col("next_xpath").alias("sel"), "next_steps").dropDuplicates(["sel"]), "sel")
+        # written, so that its size is known: a few sites need no shuffle of all pages by site, no site none at all
+        paged = cut_lineage(paged, "paged")
         nexts = index.withColumn("origin", _origin("url")).join(paged, "origin")
         nexts = cut_lineage(
             nexts.select("sel", "url", "captured_at", "capture_id", _next_href("next_steps").alias("next_href")), "nexts"

@@ -269,3 +269,14 @@ def test_the_index_sorts_a_bounded_number_of_tags_a_task(spark, monkeypatch):
         found = elements.element_rows(pages)
         assert found.count() == 6000 and found.rdd.getNumPartitions() == tasks
         assert sorted(map(tuple, prepare_pages(pages_of(spark, rows)).collect())) == whole
+
+
+def test_captures_are_chosen_once(spark):
+    other = START + timedelta(days=1)
+    rows = [("u", START, "<p>1</p>"), ("u", START, "<p>2</p>"), ("u", other, "<p>1</p>"), (None, START, "<p>3</p>"),
+            (None, START, "<p>4</p>"), ("v", None, "<p>5</p>"), ("v", None, "<p>5</p>"), ("w", START, None)]
+    index = frontier.index_captures(spark.createDataFrame(rows, "url string, captured_at timestamp, html string"))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    got = [(r.url, r.captured_at) for r in index.collect()]
+    assert len(got) == 5 and set(got) == {("u", START), ("u", other), (None, START), ("v", datetime(1970, 1, 1)), ("w", START)}
+    assert "Aggregate" not in plan.replace("PushedAggregat", "") and plan.count("FileScan") == 2, plan
