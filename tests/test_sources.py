@@ -57,6 +57,22 @@ def test_landing_stream_reads_each_task_once_and_archives(spark, tmp_path):
     assert os.path.exists(work / "s3.ini")  # the newest waits for a later batch
 
 
+def test_many_files_of_a_batch_are_listed_by_few_tasks(spark, tmp_path):
+    work = tmp_path / "work"
+    work.mkdir()
+    cores = spark.sparkContext.defaultParallelism
+    for n in range(8 * cores):
+        drop_task(work, f"s{n}")
+    stream = records.good_records(landing.read_sidecars(spark, str(work), stream=True)).select("seqno")
+    query = append_rows(stream, str(tmp_path / "out"))
+    query.awaitTermination()
+    assert read_output(spark, str(tmp_path / "out")).distinct().count() == 8 * cores
+    tracker = spark.sparkContext._jsc.sc().statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).get().stageIds()}
+    found = [i.get().numTasks() for i in map(tracker.getStageInfo, stages) if i.isDefined() and "Listing" in i.get().name()]
+    assert max([0, *found]) <= 4 * cores and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == str(4 * cores)
+
+
 def test_unsupported_selector_fails_loudly(spark):
     bad = '{"addr":"http://a.com","type":3,"selectors":[{"xpath":"//a[2]"}]}'
     flat = definitions.flatten(spark.createDataFrame([(1, bad)], "material_id long, definition string"))
