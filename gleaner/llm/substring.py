@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,9 +186,32 @@ def _join_pieces(text: str, keep: np.ndarray) -> str:
     return "".join(p for p, k in zip(pieces, keep.tolist(), strict=True) if k).rstrip(" \t\n\x0b\x0c\r")
 
 
-def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+def _listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the value of each entry of a column of lists; null counts as empty."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    return np.repeat(np.arange(len(lists)), sizes), np.asarray(lists.flatten()).astype(np.int64)
+
+
+def _digests(words: pa.Array, first_word: np.ndarray, covered: np.ndarray) -> list[str]:
+    """SHA-256 of each text's words that are not covered, joined by one space."""
+    nothing, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    spaced = pc.binary_join_element_wise(words.filter(pa.array(~covered)), nothing, space)
+    bounds = np.frombuffer(spaced.buffers()[1], np.int64) if len(spaced) else np.zeros(1, np.int64)
+    ends = bounds[starts_of(~covered)[first_word]].tolist()
+    data = memoryview(spaced.buffers()[2] or b"")
+    return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _spans(first_word: np.ndarray, covered: np.ndarray) -> pa.Array:
+    """The maximal runs of covered words of each text, their places counted from its first word."""
+    edge = np.zeros(len(covered) + 1, bool)
+    edge[first_word] = True
+    begin = np.flatnonzero(covered & (edge[:-1] | ~np.append(False, covered[:-1])))
+    end = np.flatnonzero(covered & (edge[1:] | ~np.append(covered[1:], False))) + 1
+    bounds = np.searchsorted(begin, first_word)
+    first = np.repeat(first_word[:-1], np.diff(bounds))
+    spans = pa.StructArray.from_arrays([pa.array(begin - first), pa.array(end - first)], ["begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans)
 
 
 def _verdicts(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -201,38 +225,25 @@ def _verdicts(docs: DataFrame, with_text: bool) -> DataFrame:
             for part in slices(batch, "text"):
                 x = find_blocks(part.column("text"))
                 of_doc = np.searchsorted(x.doc, np.arange(len(x.counts)))
-                cover = np.zeros(len(x.words) + 1, np.int32)
-                for k, (whole, hit) in enumerate(zip(part.column("whole"), part.column("hit"), strict=True)):
-                    if whole.is_valid:
-                        blocks = of_doc[k] + np.unique(np.array(whole.values, np.int64))
-                        np.add.at(cover, x.begin[blocks], 1)
-                        np.add.at(cover, x.last[blocks] + WINDOW, -1)
-                    if hit.is_valid:
-                        at = x.first_word[k] + np.unique(np.array(hit.values, np.int64))
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + WINDOW, -1)
-                covered = np.cumsum(cover[:-1]) > 0
-                words = x.words.cast(pa.large_binary()).to_pylist()
-                removed, digests, spans, texts = [], [], [], []
-                for k, (a, b) in enumerate(zip(x.first_word[:-1].tolist(), x.first_word[1:].tolist(), strict=True)):
-                    gone = covered[a:b]
-                    n = int(gone.sum())
-                    kept = words[a:b] if not n else [words[a + i] for i in np.flatnonzero(~gone).tolist()]
-                    removed.append(n)
-                    digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                    spans.append([{"begin": s, "end": e} for s, e in _spans(gone)])
-                    if with_text:
-                        text = part.column("text")[k].as_py()
-                        texts.append(_join_pieces(text, ~gone) if n else text)
+                rows, whole = _listed(part.column("whole"))
+                blocks = of_doc[rows] + whole
+                rows, hit = _listed(part.column("hit"))
+                at = x.first_word[rows] + hit
+                begin, end = np.append(x.begin[blocks], at), np.append(x.last[blocks], at) + WINDOW
+                size = len(x.words) + 1
+                covered = np.cumsum(np.bincount(begin, minlength=size) - np.bincount(end, minlength=size))[:-1] > 0
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
                 columns = [
                     pa.array(x.counts.astype(np.int64)),
-                    pa.array(removed, pa.int64()),
-                    pa.array(digests),
-                    pa.array(spans, kind),
+                    pa.array(np.diff(starts_of(covered)[x.first_word])),
+                    pa.array(_digests(x.words, x.first_word, covered)),
+                    _spans(x.first_word, covered).cast(kind),
                 ]
                 names = ["n_words", "n_removed", "kept_sha256", "spans"]
                 if with_text:
+                    texts = part.column("text").to_pylist()
+                    for k in np.flatnonzero(np.asarray(columns[1])).tolist():
+                        texts[k] = _join_pieces(texts[k], ~covered[x.first_word[k] : x.first_word[k + 1]])
                     columns.append(pa.array(texts, pa.string()))
                     names.append("kept_text")
                 others = [c for c in part.schema.names if c not in ("text", "whole", "hit")]

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from gleaner.llm import substring
 
 
@@ -77,3 +80,25 @@ def test_spans_are_maximal(spark):
     docs = spark.createDataFrame([(1, same), (2, f"a {same} b {same}")], "doc_id long, text string")
     spans = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeats(docs).collect()}
     assert spans == {1: [], 2: [(1, 21), (22, 42)]}
+
+
+def test_digests_and_spans_of_many_texts_at_once():
+    rng = random.Random(3)
+    texts = [[], ["é"], [], *([rng.choice(["a", "bc", "日本"]) for _ in range(n)] for n in (1, 9, 40, 0, 3)), []]
+    first = np.cumsum([0, *map(len, texts)])
+    words = pa.array([w for t in texts for w in t], pa.large_string())
+    for share in (0.0, 0.5, 1.0):
+        gone = np.array([rng.random() < share for _ in range(len(words))], bool)
+        digests = substring._digests(words, first, gone)
+        spans = substring._spans(first, gone).to_pylist()
+        assert len(digests) == len(spans) == len(texts)
+        for k, text in enumerate(texts):
+            cut = gone[first[k] : first[k + 1]]
+            kept = " ".join(w for w, g in zip(text, cut, strict=True) if not g)
+            assert digests[k] == hashlib.sha256(kept.encode()).hexdigest()
+            inside = [i for s in spans[k] for i in range(s["begin"], s["end"])]
+            assert inside == np.flatnonzero(cut).tolist()
+            assert all(a["end"] < b["begin"] for a, b in zip(spans[k], spans[k][1:], strict=False))
+    none = pa.array([], pa.large_string())
+    assert substring._digests(none, np.array([0, 0]), np.zeros(0, bool)) == [hashlib.sha256(b"").hexdigest()]
+    assert substring._digests(none, np.array([0]), np.zeros(0, bool)) == []
