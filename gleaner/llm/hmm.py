@@ -33,6 +33,8 @@ STATES = 8
 ROUNDS = 3
 #: Training texts are worked on in runs of this many tokens, their states carried over the cuts.
 RUN = 128
+#: Matrices of runs are scaled after so many tokens, long before their products leave a double's range.
+SCALED = 8
 #: The starting point is fitted on this many runs, those of smallest hash, in so many rounds.
 START_RUNS, START_ROUNDS = 1500, 15
 BLOCK_BYTES = 6 << 20
@@ -86,6 +88,7 @@ def _transfers(model: Model, symbols: np.ndarray, begin: np.ndarray, sizes: np.n
 
     The first run of a text takes any distribution to what the start leads to.
     """
+    states = len(model.start)
     order = np.argsort(-sizes, kind="stable")
     begin, sizes, first = begin[order], sizes[order], first[order]
     emits = np.ascontiguousarray(model.emits.T)
@@ -95,8 +98,11 @@ def _transfers(model: Model, symbols: np.ndarray, begin: np.ndarray, sizes: np.n
     made /= made.sum(axis=(1, 2), keepdims=True)
     for t in range(1, int(sizes[0]) if len(sizes) else 0):
         n = int(np.searchsorted(-sizes, -t, "left"))
-        made[:n] = (made[:n] @ model.moves) * emits[symbols[begin[:n] + t]][:, None, :]
-        made[:n] /= made[:n].sum(axis=(1, 2), keepdims=True)
+        # one product for the rows of all matrices
+        moved = (made[:n].reshape(-1, states) @ model.moves).reshape(n, states, states)
+        np.multiply(moved, emits[symbols[begin[:n] + t]][:, None, :], out=made[:n])
+        if t % SCALED == 0:
+            made[:n] /= made[:n].sum(axis=(1, 2), keepdims=True)
     out = np.empty_like(made)
     out[order] = made
     return out

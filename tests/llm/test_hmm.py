@@ -170,3 +170,22 @@ def test_empty_table(spark):
     only = [d for d in range(200) if is_held(d)][:2]
     rows = hmm.score(spark.createDataFrame([(d, "a b") for d in only], "doc_id long, text string"), rounds=1).collect()
     assert [r.n_known for r in rows] == [0, 0] and all(r.train_tokens == 0 and r.score < 0 for r in rows)
+
+
+def test_matrices_of_long_runs_lead_where_each_step_does():
+    model, rng = tiny(3), np.random.default_rng(9)
+    sizes = np.array([3 * hmm.RUN, hmm.RUN + 5, 2 * hmm.SCALED + 1])
+    symbols = rng.integers(0, 4, sizes.sum())
+    runs = hmm.runs_of(sizes)
+    got = hmm._transfers(model, symbols, runs.begin, runs.sizes, runs.ordinal == 0)
+    for matrix, b, n, k in zip(got, runs.begin, runs.sizes, runs.ordinal, strict=True):
+        want = np.eye(3)
+        for t, x in enumerate(symbols[b : b + n]):
+            want = (want @ model.moves if t or k else np.tile(model.start, (3, 1))) * model.emits[:, x]
+            want /= want.sum()
+        assert np.allclose(matrix / matrix.sum(), want, rtol=1e-10)
+    # rare symbols over a whole stretch between two scalings stay in range
+    rare = hmm.Model(model.start, model.moves, model.emits * 1e-30)
+    again = hmm._transfers(rare, symbols, runs.begin, runs.sizes, runs.ordinal == 0)
+    assert np.isfinite(again).all()
+    assert np.allclose(again / again.sum(axis=(1, 2), keepdims=True), got / got.sum(axis=(1, 2), keepdims=True))
