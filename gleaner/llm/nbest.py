@@ -14,8 +14,8 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Recent, shared, slices
+from gleaner.llm.common import KEPT_LENGTH, Recent, shared, slices, starts_of
 from gleaner.llm.prefix import MARK, MODEL, words_of
 
 N_BEST = 4
@@ -31,6 +31,8 @@ N_BEST = 4
 KEPT_WORDS = 400_000
 #: Words with their N best paths, likewise: texts share the words of cheap second paths.
 KEPT_SEARCHES = 20_000
+#: Words whose summaries are made together.
+AT_ONCE = 1 << 15
 _LOW = float("-inf")
 
 
@@ -76,6 +78,7 @@ class Lattice:
         # by id: the UTF-8 bytes that it decodes to, marks as spaces
         held = [bytes([self.octets[i]]) if i in self.octets else self.pieces.get(i, "").replace(MARK, " ").encode("utf-8") for i in range(model.get_piece_size())]
         self.decoded = pa.array(held, pa.large_binary())
+        self._number_nodes()
         self.known = Recent(self.summary, KEPT_WORDS)
         self.searched = Recent(lambda asked: self.word_paths(*asked), KEPT_SEARCHES, lambda asked: len(asked[0]))
 
@@ -145,6 +148,94 @@ class Lattice:
         cuts.reverse()
         return _packed(self.path_ids(word, cuts)), best[n], best[n] - second[n]
 
+    def _number_nodes(self) -> None:
+        """The tree as arrays: a number for each node, and its children by (node, character).
+
+        Characters that are pieces themselves have numbers; any other has -1.
+        """
+        alone = sorted(c for c in self.scores if len(c) == 1)
+        self.alone = np.full(0x110000, -1, np.int32)
+        self.alone[[ord(c) for c in alone]] = np.arange(len(alone))
+        self.fan = len(alone) + 1
+        keys, scores, ids = [], [_LOW], [0]
+        below = [(0, "", self.tree)]
+        while below:
+            node, prefix, children = below.pop()
+            for c, (score, further) in children.items():
+                # no word of numbered characters comes past another one
+                if self.alone[ord(c)] >= 0:
+                    keys.append((node * self.fan + int(self.alone[ord(c)]), len(scores)))
+                    below.append((len(scores), prefix + c, further))
+                    scores.append(_LOW if score is None else score)
+                    ids.append(0 if score is None else self.ids[prefix + c])
+        self.keys, self.children = np.array(sorted(keys), np.int64).reshape(-1, 2).T.copy()
+        self.node_scores, self.node_ids = np.array(scores), np.array(ids, np.uint32)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Keep the summaries of those words that are not known yet, made together.
+
+        Long words and those with a character outside the vocabulary are left to :meth:`summary`.
+        """
+        kept, older = self.known.new, self.known.old
+        fresh = [w for w in dict.fromkeys(words) if len(w) <= KEPT_LENGTH and w not in kept and w not in older]
+        for k in range(0, len(fresh), AT_ONCE):
+            kept.update(self.summaries(fresh[k : k + AT_ONCE]))
+
+    def summaries(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """What :meth:`summary` gives, for all words whose characters are pieces: the same
+        forward pass over all of them, place by place."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = self.alone[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        begin = starts_of(sizes)
+        covered = np.diff(starts_of(numbers < 0)[begin]) == 0
+        order = np.flatnonzero(covered & (sizes > 0))
+        order = order[np.argsort(-sizes[order], kind="stable")]
+        if not len(order):
+            return {}
+        sizes, begin = sizes[order], begin[:-1][order]
+        longest = int(sizes[0])
+        # words longer than each place
+        live = np.searchsorted(-sizes, -np.arange(longest + 1), "left").tolist()
+        at = [numbers[begin[:n] + i].astype(np.int64) for i, n in enumerate(live[:-1])]
+        shape = (longest + 1, len(order))
+        best, second = np.full(shape, _LOW), np.full(shape, _LOW)
+        back, by = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+        best[0] = 0.0
+        for i in range(longest):
+            rows, node = np.arange(live[i]), np.zeros(live[i], np.int64)
+            for j in range(i, longest):
+                asked = node * self.fan + at[j][rows]
+                found = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+                there = self.keys[found] == asked
+                rows, node = rows[there], self.children[found[there]]
+                if not len(rows):
+                    break
+                score = self.node_scores[node]
+                ends = score > _LOW
+                row, score = rows[ends], score[ends]
+                t, old = best[i, row] + score, best[j + 1, row]
+                better = t > old
+                second[j + 1, row] = np.where(better, np.maximum(old, second[i, row] + score), np.maximum(second[j + 1, row], t))
+                row = row[better]
+                best[j + 1, row], back[j + 1, row], by[j + 1, row] = t[better], i, node[ends][better]
+                left = int(np.searchsorted(rows, live[j + 1]))
+                rows, node = rows[:left], node[:left]
+        row = np.arange(len(order))
+        total, rest = best[sizes, row], second[sizes, row]
+        place, taken = sizes.copy(), []
+        while len(row):
+            taken.append((row, self.node_ids[by[place, row]]))
+            place = back[place, row]
+            row, place = row[place > 0], place[place > 0]
+        counts = np.bincount(np.concatenate([r for r, _ in taken]), minlength=len(order))
+        bounds = starts_of(counts)
+        ids = np.empty(bounds[-1], "<u4")
+        for k, (row, found) in enumerate(taken):
+            ids[bounds[row + 1] - 1 - k] = found
+        data, cuts = ids.tobytes(), (4 * bounds).tolist()
+        paths = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return dict(zip([words[k] for k in order.tolist()], zip(paths, total.tolist(), (total - rest).tolist(), strict=True), strict=True))
+
     def word_paths(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """Up to ``n`` best paths of a word, by A-star from its end. Ties come in a fixed order."""
         edges, best, _ = self.lattice(word)
@@ -171,7 +262,10 @@ class Lattice:
 
     def text_paths(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """Up to ``n`` best paths of a text as (score, ids); empty text has one empty path."""
-        words = words_of(text)
+        return self.paths_of(words_of(text), n)
+
+    def paths_of(self, words: list[str], n: int) -> list[tuple[float, bytes]]:
+        """:meth:`text_paths` of a text cut into words."""
         if not words:
             return [(0.0, b"")]
         ids, scores, extra = zip(*self.known.all(words), strict=True)
@@ -252,7 +346,9 @@ def segment(docs: DataFrame, path: str | None = None, n: int = N_BEST, with_ids:
         for batch in batches:
             for rows in slices(batch, "text"):
                 texts = [text or "" for text in rows.column("text").to_pylist()]
-                found = [lattice.text_paths(text, n) for text in texts]
+                split = [words_of(text) for text in texts]
+                lattice.learn(chain.from_iterable(split))
+                found = [lattice.paths_of(words, n) for words in split]
                 again = iter(lattice.decode_all([ids for ways in found for _, ids in ways]))
                 out: list[list] = [[] for _ in range(7)]
                 for text, ways in zip(texts, found, strict=True):

@@ -163,3 +163,16 @@ def test_caches_keep_no_long_words():
     for _ in range(5):
         encoder.encode(["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(500)) + " tail" for _ in range(20)])
     assert set(encoder.new[1]) == {"tail"} and not encoder.new[0]
+
+
+def test_summaries_made_together_are_the_single_ones():
+    lattice = nbest.Lattice(public_tokenizers.path(nbest.MODEL))
+    rng = random.Random(12)
+    words = [nbest.MARK + "".join(rng.choice("abeinorstué.,-1日") for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    words += ["", nbest.MARK, nbest.MARK * 9, "x", "s" * 64, nbest.MARK + "the", nbest.MARK + "\U0001f9ec", "a\x00b", *words[:3]]
+    got = lattice.summaries(words)
+    assert all(got[w] == lattice.summary(w) for w in got)
+    covered = lambda w: w and all(c in lattice.scores for c in w)
+    assert set(got) == {w for w in words if covered(w)} and lattice.summaries([]) == {}
+    lattice.learn([*words, "e" * 65])
+    assert set(lattice.known.new) == set(got)
