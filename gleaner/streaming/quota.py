@@ -7,15 +7,17 @@ from bisect import insort
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleaner.functions.keys import bucket_start
 from gleaner.operators import quota
 
 #: Verdict on a request that came after the watermark had passed it.
 LATE = "late"
-#: Parts over which refused requests of one domain and day pass the second stage.
+#: Parts over which bundles of refused requests of one domain and day pass the second stage.
 SPREAD = 1024
+#: Refused requests that pass the second stage as one row.
+BUNDLE = 256
 
 
 def window_usage(requests: DataFrame, width: str = "second", delay: str = "1 day") -> DataFrame:
@@ -44,37 +46,56 @@ def late_usage(requests: DataFrame, totals: DataFrame, width: str = "second") ->
     return joined.select("bucket", "domain", late.alias("requests")).filter("requests > 0")
 
 
-def _slots(cap: int, fields: list[str], passed: str | None, refused: str) -> StatefulProcessor:
-    """Counts the slots taken of a key ``(domain, ends, part)`` and forgets them after ``ends``.
+def _slots(cap: int, fields: list[str], passed: str | None, refused: str, bundles: bool = False) -> StatefulProcessor:
+    """Counts the slots taken of a key ``(domain, ends)`` and forgets them after ``ends``.
 
     The first rows by (ts, request_id) of a batch take what is left. No more than ``cap`` rows
     are held; a row that finds no place leaves at once. ``passed`` and ``refused`` are the
-    verdicts; rows that pass without one keep NULL. Parts from 0 hold rows refused before.
+    verdicts; rows that pass without one keep NULL. With ``bundles`` the refused rows leave
+    BUNDLE at a time, a list a field in the column ``refused``. A third part of the key, where
+    there is one, is -1 but for bundles, which go through.
     """
 
+    size = BUNDLE
+
     # Defined here so that it ships by value: workers need no copy of this package.
     class Slots(StatefulProcessor):
         def init(self, handle) -> None:  # noqa: ANN001
             self.handle = handle
             self.used = handle.getValueState("used", "n int")
 
-        def row(self, source, verdict):  # noqa: ANN001, ANN202
-            return Row(**{f: source[f] for f in fields}, verdict=verdict)
+        def row(self, source, verdict, **more):  # noqa: ANN001, ANN003, ANN202
+            return Row(**{f: source[f] for f in fields}, verdict=verdict, **more)
+
+        def bundle(self, rows):  # noqa: ANN001, ANN202
+            lists = {f"f{k}": [r[f] for r in rows] for k, f in enumerate(fields)}
+            return self.row(rows[-1], refused, refused=lists)
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201
-            if key[2] >= 0:
+            if len(key) > 2 and key[2] >= 0:
                 for row in rows:
-                    yield self.row(row, row.verdict)
+                    yield self.row(row, row.verdict, refused=row.refused)
                 return
+            more = {"refused": None} if bundles or len(key) > 2 else {}
             known = self.used.get()
             free = cap - (known[0] if known else 0)
             held: list = []
+            out: list = []
             for n, row in enumerate(rows):
                 insort(held, (row.ts, row.request_id, n, row))
                 if len(held) > free:
-                    yield self.row(held.pop()[3], refused)
+                    last = held.pop()[3]
+                    if not bundles:
+                        yield self.row(last, refused, **more)
+                        continue
+                    out.append(last)
+                    if len(out) == size:
+                        yield self.bundle(out)
+                        out = []
+            if out:
+                yield self.bundle(out)
             for *_, row in held:
-                yield self.row(row, passed)
+                yield self.row(row, passed, **more)
             if known is None:
                 self.handle.registerTimer(key[1])
             self.used.update((cap - free + len(held),))
@@ -107,23 +128,28 @@ def admission_stream(
     slot when the watermark, ``delay`` behind the newest request, has passed its bucket or day.
     Requests behind the watermark get no row here, see :func:`late_requests`. A domain's
     requests meet in one task for one bucket only; of each bucket ``bucket_cap`` at most go on to
-    the domain's day, and the refused ones pass in ``SPREAD`` parts.
+    the domain's day, and the refused ones pass in bundles,
+    in ``SPREAD`` parts.
     """
     fields = requests.columns
-    schema = StructType([*requests.schema.fields, StructField("verdict", StringType())])
-    rows = requests.withWatermark("ts", delay).withColumns(
-        {"ends": _ends(width), "part": F.lit(-1), "verdict": F.lit(None).cast("string")}
-    )
-    first = rows.groupBy("domain", "ends", "part").transformWithState(
-        _slots(bucket_cap, fields, None, quota.BUCKET_FULL), schema, "append", "EventTime", eventTimeColumnName="ts"
+    verdict = StructField("verdict", StringType())
+    lists = StructType([StructField(f"f{k}", ArrayType(f.dataType)) for k, f in enumerate(requests.schema.fields)])
+    schema = StructType([*requests.schema.fields, verdict, StructField("refused", lists)])
+    rows = requests.withWatermark("ts", delay).withColumn("ends", _ends(width))
+    first = rows.groupBy("domain", "ends").transformWithState(
+        _slots(bucket_cap, fields, None, quota.BUCKET_FULL, True), schema, "append", "EventTime", eventTimeColumnName="ts"
     )
-    refused = F.col("verdict").isNotNull()
+    bundled = F.col("refused").isNotNull()
     rows = first.withColumns(
-        {"ends": _ends("day"), "part": F.when(refused, F.pmod(F.xxhash64("request_id"), F.lit(SPREAD))).otherwise(-1).cast("int")}
+        {"ends": _ends("day"), "part": F.when(bundled, F.pmod(F.xxhash64("request_id"), F.lit(SPREAD))).otherwise(-1).cast("int")}
     )
-    return rows.groupBy("domain", "ends", "part").transformWithState(
+    second = rows.groupBy("domain", "ends", "part").transformWithState(
         _slots(day_cap, fields, quota.ADMITTED, quota.DAY_FULL), schema, "append", "EventTime"
     )
+    one = F.array(F.struct(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(fields)]))
+    many = F.arrays_zip(*[F.col(f"refused.f{k}") for k in range(len(fields))])
+    opened = second.select("verdict", F.explode(F.when(bundled, many).otherwise(one)).alias("row"))
+    return opened.select(*[F.col(f"row.f{k}").alias(f) for k, f in enumerate(fields)], "verdict")
 
 
 def late_requests(requests: DataFrame, verdicts: DataFrame) -> DataFrame:

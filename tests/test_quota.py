@@ -139,3 +139,13 @@ def test_both_stages_are_cut_before_the_shuffle(spark):
     plan = quota.admit(spark.createDataFrame(log(50), SCHEMA), 3, 5, "minute")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("WindowGroupLimit") >= 4
+
+
+def test_refused_requests_pass_the_second_stage_in_bundles(spark, monkeypatch):
+    monkeypatch.setattr(quota_stream, "BUNDLE", 7)
+    rows = [(k, START + timedelta(seconds=k), "ab"[k % 10 == 0]) for k in range(400)] + [(900, START, None), (901, START, None)]
+    base = run_dir(spark, "quota")
+    got, queries = _stream(spark, [rows], base, 3, 5, "minute", delay="30 days")
+    assert got == simulate([r for r in sorted(rows, key=lambda r: (r[1], r[0])) if r[2]], 3, 5) | {900: quota.ADMITTED, 901: quota.ADMITTED}
+    assert read_output(spark, base).count() == len(rows)
+    assert read_output(spark, base).columns == ["request_id", "ts", "domain", "verdict"]
